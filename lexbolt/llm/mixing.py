@@ -28,6 +28,7 @@ from lexbolt.llm.common import materialize, table, text_of, word_count
 BLOCK_DOCS = 128
 MAX_BLOCKS = 65536
 SHARD_BLOCKS = 64
+CUT_ROUNDS = 4
 SEED = 20260
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and how often a word may be taken.
@@ -189,16 +190,18 @@ def draws(rows: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, repea
         F.max(F.when(F.col("cut"), F.col("left"))).alias("cut_left"),
     )
 
-    # Documents: in a cut block, the hash order as long as words fit, then the one that comes closest to what is left.
+    # Documents: in a cut block, the hash order as long as words fit, then up to CUT_ROUNDS more, each the one that comes closest to what is left.
     docs = placed.join(drawn, ["sid", "block"], "left")
     cut = docs.where(F.col("cut_left").isNotNull()).select("sid", "row", "key", "size", "cut_left")  # at most a block a source
     one = W.partitionBy("sid")
     run = F.sum("size").over(one.orderBy("key", "row").rowsBetween(W.unboundedPreceding, W.currentRow))
     cut = cut.withColumn("fits", run <= F.col("cut_left"))
-    cut = cut.withColumn("gap", F.col("cut_left") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))).over(one), F.lit(0)))
-    off = F.abs(F.col("size") - F.col("gap"))
-    cut = cut.withColumn("best", F.min(F.when(~F.col("fits") & (off < F.col("gap")), F.struct(off.alias("off"), "key", "row"))).over(one))
-    cut = cut.where(F.col("fits") | (F.col("row") == F.col("best.row"))).select("row", F.lit(True).alias("in_cut"))
+    for _ in range(CUT_ROUNDS):
+        cut = cut.withColumn("gap", F.col("cut_left") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))).over(one), F.lit(0)))
+        off = F.abs(F.col("size") - F.col("gap"))
+        best = F.min(F.when(~F.col("fits") & (off < F.col("gap")), F.struct(off.alias("off"), "key", "row"))).over(one)
+        cut = cut.withColumn("best", best["row"]).withColumn("fits", F.col("fits") | F.coalesce(F.col("row") == F.col("best"), F.lit(False)))
+    cut = cut.where("fits").select("row", F.lit(True).alias("in_cut"))
     docs = docs.join(cut, "row", "left")
     mine = F.filter("all_draws", lambda d: ~d["cut"] | F.coalesce(F.col("in_cut"), F.lit(False)))
     mine = F.transform(F.coalesce(mine, F.array().cast("array<struct<epoch:int,shard:int,cut:boolean>>")), lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard")))
