@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexbolt.llm import exact_dedup, mixing
+from lexbolt.llm import exact_dedup, mixing, simhash
 
 QUERIES = {
+    "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
