@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lexbolt.llm import exact_dedup, mixing, simhash
+from lexbolt.llm import exact_dedup, mixing, simhash, sketches, tokens
 
 QUERIES = {
+    "op2_token_ids": tokens.op2_token_ids,
+    "op6_document_fingerprints": sketches.op6_document_fingerprints,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
