@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexbolt.llm import exact_dedup, mixing, simhash, sketches, tokens
+from lexbolt.llm import exact_dedup, mixing, simhash, sketches, tokens, warc
 
 QUERIES = {
+    "op4_warc_archive": warc.op4_warc_archive,
     "op2_token_ids": tokens.op2_token_ids,
     "op6_document_fingerprints": sketches.op6_document_fingerprints,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
