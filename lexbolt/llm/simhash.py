@@ -21,12 +21,14 @@ into pairs of chunks, so that no task holds more than two chunks and no link is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lexbolt.llm.common import materialize, table, text_of
 from lexbolt.llm.components import components
@@ -38,41 +40,43 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _CHUNK = 1 << 15
 
 
-def shingle_hashes(text: bytes, words: int = WORDS) -> list[int]:
-    """XXH64 of each run of `words` words, repeats included; of the whole if it has fewer."""
+def shingle_hashes(text: bytes, words: int = WORDS, wide: bool = False) -> np.ndarray:
+    """XXH64 of each run of `words` words, repeats included; of the whole if it has fewer.
+    Bytes, a row a shingle; wide: 128 bits of XXH3."""
     found = text.translate(_LOWER).split()  # bytes split at exactly \x20 and \x09-\x0D
-    if not found:
-        return []
-    joined, h = b" ".join(found), xxhash.xxh64_intdigest
+    joined, h = b" ".join(found), xxhash.xxh3_128_digest if wide else xxhash.xxh64_digest
     if len(found) <= words:
-        return [h(joined, HASH_SEED)]
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    return [h(joined[s:e], HASH_SEED) for s, e in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())]
-
-
-def fingerprint(text: bytes | None, words: int = WORDS) -> int:
-    """Bit i is 1 if it is in over half of the shingles' hashes; zero without words."""
-    hashes = shingle_hashes(text or b"", words)
-    if not hashes:
-        return 0
-    ones = np.zeros(BITS, np.int64)
+        raw = h(joined, HASH_SEED) if found else b""
+    else:
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        raw = b"".join([h(joined[s:e], HASH_SEED) for s, e in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())])
+    return np.frombuffer(raw, np.uint8).reshape(-1, 16 if wide else 8)
+
+
+def fingerprint(text: bytes | None, words: int = WORDS, wide: bool = False) -> bytes:
+    """A bit is 1 if it is in over half of the shingles' hashes; zero without words. Big-endian."""
+    hashes = shingle_hashes(text or b"", words, wide)
+    ones = np.zeros(hashes.shape[1] * 8, np.int64)
     for at in range(0, len(hashes), _CHUNK):
-        part = np.array(hashes[at : at + _CHUNK], dtype=">u8")
-        ones += np.unpackbits(part.view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+        ones += np.unpackbits(hashes[at : at + _CHUNK], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, h64 (of the text), fp: one row a document, stored."""
+def fingerprints(docs: DataFrame, words: int = WORDS, wide: bool = False) -> DataFrame:
+    """doc_id, h64 (of the text), fp, more (the second half of a wide one, else zero) and
+    node, which names the fingerprint: a row a document, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "h64", "fp"])
+            raw = b"".join(fingerprint(t, words, wide) for t in b.column(2).to_pylist())
+            fps = np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64).reshape(len(b), -1)
+            more = fps[:, 1] if wide else np.zeros(len(b), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps[:, 0].copy()), pa.array(more.copy())], ["doc_id", "h64", "fp", "more"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h64"), text_of().cast("binary").alias("text"))
-    return materialize(narrow.mapInArrow(run, "doc_id long, h64 long, fp long"), "fingerprints")
+    found = narrow.mapInArrow(run, "doc_id long, h64 long, fp long, more long")
+    return materialize(found.withColumn("node", F.xxhash64("fp", "more") if wide else F.col("fp")), "fingerprints")
 
 
 # ---- vantage-point trees over a quarter's values
@@ -82,9 +86,9 @@ def _distance(values: np.ndarray, vantage: int) -> np.ndarray:
     return np.bitwise_count(values ^ values.dtype.type(vantage)).astype(np.int16)
 
 
-def leaf_table(sample: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def leaf_table(sample: np.ndarray, leaves: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The tree over 16-bit values, read off for every value: home leaf, then offsets and
-    leaves of its visits (CSR), and the number of leaves. The tree is the same at any size
+    leaves of its visits within `reach` (CSR), and the number of leaves. The tree is the same at any size
     of the data but for its depth; it holds 65,536 values whatever there is."""
     every = np.arange(1 << 16, dtype=np.uint16)
     home, visits = np.zeros(1 << 16, np.int32), []
@@ -108,8 +112,8 @@ def leaf_table(sample: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray,
             continue
         vantage, radius, inside = cut
         d, g = _distance(here, vantage), _distance(guests, vantage)
-        outer = np.concatenate([here[d == radius], guests[g + 1 > radius]])
-        stack.append((own[inside], here[d <= radius], guests[g - 1 <= radius], depth + 1))
+        outer = np.concatenate([here[(d <= radius) & (d + reach > radius)], guests[g + reach > radius]])
+        stack.append((own[inside], here[d <= radius], guests[g - reach <= radius], depth + 1))
         stack.append((own[~inside], here[d > radius], outer, depth + 1))
     who, where = np.concatenate([x for x, _ in visits]), np.concatenate([x for _, x in visits])
     order = np.argsort(who, kind="stable")
@@ -117,7 +121,7 @@ def leaf_table(sample: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray,
     return home, offsets, where[order], count
 
 
-def _blocks(a: np.ndarray, b: np.ndarray, values: np.ndarray, metric: tuple[int, int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(a: np.ndarray, b: np.ndarray, values: np.ndarray, metric: tuple[int, int, int], whole: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of small index sets of points `a` and queries `b` that hold every link within
     the metric (shift, bits, radius). A branch is entered only where the triangle
     inequality allows a link; what no vantage point divides goes to the next metric."""
@@ -139,7 +143,7 @@ def _blocks(a: np.ndarray, b: np.ndarray, values: np.ndarray, metric: tuple[int,
         inside = d <= middle
         if not inside.any() or (final and tries >= 40):  # a tight cluster isn't divided for ever
             if not final:
-                yield from _blocks(a, b, values, (0, BITS, RADIUS))
+                yield from _blocks(a, b, values, (0, BITS, whole), whole)
             else:
                 step = max(1, (1 << 18) // len(b))
                 for at in range(0, len(a), step):
@@ -150,20 +154,38 @@ def _blocks(a: np.ndarray, b: np.ndarray, values: np.ndarray, metric: tuple[int,
         stack.append((a[~inside], b[e + radius > middle], tries + 1))
 
 
-def link_shard(points: np.ndarray, queries: np.ndarray, quarter: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, linked fingerprint) edges that join what is linked among the points
-    and from the queries to the points: a fingerprint and its set's first one."""
-    values, inverse = np.unique(np.concatenate([points, queries]), return_inverse=True)
-    a, b = np.unique(inverse[: len(points)]), np.unique(inverse[len(points) :])
-    parent = np.arange(len(values))
+@dataclass(frozen=True)
+class Rule:
+    """Fingerprints link if the first 64 bits differ in `radius` at most and, of wide ones,
+    all 128 in `wide_radius`."""
+
+    radius: int = RADIUS
+    wide_radius: int | None = None
+
+    @property
+    def reach(self) -> int:
+        """How far apart linked fingerprints are in their nearest quarter at most."""
+        return self.radius // QUARTERS
+
+
+def link_shard(points: np.ndarray, queries: np.ndarray, quarter: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between nodes that join what is linked among the points and from the queries
+    to the points: a node and the first of its set. Rows: node, fp, more."""
+    nodes, first, inverse = np.unique(np.concatenate([points[0], queries[0]]), return_index=True, return_inverse=True)
+    values, more = (np.concatenate([points[k], queries[k]])[first].view(np.uint64) for k in (1, 2))
+    a, b = np.unique(inverse[: len(points[0])]), np.unique(inverse[len(points[0]) :])
+    parent = np.arange(len(nodes))
 
     def find(x: int) -> int:
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for i, j in _blocks(a, b, values, (16 * quarter, 16, 1)):
-        near = np.bitwise_count(values[i][:, None] ^ values[j][None, :]) <= RADIUS
+    for i, j in _blocks(a, b, values, (16 * quarter, 16, rule.reach), rule.radius):
+        apart = np.bitwise_count(values[i][:, None] ^ values[j][None, :])
+        near = apart <= rule.radius
+        if rule.wide_radius is not None:
+            near &= apart + np.bitwise_count(more[i][:, None] ^ more[j][None, :]) <= rule.wide_radius
         x, y = np.nonzero(near)
         x, y = i[x], j[y]
         x, y = x[x != y], y[x != y]
@@ -177,64 +199,67 @@ def link_shard(points: np.ndarray, queries: np.ndarray, quarter: int) -> tuple[n
                 parent[max(r, s)] = min(r, s)
     while (parent[parent] != parent).any():
         parent = parent[parent]
-    moved = np.nonzero(parent != np.arange(len(values)))[0]
-    return values[moved], values[parent[moved]]
+    moved = np.nonzero(parent != np.arange(len(nodes)))[0]
+    return nodes[moved], nodes[parent[moved]]
 
 
-def links(reps: DataFrame) -> DataFrame:
-    """Edges u, v between distinct fingerprints (`reps`: a stored table with fp) whose
-    components are those of all links at RADIUS bits or fewer."""
+def links(reps: DataFrame, rule: Rule) -> DataFrame:
+    """Edges u, v between nodes (`reps`: a stored table of distinct node, fp, more) whose
+    components are those of all links by the rule."""
     spark = reps.sparkSession
     sample = reps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     leaves = max(1, -(-reps.count() // SHARD_POINTS))
     quarter = lambda fps, q: ((fps >> np.uint64(16 * q)) & np.uint64(0xFFFF)).astype(np.uint16)
-    trees = spark.sparkContext.broadcast([leaf_table(quarter(sample, q), leaves) for q in range(QUARTERS)])  # 65,536 values each
+    trees = spark.sparkContext.broadcast([leaf_table(quarter(sample, q), leaves, rule.reach) for q in range(QUARTERS)])  # 65,536 values each
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, base = b.column(0).to_numpy().view(np.uint64), 0
+            node, fp, more = (c.to_numpy() for c in b.columns)
+            fps, base = fp.view(np.uint64), 0
             for q, (home, offsets, where, count) in enumerate(trees.value):
                 w = quarter(fps, q)
                 n = (offsets[w.astype(np.int64) + 1] - offsets[w]).astype(np.int64)
                 flat = np.repeat(offsets[w] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                 shard = np.concatenate([home[w], where[flat]]).astype(np.int32) + base
-                out = np.concatenate([fps, np.repeat(fps, n)]).view(np.int64)
-                at_home = np.concatenate([np.ones(len(fps), bool), np.zeros(n.sum(), bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(shard), q, np.int32)), pa.array(out), pa.array(at_home)], ["shard", "quarter", "fp", "home"])
+                rows = np.concatenate([np.arange(len(fps)), np.repeat(np.arange(len(fps)), n)])
+                columns = [shard, np.full(len(shard), q, np.int32), node[rows], fp[rows], more[rows], np.arange(len(rows)) < len(fps)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "quarter", "node", "fp", "more", "home"])
                 base += count
 
-    dealt = reps.select("fp").mapInArrow(deal, "shard int, quarter int, fp long, home boolean")
+    dealt = reps.select("node", "fp", "more").mapInArrow(deal, "shard int, quarter int, node long, fp long, more long, home boolean")
     dealt = materialize(dealt, "shards")
     sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"))
     chunks = F.ceil(F.col("n") / MAX_SHARD).cast("int")
-    rows = dealt.join(sizes, "shard").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
+    rows = dealt.join(sizes, "shard").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     mates = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
-    rows = rows.withColumn("task", F.explode(mates)).select("shard", "quarter", "fp", "home", "chunk", "task.i", "task.j")
+    rows = rows.withColumn("task", F.explode(mates)).select("shard", "quarter", "node", "fp", "more", "home", "chunk", "task.i", "task.j")
 
     def link(key, t):
-        fps, home, chunk = t["fp"].to_numpy().view(np.uint64), t["home"].to_numpy(zero_copy_only=False), t["chunk"].to_numpy()
+        home, chunk = t["home"].to_numpy(zero_copy_only=False), t["chunk"].to_numpy()
+        columns = [t[c].to_numpy() for c in ("node", "fp", "more")]
         q, (_, i, j) = t["quarter"][0].as_py(), (x.as_py() for x in key)
-        found = [link_shard(fps[home & (chunk == i)], fps[chunk == j], q)]
+        some = lambda keep: [c[keep] for c in columns]
+        found = [link_shard(some(home & (chunk == i)), some(chunk == j), q, rule)]
         if i != j:
-            found.append(link_shard(fps[home & (chunk == j)], fps[chunk == i], q))
-        u, v = (np.concatenate(x).view(np.int64) for x in zip(*found))
+            found.append(link_shard(some(home & (chunk == j)), some(chunk == i), q, rule))
+        u, v = (np.concatenate(x) for x in zip(*found))
         return pa.table({"u": u, "v": v})
 
     return rows.groupBy("shard", "i", "j").applyInArrow(link, "u long, v long")
 
 
-def groups(fps: DataFrame) -> DataFrame:
-    """fp, first (struct of none, doc_id, h64): the first document of the fingerprint's
+def groups(fps: DataFrame, rule: Rule) -> DataFrame:
+    """node, first (struct of none, doc_id, h64): the first document of the fingerprint's
     component, for each distinct fingerprint of the stored table `fps`."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h64")).alias("first")
-    reps = materialize(fps.groupBy("fp").agg(first), "representatives")
-    found = components(links(reps)).withColumnRenamed("node", "fp")
-    rooted = reps.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("first").alias("first"))
-    return rooted.select("fp", "root").join(linked, "root").select("fp", "first")
+    reps = materialize(fps.groupBy("node", "fp", "more").agg(first), "representatives")
+    found = components(links(reps, rule))
+    rooted = reps.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+    linked = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rooted.select("node", "root").join(linked, "root").select("node", "first")
 
 
-def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = WORDS, rule: Rule = Rule()) -> DataFrame:
     """A row for each row of `docs`: doc_id, fingerprint, component_id.
 
     Null and empty texts, and texts of white space, have fingerprint zero and are linked
@@ -242,9 +267,27 @@ def near_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     reachable, or null where no other is. No rows give no rows.
     """
     fps = fingerprints(docs, words)
-    out = fps.join(groups(fps), "fp")
+    out = fps.join(groups(fps, rule), "node")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
+#: Where a similarity of 0.8 over five-word shingles is asked for: of shingle sets with
+#: Jaccard index 0.8 the cosine is 8/9, so 128 bits differ in 128 acos(8/9) / pi = 19.4 on
+#: average. The first 64 bits choose the candidates, all 128 decide.
+NEAR_WORDS, NEAR_RULE = 5, Rule(radius=11, wide_radius=19)
+
+
+def drop_near_copies(docs: DataFrame, words: int = NEAR_WORDS, rule: Rule = NEAR_RULE) -> DataFrame:
+    """The rows of `docs` that stay, with their own columns: the first document (smallest
+    id, nulls last) of each group of near copies. Texts without words aren't near copies of
+    anything else, but of each other."""
+    fps = fingerprints(docs, words, wide=True)
+    stay = groups(fps, rule).select(F.col("first.doc_id").alias("__id"), F.col("first.h64").alias("__h")).distinct()
+    rows = docs.withColumn("__h64", F.xxhash64(text_of()))
+    found = rows.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h64") == F.col("__h")), "left_semi")
+    once = W.partitionBy("__h64").orderBy("doc_id")  # only rows that repeat both id and text meet here
+    return found.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n", "__h64")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
