@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lexbolt.llm import exact_dedup, mixing, quality, simhash, sketches, tokens, warc
+from lexbolt.llm import exact_dedup, mixing, quality, simhash, sketches, tokens, toxicity, warc
 
 QUERIES = {
+    "op8_toxicity": toxicity.op8_toxicity,
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op4_warc_archive": warc.op4_warc_archive,
     "op2_token_ids": tokens.op2_token_ids,
