@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lexbolt.llm import exact_dedup, mixing, quality, simhash, sketches, tokens, toxicity, warc
+from lexbolt.llm import exact_dedup, licenses, mixing, packing, quality, simhash, sketches, tokens, toxicity, warc
 
 QUERIES = {
+    "op3_license_scan": licenses.op3_license_scan,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op4_warc_archive": warc.op4_warc_archive,
@@ -16,5 +18,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_license_scan": licenses.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
