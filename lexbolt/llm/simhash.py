@@ -35,7 +35,7 @@ from lexbolt.llm.components import components
 
 BITS, QUARTERS, RADIUS = 64, 4, 4
 WORDS, HASH_SEED = 4, 42
-SHARD_POINTS, MAX_SHARD, SAMPLE = 20_000, 60_000, 20_000
+SHARD_POINTS, LEAST_LEAVES, MAX_SHARD, SAMPLE = 50_000, 8, 1_000_000, 20_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
 
@@ -208,7 +208,7 @@ def links(reps: DataFrame, rule: Rule) -> DataFrame:
     components are those of all links by the rule."""
     spark = reps.sparkSession
     sample = reps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    leaves = max(1, -(-reps.count() // SHARD_POINTS))
+    leaves = max(LEAST_LEAVES, -(-reps.count() // SHARD_POINTS))
     quarter = lambda fps, q: ((fps >> np.uint64(16 * q)) & np.uint64(0xFFFF)).astype(np.uint16)
     trees = spark.sparkContext.broadcast([leaf_table(quarter(sample, q), leaves, rule.reach) for q in range(QUARTERS)])  # 65,536 values each
 
