@@ -35,7 +35,7 @@ from lexbolt.llm.components import components
 
 BITS, QUARTERS, RADIUS = 64, 4, 4
 WORDS, HASH_SEED = 4, 42
-SHARD_POINTS, LEAST_LEAVES, MAX_SHARD, SAMPLE = 50_000, 8, 1_000_000, 20_000
+SHARD_POINTS, MAX_SHARD, SAMPLE = 50_000, 1_000_000, 20_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
 
@@ -88,14 +88,14 @@ def _distance(values: np.ndarray, vantage: int) -> np.ndarray:
 
 def leaf_table(sample: np.ndarray, leaves: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The tree over 16-bit values, read off for every value: home leaf, then offsets and
-    leaves of its visits within `reach` (CSR), and the number of leaves. The tree is the same at any size
-    of the data but for its depth; it holds 65,536 values whatever there is."""
+    leaves of its visits within `reach` (CSR), and the number of leaves. The tree is the same
+    at any size of the data but for its depth; it holds 65,536 values whatever there is."""
     every = np.arange(1 << 16, dtype=np.uint16)
-    home, visits = np.zeros(1 << 16, np.int32), []
+    home = np.zeros(1 << 16, np.int32)
     least = max(1, len(sample) // max(1, leaves))
-    stack, count = [(np.sort(sample), every, every[:0], 0)], 0
+    stack, count = [(np.sort(sample), every, 0)], 0
     while stack:
-        own, here, guests, depth = stack.pop()
+        own, here, depth = stack.pop()
         cut = None
         if len(own) > least and depth < 24 and len(here) > 1:
             vantage = int(own[len(own) // 3 if depth % 2 else 2 * len(own) // 3])
@@ -107,18 +107,20 @@ def leaf_table(sample: np.ndarray, leaves: int, reach: int) -> tuple[np.ndarray,
             cut = (vantage, radius, inside) if inside.any() else None
         if cut is None:
             home[here] = count
-            visits.append((guests, np.full(len(guests), count, np.int32)))
             count += 1
             continue
         vantage, radius, inside = cut
-        d, g = _distance(here, vantage), _distance(guests, vantage)
-        outer = np.concatenate([here[(d <= radius) & (d + reach > radius)], guests[g + reach > radius]])
-        stack.append((own[inside], here[d <= radius], guests[g - reach <= radius], depth + 1))
-        stack.append((own[~inside], here[d > radius], outer, depth + 1))
-    who, where = np.concatenate([x for x, _ in visits]), np.concatenate([x for _, x in visits])
-    order = np.argsort(who, kind="stable")
-    offsets = np.searchsorted(who[order], np.arange((1 << 16) + 1))
-    return home, offsets, where[order], count
+        d = _distance(here, vantage)
+        stack.append((own[~inside], here[d > radius], depth + 1))
+        stack.append((own[inside], here[d <= radius], depth + 1))  # inner leaves get the smaller numbers
+    # The triangle bound at each node lets in values that are near the border but near
+    # nothing beyond it. As every value's leaf is known, a visit is kept only where the leaf
+    # holds a value within reach; of two leaves the one with the smaller number visits.
+    masks = every[_distance(every, 0) <= reach]
+    there = np.sort(home[every[:, None] ^ masks], axis=1)
+    keep = there > home[:, None]
+    keep[:, 1:] &= there[:, 1:] != there[:, :-1]
+    return home, np.concatenate(([0], np.cumsum(keep.sum(1)))), there[keep], count
 
 
 def _blocks(a: np.ndarray, b: np.ndarray, values: np.ndarray, metric: tuple[int, int, int], whole: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -208,7 +210,7 @@ def links(reps: DataFrame, rule: Rule) -> DataFrame:
     components are those of all links by the rule."""
     spark = reps.sparkSession
     sample = reps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    leaves = max(LEAST_LEAVES, -(-reps.count() // SHARD_POINTS))
+    leaves = max(1, -(-reps.count() // SHARD_POINTS))
     quarter = lambda fps, q: ((fps >> np.uint64(16 * q)) & np.uint64(0xFFFF)).astype(np.uint16)
     trees = spark.sparkContext.broadcast([leaf_table(quarter(sample, q), leaves, rule.reach) for q in range(QUARTERS)])  # 65,536 values each
 

@@ -141,6 +141,19 @@ def test_shard_finds_every_link():
     assert len(u) == len(v)
 
 
+@pytest.mark.parametrize("leaves, reach", [(1, 1), (4, 1), (4, 2), (300, 2)])
+def test_near_values_meet_in_one_leaf(leaves, reach):
+    rng = np.random.default_rng(leaves)
+    home, offsets, where, count = simhash.leaf_table(rng.integers(0, 1 << 16, 20_000).astype(np.uint16), leaves, reach)
+    assert set(home) == set(range(count)) and offsets[-1] == len(where)
+    lives = lambda v: {home[v], *where[offsets[v] : offsets[v + 1]]}
+    masks = [m for m in range(1 << 16) if m.bit_count() <= reach]
+    for v in rng.integers(0, 1 << 16, 200).tolist():
+        assert not set(where[offsets[v] : offsets[v + 1]]) - {home[v ^ m] for m in masks}  # no visit for nothing
+        for m in masks:  # at home of one of the two, and in one leaf only
+            assert len({home[v], home[v ^ m]} & lives(v) & lives(v ^ m)) == 1
+
+
 def test_near_copies_go_and_others_stay(docs, rows):
     kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
     long = {r[0] for r in rows[:60] if len(r[1].split()) > 60}
