@@ -18,8 +18,8 @@ def clean(text: Column) -> Column:
 
 
 def slugify(text: Column, most: int = 80) -> Column:
-    joined = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(joined, r"^-+|-+$", ""), 1, most)
+    joined = F.regexp_replace(text, r"[^a-zA-Z0-9]+", "-")
+    return F.substring(F.lower(F.regexp_replace(joined, r"^-+|-+$", "")), 1, most)
 
 
 def truncate(text: Column, most: int) -> Column:

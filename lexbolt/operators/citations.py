@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,34 @@ _HEAD = re.compile(r"\bArticles?\s+(?=\d)")
 _ITEM = re.compile(r"(\d+[a-z]?)(?:\((\d+[a-z]?)\)(?:\(([a-z])\)(?:\(([ivx]+)\))?)?)?")
 _SEPARATOR = re.compile(r"\s*(,|and\b|to\b|–|—)\s*")
 _QUALIFIER = re.compile(r"\s+(?:of|under|in)\s+(this Regulation|(?:Regulation|Directive|Decision) (?:\(E[CU]\) )?(?:No )?\d+/\d+(?:/E[CU])?)")
+_ANNEX_HEAD = re.compile(r"\bAnnex(?:es)?\s+(?=[IVXLCDM])")
+_ANNEX = re.compile(r"([IVXLCDM]+)\b(?:\((\d+[a-z]?)\)(?:\(([a-z])\)(?:\(([ivx]+)\))?)?)?")
+#: Numbered instruments: kind in the registry id, rule with groups y (year) and n (number).
+_NUMBERED = [
+    ("R", re.compile(r"Regulation \(E[CU]\) (?:No )?(?P<n>\d+)/(?P<y>(?:19|20)\d\d)\b")),
+    ("R", re.compile(r"Regulation \(EU\) (?P<y>(?:19|20)\d\d)/(?P<n>\d+)")),
+    ("L", re.compile(r"Directive (?:\(EU\) )?(?P<y>(?:19|20)\d\d)/(?P<n>\d+)(?:/E[CU])?")),
+    ("D", re.compile(r"Decision \(EU\) (?P<y>(?:19|20)\d\d)/(?P<n>\d+)")),
+]
+#: Names that stand for an instrument, and their registry ids.
+ALIASES = {
+    "GDPR": "32016R0679",
+    "General Data Protection Regulation": "32016R0679",
+    "LED": "32016L0680",
+    "Law Enforcement Directive": "32016L0680",
+    "ePrivacy Directive": "32002L0058",
+    "ePrivacy": "32002L0058",
+    "NIS2 Directive": "32022L2555",
+    "NIS2": "32022L2555",
+    "DSA": "32022R2065",
+    "Digital Services Act": "32022R2065",
+    "DMA": "32022R1925",
+    "Digital Markets Act": "32022R1925",
+    "DORA": "32022R2554",
+    "Open Data Directive": "32019L1024",
+}
+OWN_ID = "32024R1689"
+_NAMES = [(re.compile(rf"\b(?:the\s+)?{re.escape(n)}\b", re.IGNORECASE), i) for n, i in sorted(ALIASES.items(), key=lambda a: -len(a[0]))]
 #: The widest range that is expanded.
 WIDEST = 50
 
@@ -52,6 +81,50 @@ def citations_in(text: str) -> list[tuple]:
     return out
 
 
+def annexes_in(text: str) -> list[tuple]:
+    """(raw, annex, paragraph, letter, subparagraph) of each cited annex; ranges aren't expanded."""
+    out = []
+    for head in _ANNEX_HEAD.finditer(text or ""):
+        entries, at, item = [], head.end(), _ANNEX.match(text, head.end())
+        while item:
+            entries.append(item.groups())
+            at = item.end()
+            separator = _SEPARATOR.match(text, at)
+            item = separator and _ANNEX.match(text, separator.end())
+        out += [(text[head.start() : at], *e) for e in entries]
+    return out
+
+
+def instruments_in(text: str) -> list[tuple]:
+    """(raw, id) of each instrument that is named, in order: numbered ones first, then names
+    that don't begin or end inside what was found. The own instrument isn't listed."""
+    found: dict[tuple[int, int], tuple] = {}
+    for kind, rule in _NUMBERED:
+        for m in rule.finditer(text or ""):
+            found.setdefault(m.span(), (m[0], f"3{m['y']}{kind}{int(m['n']):04d}"))
+    for rule, name_id in _NAMES:
+        for m in rule.finditer(text or ""):
+            if not any(s <= m.start() < e or s < m.end() <= e for s, e in found):
+                found[m.span()] = (m[0], name_id)
+    return [f for _, f in sorted(found.items()) if f[1] != OWN_ID]
+
+
+def _extract(chunks: DataFrame, find, fields: list[str]) -> DataFrame:
+    @F.pandas_udf(f"array<struct<{','.join(f'{f}:string' for f in fields)}>>")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [dict(zip(fields, c)) for c in find(t)])
+
+    return chunks.select("source", F.posexplode(run("text")).alias("place", "c")).select("source", "place", "c.*")
+
+
+def extract_annexes(chunks: DataFrame) -> DataFrame:
+    return _extract(chunks, annexes_in, ["raw", "annex", "paragraph", "letter", "subparagraph"])
+
+
+def extract_instruments(chunks: DataFrame) -> DataFrame:
+    return _extract(chunks, instruments_in, ["raw", "id"])
+
+
 def extract_citations(chunks: DataFrame) -> DataFrame:
     """source, place (in the chunk), raw, kind, article, paragraph, letter, subparagraph;
     references of a source to itself go."""

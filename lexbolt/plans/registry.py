@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexbolt.functions import structure as T
 from lexbolt.functions import text as X
 from lexbolt.operators import citations as C
+from lexbolt.operators import linker as L
 from lexbolt.operators import relations as R
+from lexbolt.operators import sections as S
 from lexbolt.sources.readers import table
 
 QUERIES: dict = {}
@@ -156,7 +159,7 @@ def content_sha256(spark, sf_dir):
     return manifest(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(r"SELECT doc_id, substring(regexp_replace(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug FROM documents")
+@query(r"SELECT doc_id, substring(lower(regexp_replace(regexp_replace(substring(text, 1, 60), '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 1, 80) AS slug FROM documents")
 def slugify(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.slugify(F.substring("text", 1, 60)).alias("slug"))
 
@@ -242,6 +245,133 @@ def citations_reverse(spark, sf_dir):
     return C.reverse_index(C.extract_citations(rows_of(spark, _CHUNKS, "source string, text string")))
 
 
+_NAMED = [("1", "Annexes I and III(2)(a) apply; see Annex V to VII."), ("2", "Under the GDPR, Directive (EU) 2016/680 (the LED) and Decision (EU) 2021/914."), ("3", "Regulation (EU) 2024/1689 and NIS2 Directive."), ("4", None)]
+
+
+@query("SELECT * FROM (" + values([("1", "I", None, None), ("1", "III", "2", "a"), ("1", "V", None, None), ("1", "VII", None, None)]) + ") AS t(source, annex, paragraph, letter)")
+def annexes_extract(spark, sf_dir):
+    return C.extract_annexes(rows_of(spark, _NAMED, "source string, text string")).select("source", "annex", "paragraph", "letter")
+
+
+@query("SELECT * FROM (" + values([("2", "the GDPR", "32016R0679"), ("2", "Directive (EU) 2016/680", "32016L0680"), ("2", "the LED", "32016L0680"), ("2", "Decision (EU) 2021/914", "32021D0914"), ("3", "NIS2 Directive", "32022L2555")]) + ") AS t(source, raw, id)")
+def instruments_extract(spark, sf_dir):
+    return C.extract_instruments(rows_of(spark, _NAMED, "source string, text string")).select("source", "raw", "id")
+
+
+_LINKED = [("See Articles 5 and 6 & the GDPR.", [("Articles 5 and 6", "5", "/a/5", False), ("Articles 5 and 6", "6", "/a/6", False), ("the GDPR", None, "/x?a&b", True), ("the GDPR", "g", "/in", False)]), ("None", []), (None, None)]
+
+
+@query("SELECT * FROM (" + values([('See Articles <a href="/a/5">5</a> and <a href="/a/6">6</a> & <a href="/x?a&amp;b">the GDPR</a>.',), ("None",), (None,)]) + ") AS t(html)")
+def reference_links(spark, sf_dir):
+    return rows_of(spark, _LINKED, f"text string, refs {L.REFS}").select(L.link_references(F.col("text"), F.col("refs")).alias("html"))
+
+
+# ---- structure
+
+
+@query("SELECT doc_id, sha256(regexp_replace(replace(replace(replace(replace(replace(translate(nfc_normalize(text), chr(160) || chr(8201) || chr(8239) || '–‘’“”' || chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(65279), '   -' || chr(39) || chr(39) || '\"\"'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '[ \\t]+', ' ', 'g')) AS sha FROM documents")
+def text_normalised(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalised(F.col("text")), 256).alias("sha"))
+
+
+def _markdown_sql() -> str:
+    out = "html"
+    for pattern, new in T.MARKDOWN_RULES:
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    for name, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{plain}')"
+    return f"SELECT page_id, {out} AS markdown FROM pages"
+
+
+@query(_markdown_sql())
+def page_markdown(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_markdown(F.col("html")).alias("markdown"))
+
+
+@query(r"SELECT doc_id, greatest(len(regexp_extract_all(text, '\n\d+\.\s')), 1) AS n FROM documents")
+def paragraph_estimates(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.paragraph_estimate(F.col("text")).alias("n"))
+
+
+@query(r"""SELECT page_id, '/nl' || regexp_replace(p, '^/(en|nl)(/|$)', '\2') AS other, CASE WHEN p LIKE '/recitals%' THEN 'recitals' WHEN p LIKE '/annexes%' THEN 'annexes' WHEN p LIKE '/history%' THEN 'history' WHEN p LIKE '/guidance%' THEN 'guidance' WHEN p LIKE '/about%' THEN 'about' ELSE 'articles' END AS section
+ FROM (SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS p FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[#?].*$', ''), '^[a-z]+://[^/]*', ''), '/index\.html$', '/') AS p FROM pages))""")
+def page_routes(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", X.url_path(F.col("url")).alias("p"))
+    return p.select("page_id", T.swap_language(F.col("p"), "nl").alias("other"), T.nav_section(F.col("p")).alias("section"))
+
+
+_BODIES = [("5", "lost\n\n**1.** First.\n\n- a) one\n- b) two\n\n**12.**  Second.\n"), ("3", " No numbers. "), ("7", None)]
+
+
+@query("SELECT article, id, number, text FROM (" + values([("5", "005.001", "1", "1.   First.\n\n(a)\none\n(b)\ntwo"), ("5", "005.012", "12", "12.   Second."), ("3", None, None, "No numbers."), ("7", None, None, None)]) + ") AS t(article, id, number, text)")
+def body_paragraphs(spark, sf_dir):
+    rows = rows_of(spark, _BODIES, "article string, body string")
+    return rows.select("article", F.inline(T.numbered_paragraphs(F.col("body"), F.col("article"))))
+
+
+_POINTS = [("1", "Intro:\n(a)\none\n(b) two\nmore\n(c)\n(aa) no part"), ("2", "Whole."), ("3", None)]
+
+
+@query("SELECT n, marker, text FROM (" + values([("1", None, "Intro:"), ("1", "(a)", "one"), ("1", "(b)", "two\nmore"), ("1", "(c)", "(aa) no part"), ("2", None, "Whole.")]) + ") AS t(n, marker, text)")
+def sub_point_parts(spark, sf_dir):
+    return rows_of(spark, _POINTS, "n string, text string").select("n", F.inline(T.sub_points(F.col("text"))))
+
+
+@query("SELECT n, marker FROM (" + values([("1", "(a)"), ("1", "(b)"), ("1", "(c)"), ("2", None), ("3", None)]) + ") AS t(n, marker)")
+def text_chunk_rows(spark, sf_dir):
+    return rows_of(spark, _POINTS, "n string, text string").select("n", F.inline(T.text_chunks(F.col("text")))).drop("text")
+
+
+_TABLES = [
+    (1, "<table><tr><th>Text proposed by the Commission</th><th>Amendment</th></tr><tr><td>Old &amp; <b>tried</b></td><td>New</td></tr><tr><td></td><td>Added</td></tr><tr><td> </td><td></td></tr><tr><td colspan=2>Both</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>"),
+    (2, "<table><tr><td>(a)</td><td>first</td></tr><tr><td></td><td>(b)</td><td>second</td></tr><tr><td></td><td>bare</td></tr><tr><td>x</td></tr></table>"),
+    (3, "no table"),
+]
+
+
+@query("SELECT * FROM (" + values([(1, "Old & tried\n\n\n\nBoth", "New\n\nAdded\n\nBoth"), (2, "(a)\n\n\n\nx", "first\n\nbare\n\nx"), (3, "", "")]) + ") AS t(n, old_text, new_text)")
+def amendment_columns(spark, sf_dir):
+    both = rows_of(spark, _TABLES, "n int, html string").select("n", T.two_columns(T.table_cells(F.col("html"))).alias("s"))
+    return both.select("n", F.col("s.left").alias("old_text"), F.col("s.right").alias("new_text"))
+
+
+@query("SELECT * FROM (" + values([(2, "- (a) first\n- (b) second\nbare"), (3, "")]) + ") AS t(n, lines)")
+def marker_table_lines(spark, sf_dir):
+    return rows_of(spark, _TABLES[1:], "n int, html string").select("n", T.marker_lines(T.table_cells(F.col("html"))).alias("lines"))
+
+
+_FORMS = [(1, "the EU's AI rules and gpai", "2", "a", "1.3", 4, 7, "nl", "32016R0679", "[x](../recitals/) [y](../a-b.md)"), (2, "", None, "b", None, 4, None, "en", "3201R0679", "(articles/chapter-01/)"), (3, None, None, None, "", None, 2, "en", None, None)]
+
+
+@query("SELECT * FROM (" + values([(1, "The EU'S AI Rules And GPAI", "(2)(a)", "§1.3, p. 4, vn. 7", "yes", "[x](../recitals/index.md) [y](a-b.md)"), (2, "", "(b)", "p. 4", "no", "(articles/chapter-01/index.md)"), (3, None, "", "fn. 2", "no", None)]) + ") AS t(n, title, pin, place, celex, links)")
+def display_forms(spark, sf_dir):
+    c = F.col
+    rows = rows_of(spark, _FORMS, "n int, title string, p string, l string, s string, page int, note int, lang string, celex string, md string")
+    return rows.select(
+        "n", T.title_case(c("title")).alias("title"), T.pin_cite(c("p"), c("l")).alias("pin"), T.location(c("s"), c("page"), c("note"), c("lang")).alias("place"),
+        F.when(T.valid_celex(c("celex")), "yes").otherwise("no").alias("celex"), T.index_links(c("md")).alias("links"),
+    )
+
+
+_LINES = [
+    (1, ["Guide | Step 1  1", "A title", "Step 1. Is it in", "scope?", "Text one.", "1.1. Systems on page 3", "1 A note", "that goes on", "4 Ending"]),
+    (2, ["1.2. Real heading", "Body of it that is a sentence", "Apples a day is body text", "2 Next note", "3 Last"]),
+    (3, ["9 no note, as the last line has no number", "tail"]),
+]
+_PAGED = [("d", page, n, line) for page, lines in _LINES for n, line in enumerate(lines)]
+
+
+@query("SELECT * FROM (" + values([(0, "frontmatter", 1, None, "Frontmatter", 1, "A title"), (1, "step-1-is-it-in-scope", 1, "1", "Step 1. Is it in scope?", 1, "Text one.|1.1. Systems on page 3"), (2, "sec-1-2-real-heading", 2, "1.2", "1.2. Real heading", 2, "Body of it that is a sentence|Apples a day is body text|9 no note, as the last line has no number|tail")]) + ") AS t(ordinal, id, level, number, title, page, body)")
+def guide_sections(spark, sf_dir):
+    found = S.sections(rows_of(spark, _PAGED, "doc string, page int, line_no int, line string"))
+    return found.select("ordinal", "id", "level", "number", "title", "page", F.array_join("body", "|").alias("body"))
+
+
+@query("SELECT * FROM (" + values([(1, 1, "A note that goes on"), (4, 1, "Ending"), (2, 2, "Next note"), (3, 2, "Last")]) + ") AS t(number, page, text)")
+def guide_footnotes(spark, sf_dir):
+    return S.footnotes(rows_of(spark, _PAGED, "doc string, page int, line_no int, line string")).drop("doc")
+
+
 # ---- quality suite
 
 
