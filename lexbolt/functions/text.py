@@ -94,11 +94,43 @@ def instrument_id(text: Column) -> Column:
     return F.coalesce(*found)
 
 
-def amendment_target(text: Column) -> tuple[Column, Column]:
-    """(kind, number) of what an amendment changes: article before recital before annex,
-    everything else structural."""
-    article = F.nullif(F.regexp_extract(text, r"(?i)\barticle\s+(\d+[a-z]?)", 1), F.lit(""))
-    recital = F.nullif(F.regexp_extract(text, r"(?i)\brecital\s+(\d+[a-z]?)", 1), F.lit(""))
-    annex = F.nullif(F.regexp_extract(text, r"(?i)\bannex\s+([IVXLC]+)\b", 1), F.lit(""))
-    kind = F.when(article.isNotNull(), "article").when(recital.isNotNull(), "recital").when(annex.isNotNull(), "annex").otherwise("structural")
-    return kind, F.coalesce(article, recital, annex)
+#: How targets are written, with groups for the number and its suffix.
+_LATIN = "bis|ter|quater|quinquies|sexies|septies|octies|nonies|decies"
+_TARGETS = {
+    "en": {
+        "article": r"Article\s*[—–-]?\s*(\d+)\s*([a-z])?",
+        "paragraph": r"(?:paragraph|point|subparagraph)\s+([\d.]+)\s*([a-z])?",
+        "recital": r"Recital\s+(\d+)\s*([a-z])?",
+        "annex": r"Annex\s+([IVX]+)()",
+    },
+    "nl": {
+        "article": r"Artikel\s*[—–-]?\s*(\d+)\s*([a-z])?",
+        "paragraph": rf"(?:lid|alinea|punt)\s+([\d.]+)(?:\s+({_LATIN}|[a-z]))?",
+        "recital": rf"Overweging\s+(\d+)(?:\s+({_LATIN}|[a-z]))?",
+        "annex": r"Bijlage\s+([IVX]+)()",
+    },
+}
+
+
+def amendment_target(text: Column, lang: Column) -> Column:
+    """struct(kind, number, suffix, paragraph, paragraph_suffix) of what an amendment changes:
+    article before recital before annex, everything else structural. Only articles have a
+    paragraph. The Dutch Latin ordinals (bis, ter) are suffixes. Null is structural; texts
+    in a language without rules give null."""
+
+    def parsed(rules: dict[str, str], latin: str | None) -> Column:
+        part = lambda kind, group: F.nullif(F.regexp_extract(text, rf"(?i)\b{rules[kind]}\b", group), F.lit(""))
+        ordinal = F.nullif(F.regexp_extract(text, latin, 1), F.lit("")) if latin else F.lit(None).cast("string")
+        none = F.lit(None).cast("string")
+
+        def row(kind: str, number=none, suffix=none, paragraph=none, more=none) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), number.alias("number"), F.lower(suffix).alias("suffix"), paragraph.alias("paragraph"), F.lower(more).alias("paragraph_suffix"))
+
+        return (
+            F.when(part("article", 1).isNotNull(), row("article", part("article", 1), F.coalesce(part("article", 2), ordinal), part("paragraph", 1), part("paragraph", 2)))
+            .when(part("recital", 1).isNotNull(), row("recital", part("recital", 1), part("recital", 2)))
+            .when(part("annex", 1).isNotNull(), row("annex", F.upper(part("annex", 1))))
+            .otherwise(row("structural"))
+        )
+
+    return F.when(lang == "en", parsed(_TARGETS["en"], None)).when(lang == "nl", parsed(_TARGETS["nl"], rf"(?i)\bArtikel\s+\d+\s+({_LATIN})\b"))

@@ -184,13 +184,20 @@ def instrument_ids(spark, sf_dir):
     return rows_of(spark, _INSTRUMENTS, "n int, text string").select("n", X.instrument_id(F.col("text")).alias("id"))
 
 
-_TARGETS = [(1, "Article 5 - paragraph 1"), (2, "Recital 12 a (new)"), (3, "Annex III - point 1"), (4, "Title VIIIA"), (5, "Article 4a - recital 3"), (6, None)]
+_TARGETS = [
+    (1, "en", "Article 5 - paragraph 1 a"), (2, "en", "Recital 12 a (new)"), (3, "en", "annex iii - point 1"), (4, "en", "Title VIIIA"), (5, "en", "Article 4a - recital 3"), (6, "en", None),
+    (7, "nl", "Artikel 4 bis (nieuw)"), (8, "nl", "Artikel 6 – lid 2 ter"), (9, "nl", "Overweging 9 Quater"), (10, "nl", "Bijlage IV"), (11, "en", "Article — 7 – point 1.2"), (12, "nl", "Visum 3"), (13, "de", "Artikel 1"),
+]
+_AIMED = [
+    (1, "article", "5", None, "1", "a"), (2, "recital", "12", "a", None, None), (3, "annex", "III", None, None, None), (4, "structural", None, None, None, None), (5, "article", "4", "a", None, None), (6, "structural", None, None, None, None),
+    (7, "article", "4", "bis", None, None), (8, "article", "6", None, "2", "ter"), (9, "recital", "9", "quater", None, None), (10, "annex", "IV", None, None, None), (11, "article", "7", None, "1.2", None), (12, "structural", None, None, None, None), (13, None, None, None, None, None),
+]
 
 
-@query("SELECT n, kind, number FROM (" + values([(1, "article", "5"), (2, "recital", "12"), (3, "annex", "III"), (4, "structural", None), (5, "article", "4a"), (6, "structural", None)]) + ") AS t(n, kind, number)")
+@query("SELECT * FROM (" + values(_AIMED) + ") AS t(n, kind, number, suffix, paragraph, paragraph_suffix)")
 def amend_target_classify(spark, sf_dir):
-    kind, number = X.amendment_target(F.col("text"))
-    return rows_of(spark, _TARGETS, "n int, text string").select("n", kind.alias("kind"), number.alias("number"))
+    rows = rows_of(spark, _TARGETS, "n int, lang string, text string")
+    return rows.select("n", X.amendment_target(F.col("text"), F.col("lang")).alias("t")).select("n", "t.*")
 
 
 _KEYS = [("4a", "IV"), ("12", "xi"), ("x", "Q"), (None, None)]
