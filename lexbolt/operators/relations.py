@@ -44,3 +44,19 @@ def dangling(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
 def check(name: str, failures: DataFrame) -> DataFrame:
     """A row of a quality suite: name, status, failures."""
     return failures.agg(F.count("*").alias("failures")).select(F.lit(name).alias("name"), F.when(F.col("failures") == 0, "PASS").otherwise("FAIL").alias("status"), "failures")
+
+
+def verdict(suite: DataFrame) -> DataFrame:
+    """One row: checks by status, and FAIL if any failed, else CAVEATS if any is soft, else PASS."""
+    n = lambda status: F.count_if(F.col("status") == status)
+    out = F.when(F.col("failed") > 0, "FAIL").when(F.col("soft") > 0, "CAVEATS").otherwise("PASS")
+    return suite.agg(n("PASS").alias("passed"), n("FAIL").alias("failed"), n("SOFT").alias("soft"), n("SKIP").alias("skipped")).withColumn("verdict", out)
+
+
+def report(suite: DataFrame, title: str) -> DataFrame:
+    """One row: the suite as a Markdown table in the order of its names. A suite has a row a
+    check, so one task holds it."""
+    line = F.concat(F.lit("| "), F.col("name"), F.lit(" | "), F.col("status"), F.lit(" | "), F.col("failures").cast("string"), F.lit(" |"))
+    lines = F.array_sort(F.collect_list(F.struct("name", line.alias("line"))))
+    head = f"# {title}\n\n| check | status | failures |\n|-|-|-|\n"
+    return suite.agg(F.concat(F.lit(head), F.array_join(F.transform(lines, lambda s: s["line"]), "\n")).alias("markdown"))

@@ -399,3 +399,13 @@ def quality_suite(spark, sf_dir):
     for more in suite[1:]:
         out = out.unionByName(more)
     return out
+
+
+@query(f"SELECT count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, 0 AS soft, 0 AS skipped, CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM ({SQL['quality_suite']})")
+def suite_verdict(spark, sf_dir):
+    return R.verdict(quality_suite(spark, sf_dir))
+
+
+@query(f"SELECT '# Checks' || chr(10) || chr(10) || '| check | status | failures |' || chr(10) || '|-|-|-|' || chr(10) || string_agg('| ' || name || ' | ' || status || ' | ' || failures || ' |', chr(10) ORDER BY name) AS markdown FROM ({SQL['quality_suite']})")
+def suite_report(spark, sf_dir):
+    return R.report(quality_suite(spark, sf_dir), "Checks")
