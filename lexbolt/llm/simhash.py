@@ -2,8 +2,8 @@
 
 Fingerprints that differ in at most 4 of 64 bits differ in at most 1 bit in one of their
 four 16-bit quarters. So a forest of four vantage-point trees finds every link: each tree
-divides its quarter's values by their Hamming distance from vantage points, at the median
-radius of a bounded sample. A fingerprint lives in one leaf (shard) of each tree; it also
+divides its quarter's values by their Hamming distance from vantage points, taken with
+their radii from a bounded sample such that few values lie at a border. A fingerprint lives in one leaf (shard) of each tree; it also
 visits the leaves that its radius of 1 may reach by the triangle inequality, and branches
 beyond are pruned. Of two fingerprints parted at a node the inner one visits the outer
 branch, so that a link is met once a tree. Inside a shard the tree goes on down, and what
@@ -36,6 +36,7 @@ from lexbolt.llm.components import components
 BITS, QUARTERS, RADIUS = 64, 4, 4
 WORDS, HASH_SEED = 4, 42
 SHARD_POINTS, MAX_SHARD, SAMPLE = 50_000, 1_000_000, 20_000
+CANDIDATES = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
 
@@ -86,33 +87,46 @@ def _distance(values: np.ndarray, vantage: int) -> np.ndarray:
     return np.bitwise_count(values ^ values.dtype.type(vantage)).astype(np.int16)
 
 
-def leaf_table(sample: np.ndarray, leaves: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def _best_cut(own: np.ndarray, reach: int, least: float) -> tuple[int, int] | None:
+    """Vantage point and radius that divide `own`, with at least `least` values on either
+    side where that can be, for the fewest visits across the border a bit of division."""
+    size, best = len(own), None
+    for vantage in np.unique(own[np.arange(CANDIDATES) * size // CANDIDATES]).tolist():
+        within = np.cumsum(np.bincount(_distance(own, vantage), minlength=17))[:16]
+        border = within - np.concatenate((np.zeros(reach, np.int64), within))[:16]
+        p = np.clip(within / size, 1e-9, 1 - 1e-9)
+        cost = np.log2(1 + border / size) / -(p * np.log2(p) + (1 - p) * np.log2(1 - p))
+        small = np.minimum(within, size - within)
+        fit = small >= max(1, least)
+        if not fit.any():
+            fit = small >= 1
+        cost[~fit] = np.inf
+        radius = int(np.argmin(cost))
+        if fit.any() and (best is None or cost[radius] < best[0]):
+            best = (cost[radius], vantage, radius)
+    return best and best[1:]
+
+
+def leaf_table(sample: np.ndarray, leaves: float, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The tree over 16-bit values, read off for every value: home leaf, then offsets and
-    leaves of its visits within `reach` (CSR), and the number of leaves. The tree is the same
-    at any size of the data but for its depth; it holds 65,536 values whatever there is."""
+    leaves of its visits within `reach` (CSR), and the number of leaves, each of about
+    1 / `leaves` of the sample. The tree is the same at any size of the data but for its
+    depth; it holds 65,536 values whatever there is."""
     every = np.arange(1 << 16, dtype=np.uint16)
     home = np.zeros(1 << 16, np.int32)
-    least = max(1, len(sample) // max(1, leaves))
-    stack, count = [(np.sort(sample), every, 0)], 0
+    share = max(1.0, len(sample) / max(1, leaves))
+    stack, count = [(np.sort(sample), every)], 0
     while stack:
-        own, here, depth = stack.pop()
-        cut = None
-        if len(own) > least and depth < 24 and len(here) > 1:
-            vantage = int(own[len(own) // 3 if depth % 2 else 2 * len(own) // 3])
-            radius = int(np.median(_distance(own, vantage)))
-            inside = _distance(own, vantage) <= radius
-            if inside.all():
-                radius -= 1
-                inside = _distance(own, vantage) <= radius
-            cut = (vantage, radius, inside) if inside.any() else None
+        own, here = stack.pop()
+        cut = _best_cut(own, reach, share / 2) if len(own) > 1.5 * share and len(here) > 1 else None
         if cut is None:
             home[here] = count
             count += 1
             continue
-        vantage, radius, inside = cut
-        d = _distance(here, vantage)
-        stack.append((own[~inside], here[d > radius], depth + 1))
-        stack.append((own[inside], here[d <= radius], depth + 1))  # inner leaves get the smaller numbers
+        vantage, radius = cut
+        inner, there = _distance(own, vantage) <= radius, _distance(here, vantage) <= radius
+        stack.append((own[~inner], here[~there]))
+        stack.append((own[inner], here[there]))  # inner leaves get the smaller numbers
     # The triangle bound at each node lets in values that are near the border but near
     # nothing beyond it. As every value's leaf is known, a visit is kept only where the leaf
     # holds a value within reach; of two leaves the one with the smaller number visits.
@@ -210,7 +224,7 @@ def links(reps: DataFrame, rule: Rule) -> DataFrame:
     components are those of all links by the rule."""
     spark = reps.sparkSession
     sample = reps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    leaves = max(1, -(-reps.count() // SHARD_POINTS))
+    leaves = reps.count() / SHARD_POINTS
     quarter = lambda fps, q: ((fps >> np.uint64(16 * q)) & np.uint64(0xFFFF)).astype(np.uint16)
     trees = spark.sparkContext.broadcast([leaf_table(quarter(sample, q), leaves, rule.reach) for q in range(QUARTERS)])  # 65,536 values each
 
