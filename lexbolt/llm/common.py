@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +39,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexbolt/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch on its way to Python: a batch is held several times over, in the JVM's
+#: buffers and in the worker, and its rows may be long texts.
+BATCH_BYTES = 4 << 20
+
+
+def _bytes(said: str) -> int:
+    """A size as Spark reads it: 67108864b, 64m, 1g."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", said.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Runs what is run inside with Arrow batches of BATCH_BYTES, or fewer if so set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    if 0 < _bytes(before) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(name, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, cut from
     its lineage, and still there when executors are lost. The size of the files is
     known to the planner, so later joins broadcast only what is measured as small."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

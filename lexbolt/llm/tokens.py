@@ -44,7 +44,7 @@ _NO_ID = -(1 << 63)
 #: Of texts in these characters the library's normaliser only lower-cases and splits at
 #: white space, so that words can be encoded apart and kept (tests compare both ways).
 _PLAIN = re.compile(r"[\t-\r -ɏ]*")
-_CACHE_WORDS = 100_000
+_CACHE_WORDS = 200_000
 _encoders: dict[str, Encoder] = {}
 
 
