@@ -44,7 +44,7 @@ _NO_ID = -(1 << 63)
 #: Of texts in these characters the library's normaliser only lower-cases and splits at
 #: white space, so that words can be encoded apart and kept (tests compare both ways).
 _PLAIN = re.compile(r"[\t-\r -ɏ]*")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 300_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -56,7 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.model, self.words, self.parts = self.full.model, {}, {}
+        self.model, self.known = self.full.model, {}  # of words and of their pieces, which have the same ids as words
         self.dtype = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet of byte-level BPE
@@ -74,14 +74,12 @@ class Encoder:
             return False
 
     def _piece(self, piece: str) -> bytes:
-        found = self.parts.get(piece)
+        found = self.known.get(piece)
         if found is None:
-            if len(self.parts) > _CACHE_WORDS:
-                self.parts.clear()
             coded = piece if piece.isascii() else piece.encode().decode("latin-1")
             found = np.array([t.id for t in self.model.tokenize(coded.translate(self.alphabet))], self.dtype).tobytes()
             if len(piece) <= 64:
-                self.parts[piece] = found
+                self.known[piece] = found
         return found
 
     def _word(self, word: str) -> bytes:
@@ -91,7 +89,7 @@ class Encoder:
         """The ids' bytes, in self.dtype."""
         if not self.by_word or "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        known, out = self.words, []
+        known, out = self.known, []
         if len(known) > _CACHE_WORDS:
             known.clear()
         for w in text.lower().split():
