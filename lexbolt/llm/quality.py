@@ -1,15 +1,15 @@
 """Operator 1, quality classifier: interpolated modified Kneser-Ney over characters.
 
-Trusted text (labelled good, at most MAX_TRUSTED documents, chosen by a hash of the id)
-trains a trigram model of characters for each language and one for all together. Counts
-are summed over shards by n-gram; continuation counts, totals of histories, discounts and
+Trusted text (every document labelled good) trains a trigram model of characters for each
+language and one for all together. A symbol is a code point, so no character is left out,
+and one that trusted text lacks has the probability of what is unseen. Counts are summed
+over shards by n-gram; continuation counts, totals of histories, discounts and
 interpolated probabilities come from joins of the count tables on history and on suffix.
 
 A document's perplexity needs the probability of each of its n-grams. `score_by_joins`
 meets n-grams and count tables in sharded joins, for models of any size; `score` does the
-same join map-side while the model has at most MODEL_ROWS rows, as it has with any alphabet
-of SYMBOLS characters and few languages (shuffling every document's n-grams costs several
-times the input in disk, see the README). Both give the same figures.
+same join map-side while the model has at most MODEL_ROWS rows (shuffling every document's
+n-grams costs several times the input in disk, see the README). Both give the same figures.
 
 A word that repeats the one before it is one symbol of its own. Two perplexities are
 compared with a language's quantiles over trusted text held out from the counts: that a
@@ -29,19 +29,24 @@ from pyspark.sql import functions as F
 
 from lexbolt.llm.common import materialize, table, text_of
 
-MAX_TRUSTED, LEAST_DOCS, FOLDS = 20_000, 50, 5
-BITS = 7
-SYMBOLS, UNKNOWN, START, REPEAT = 1 << BITS, 0, 1, 2
+LEAST_DOCS, FOLDS = 50, 5
+#: A code point has 21 bits, so three fit a long; START is none.
+BITS = 21
+MASK = START = (1 << BITS) - 1
 QUANTILE, MARGIN, PRIOR, PRIOR_WORDS = 0.998, 1.15, 200, 40
 MODEL_ROWS = 4_000_000
+#: Symbols of a language up to which all of their trigrams are laid out in a worker (16 MB).
+DENSE_SYMBOLS = 160
+#: Ranks of a quantile are off by at most this part of the rows.
+RANKS = 1_000_000
+TABLES = ("p0", "p1", "p2", "p3", "g2", "g3")
 ALL = "*"
 
 
-def trusted_text(documents: DataFrame, labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
-    """lang, text, held (out of the counts) of at most `limit` documents labelled good."""
+def trusted_text(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """lang, text, held (out of the counts) of every document labelled good."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.join(F.broadcast(good), "doc_id").where(F.length(text_of()) > 0)  # `limit` ids
+    rows = documents.where(F.length(text_of()) > 0).select("doc_id", "lang", "text").join(good, "doc_id", "left_semi")
     held = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)) == 0
     return materialize(rows.select(F.col("lang"), "text", held.alias("held")), "trusted")
 
@@ -52,37 +57,17 @@ def marked(text: str) -> str:
     return " ".join([b if a != b else "\x01" for a, b in zip(["", *words], words)])
 
 
-def symbols(text: str, alphabet: np.ndarray) -> np.ndarray:
-    codes = np.frombuffer(marked(text).encode("utf-32-le", "replace"), "<u4")
-    return alphabet[np.minimum(codes, len(alphabet) - 1)]
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(marked(text).encode("utf-32-le", "replace"), "<u4")
 
 
-def trigrams(text: str, alphabet: np.ndarray) -> np.ndarray:
+def trigrams(text: str) -> np.ndarray:
     """A number of 3 * BITS bits for each character: itself and the two before it."""
-    s = np.concatenate(([START, START], symbols(text, alphabet))).astype(np.int32)
+    s = np.concatenate(([START, START], codes(text))).astype(np.int64)
     return (s[:-2] << 2 * BITS) | (s[1:-1] << BITS) | s[2:]
 
 
-def alphabet_of(trusted: DataFrame) -> np.ndarray:
-    """Symbol of each code point: the most frequent in trusted text have their own."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                total += np.bincount(np.minimum(np.frombuffer(marked(t).encode("utf-32-le"), "<u4"), (1 << 16) - 1), minlength=1 << 16)
-        code = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
-
-    counts = trusted.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    top = counts.where("code not in (1, 65535)").orderBy(F.desc("n"), "code").limit(SYMBOLS - 3).collect()
-    out = np.zeros(1 << 16, np.uint8)
-    out[[r["code"] for r in top]] = np.arange(3, 3 + len(top))
-    out[1] = REPEAT
-    return out
-
-
-def _counts(trusted: DataFrame, alphabet: np.ndarray) -> DataFrame:
+def _counts(trusted: DataFrame) -> DataFrame:
     """lang, k, c: trigram counts of each language and of all (ALL), summed over shards."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,12 +75,12 @@ def _counts(trusted: DataFrame, alphabet: np.ndarray) -> DataFrame:
             lang, key, n = [], [], []
             for of in {*b.column(0).to_pylist()}:
                 texts = [t for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x == of]
-                k, c = np.unique(np.concatenate([trigrams(t, alphabet) for t in texts]), return_counts=True)
+                k, c = np.unique(np.concatenate([trigrams(t) for t in texts]), return_counts=True)
                 lang += [of] * len(k)
                 key.append(k)
                 n.append(c)
             if lang:
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(key).astype(np.int64)), pa.array(np.concatenate(n))], ["lang", "k", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(key)), pa.array(np.concatenate(n))], ["lang", "k", "c"])
 
     part = trusted.where(~F.col("held")).select("lang", "text").mapInArrow(count, "lang string, k long, c long")
     one = part.where(F.col("lang").isNotNull()).groupBy("lang", "k").agg(F.sum("c").alias("c"))
@@ -107,9 +92,10 @@ def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     (lang, h, g) with the weight that history h leaves to the lower order."""
     n = [F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
     d = counts.groupBy("lang").agg(*n)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     for i in (1, 2, 3):  # where a count of counts is zero, the usual discounts of half a count a step
-        d = d.withColumn(f"d{i}", F.coalesce(F.greatest(F.lit(0.05), F.lit(float(i)) - (i + 1) * F.try_divide(y * F.col(f"n{i + 1}"), F.col(f"n{i}"))), F.lit(0.5 * i)))
+        off = F.lit(float(i)) - (i + 1) * F.try_divide(y * F.col(f"n{i + 1}"), F.col(f"n{i}"))
+        d = d.withColumn(f"d{i}", F.when(off.isNull(), 0.5 * i).otherwise(F.greatest(F.lit(0.05), off)))
     used = counts.join(d.select("lang", "d1", "d2", "d3"), "lang").withColumn("h", F.shiftright("k", BITS))
     used = used.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
     used = used.withColumn("d", F.least("d", F.col("c") * 0.95))
@@ -119,18 +105,18 @@ def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def train(trusted: DataFrame) -> dict:
-    """The alphabet and stored tables p3, p2, p1 (lang, k, p) and g3, g2 (lang, h, g): a
-    seen n-gram's interpolated probability, and the weight of the lower order otherwise."""
-    alphabet = alphabet_of(trusted)
-    c3 = materialize(_counts(trusted, alphabet), "trigrams")
+    """Stored tables p3, p2, p1 (lang, k, p), p0 (lang, k, p, with k 0) and g3, g2 (lang, h,
+    g): a seen n-gram's interpolated probability, that of any unseen character, and the
+    weight of the lower order otherwise."""
+    c3 = materialize(_counts(trusted), "trigrams")
     suffix = lambda k, order: F.expr(f"{k} & {(1 << BITS * order) - 1}")
     c2 = c3.groupBy("lang", suffix("k", 2).alias("k")).agg(F.count("*").alias("c"))  # histories that it follows
     c1 = c2.groupBy("lang", suffix("k", 1).alias("k")).agg(F.count("*").alias("c"))
     own1, g1 = _discounted(c1)
-    langs = c1.select("lang").distinct()
-    every = langs.join(F.broadcast(c3.sparkSession.range(SYMBOLS).withColumnRenamed("id", "k")))
-    p1 = every.join(own1, ["lang", "k"], "left").join(g1.drop("h"), "lang")
-    p1 = materialize(p1.select("lang", "k", (F.coalesce("own", F.lit(0.0)) + F.col("g") / SYMBOLS).alias("p")), "p1")
+    kinds = c1.groupBy("lang").agg((F.count("*") + 1).alias("kinds"))  # the characters, and all unseen ones as one
+    p0 = materialize(g1.join(kinds, "lang").select("lang", F.lit(0).cast("long").alias("k"), (F.col("g") / F.col("kinds")).alias("p")), "p0")
+    floor = p0.select("lang", F.col("p").alias("q"))
+    p1 = materialize(own1.join(floor, "lang").select("lang", "k", (F.col("own") + F.col("q")).alias("p")), "p1")
 
     def higher(counts: DataFrame, lower: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
         own, g = _discounted(counts)
@@ -143,7 +129,7 @@ def train(trusted: DataFrame) -> dict:
     p3, g3 = higher(c3, p2, 3)
     # Languages with too little trusted text use the model of all.
     enough = trusted.groupBy("lang").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_DOCS) & F.col("lang").isNotNull()).select("lang")
-    return {"alphabet": alphabet, "p1": p1, "p2": p2, "p3": p3, "g2": g2, "g3": g3, "langs": [r["lang"] for r in enough.collect()]}
+    return {"p0": p0, "p1": p1, "p2": p2, "p3": p3, "g2": g2, "g3": g3, "langs": [r["lang"] for r in enough.collect()]}
 
 
 def _with_model_language(docs: DataFrame, model: dict) -> DataFrame:
@@ -153,13 +139,11 @@ def _with_model_language(docs: DataFrame, model: dict) -> DataFrame:
 
 def score_by_joins(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, of (the model's language), chars, words, log_p through sharded joins; ids must differ."""
-    alphabet = model["alphabet"]
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, of, text in zip(*(c.to_pylist() for c in b.columns)):
-                k, n = np.unique(trigrams(text, alphabet), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(k), pa.int64()), pa.array([of] * len(k), pa.string()), pa.array(k.astype(np.int64)), pa.array(n), pa.array([len(text.split())] * len(k), pa.int64())], ["doc_id", "of", "k", "n", "words"])
+                k, n = np.unique(trigrams(text), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(k), pa.int64()), pa.array([of] * len(k), pa.string()), pa.array(k), pa.array(n), pa.array([len(text.split())] * len(k), pa.int64())], ["doc_id", "of", "k", "n", "words"])
 
     grams = _with_model_language(docs, model).select("doc_id", "__of", text_of()).mapInArrow(count, "doc_id long, lang string, k long, n long, words long")
     grams = grams.withColumn("h", F.shiftright("k", BITS)).withColumn("k2", F.expr(f"k & {(1 << 2 * BITS) - 1}"))
@@ -167,31 +151,68 @@ def score_by_joins(docs: DataFrame, model: dict) -> DataFrame:
     for name, key, on in (("p3", "k", "k"), ("g3", "h", "h"), ("p2", "k", "k2"), ("g2", "h", "h2"), ("p1", "k", "k1")):
         side = model[name].select("lang", F.col(key).alias(on), F.col(name[0]).alias(name))
         grams = grams.join(side, ["lang", on], "left")
+    grams = grams.join(model["p0"].select("lang", F.col("p").alias("p0")), "lang", "left")
     one = F.lit(1.0)
-    p = F.coalesce("p3", F.coalesce("g3", one) * F.coalesce("p2", F.coalesce("g2", one) * F.col("p1")))
+    p = F.coalesce("p3", F.coalesce("g3", one) * F.coalesce("p2", F.coalesce("g2", one) * F.coalesce("p1", "p0")))
     return grams.groupBy("doc_id", F.col("lang").alias("of")).agg(F.sum("n").alias("chars"), F.max("words").alias("words"), F.sum(F.log(p) * F.col("n")).alias("log_p"))
 
 
-def _dense(tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Log-probability of every trigram of a language: SYMBOLS cubed numbers."""
-
-    def weights(name: str, size: int) -> np.ndarray:
-        out = np.ones(size)
-        out[tables[name][0]] = tables[name][1]
-        return out
-
-    p1 = np.zeros(SYMBOLS)
-    p1[tables["p1"][0]] = tables["p1"][1]
-    p2 = (weights("g2", SYMBOLS)[:, None] * p1[None, :]).ravel()
-    p2[tables["p2"][0]] = tables["p2"][1]
-    p3 = (weights("g3", SYMBOLS**2).reshape(SYMBOLS, SYMBOLS, 1) * p2.reshape(1, SYMBOLS, SYMBOLS)).ravel()
-    p3[tables["p3"][0]] = tables["p3"][1]
-    return np.log(p3).astype(np.float32)
+class _Table:
+    """A language's model in a worker: log-probabilities of a text's trigrams. While its
+    symbols are few, those of all of their trigrams are laid out; else they are looked up."""
+
+    def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.tables = {name: (k[order], v[order]) for name, (k, v) in tables.items() for order in [np.argsort(k)]}
+        seen = self.tables["p1"][0]
+        self.size = len(seen) + 2  # 0 stands for all that is unseen, 1 for START
+        self.dense = None
+        if self.size <= DENSE_SYMBOLS:
+            unseen = next(x for x in range(len(seen) + 1) if x not in set(seen.tolist()))
+            symbol = np.concatenate(([unseen, START], seen))
+            self.local = np.zeros(START + 1, np.uint8)
+            self.local[symbol] = np.arange(self.size)
+            self.dense = self._laid_out()
+
+    def _laid_out(self) -> np.ndarray:
+        size, local = self.size, self.local
+
+        def put(name: str, out: np.ndarray, symbols: int) -> np.ndarray:
+            k, v = self.tables[name]
+            at = np.zeros(len(k), np.int64)
+            for place in range(symbols - 1, -1, -1):
+                at = at * size + local[k >> BITS * place & MASK]
+            out[at] = v
+            return out
+
+        p1 = put("p1", np.full(size, self.tables["p0"][1][0]), 1)
+        p2 = put("p2", (put("g2", np.ones(size), 1)[:, None] * p1[None, :]).ravel(), 2)
+        g3 = put("g3", np.ones(size**2), 2)
+        return np.log(put("p3", (g3.reshape(size, size, 1) * p2.reshape(1, size, size)).ravel(), 3)).astype(np.float32)
+
+    def _get(self, name: str, keys: np.ndarray, other) -> np.ndarray:
+        k, v = self.tables[name]
+        if not len(k):
+            return np.broadcast_to(other, keys.shape)
+        at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+        return np.where(k[at] == keys, v[at], other)
+
+    def _look(self, keys: np.ndarray) -> np.ndarray:
+        two, h3 = keys & ((1 << 2 * BITS) - 1), keys >> BITS
+        p1 = self._get("p1", keys & MASK, self.tables["p0"][1][0])
+        p2 = self._get("p2", two, self._get("g2", two >> BITS, 1.0) * p1)
+        return np.log(self._get("p3", keys, self._get("g3", h3, 1.0) * p2))
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.dense is None:
+            keys, back = np.unique(trigrams(text), return_inverse=True)
+            return self._look(keys)[back]
+        s = np.concatenate(([1, 1], self.local[codes(text)])).astype(np.int32)
+        return self.dense[(s[:-2] * self.size + s[1:-1]) * self.size + s[2:]]
 
 
 def score(docs: DataFrame, model: dict, model_rows: int = MODEL_ROWS) -> DataFrame:
     """Adds of, chars (symbols), words and log_p to the columns of `docs`."""
-    sizes = sum(model[t].count() for t in ("p1", "p2", "p3", "g2", "g3"))
+    sizes = sum(model[t].count() for t in TABLES)
     docs = _with_model_language(docs, model)
     if sizes > model_rows:
         keyed = docs.withColumn("__row", F.monotonically_increasing_id())
@@ -200,27 +221,27 @@ def score(docs: DataFrame, model: dict, model_rows: int = MODEL_ROWS) -> DataFra
         out = keyed.join(found, "__row", "left").drop("__row", "of").withColumnRenamed("__of", "of")
         return out.fillna(0, ["chars", "words"]).fillna(0.0, ["log_p"])
     tables: dict = {}
-    for name in ("p1", "p2", "p3", "g2", "g3"):  # at most `model_rows` rows
+    for name in TABLES:  # at most `model_rows` rows
         for lang, rows in model[name].toPandas().groupby("lang"):
             tables.setdefault(lang, {})[name] = (rows.iloc[:, 1].to_numpy(), rows.iloc[:, 2].to_numpy())
-    sent = docs.sparkSession.sparkContext.broadcast((model["alphabet"], tables))
-    dense: dict[str, np.ndarray] = {}
+    sent = docs.sparkSession.sparkContext.broadcast(tables)
+    ready: dict[str, _Table] = {}
 
     @F.pandas_udf("struct<chars:long,words:long,log_p:double>")
     def log_p(of, text):
         import pandas as pd
 
-        alphabet, known = sent.value
+        known = sent.value
         out = []
         for lang, t in zip(of, text):
             if not known:  # no trusted text at all
                 out.append((0, len(t.split()), 0.0))
                 continue
-            if lang not in dense:
-                if len(dense) >= 8:  # 8 MB each
-                    dense.clear()
-                dense[lang] = _dense(known[lang])
-            found = dense[lang][trigrams(t, alphabet)]
+            if lang not in ready:
+                if len(ready) >= 8:  # up to 18 MB each
+                    ready.clear()
+                ready[lang] = _Table(known[lang])
+            found = ready[lang](t)
             out.append((len(found), len(t.split()), float(found.sum(dtype=np.float64))))
         return pd.DataFrame(out, columns=["chars", "words", "log_p"])
 
@@ -249,7 +270,7 @@ def thresholds(trusted: DataFrame, model: dict, quantile: float = QUANTILE, marg
     mean = rows.groupBy("of").agg((F.sum("log_p") / F.sum("chars")).alias("mean"), (F.sum("log_p") / F.sum("words")).alias("word_mean"))
     symbol, word = _nats()
     rows = rows.join(mean, "of").withColumn("symbol", symbol).withColumn("word", word)
-    most, least = F.percentile("symbol", F.lit(quantile)), F.percentile("word", F.lit(1 - quantile))
+    most, least = F.percentile_approx("symbol", quantile, RANKS), F.percentile_approx("word", 1 - quantile, RANKS)
     return rows.groupBy("of", "mean", "word_mean").agg((most + float(np.log(margin))).alias("most"), (least / margin).alias("least"))
 
 
@@ -267,7 +288,7 @@ def classify(docs: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFr
     trusted = trusted_text(documents, labels)
     model = train(trusted)
     limits = materialize(thresholds(trusted, model), "thresholds")
-    scored = score(docs, model).join(F.broadcast(limits), "of", "left")  # a row a language with LEAST_DOCS of MAX_TRUSTED documents
+    scored = score(docs, model).join(F.broadcast(limits), "of", "left")  # a row a language with LEAST_DOCS trusted documents
     judged = (F.col("words") > 0) & F.col("most").isNotNull()
     symbol, word = (F.when(judged, x) for x in _nats())
     fair = (symbol <= F.col("most")) & (word >= F.col("least"))

@@ -240,6 +240,20 @@ def test_quality(spark, docs, none):
     assert quality.classify(none, none, labels).count() == 0
 
 
+def test_quality_takes_all_trusted_text_and_characters(spark):
+    many = spark.range(20_500).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang")
+    assert quality.trusted_text(many, many.selectExpr("doc_id", "1 AS quality")).count() == 20_500
+    rng = random.Random(8)
+    vocab = [chr(0x4E00 + i) for i in range(400)] + ["\U00020000"]
+    rows = [(i, "".join(rng.choices(vocab, k=200)), "zh") for i in range(100)] + [(100 + i, "".join(rng.choices("abcde ", k=200)), "en") for i in range(100)]
+    df = spark.createDataFrame([*rows, (900, "\u4e00\u9fa5 q\U00020001a", "zh"), (901, "abz", "en"), (902, "ab\u4e00", None)], "doc_id long, text string, lang string")
+    model = quality.train(quality.trusted_text(df, df.where("doc_id < 900").selectExpr("doc_id", "1 AS quality")))
+    assert {r.k for r in model["p1"].where("lang = 'zh'").collect()} == set(map(ord, vocab))
+    want = {r.doc_id: (r.chars, r.log_p) for r in quality.score_by_joins(df, model).collect()}
+    for r in quality.score(df, model).collect():
+        assert want[r.doc_id] == (r.chars, pytest.approx(r.log_p, rel=1e-4))
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     vocab = ["".join(rng.choices("aeioutnsr", k=5)) for _ in range(200)]
