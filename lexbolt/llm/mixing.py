@@ -2,7 +2,7 @@
 
 Each source's documents fall into permuted blocks. A source's target fixes how often all
 of its blocks are drawn, which prefix of the permuted blocks is drawn once more, and how
-far into the last block that goes: exact quotas in blocks. The quotas of all sources are
+far into the blocks after it that goes: exact quotas in blocks. The quotas of all sources are
 split among the output shards by a binary tree. At each node the left half gets a
 multivariate-hypergeometric draw of the node's blocks (as if that many had been drawn
 blindly from all), the right half the rest, so every block lands in exactly one shard and
@@ -28,7 +28,6 @@ from lexbolt.llm.common import materialize, table, text_of, word_count
 BLOCK_DOCS = 128
 MAX_BLOCKS = 65536
 SHARD_BLOCKS = 64
-CUT_ROUNDS = 4
 SEED = 20260
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and how often a word may be taken.
@@ -160,14 +159,20 @@ def draws(rows: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, repea
     key = F.xxhash64(F.lit(seed), "doc_id", "size", "h64")
     placed = materialize(placed.withColumn("key", key).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), "blocks")), "placed")
 
-    # Blocks: the prefix that the partial epoch draws, and the last block of it in part.
-    blocks = placed.groupBy("sid", "block", "epochs", "rest").agg(F.sum("size").alias("words"))
-    by = W.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed + 2), "sid", "block"), "block")
+    # Blocks: the prefix that the partial epoch draws, and those after it that it draws in part: as many as hold what is left in
+    # documents no longer than the source's mean, so that some such document is left over or what is left is filled.
+    short = F.sum(F.when(F.col("size") * F.col("docs") <= F.col("source_size"), F.col("size")).otherwise(0))
+    blocks = placed.groupBy("sid", "block", "epochs", "rest").agg(F.sum("size").alias("words"), short.alias("short"))
+    block_order = F.xxhash64(F.lit(seed + 2), "sid", "block")
+    by = W.partitionBy("sid").orderBy(block_order, "block")
     blocks = blocks.withColumn("upto", F.sum("words").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
     blocks = blocks.withColumn("left", F.col("rest") - (F.col("upto") - F.col("words")))
-    blocks = blocks.withColumn("part", F.when(F.col("left") >= F.col("words"), "whole").when(F.col("left") > 0, "cut"))
+    whole = F.col("left") >= F.col("words")
+    blocks = blocks.withColumn("cut_left", F.max(F.when(~whole & (F.col("left") > 0), F.col("left"))).over(W.partitionBy("sid")))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum(F.when(~whole, F.col("short"))).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    blocks = blocks.withColumn("part", F.when(whole, "whole").when(F.col("before") < F.col("cut_left"), "cut"))
     n_epochs = F.col("epochs") + F.when(F.col("part").isNull(), 0).otherwise(1)
-    units = blocks.where(n_epochs > 0).select("sid", "block", F.col("epochs").alias("whole_epochs"), "part", "left", F.explode(F.sequence(F.lit(0), (n_epochs - 1).cast("int"))).alias("epoch"))
+    units = blocks.where(n_epochs > 0).select("sid", "block", F.col("epochs").alias("whole_epochs"), "part", "cut_left", F.explode(F.sequence(F.lit(0), (n_epochs - 1).cast("int"))).alias("epoch"))
     units = units.withColumn("cut", (F.col("epoch") == F.col("whole_epochs")) & (F.col("part") == "cut")).withColumn("cut", F.coalesce("cut", F.lit(False)))
     order = W.partitionBy("sid").orderBy("epoch", F.xxhash64(F.lit(seed + 3), "sid", "epoch", "block"), "block")
     units = materialize(units.withColumn("at", F.row_number().over(order).cast("long") - 1), "units")
@@ -187,21 +192,27 @@ def draws(rows: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, repea
         units = units.withColumn("shard", F.lit(0))
     drawn = units.groupBy("sid", "block").agg(
         F.array_sort(F.collect_list(F.struct("epoch", "shard", "cut"))).alias("all_draws"),  # repeats + 1 at most
-        F.max(F.when(F.col("cut"), F.col("left"))).alias("cut_left"),
+        F.max(F.when(F.col("cut"), F.col("cut_left"))).alias("cut_left"),
     )
 
-    # Documents: in a cut block, the hash order as long as words fit, then up to CUT_ROUNDS more, each the one that comes closest to what is left.
+    # Documents: longest first each that still fits, equal ones by hash, then the shortest left out if that comes closer.
     docs = placed.join(drawn, ["sid", "block"], "left")
-    cut = docs.where(F.col("cut_left").isNotNull()).select("sid", "row", "key", "size", "cut_left")  # at most a block a source
-    one = W.partitionBy("sid")
-    run = F.sum("size").over(one.orderBy("key", "row").rowsBetween(W.unboundedPreceding, W.currentRow))
-    cut = cut.withColumn("fits", run <= F.col("cut_left"))
-    for _ in range(CUT_ROUNDS):
-        cut = cut.withColumn("gap", F.col("cut_left") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))).over(one), F.lit(0)))
-        off = F.abs(F.col("size") - F.col("gap"))
-        best = F.min(F.when(~F.col("fits") & (off < F.col("gap")), F.struct(off.alias("off"), "key", "row"))).over(one)
-        cut = cut.withColumn("best", best["row"]).withColumn("fits", F.col("fits") | F.coalesce(F.col("row") == F.col("best"), F.lit(False)))
-    cut = cut.where("fits").select("row", F.lit(True).alias("in_cut"))
+    one = F.struct((-F.col("size")).alias("order"), block_order.alias("hash"), "block", "key", "row", "size")
+    cut = docs.where(F.col("cut_left").isNotNull()).groupBy("sid").agg(F.array_sort(F.collect_list(one)).alias("all"), F.max("cut_left").alias("cut_left"))
+    start = F.struct(F.col("cut_left").cast("double").alias("left"), F.array().cast("array<bigint>").alias("rows"), F.lit(None).cast("struct<size:bigint,row:bigint>").alias("next"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = x["size"] <= s["left"]
+        return F.struct(
+            F.when(fits, s["left"] - x["size"]).otherwise(s["left"]).alias("left"),
+            F.when(fits, F.concat(s["rows"], F.array(x["row"]))).otherwise(s["rows"]).alias("rows"),
+            F.when(fits, s["next"]).otherwise(F.least(s["next"], F.struct(x["size"].alias("size"), x["row"].alias("row")))).alias("next"),
+        )
+
+    def close(s: Column) -> Column:
+        return F.when(s["next"]["size"] - s["left"] < s["left"], F.concat(s["rows"], F.array(s["next"]["row"]))).otherwise(s["rows"])
+
+    cut = cut.select(F.explode(F.aggregate("all", start, step, close)).alias("row"), F.lit(True).alias("in_cut"))
     docs = docs.join(cut, "row", "left")
     mine = F.filter("all_draws", lambda d: ~d["cut"] | F.coalesce(F.col("in_cut"), F.lit(False)))
     mine = F.transform(F.coalesce(mine, F.array().cast("array<struct<epoch:int,shard:int,cut:boolean>>")), lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard")))
@@ -214,8 +225,9 @@ def mix_plan(docs: DataFrame, **how) -> DataFrame:
     taken is size times the number of draws; shards lists the output shard of each draw.
     Null text has no words, a null source is a source of its own (last), null or repeated
     ids and repeated rows are drawn like any others. Documents without words may be drawn
-    and take 0. Documents are drawn whole, so a source's words come as near to its target
-    as the documents of one block allow. No rows give no rows.
+    and take 0. Documents are drawn whole; a source's words miss its target by less than the
+    mean of its documents' words, or, where documents no longer than that don't suffice to
+    fill what is left, by up to half of the shortest longer one. No rows give no rows.
     """
     out = draws(materialize(sized(docs), "sized"), **how)
     return out.select(

@@ -81,6 +81,21 @@ def test_mixing(docs, rows, none):
     assert mixing.mix_plan(none).count() == 0 and mixing.mix(none).count() == 0
 
 
+def test_mixing_meets_targets_beside_very_long_documents(spark):
+    rng = random.Random(9)
+    rows = []
+    for s in range(12):  # of one block, and of several
+        sizes = [rng.randint(50, 150) for _ in range(99 if s % 2 else 400)] + [20_000] * (1 if s % 2 else 3)
+        rows += [(1000 * s + i, "w " * n, f"s{s:02}") for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix_plan(df, weights=(3, 4, 5, 6), total=1.2).toPandas()
+    for _, of in got.groupby(got.doc_id // 1000):
+        assert abs(of.taken.sum() - of.target.iloc[0]) <= of["size"].mean() + 1e-6
+    for total in (0.8, 0.9):  # only with the long one, which has to come before the short ones
+        got = mixing.mix_plan(df.where("source = 's01'"), weights=(1,), total=total).toPandas()
+        assert abs(got.taken.sum() - got.target.iloc[0]) <= got["size"].mean() + 1e-6
+
+
 def test_tree_splits_exactly(spark):
     q = spark.createDataFrame([([0, 1, 2], [500.0, 70.0, 1.0])], "sids array<long>, quotas array<double>")
     got = mixing.split_quotas(q, 7).toPandas()
