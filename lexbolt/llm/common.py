@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: White space in every rule of this subpackage, and what is not, as Java and RE2 read it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -76,6 +77,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table from `materialize` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: The row as it is, and a key of it; no other column is beside them, so that columns of any
+#: name pass through an operator unseen.
+OWN, KEY = "__own", ["__none", "__id", "__mark"]
+
+
+def id_key() -> list[Column]:
+    """doc_id as two columns that are never null, for joins and windows that share a shuffle."""
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.isNull().alias("__none"), F.coalesce(doc_id, F.lit(0)).alias("__id")]
+
+
+def keyed(docs: DataFrame, mark: Column) -> DataFrame:
+    """OWN and KEY: doc_id (null or not) and `mark`, which tells rows with one id apart."""
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return docs.select(row.alias(OWN), *id_key(), mark.alias("__mark"))
+
+
+def only(docs: DataFrame, mark: Column, stay: DataFrame) -> DataFrame:
+    """The rows of `docs`, as they are, whose KEY is in `stay`; of rows that repeat a key
+    one. Join and window share one shuffle of the rows."""
+    rows = keyed(docs, mark).join(stay.select(*KEY), KEY, "left_semi")
+    first = W.partitionBy(*KEY).orderBy(F.xxhash64(OWN))
+    return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(f"{OWN}.*")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexbolt.llm.common import materialize
+from lexbolt.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        done, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        discard(done)
         now = edges.agg(mark).first()[0]
         if now == seen:
             break

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexbolt.llm.common import materialize, squeezed, table, text_of
+from lexbolt.llm.common import id_key, materialize, only, squeezed, table, text_of
 
 #: A digest counts as frequent from this share of the rows on; the summary's counters.
 HOT_SHARE = 1024
@@ -88,13 +88,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with their own columns: one of each group of copies."""
+    """The rows of `docs` that stay, with their own columns: one of each group of copies.
+    Columns of any name pass through. The rows themselves are shuffled once."""
     keys = materialize(digests(docs), "digests")
-    stay = assign(keys).where("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    rows = docs.withColumn("__sha", F.unhex(F.sha2(squeezed(text_of()), 256)))
-    found = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest")), "left_semi")
-    once = W.partitionBy("__sha").orderBy("doc_id")  # only rows that repeat both id and text meet here
-    return found.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n", "__sha")
+    stay = assign(keys).where("kept").select(*id_key(), F.col("digest").alias("__mark"))
+    return only(docs, F.unhex(F.sha2(squeezed(text_of()), 256)), stay)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,28 @@
 """Operator 3, licence scans: word bigrams of normalised text against licence templates.
 
-Units of a text are its sentences and lines (from 1 on) and the whole of it (0). A unit
-matches a template if the Dice coefficient of their sets of word bigrams is at least
-LEAST_DICE. With sets of n and m bigrams that needs an overlap of LEAST_DICE (n + m) / 2,
-so only templates with LEAST_DICE / (2 - LEAST_DICE) <= m / n <= its inverse are
-candidates (size bounds), and at least LEAST_DICE / (2 - LEAST_DICE) of a template's
-bigrams must be there. ANCHORS are words such that each template keeps fewer bigrams than
-that without them: a text with no anchor can't match, and most texts end there.
-
-The rest is an inverted index: the units' bigrams meet the templates' in a join with a
-fixed table, and the shared ones are counted in a pre-aggregated shuffle. Everything runs
-in built-in functions; no pair of unit and template is formed that shares no bigram.
+A text is normalised to lower-case words without punctuation, so line ends and the marks of
+comments don't matter. A notice may stand anywhere in it: a template of L words is held
+against the windows of L words, and of 0.8 L for notices cut short, that start at every
+step of L / 8 words (windows at the end are clipped to the text). With n and m bigrams,
+repeats included, of which s are shared, Dice's coefficient is 2 s / (n + m); a window and
+a template match from LEAST_DICE on.
+
+Size bounds prune the templates. As s is at most n, a match needs s >= low m with low =
+LEAST_DICE / (2 - LEAST_DICE); so a text of fewer bigrams than low m, or that shares fewer
+with the template in all, can't match it, and no window of it is looked at. ANCHORS are
+words such that each template keeps fewer bigrams than that without them: a text with no
+anchor can't match, and most texts end there.
+
+The rest is an inverted index: a text's bigrams meet the templates' in a join with a fixed
+table, and the shared ones are counted in pre-aggregated shuffles, for whole texts first,
+then for the windows of those that are left. Everything runs in built-in functions; no pair
+of text and template is formed that shares no bigram.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +31,34 @@ from lexbolt.llm.common import table, text_of
 
 LEAST_DICE = 0.8
 
-#: Short notices in the words that projects use for them.
+_NO_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_NO_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_NO_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+_APACHE_COPY = "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+_APACHE_NO_WARRANTY = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+_APACHE_SEE = "See the License for the specific language governing permissions and limitations under the License."
+_GPL_3 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+_GPL_2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+_UNLICENSE = "This is free and unencumbered software released into the public domain."
+
+#: Licences and notices in the words that projects use for them.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE_NO_WARRANTY),
+    ("Apache-2.0", f"{_APACHE} {_APACHE_COPY} {_APACHE_NO_WARRANTY} {_APACHE_SEE}"),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_1} {_BSD_2} {_BSD_NO_WARRANTY}"),
+    ("BSD-3-Clause", _BSD),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_1} {_BSD_2} {_BSD_3} {_BSD_NO_WARRANTY}"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -38,15 +66,19 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", _GPL_3),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GPL_2),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.'),
+    ("MIT", _MIT),
+    ("MIT", f"{_MIT} {_MIT_NOTICE} {_NO_WARRANTY}"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("ISC", _ISC),
+    ("ISC", f"{_ISC} {_ISC_NO_WARRANTY}"),
+    ("Unlicense", _UNLICENSE),
     ("Proprietary", "Copyright, all rights reserved worldwide."),
 ]
 
@@ -57,9 +89,18 @@ def words_of(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
-def bigrams_of(text: str) -> set[str]:
+def bigrams_of(text: str) -> Counter:
     w = words_of(text)
-    return {f"{a} {b}" for a, b in zip(w, w[1:])}
+    return Counter(f"{a} {b}" for a, b in zip(w, w[1:]))
+
+
+def window_sizes(length: int) -> list[int]:
+    """Words of the windows for a template of `length` words."""
+    return sorted({length, max(2, round(0.8 * length))})
+
+
+def step_of(length: int) -> int:
+    return max(1, length // 8)
 
 
 def anchors(templates: list[tuple[str, str]], least: float = LEAST_DICE) -> list[str]:
@@ -67,8 +108,8 @@ def anchors(templates: list[tuple[str, str]], least: float = LEAST_DICE) -> list
     greedily, those first that are in most templates still open."""
     open_, chosen = [bigrams_of(t) for _, t in templates], []
     while True:
-        left = [{b for b in grams if not set(b.split()) & set(chosen)} for grams in open_]
-        short = [x for x, grams in zip(left, open_) if len(x) >= least * len(grams) / (2 - least)]
+        left = [{b: n for b, n in grams.items() if not set(b.split()) & set(chosen)} for grams in open_]
+        short = [x for x, grams in zip(left, open_) if sum(x.values()) >= least * grams.total() / (2 - least)]
         if not short:
             return chosen
         votes: dict[str, int] = {}
@@ -78,56 +119,73 @@ def anchors(templates: list[tuple[str, str]], least: float = LEAST_DICE) -> list
         chosen.append(max(votes, key=lambda w: (w not in _COMMON, votes[w], w.startswith("licen"), len(w), w)))
 
 
-def _units(text: Column) -> Column:
-    """(unit, words): the whole, then each line and sentence."""
-    lines = F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "\n")
-    norm = lambda x: F.filter(F.split(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-    parts = F.transform(lines, lambda x, i: F.struct((i + 1).alias("unit"), norm(x).alias("words")))
-    return F.concat(F.array(F.struct(F.lit(0).alias("unit"), norm(text).alias("words"))), parts)
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST_DICE) -> DataFrame:
-    """doc_id, unit, license, dice: a row for each unit and licence that match (the best of
-    the licence's templates), for each row of `docs`.
+    """doc_id, license, dice, first_word, n_words: a row for each licence found, for each row
+    of `docs`: the best window of its templates (of equal ones the first, then the shortest),
+    by the place of its first word (from 0) and its length.
 
-    Null and empty texts, and units of one word, match nothing. Repeated rows repeat their
+    Null and empty texts, and those of one word, match nothing. Repeated rows repeat their
     matches, null ids stay null. Columns other than doc_id and text aren't looked at.
     """
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
-    grams = [(name, number, len(bigrams_of(t)), b) for number, (name, t) in enumerate(templates) for b in sorted(bigrams_of(t))]
-    known = spark.createDataFrame(grams, "license string, template int, m int, bigram string")  # a fixed table
-    sizes = [len(bigrams_of(t)) for _, t in templates]
-    low, high = least / (2 - least), (2 - least) / least
+    low = least / (2 - least)
+    grams = [(name, k, len(words_of(t)), b, n) for k, (name, t) in enumerate(templates) for b, n in sorted(bigrams_of(t).items())]
+    known = spark.createDataFrame(grams, "license string, template int, length int, bigram string, times int")  # a fixed table
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("doc_id"), text_of().alias("text"))
     alone = r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, anchors(templates, least))) + r")(?![\p{L}\p{N}])"
-    rows = rows.where(F.lower("text").rlike(alone))
-    units = rows.select("row", "doc_id", F.explode(_units(F.col("text"))).alias("u")).select("row", "doc_id", "u.unit", "u.words")
+    rows = rows.where(F.lower("text").rlike(alone)).select("row", "doc_id", _words(F.col("text")).alias("words"))
     pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    units = units.select("row", "doc_id", "unit", F.array_distinct(F.filter(pairs, lambda p: p.isNotNull())).alias("bigrams")).withColumn("n", F.size("bigrams"))
-    units = units.where((F.col("n") * high >= min(sizes)) & (F.col("n") * low <= max(sizes)))
-    found = units.select("row", "doc_id", "unit", "n", F.explode("bigrams").alias("bigram")).join(F.broadcast(known), "bigram")
-    found = found.where((F.col("m") >= low * F.col("n") - 1e-9) & (F.col("m") <= high * F.col("n") + 1e-9))
-    shared = found.groupBy("row", "doc_id", "unit", "n", "license", "template", "m").agg(F.count("*").alias("shared"))
-    dice = shared.withColumn("dice", F.lit(2.0) * F.col("shared") / (F.col("n") + F.col("m"))).where(F.col("dice") >= least)
-    return dice.groupBy("row", "doc_id", "unit", "license").agg(F.max("dice").alias("dice")).drop("row")
+    at = rows.select("row", "doc_id", F.size("words").alias("total"), F.posexplode(pairs).alias("p", "bigram")).where("bigram IS NOT NULL")
+    met = at.join(F.broadcast(known), "bigram").where(F.col("total") - 1 >= low * (F.col("length") - 1) - 1e-9)
+
+    # Whole texts: what is shared with a template at all.
+    text = ["row", "doc_id", "total", "license", "template", "length"]
+    met = met.groupBy(*text, "bigram", "times").agg(F.collect_list("p").alias("ps"))
+    met = met.groupBy(*text).agg(F.sum(F.least(F.size("ps"), "times")).alias("most"), F.collect_list(F.struct("bigram", "times", "ps")).alias("hits"))
+    met = met.where(F.col("most") >= low * (F.col("length") - 1) - 1e-9)
+
+    # Windows: those that hold a shared bigram, which is words p and p + 1.
+    step, full = F.greatest(F.lit(1), F.expr("length div 8")), F.col("length")
+    sizes = {k: window_sizes(k) for k in {len(words_of(t)) for _, t in templates}}
+    size = F.element_at(F.create_map(*[x for k, v in sorted(sizes.items()) for x in (F.lit(k), F.array(*map(F.lit, v)))]), full)
+    met = met.withColumn("size", F.explode(size)).withColumn("step", step).withColumn("hit", F.explode("hits"))
+    met = met.select(*text, "size", "step", "hit.bigram", "hit.times", F.explode("hit.ps").alias("p"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("p") + 2 - F.col("size")) / F.col("step"))).cast("int")
+    last = F.floor(F.col("p") / F.col("step")).cast("int")
+    met = met.where(first <= last).withColumn("window", F.explode(F.sequence(first, last)))
+    window = [*text, "size", "step", "window"]
+    met = met.groupBy(*window, "bigram", "times").agg(F.count("*").alias("n")).groupBy(*window).agg(F.sum(F.least("n", "times")).alias("shared"))
+    start = F.col("window") * F.col("step")
+    met = met.withColumn("first_word", start).withColumn("n_words", F.least("size", F.col("total") - start))
+    met = met.withColumn("dice", 2.0 * F.col("shared") / (F.col("n_words") + F.col("length") - 2)).where(F.col("dice") >= least)
+    best = F.min(F.struct((-F.col("dice")).alias("worse"), "first_word", "n_words")).alias("best")
+    best = met.groupBy("row", "doc_id", "license").agg(best)
+    return best.select("doc_id", "license", (-F.col("best.worse")).alias("dice"), "best.first_word", "best.n_words")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+_VALUES = ", ".join(f"('{name}', {k}, '" + t.replace("'", "''") + "')" for k, (name, t) in enumerate(TEMPLATES))
+
 OP3_SQL = rf"""
-WITH templates(license, template, t) AS (VALUES {", ".join("('" + n + "', " + str(i) + ", '" + t.replace("'", "''") + "')" for i, (n, t) in enumerate(TEMPLATES))}),
+WITH templates(license, template, t) AS (VALUES {_VALUES}),
 tw AS (SELECT license, template, list_filter(string_split(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM templates),
-tg AS (SELECT license, template, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw),
-doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-parts AS (SELECT r, doc_id, 0 AS unit, text AS t FROM doc UNION ALL
-  SELECT r, doc_id, unnest(range(1, len(l) + 1)) AS unit, unnest(l) AS t
-  FROM (SELECT r, doc_id, string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM doc)),
-words AS (SELECT r, doc_id, unit, list_filter(string_split(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM parts),
-units AS (SELECT r, doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) BETWEEN 2 AND 200),
-pairs AS (SELECT r, doc_id, unit, license, 2.0 * len(list_intersect(u.g, t.g)) / (len(u.g) + len(t.g)) AS dice
-  FROM units u JOIN tg t ON list_has_any(u.g, t.g))
-SELECT doc_id, CAST(unit AS INTEGER) AS unit, license, max(CAST(dice AS DOUBLE)) AS dice FROM pairs WHERE dice >= {LEAST_DICE} GROUP BY r, doc_id, unit, license
+tb AS (SELECT license, template, len(w) AS length, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM tw),
+known AS (SELECT license, template, length, bigram, count(*) AS times FROM tb GROUP BY ALL),
+sizes AS (SELECT DISTINCT template, length, unnest([length, greatest(2, CAST(round_even(0.8 * length, 0) AS BIGINT))]) AS size, greatest(1, length // 8) AS step FROM known),
+doc AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents),
+pos AS (SELECT r, doc_id, len(w) AS total, unnest(range(0, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM doc),
+met AS (SELECT * FROM pos JOIN known USING (bigram)),
+win AS (SELECT met.*, s.size, s.step, unnest(range(greatest(0, CAST(ceil((p + 2 - s.size) / s.step) AS BIGINT)), p // s.step + 1)) AS k FROM met JOIN sizes s USING (template, length)),
+cnt AS (SELECT r, doc_id, total, license, template, length, size, step, k, bigram, least(count(*), times) AS n FROM win GROUP BY r, doc_id, total, license, template, length, size, step, k, bigram, times),
+dice AS (SELECT r, doc_id, license, k * step AS first_word, least(size, total - k * step) AS n_words, 2.0 * sum(n) / (least(size, total - k * step) + length - 2) AS dice FROM cnt GROUP BY r, doc_id, total, license, template, length, size, step, k),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, license ORDER BY dice DESC, first_word, n_words) AS place FROM dice WHERE dice >= {LEAST_DICE})
+SELECT doc_id, license, CAST(dice AS DOUBLE) AS dice, CAST(first_word AS INTEGER) AS first_word, CAST(n_words AS INTEGER) AS n_words FROM best WHERE place = 1
 """

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexbolt.llm.common import materialize, table, text_of, word_count
+from lexbolt.llm.common import KEY, OWN, id_key, keyed, materialize, table, text_of, word_count
 
 BLOCK_DOCS = 128
 MAX_BLOCKS = 65536
@@ -115,12 +115,13 @@ def hypergeometric(pool: Column, marked: Column, drawn: Column, u: Column) -> Co
 def _left_part(seed: int) -> Column:
     """The left half's quotas of a node: its sources one after the other, each a
     hypergeometric draw among what is still to be drawn from what is still there."""
-    pool = F.aggregate("quotas", F.lit(0.0), lambda s, q: s + q)
+    pool = F.aggregate("quotas", F.lit(0.0), lambda s, q: s + q["quota"])
     drawn = F.floor(pool * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("double")
     start = F.struct(pool.alias("pool"), drawn.alias("drawn"), F.array().cast("array<double>").alias("out"))
 
-    def step(s: Column, q: Column) -> Column:
-        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "lo", "hi", F.size(s["out"])), 11).cast("double") / float(1 << 53)
+    def step(s: Column, x: Column) -> Column:
+        q = x["quota"]
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "lo", "hi", x["sid"]), 11).cast("double") / float(1 << 53)
         got = (
             F.when((q == 0) | (s["drawn"] == 0), F.lit(0.0))
             .when(s["drawn"] == s["pool"], q)
@@ -133,20 +134,22 @@ def _left_part(seed: int) -> Column:
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
-    """shard, sid, quota from a row (sids, quotas: arrays in the order of sid)."""
-    tree = quotas.select("sids", "quotas", F.lit(0).alias("lo"), F.lit(shards).alias("hi"))
+    """shard, sid, quota from a row with `quotas`, an array of (sid, quota) by sid. A node
+    keeps the sources alone that it has blocks of, so a level holds no more entries than
+    there are blocks, however many sources and shards."""
+    tree = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "quotas")
+    some = lambda xs: F.filter(xs, lambda x: x["quota"] > 0)
     for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
         inner = tree.withColumn("mid", F.expr("lo + (hi - lo) div 2").cast("int"))
         inner = inner.withColumn("left", F.when(F.col("hi") - F.col("lo") > 1, _left_part(seed)))
-        right = F.zip_with("quotas", "left", lambda q, g: q - g)
+        part = lambda of: some(F.zip_with("quotas", "left", lambda x, g: F.struct(x["sid"].alias("sid"), of(x["quota"], g).alias("quota"))))
         halves = F.array(
-            F.struct(F.col("lo"), F.col("mid").alias("hi"), F.col("left").alias("quotas")),
-            F.struct(F.col("mid").alias("lo"), F.col("hi"), right.alias("quotas")),
+            F.struct(F.col("lo"), F.col("mid").alias("hi"), part(lambda q, g: g).alias("quotas")),
+            F.struct(F.col("mid").alias("lo"), F.col("hi"), part(lambda q, g: q - g).alias("quotas")),
         )
         whole = F.array(F.struct("lo", "hi", "quotas"))
-        tree = inner.select("sids", F.explode(F.when(F.col("left").isNull(), whole).otherwise(halves)).alias("n")).select("sids", "n.lo", "n.hi", "n.quotas")
-    flat = tree.select(F.col("lo").alias("shard"), F.explode(F.arrays_zip("sids", "quotas")).alias("q"))
-    return flat.select("shard", F.col("q.sids").alias("sid"), F.col("q.quotas").cast("long").alias("quota"))
+        tree = inner.select(F.explode(F.when(F.col("left").isNull(), whole).otherwise(halves)).alias("n")).select("n.lo", "n.hi", "n.quotas")
+    return tree.select(F.col("lo").alias("shard"), F.explode("quotas").alias("q")).select("shard", "q.sid", F.col("q.quota").cast("long").alias("quota"))
 
 
 def draws(rows: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, repeats: float = REPEATS, seed: int = SEED) -> DataFrame:
@@ -155,7 +158,7 @@ def draws(rows: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, repea
     blocks_of = F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("docs") / BLOCK_DOCS))
     s = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     s = s.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("blocks", blocks_of.cast("long"))
-    placed = rows.withColumnRenamed("source", "name").join(s, F.col("name").eqNullSafe(F.col("source")), "left").drop("name")
+    placed = rows.withColumnRenamed("source", "name").join(s, F.col("name").eqNullSafe(F.col("source")), "left").drop("source").withColumnRenamed("name", "source")
     key = F.xxhash64(F.lit(seed), "doc_id", "size", "h64")
     placed = materialize(placed.withColumn("key", key).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), "blocks")), "placed")
 
@@ -179,11 +182,10 @@ def draws(rows: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, repea
 
     # Quotas, split among the shards; a shard takes the next units of each source.
     quotas = units.groupBy("sid").agg(F.count("*").cast("double").alias("quota"))
-    listed = quotas.agg(F.array_sort(F.collect_list(F.struct("sid", "quota"))).alias("q"), F.sum("quota").alias("all"))
-    listed = listed.select(F.col("q.sid").alias("sids"), F.col("q.quota").alias("quotas"), "all")
+    listed = quotas.agg(F.array_sort(F.collect_list(F.struct("sid", "quota"))).alias("quotas"), F.sum("quota").alias("all"))
     n = listed.select("all").first()[0]
     if n:
-        split = split_quotas(listed.select("sids", "quotas"), max(1, math.ceil(n / SHARD_BLOCKS)), seed)
+        split = split_quotas(listed.select("quotas"), max(1, math.ceil(n / SHARD_BLOCKS)), seed)
         upto = F.sum("quota").over(W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow))
         runs = split.where("quota > 0").withColumn("end", upto)
         slots = runs.select("sid", "shard", F.explode(F.sequence(F.col("end") - F.col("quota"), F.col("end") - 1)).alias("at"))
@@ -199,14 +201,14 @@ def draws(rows: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, repea
     docs = placed.join(drawn, ["sid", "block"], "left")
     one = F.struct((-F.col("size")).alias("order"), block_order.alias("hash"), "block", "key", "row", "size")
     cut = docs.where(F.col("cut_left").isNotNull()).groupBy("sid").agg(F.array_sort(F.collect_list(one)).alias("all"), F.max("cut_left").alias("cut_left"))
-    start = F.struct(F.col("cut_left").cast("double").alias("left"), F.array().cast("array<bigint>").alias("rows"), F.lit(None).cast("struct<size:bigint,row:bigint>").alias("next"))
+    start = F.struct(F.col("cut_left").cast("double").alias("left"), F.array().cast("array<bigint>").alias("rows"), F.lit(None).cast("struct<size:bigint,key:bigint,row:bigint>").alias("next"))
 
     def step(s: Column, x: Column) -> Column:
         fits = x["size"] <= s["left"]
         return F.struct(
             F.when(fits, s["left"] - x["size"]).otherwise(s["left"]).alias("left"),
             F.when(fits, F.concat(s["rows"], F.array(x["row"]))).otherwise(s["rows"]).alias("rows"),
-            F.when(fits, s["next"]).otherwise(F.least(s["next"], F.struct(x["size"].alias("size"), x["row"].alias("row")))).alias("next"),
+            F.when(fits, s["next"]).otherwise(F.least(s["next"], F.struct(x["size"].alias("size"), x["key"].alias("key"), x["row"].alias("row")))).alias("next"),
         )
 
     def close(s: Column) -> Column:
@@ -216,7 +218,7 @@ def draws(rows: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, repea
     docs = docs.join(cut, "row", "left")
     mine = F.filter("all_draws", lambda d: ~d["cut"] | F.coalesce(F.col("in_cut"), F.lit(False)))
     mine = F.transform(F.coalesce(mine, F.array().cast("array<struct<epoch:int,shard:int,cut:boolean>>")), lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard")))
-    return docs.withColumn("draws", mine).select("row", "doc_id", "h64", "sid", "size", "source_size", "target", "draws")
+    return docs.withColumn("draws", mine).select("row", "doc_id", "source", "h64", "sid", "size", "source_size", "target", "draws")
 
 
 def mix_plan(docs: DataFrame, **how) -> DataFrame:
@@ -237,20 +239,25 @@ def mix_plan(docs: DataFrame, **how) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
-    """The mixed rows: the columns of `docs`, a row for each draw, in the shards' order.
+    """The mixed rows: the columns of `docs` (of any names), a row for each draw, in the
+    shards' order.
 
-    Rows that repeat id and text share their draws out among them.
+    Rows that repeat id, source and text have as many lists of draws as there are rows; the
+    n-th row, by a hash of all its columns, takes the n-th list. Rows are shuffled twice: to
+    their draws, and to their shards.
     """
     drawn = draws(materialize(sized(docs), "sized"), seed=seed, **how)
-    by_key = drawn.groupBy(F.col("doc_id").alias("__id"), F.col("h64").alias("__h")).agg(F.flatten(F.collect_list("draws")).alias("__draws"))
-    by_key = by_key.where(F.size("__draws") > 0)
-    text = docs.withColumn("__h64", F.xxhash64(text_of()))
-    once = W.partitionBy("__h64", "doc_id").orderBy(F.lit(0))
-    text = text.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
-    rows = text.join(by_key, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h64") == F.col("__h")))
-    rows = rows.withColumn("__draw", F.explode("__draws"))
-    rows = rows.withColumn("__shard", F.col("__draw.shard")).withColumn("__order", F.xxhash64(F.lit(seed + 4), "__draw", "__h", "__id"))
-    return rows.repartition("__shard").sortWithinPartitions("__shard", "__order", "doc_id").select(*docs.columns)
+    lists = drawn.groupBy(*id_key(), _mark(F.col("h64"), F.col("source")).alias("__mark")).agg(F.array_sort(F.collect_list("draws")).alias("__lists"))
+    rows = keyed(docs, _mark(F.xxhash64(text_of()), F.col("source")))
+    order = W.partitionBy(*KEY).orderBy(F.xxhash64(OWN))
+    rows = rows.join(lists, KEY).withColumn("__n", F.row_number().over(order))
+    rows = rows.withColumn("__draw", F.explode(F.element_at("__lists", F.col("__n"))))
+    rows = rows.withColumn("__shard", F.col("__draw.shard")).withColumn("__order", F.xxhash64(F.lit(seed + 4), "__draw", *KEY))
+    return rows.repartition("__shard").sortWithinPartitions("__shard", "__order", "__n").select(f"{OWN}.*")
+
+
+def _mark(h64: Column, source: Column) -> Column:
+    return F.struct(h64.alias("h64"), source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("source"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

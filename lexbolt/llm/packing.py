@@ -6,9 +6,9 @@ groups of about GROUP_PIECES, so a task packs a bounded number of pieces whateve
 or source they come from, and each group is packed by variable-capacity best-fit:
 
 - pieces come longest first; a piece goes into the open bin, of any size, that it fills best;
-- if none has room, a bin is opened, of the size that costs least: among the permitted
-  sizes from a floor on the smallest that holds the piece. Every permitted size is tried as
-  the floor, and the whole packing that costs least in the end is taken;
+- if none has room, a bin is opened, of the size that costs least a token: each permitted
+  size is filled up on trial by the longest pieces still to come, and its cost spread over
+  what it would hold;
 - finally each bin is downsized to the smallest permitted size that holds its contents.
 
 The cost of a bin is its size plus a fixed OVERHEAD, so padding and many short sequences
@@ -36,11 +36,40 @@ def cost(size: int) -> int:
     return size + OVERHEAD
 
 
-def _fit(pieces: list[int], sizes: tuple[int, ...], floor: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """(bin, offset) of each piece (descending lengths), and the fill of each bin."""
+def opened(n: int, sizes: tuple[int, ...], left: dict[int, int], bits: int) -> int:
+    """The size that costs least a token for a new bin whose first piece is n long: each is
+    filled up by the longest pieces still to come (`left`: length to number; `bits`: a bit a
+    length) that fit, downsized to what it holds, and its cost spread over that. Of equal
+    ones the smaller."""
+    best = None
+    for size in sizes[bisect_left(sizes, n) :]:
+        room, rest = size - n, bits
+        while room and (rest := rest & ((1 << room + 1) - 1)):
+            top = rest.bit_length() - 1
+            room -= top * min(left[top], room // top)
+            rest &= (1 << top) - 1
+        held = size - room
+        price = cost(sizes[bisect_left(sizes, held)]) / held
+        if best is None or price < best[0]:
+            best = price, size
+    return best[1]
+
+
+def best_fit(lengths: list[int], sizes: tuple[int, ...] = LENGTHS) -> tuple[list[tuple[int, int]], list[int]]:
+    """(bin, offset) of each piece and the size of each bin; no piece is empty or longer than
+    the last size."""
+    sizes = tuple(sorted(sizes))
+    left: dict[int, int] = {}
+    for n in lengths:
+        left[n] = left.get(n, 0) + 1
+    coming = sum(1 << n for n in left)
     free: dict[int, list[int]] = {}  # free length: bins
-    bits, places, fill, size = 0, [], [], []
-    for n in pieces:
+    bits, fill, places = 0, [], [(0, 0)] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        n = lengths[i]
+        left[n] -= 1
+        if not left[n]:
+            coming &= ~(1 << n)
         above = bits >> n
         if above:
             room = n + (above & -above).bit_length() - 1
@@ -48,32 +77,14 @@ def _fit(pieces: list[int], sizes: tuple[int, ...], floor: int) -> tuple[list[tu
             if not free[room]:
                 bits &= ~(1 << room)
         else:
-            b, room = len(fill), max(floor, sizes[bisect_left(sizes, n)])
+            b, room = len(fill), opened(n, sizes, left, coming)
             fill.append(0)
-            size.append(room)
-        places.append((b, fill[b]))
+        places[i] = b, fill[b]
         fill[b] += n
-        left = room - n
-        if left:
-            free.setdefault(left, []).append(b)
-            bits |= 1 << left
-    return places, fill
-
-
-def best_fit(lengths: list[int], sizes: tuple[int, ...] = LENGTHS) -> tuple[list[tuple[int, int]], list[int]]:
-    """(bin, offset) of each piece and the size of each bin; no piece longer than the last size."""
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    sizes, best = tuple(sorted(sizes)), None
-    for floor in sizes:
-        places, fill = _fit([lengths[i] for i in order], sizes, floor)
-        shrunk = [sizes[bisect_left(sizes, n)] for n in fill]
-        total = sum(map(cost, shrunk))
-        if best is None or total < best[0]:
-            best = total, places, shrunk
-    out: list = [None] * len(lengths)
-    for i, place in zip(order, best[1]):
-        out[i] = place
-    return out, best[2]
+        if room > n:
+            free.setdefault(room - n, []).append(b)
+            bits |= 1 << room - n
+    return places, [sizes[bisect_left(sizes, n)] for n in fill]
 
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

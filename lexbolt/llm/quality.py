@@ -1,54 +1,60 @@
 """Operator 1, quality classifier: interpolated modified Kneser-Ney over characters.
 
-Trusted text (every document labelled good) trains a trigram model of characters for each
-language and one for all together. A symbol is a code point, so no character is left out,
-and one that trusted text lacks has the probability of what is unseen. Counts are summed
-over shards by n-gram; continuation counts, totals of histories, discounts and
-interpolated probabilities come from joins of the count tables on history and on suffix.
-
-A document's perplexity needs the probability of each of its n-grams. `score_by_joins`
-meets n-grams and count tables in sharded joins, for models of any size; `score` does the
-same join map-side while the model has at most MODEL_ROWS rows (shuffling every document's
-n-grams costs several times the input in disk, see the README). Both give the same figures.
-
-A word that repeats the one before it is one symbol of its own. Two perplexities are
-compared with a language's quantiles over trusted text held out from the counts: that a
-symbol, which junk raises, must not be above the upper one, and that a word, which loops of
-a word lower, must not be below the lower one. Short documents are drawn to the language's
-means by PRIOR words and symbols, as their perplexity says less.
+Trusted text (every document labelled good, but for a fifth that is held out by a hash of
+its id) trains a trigram model of characters for each language and one for all together.
+The language's model weighs n / (n + OWN_SYMBOLS), where n counts the symbols that trained
+it, and the model of all the rest; so a language with little text leans on all, and no size
+switches anything. A symbol is a code point, so no character is left out, and one that
+trusted text lacks has the probability of what is unseen. A word that repeats the one
+before it is one symbol of its own.
+
+Documents are counted once, map-side, in blocks: a block holds some megabytes of text of
+one language, lists its distinct trigrams, and codes each document as places in that list
+with counts, which takes less than the text. All else are joins of such tables:
+
+- which documents of which blocks are trusted: ids meet labels; their counts are summed
+  over blocks, then over shards, by n-gram;
+- continuation counts, totals of histories, discounts and interpolated probabilities:
+  count tables meet on history and on suffix;
+- the blocks' distinct trigrams meet the model's tables, sharded by n-gram, and the
+  logarithms found (as whole numbers of 1 / LOG_UNIT, so that sums don't hang on their
+  order) meet the coded documents by block: perplexities.
+
+No text is shuffled, and nothing of the model or the documents is sent to the driver.
+
+Two perplexities are compared with a language's quantiles over the trusted documents held
+out: that a symbol, which junk raises, must not be above the upper one, and that a word,
+which loops of a word lower, must not be below the lower one. Short documents are drawn to
+the language's means by PRIOR words and symbols, as their perplexity says less; limits of a
+language with few held-out documents are drawn to those of all by PRIOR_DOCS documents.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbolt.llm.common import materialize, table, text_of
+from lexbolt.llm.common import KEY, OWN, id_key, keyed, materialize, table, text_of
 
-LEAST_DOCS, FOLDS = 50, 5
+FOLDS = 5
 #: A code point has 21 bits, so three fit a long; START is none.
 BITS = 21
-MASK = START = (1 << BITS) - 1
-QUANTILE, MARGIN, PRIOR, PRIOR_WORDS = 0.998, 1.15, 200, 40
-MODEL_ROWS = 4_000_000
-#: Symbols of a language up to which all of their trigrams are laid out in a worker (16 MB).
-DENSE_SYMBOLS = 160
+START = (1 << BITS) - 1
+QUANTILE, MARGIN, PRIOR, PRIOR_WORDS, PRIOR_DOCS = 0.998, 1.15, 200, 40, 200
+OWN_SYMBOLS = 20_000
+LOG_UNIT = 1 << 16
 #: Ranks of a quantile are off by at most this part of the rows.
 RANKS = 1_000_000
-TABLES = ("p0", "p1", "p2", "p3", "g2", "g3")
-ALL = "*"
-
-
-def trusted_text(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """lang, text, held (out of the counts) of every document labelled good."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    rows = documents.where(F.length(text_of()) > 0).select("doc_id", "lang", "text").join(good, "doc_id", "left_semi")
-    held = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)) == 0
-    return materialize(rows.select(F.col("lang"), "text", held.alias("held")), "trusted")
+#: Characters and documents at which a block of one language ends, and of all open blocks.
+BLOCK_CHARS, BLOCK_DOCS, OPEN_CHARS = 8 << 20, 4096, 16 << 20
+#: The model of all languages; no language's name.
+ALL = "\0"
 
 
 def marked(text: str) -> str:
@@ -67,24 +73,113 @@ def trigrams(text: str) -> np.ndarray:
     return (s[:-2] << 2 * BITS) | (s[1:-1] << BITS) | s[2:]
 
 
-def _counts(trusted: DataFrame) -> DataFrame:
-    """lang, k, c: trigram counts of each language and of all (ALL), summed over shards."""
+# ---- blocks of coded documents
+
+
+def pack(places: list[np.ndarray], counts: list[np.ndarray]) -> tuple[bytes, list[int]]:
+    """Ascending places and their counts of each document, as bytes, and where documents end.
+    Places are coded by their differences in four planes, counts in one; larger ones repeat."""
+    gaps, ns, ends = [], [], []
+    for p, n in zip(places, counts):
+        times = (n + 254) // 255
+        gap = np.diff(p, prepend=0)
+        at = np.cumsum(times) - times
+        g = np.zeros(int(times.sum()), "<u4")
+        g[at] = gap
+        c = np.full(len(g), 255, np.uint8)
+        c[at + times - 1] = n - 255 * (times - 1)
+        gaps.append(g)
+        ns.append(c)
+        ends.append(len(g))
+    g = np.concatenate(gaps) if gaps else np.zeros(0, "<u4")
+    planes = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 4).T)
+    return zlib.compress(planes.tobytes() + b"".join(c.tobytes() for c in ns), 1), np.cumsum(ends).tolist()
+
+
+def unpack(data: bytes, ends: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, count, document) of each entry."""
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(5, -1)
+    gaps = np.ascontiguousarray(raw[:4].T).view("<u4").ravel().astype(np.int64)
+    ends = np.asarray(ends, np.int64)
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    run = np.cumsum(gaps)
+    before = np.concatenate(([0], run))[starts]
+    owner = np.repeat(np.arange(len(ends)), ends - starts)
+    return run - before[owner], raw[4].astype(np.int64), owner
+
+
+_CODED = "block long, lang string, doc_id array<long>, mark array<long>, words array<int>, keys array<long>, ends array<long>, data binary"
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """Blocks of documents of one language, stored: ids, hashes of texts, numbers of words,
+    distinct trigrams (keys) and the documents coded by them (see pack)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, open_, held = TaskContext.get().partitionId(), 0, {}, 0
+
+        def close(lang) -> pa.RecordBatch:
+            nonlocal number
+            ids, marks, words, keys, counts, _ = open_.pop(lang)
+            every, place = np.unique(np.concatenate(keys), return_inverse=True)
+            cuts = np.cumsum([len(k) for k in keys])[:-1]
+            data, ends = pack(np.split(place, cuts), counts)
+            row = [(task << 32) + number, lang, ids, marks, words, every, ends, data]
+            number += 1
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [c.split()[0] for c in _CODED.split(", ")])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, key, n = [], [], []
-            for of in {*b.column(0).to_pylist()}:
-                texts = [t for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if x == of]
-                k, c = np.unique(np.concatenate([trigrams(t) for t in texts]), return_counts=True)
-                lang += [of] * len(k)
-                key.append(k)
-                n.append(c)
-            if lang:
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(key)), pa.array(np.concatenate(n))], ["lang", "k", "c"])
+            for doc_id, mark, lang, text in zip(*(c.to_pylist() for c in b.columns)):
+                own = open_.setdefault(lang, [[], [], [], [], [], 0])
+                k, n = np.unique(trigrams(text), return_counts=True)
+                for into, x in zip(own, (doc_id, mark, len(text.split()), k, n)):
+                    into.append(x)
+                own[5] += len(text)
+                held += len(text)
+                if own[5] >= BLOCK_CHARS or len(own[0]) >= BLOCK_DOCS:
+                    held -= own[5]
+                    yield close(lang)
+                elif held >= OPEN_CHARS or len(open_) > 1000:
+                    for x in [*open_]:
+                        yield close(x)
+                    held = 0
+        for lang in [*open_]:
+            yield close(lang)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()), "lang", text_of())
+    return materialize(rows.mapInArrow(run, _CODED), "coded")
+
+
+def trusted_members(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """block, at (place in it), doc_id and held (out of the counts) of every document
+    labelled good."""
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    members = blocks.select("block", F.posexplode("doc_id").alias("at", "doc_id"))
+    held = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)) == 0
+    return members.join(good, "doc_id", "left_semi").withColumn("held", held)
+
 
-    part = trusted.where(~F.col("held")).select("lang", "text").mapInArrow(count, "lang string, k long, c long")
-    one = part.where(F.col("lang").isNotNull()).groupBy("lang", "k").agg(F.sum("c").alias("c"))
-    return one.unionByName(part.groupBy("k").agg(F.sum("c").alias("c")).withColumn("lang", F.lit(ALL)))
+def counted(blocks: DataFrame, members: DataFrame) -> DataFrame:
+    """lang, k, c: trigram counts over the members that aren't held out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, keys, ends, data, ats in zip(*(c.to_pylist() for c in b.columns)):
+                place, n, owner = unpack(data, ends)
+                use = np.zeros(len(ends), bool)
+                use[ats] = True
+                c = np.bincount(place, n * use[owner], len(keys)).astype(np.int64)
+                seen = c > 0
+                columns = [pa.array([lang] * int(seen.sum()), pa.string()), pa.array(np.array(keys, np.int64)[seen]), pa.array(c[seen])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "k", "c"])
+
+    chosen = members.where(~F.col("held")).groupBy("block").agg(F.collect_list("at").alias("ats"))  # BLOCK_DOCS at most
+    rows = blocks.join(chosen, "block").select("lang", "keys", "ends", "data", "ats")
+    return rows.mapInArrow(run, "lang string, k long, c long").groupBy("lang", "k").agg(F.sum("c").alias("c"))
+
+
+# ---- the model
 
 
 def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -104,11 +199,15 @@ def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, totals.select("lang", "h", (F.col("off") / F.col("all")).alias("g"))
 
 
-def train(trusted: DataFrame) -> dict:
-    """Stored tables p3, p2, p1 (lang, k, p), p0 (lang, k, p, with k 0) and g3, g2 (lang, h,
-    g): a seen n-gram's interpolated probability, that of any unseen character, and the
-    weight of the lower order otherwise."""
-    c3 = materialize(_counts(trusted), "trigrams")
+def train(counts: DataFrame) -> dict[str, DataFrame]:
+    """From lang, k, c (trigram counts by language, null too): stored tables p3, p2, p1 (lang,
+    k, p), p0 (lang, k, p, with k 0) and g3, g2 (lang, h, g): a seen n-gram's interpolated
+    probability, that of any unseen character, and the weight of the lower order otherwise,
+    for each language and for ALL; and share (lang, share): the weight of the language's own
+    model beside that of all, which grows with the symbols that it has seen."""
+    counts = materialize(counts, "counts")
+    c3 = counts.groupBy("k").agg(F.sum("c").alias("c")).withColumn("lang", F.lit(ALL))
+    c3 = materialize(counts.where((F.col("lang") != ALL)).unionByName(c3), "trigrams")
     suffix = lambda k, order: F.expr(f"{k} & {(1 << BITS * order) - 1}")
     c2 = c3.groupBy("lang", suffix("k", 2).alias("k")).agg(F.count("*").alias("c"))  # histories that it follows
     c1 = c2.groupBy("lang", suffix("k", 1).alias("k")).agg(F.count("*").alias("c"))
@@ -127,127 +226,59 @@ def train(trusted: DataFrame) -> dict:
 
     p2, g2 = higher(c2, p1, 2)
     p3, g3 = higher(c3, p2, 3)
-    # Languages with too little trusted text use the model of all.
-    enough = trusted.groupBy("lang").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST_DOCS) & F.col("lang").isNotNull()).select("lang")
-    return {"p0": p0, "p1": p1, "p2": p2, "p3": p3, "g2": g2, "g3": g3, "langs": [r["lang"] for r in enough.collect()]}
-
-
-def _with_model_language(docs: DataFrame, model: dict) -> DataFrame:
-    known = F.col("lang").isin(model["langs"]) if model["langs"] else F.lit(False)
-    return docs.withColumn("__of", F.when(F.coalesce(known, F.lit(False)), F.col("lang")).otherwise(ALL))
-
-
-def score_by_joins(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, of (the model's language), chars, words, log_p through sharded joins; ids must differ."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc_id, of, text in zip(*(c.to_pylist() for c in b.columns)):
-                k, n = np.unique(trigrams(text), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(k), pa.int64()), pa.array([of] * len(k), pa.string()), pa.array(k), pa.array(n), pa.array([len(text.split())] * len(k), pa.int64())], ["doc_id", "of", "k", "n", "words"])
-
-    grams = _with_model_language(docs, model).select("doc_id", "__of", text_of()).mapInArrow(count, "doc_id long, lang string, k long, n long, words long")
-    grams = grams.withColumn("h", F.shiftright("k", BITS)).withColumn("k2", F.expr(f"k & {(1 << 2 * BITS) - 1}"))
-    grams = grams.withColumn("h2", F.shiftright("k2", BITS)).withColumn("k1", F.expr(f"k & {(1 << BITS) - 1}"))
-    for name, key, on in (("p3", "k", "k"), ("g3", "h", "h"), ("p2", "k", "k2"), ("g2", "h", "h2"), ("p1", "k", "k1")):
-        side = model[name].select("lang", F.col(key).alias(on), F.col(name[0]).alias(name))
-        grams = grams.join(side, ["lang", on], "left")
-    grams = grams.join(model["p0"].select("lang", F.col("p").alias("p0")), "lang", "left")
+    seen = c3.where(F.col("lang") != ALL).groupBy("lang").agg(F.sum("c").alias("n"))
+    share = materialize(seen.select("lang", (F.col("n") / (F.col("n") + OWN_SYMBOLS)).alias("share")), "share")
+    return {"p0": p0, "p1": p1, "p2": p2, "p3": p3, "g2": g2, "g3": g3, "share": share}
+
+
+def log_probabilities(keys: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """lang, k, lp for distinct lang, k: log-probabilities in LOG_UNIT, by joins on n-gram,
+    history and suffix. Null languages and those without a model take the model of all. Null
+    without any trusted text."""
+    every = keys.select("k").distinct().withColumn("lang", F.lit(ALL))
+    g = keys.where(F.col("lang") != ALL).select("k", "lang").unionByName(every)
+    suffix = lambda order: F.expr(f"k & {(1 << BITS * order) - 1}")
+    g = g.withColumns({"h3": F.shiftright("k", BITS), "k2": suffix(2), "k1": suffix(1)})
+    g = g.withColumn("h2", F.shiftright("k2", BITS))
+    for name, key, on in (("p3", "k", "k"), ("g3", "h", "h3"), ("p2", "k", "k2"), ("g2", "h", "h2"), ("p1", "k", "k1")):
+        g = g.join(model[name].select("lang", F.col(key).alias(on), F.col(name[0]).alias(name)), ["lang", on], "left")
+    g = g.join(model["p0"].select("lang", F.col("p").alias("p0")), "lang", "left")
     one = F.lit(1.0)
     p = F.coalesce("p3", F.coalesce("g3", one) * F.coalesce("p2", F.coalesce("g2", one) * F.coalesce("p1", "p0")))
-    return grams.groupBy("doc_id", F.col("lang").alias("of")).agg(F.sum("n").alias("chars"), F.max("words").alias("words"), F.sum(F.log(p) * F.col("n")).alias("log_p"))
-
-
-class _Table:
-    """A language's model in a worker: log-probabilities of a text's trigrams. While its
-    symbols are few, those of all of their trigrams are laid out; else they are looked up."""
-
-    def __init__(self, tables: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.tables = {name: (k[order], v[order]) for name, (k, v) in tables.items() for order in [np.argsort(k)]}
-        seen = self.tables["p1"][0]
-        self.size = len(seen) + 2  # 0 stands for all that is unseen, 1 for START
-        self.dense = None
-        if self.size <= DENSE_SYMBOLS:
-            unseen = next(x for x in range(len(seen) + 1) if x not in set(seen.tolist()))
-            symbol = np.concatenate(([unseen, START], seen))
-            self.local = np.zeros(START + 1, np.uint8)
-            self.local[symbol] = np.arange(self.size)
-            self.dense = self._laid_out()
-
-    def _laid_out(self) -> np.ndarray:
-        size, local = self.size, self.local
-
-        def put(name: str, out: np.ndarray, symbols: int) -> np.ndarray:
-            k, v = self.tables[name]
-            at = np.zeros(len(k), np.int64)
-            for place in range(symbols - 1, -1, -1):
-                at = at * size + local[k >> BITS * place & MASK]
-            out[at] = v
-            return out
-
-        p1 = put("p1", np.full(size, self.tables["p0"][1][0]), 1)
-        p2 = put("p2", (put("g2", np.ones(size), 1)[:, None] * p1[None, :]).ravel(), 2)
-        g3 = put("g3", np.ones(size**2), 2)
-        return np.log(put("p3", (g3.reshape(size, size, 1) * p2.reshape(1, size, size)).ravel(), 3)).astype(np.float32)
-
-    def _get(self, name: str, keys: np.ndarray, other) -> np.ndarray:
-        k, v = self.tables[name]
-        if not len(k):
-            return np.broadcast_to(other, keys.shape)
-        at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-        return np.where(k[at] == keys, v[at], other)
-
-    def _look(self, keys: np.ndarray) -> np.ndarray:
-        two, h3 = keys & ((1 << 2 * BITS) - 1), keys >> BITS
-        p1 = self._get("p1", keys & MASK, self.tables["p0"][1][0])
-        p2 = self._get("p2", two, self._get("g2", two >> BITS, 1.0) * p1)
-        return np.log(self._get("p3", keys, self._get("g3", h3, 1.0) * p2))
-
-    def __call__(self, text: str) -> np.ndarray:
-        if self.dense is None:
-            keys, back = np.unique(trigrams(text), return_inverse=True)
-            return self._look(keys)[back]
-        s = np.concatenate(([1, 1], self.local[codes(text)])).astype(np.int32)
-        return self.dense[(s[:-2] * self.size + s[1:-1]) * self.size + s[2:]]
-
-
-def score(docs: DataFrame, model: dict, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """Adds of, chars (symbols), words and log_p to the columns of `docs`."""
-    sizes = sum(model[t].count() for t in TABLES)
-    docs = _with_model_language(docs, model)
-    if sizes > model_rows:
-        keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-        keyed = materialize(keyed, "keyed")
-        found = score_by_joins(keyed.select(F.col("__row").alias("doc_id"), "lang", "text"), model).withColumnRenamed("doc_id", "__row")
-        out = keyed.join(found, "__row", "left").drop("__row", "of").withColumnRenamed("__of", "of")
-        return out.fillna(0, ["chars", "words"]).fillna(0.0, ["log_p"])
-    tables: dict = {}
-    for name in TABLES:  # at most `model_rows` rows
-        for lang, rows in model[name].toPandas().groupby("lang"):
-            tables.setdefault(lang, {})[name] = (rows.iloc[:, 1].to_numpy(), rows.iloc[:, 2].to_numpy())
-    sent = docs.sparkSession.sparkContext.broadcast(tables)
-    ready: dict[str, _Table] = {}
-
-    @F.pandas_udf("struct<chars:long,words:long,log_p:double>")
-    def log_p(of, text):
-        import pandas as pd
-
-        known = sent.value
-        out = []
-        for lang, t in zip(of, text):
-            if not known:  # no trusted text at all
-                out.append((0, len(t.split()), 0.0))
-                continue
-            if lang not in ready:
-                if len(ready) >= 8:  # up to 18 MB each
-                    ready.clear()
-                ready[lang] = _Table(known[lang])
-            found = ready[lang](t)
-            out.append((len(found), len(t.split()), float(found.sum(dtype=np.float64))))
-        return pd.DataFrame(out, columns=["chars", "words", "log_p"])
-
-    got = docs.withColumn("__got", log_p("__of", text_of()))
-    names = [c for c in docs.columns if c != "__of"]
-    return got.select(*names, F.col("__of").alias("of"), "__got.chars", "__got.words", "__got.log_p")
+    g = materialize(g.select("lang", "k", p.alias("p")), "probabilities")
+    own = g.where(F.col("lang") != ALL).join(model["share"], "lang").select(F.col("lang").alias("of"), "k", F.col("p").alias("own"), "share")
+    out = keys.join(g.where(F.col("lang") == ALL).select("k", "p"), "k").withColumn("of", F.col("lang"))
+    out = out.join(own, ["of", "k"], "left")
+    mixed = F.when(F.col("own").isNull(), F.col("p")).otherwise(F.col("share") * F.col("own") + (1 - F.col("share")) * F.col("p"))
+    return out.select("lang", "k", F.round(F.log(mixed) * LOG_UNIT).cast("int").alias("lp"))
+
+
+def score(blocks: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """doc_id, mark, lang, words, chars (symbols) and log_p of every document in the blocks;
+    log_p is null without a model."""
+    name = F.coalesce("lang", F.lit(ALL))
+    listed = blocks.select("block", name.alias("lang"), F.posexplode("keys").alias("at", "k"))
+    found = log_probabilities(listed.select("lang", "k").distinct(), model)
+    found = listed.join(materialize(found, "log-probabilities"), ["lang", "k"])
+    found = found.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "lp"))).alias("lps"))  # the block's distinct trigrams
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                lang, ids, marks, words, ends, data, lps = (c[i].as_py() for c in b.columns)
+                place, n, owner = unpack(data, ends)
+                known = len(lps) > 0 and lps[0] is not None
+                logs = np.array(lps if known else [0] * len(lps), np.int64)
+                total = np.bincount(owner, logs[place] * n, len(ends))  # whole numbers, exact
+                chars = np.bincount(owner, n, len(ends)).astype(np.int64)
+                log_p = pa.array(total / LOG_UNIT) if known else pa.nulls(len(ends), pa.float64())
+                columns = [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array([lang] * len(ids), pa.string()), pa.array(words, pa.int64()), pa.array(chars), log_p]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "lang", "words", "chars", "log_p"])
+
+    # Texts without symbols alone make a block without trigrams, hence the outer join.
+    both = blocks.join(found.hint("merge"), "block", "left")
+    both = both.select("lang", "doc_id", "mark", "words", "ends", "data", F.coalesce(F.col("lps.lp"), F.array().cast("array<int>")).alias("lp"))
+    return both.mapInArrow(run, "doc_id long, mark long, lang string, words long, chars long, log_p double")
 
 
 def _nats() -> tuple:
@@ -257,46 +288,84 @@ def _nats() -> tuple:
     return symbol, word
 
 
-def thresholds(trusted: DataFrame, model: dict, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """of, mean and word_mean (log-probability a symbol and a word), most and least (limits of
-    the two perplexities' logarithms): a row a language and one for all, from the trusted
-    text that was held out of the counts (from all of it, where less than 10 documents were)."""
-    columns = ["of", "held", "chars", "words", "log_p"]
-    pooled = score(trusted.withColumn("lang", F.lit(None).cast("string")), model)
-    rows = score(trusted, model).where(F.col("of") != ALL).select(*columns).unionByName(pooled.select(*columns)).where("words > 0")
-    rows = materialize(rows, "trusted-scores")
-    held = rows.groupBy("of").agg(F.count_if("held").alias("n_held"))
-    rows = rows.join(held, "of").where(F.col("held") | (F.col("n_held") < 10))
-    mean = rows.groupBy("of").agg((F.sum("log_p") / F.sum("chars")).alias("mean"), (F.sum("log_p") / F.sum("words")).alias("word_mean"))
+def thresholds(held: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    """lang, mean and word_mean (log-probability a symbol and a word), most and least (limits
+    of the two perplexities' logarithms) from the stored scores of the documents held out: a
+    row a language and one for ALL, which serves those that aren't there."""
+    rows = held.where("words > 0 AND log_p IS NOT NULL").withColumn("lang", F.explode(F.array_distinct(F.array(F.lit(ALL), F.coalesce("lang", F.lit(ALL))))))
+    mean = rows.groupBy("lang").agg((F.sum("log_p") / F.sum("chars")).alias("mean"), (F.sum("log_p") / F.sum("words")).alias("word_mean"), F.count("*").alias("n"))
+    mean = materialize(mean, "means")
     symbol, word = _nats()
-    rows = rows.join(mean, "of").withColumn("symbol", symbol).withColumn("word", word)
-    most, least = F.percentile_approx("symbol", quantile, RANKS), F.percentile_approx("word", 1 - quantile, RANKS)
-    return rows.groupBy("of", "mean", "word_mean").agg((most + float(np.log(margin))).alias("most"), (least / margin).alias("least"))
-
-
-def classify(docs: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds perplexity (a symbol), word_perplexity, threshold, word_threshold and kept to
-    the columns of `docs`.
-
-    Texts without characters (null, empty, white space) have no perplexity and aren't kept.
-    Null or rare languages are held against the model of all languages. Labels may repeat,
-    be null or name no document. Without any trusted text nothing can be judged: perplexity
-    and threshold are null and whatever has text is kept. Rows are judged one by one, so
-    ties and repeated rows need no rule. Columns named as the new ones are replaced.
+    # In the row of all, a document is measured by how far it is from its own language's mean.
+    own = F.broadcast(mean.select(F.col("lang").alias("of"), "mean", "word_mean"))  # a row a language
+    far = held.where("words > 0 AND log_p IS NOT NULL").join(own, F.coalesce("lang", F.lit(ALL)) == F.col("of"))
+    far = far.select("of", (symbol + F.col("mean")).alias("symbol"), (word + F.col("word_mean")).alias("word"))
+    upper, lower = F.percentile_approx("symbol", quantile, RANKS), F.percentile_approx("word", 1 - quantile, RANKS)
+    each = far.groupBy("of").agg(upper.alias("upper"), lower.alias("lower"))
+    whole = far.agg(upper, lower).first()
+    share = F.when(F.col("lang") == ALL, 0.0).otherwise(F.col("n") / (F.col("n") + PRIOR_DOCS))
+    drawn = lambda a, b: F.when(F.col(a).isNull(), F.lit(b)).otherwise(share * F.col(a) + (1 - share) * F.lit(b))
+    out = mean.join(each, F.col("lang") == F.col("of"), "left")
+    most = drawn("upper", whole[0]) - F.col("mean") + float(np.log(margin))
+    least = (drawn("lower", whole[1]) - F.col("word_mean")) / margin
+    return out.select("lang", "mean", "word_mean", most.alias("most"), least.alias("least"))
+
+
+def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, mark (hash of the text), lang, perplexity (a symbol), word_perplexity,
+    threshold, word_threshold and kept: a row for each row of `docs`.
+
+    Texts without words (null, empty, white space) have no perplexity and aren't kept. Null
+    languages and those without trusted text are held against the model and the limits of
+    all. Labels may repeat, be null or name no document. Without trusted documents to train
+    on there is no perplexity, without any held out no threshold; then nothing can be judged
+    and whatever has words is kept. Rows are judged one by one, so ties and repeated rows
+    need no rule. Other columns aren't looked at.
     """
-    docs = docs.drop("perplexity", "word_perplexity", "threshold", "word_threshold", "kept", *("of", "chars", "words", "log_p", "mean", "word_mean", "most", "least"))
-    trusted = trusted_text(documents, labels)
-    model = train(trusted)
-    limits = materialize(thresholds(trusted, model), "thresholds")
-    scored = score(docs, model).join(F.broadcast(limits), "of", "left")  # a row a language with LEAST_DOCS trusted documents
+    blocks = coded(docs)
+    members = materialize(trusted_members(blocks, labels), "trusted")
+    model = train(counted(blocks, members))
+    scored = materialize(score(blocks, model), "scores")
+    held = members.where("held").select("doc_id").distinct()
+    limits = materialize(thresholds(materialize(scored.join(held, "doc_id", "left_semi"), "held-scores")), "thresholds")
+    own = F.broadcast(limits.select(F.col("lang").alias("of"), *[F.col(c) for c in ("mean", "word_mean", "most", "least")]))  # a row a language
+    rest = limits.where(F.col("lang") == ALL).first()
+    rows = scored.join(own, F.col("lang") == F.col("of"), "left")
+    for c in ("mean", "word_mean", "most", "least"):
+        rows = rows.withColumn(c, F.coalesce(c, F.lit(rest[c] if rest else None).cast("double")))
     judged = (F.col("words") > 0) & F.col("most").isNotNull()
-    symbol, word = (F.when(judged, x) for x in _nats())
+    symbol, word = _nats()
     fair = (symbol <= F.col("most")) & (word >= F.col("least"))
-    kept = (F.col("words") > 0) & (F.col("most").isNull() | F.coalesce(fair, F.lit(False)))
-    limits = [F.exp("most").alias("threshold"), F.exp("least").alias("word_threshold")]
-    return scored.select(*docs.columns, F.exp(symbol).alias("perplexity"), F.exp(word).alias("word_perplexity"), *limits, kept.alias("kept"))
+    kept = (F.col("words") > 0) & (F.col("most").isNull() | F.col("log_p").isNull() | F.coalesce(fair, F.lit(False)))
+    perplexity = [F.exp(F.when(F.col("words") > 0, F.coalesce(x, y))) for x, y in ((symbol, -F.col("log_p") / F.col("chars")), (word, -F.col("log_p") / F.col("words")))]
+    return rows.select(
+        "doc_id", "mark", "lang", perplexity[0].alias("perplexity"), perplexity[1].alias("word_perplexity"),
+        F.exp("most").alias("threshold"), F.exp("least").alias("word_threshold"), kept.alias("kept"),
+    )
+
+
+def _rows(docs: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`docs` and a row a verdict, both with KEY: id, text and language."""
+    mark = F.struct(F.xxhash64(text_of()).alias("mark"), F.col("lang").isNull().alias("none"), F.coalesce("lang", F.lit("")).alias("lang"))
+    found = F.struct("mark", F.col("lang").isNull().alias("none"), F.coalesce("lang", F.lit("")).alias("lang"))
+    return keyed(docs, mark), judged.select("*", *id_key(), found.alias("__mark"))
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that are kept, as they are; columns of any name pass through."""
+    rows, judged = _rows(docs, verdicts(docs, labels))
+    return rows.join(judged.where("kept").select(*KEY), KEY, "left_semi").select(f"{OWN}.*")
+
+
+NEW = ("perplexity", "word_perplexity", "threshold", "word_threshold", "kept")
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds the columns NEW (see verdicts) to those of `docs`; columns of these names are replaced."""
+    rows, judged = _rows(docs, verdicts(docs, labels))
+    names = [F.col(f"{OWN}.`{c}`") for c in docs.columns if c not in NEW]
+    return rows.join(judged.select(*KEY, *NEW).dropDuplicates(KEY), KEY).select(*names, *NEW)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return classify(documents, documents, table(spark, sf_dir, "labels")).select("doc_id", "lang", "perplexity", "word_perplexity", "threshold", "word_threshold", "kept")
+    return verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("mark")

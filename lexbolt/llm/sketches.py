@@ -1,14 +1,15 @@
 """Operator 6, document fingerprints: threshold-scaled sketches.
 
-A sketch keeps every 5-word shingle hash below a fixed fraction of the hash range. What is
-kept depends on the shingle alone, so sketches of parts merge by union, and containment of
-a short document in a very long one is estimated without bias (a fixed-size sketch would
-hold almost nothing of the short one). Words are lower-cased and split at white space;
+A sketch keeps every 5-word shingle hash below a fixed fraction of the hash range, and the
+smallest. What is kept depends on the shingle alone, so sketches merge by union, and
+containment of a short document in a very long one is estimated without bias (a fixed-size
+sketch would hold almost nothing of the short one). Words are lower-cased and split at white space;
 fewer than five make one shingle.
 
 The edited twin of a document takes the start of the document after it, by descending
-doc_id. Documents are dealt into buckets of consecutive ids (bounds from quantiles) and
-each bucket also gets the first document of the next one, so a single shuffle of the texts
+doc_id. Documents are dealt into buckets of consecutive ids (a range exchange of ids and
+hashes alone gives the bounds, each the first document of its bucket) and each bucket also
+gets the first document of the next one, so a single shuffle of the texts
 brings every document beside its successor; a task then streams its sorted rows and holds
 one document at a time. Nothing depends on partitions being the same when a lost one is
 computed again, as buckets are a function of doc_id.
@@ -17,6 +18,7 @@ computed again, as buckets are a function of doc_id.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbolt.llm.common import shuffle_width, table, text_of
+from lexbolt.llm.common import materialize, shuffle_width, table, text_of
 
-WORDS, FRACTION, SEED = 5, 8, 6
+WORDS, FRACTION, SEED = 5, 2, 6
 #: Hashes have 48 bits, twelve hex digits.
 HASH_BITS = 48
 _WORD_CACHE: dict[str, int] = {}
@@ -70,32 +72,51 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def sketch(text: str, words: int = WORDS, fraction: int = FRACTION) -> str:
-    """Number of distinct shingles and smallest hash, then every hash under 1/fraction, in hex."""
+    """The smallest hash, a colon, then every hash under 1/fraction, in hex; ":" without words."""
     h = shingles(text, words)
-    if not len(h):
-        return "0:"
-    kept = h[: np.searchsorted(h, np.uint64((1 << HASH_BITS) // fraction))]
+    return _written(h[:1], h[: np.searchsorted(h, np.uint64((1 << HASH_BITS) // fraction))])
+
+
+def _written(least: np.ndarray, kept: np.ndarray) -> str:
     raw = kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BITS // 8 :].tobytes().hex()
-    return f"{len(h):x}:{int(h[0]):012x}:{raw}"
+    return (f"{int(least[0]):012x}:" if len(least) else ":") + raw
 
 
-def kept_hashes(fingerprint: str) -> np.ndarray:
-    raw = np.frombuffer(bytes.fromhex(fingerprint.split(":")[-1]), np.uint8).reshape(-1, HASH_BITS // 8)
+def _read(part: str) -> np.ndarray:
+    raw = np.frombuffer(bytes.fromhex(part), np.uint8).reshape(-1, HASH_BITS // 8)
     return np.concatenate([np.zeros((len(raw), 8 - HASH_BITS // 8), np.uint8), raw], 1).copy().view(">u8").ravel().astype(np.uint64)
 
 
+def kept_hashes(fingerprint: str) -> np.ndarray:
+    return _read(fingerprint.split(":")[1])
+
+
+def merge(fingerprints: list[str]) -> str:
+    """The sketch of the union of the shingles: of whole documents, or of parts of one that
+    overlap by a shingle less a word."""
+    least, kept = zip(*[map(_read, f.split(":")) for f in fingerprints]) if fingerprints else ([np.zeros(0, np.uint64)],) * 2
+    return _written(np.unique(np.concatenate(least))[:1], np.unique(np.concatenate(kept)))
+
+
+def shingle_count(fingerprint: str, fraction: int = FRACTION) -> int:
+    """Estimated number of distinct shingles."""
+    return max(len(kept_hashes(fingerprint)) * fraction, int(fingerprint != ":"))
+
+
 def compare(a: str, b: str) -> tuple[float, float, float]:
     """Estimated resemblance, and containment of a in b and of b in a; 0 to 1.
 
-    Sketches that keep nothing (few shingles) are alike only if they are equal.
+    Of two sketches that keep nothing (few shingles) only the smallest hashes are left to
+    tell: they agree with the probability of the resemblance. Texts without words are alike.
     """
     if a == b:
         return 1.0, 1.0, 1.0
     x, y = kept_hashes(a), kept_hashes(b)
+    if not len(x) and not len(y):
+        same = float(a.split(":")[0] == b.split(":")[0])
+        return same, same, same
     common = len(np.intersect1d(x, y, assume_unique=True))
-    if not common:
-        return 0.0, 0.0, 0.0
-    return common / (len(x) + len(y) - common), common / len(x), common / len(y)
+    return common / (len(x) + len(y) - common), common / max(1, len(x)), common / max(1, len(y))
 
 
 def edited(text: str, following: str) -> str:
@@ -107,36 +128,42 @@ def edited(text: str, following: str) -> str:
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id, text, bucket, guest: every document in its bucket of consecutive ids, and
     each bucket's first document once more as a guest at the end of the bucket before it
-    (the very first at the end of the last). Order: descending id, nulls last, then text."""
+    (the very first at the end of the last). Order: descending id, nulls last, then by a
+    hash of the text, so that a hot id or many nulls are cut into buckets like others."""
+    mark = F.xxhash64("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    buckets = 4 * shuffle_width(docs.sparkSession)
-    marks = rows.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0]
-    bounds = sorted(set(marks or []), reverse=True)
-    at = F.lit(len(bounds)) if not bounds else F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b > F.col("doc_id"))), F.lit(len(bounds)))
-    at = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(at)
-    rows = rows.withColumn("bucket", at)
-    # Of each bucket its first id: as many as there are buckets.
-    firsts = rows.groupBy("bucket").agg(F.max("doc_id").alias("id"), F.count("doc_id").alias("n")).orderBy("bucket").collect()
-    hosts = [(f["id"], firsts[k - 1]["bucket"]) for k, f in enumerate(firsts)]  # the first goes to the last
-    for_id = {i: b for i, b in hosts if i is not None}
-    host = F.lit(None).cast("int")
-    if for_id:
-        host = F.element_at(F.create_map(*[F.lit(x) for pair in for_id.items() for x in pair]), F.col("doc_id"))
-    if None in {i for i, _ in hosts}:  # only null ids there are in the first bucket
-        host = F.coalesce(host, F.when(F.col("doc_id").isNull(), F.lit(dict(hosts)[None])))
-    own = F.struct("bucket", F.lit(False).alias("guest"))
-    places = F.when(host.isNull(), F.array(own)).otherwise(F.array(own, F.struct(host.alias("bucket"), F.lit(True).alias("guest"))))
-    rows = rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.bucket", "p.guest")
+    rows = rows.select("*", F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("down"), mark.alias("mark"))
+    place = ["none", "down", "mark"]
+    narrow = rows.select(*place).repartitionByRange(4 * shuffle_width(docs.sparkSession), *place)
+    narrow = materialize(narrow.withColumn("range", F.spark_partition_id()), "ranges")
+    first = F.min(F.struct(*place)).alias("first")
+    bounds = sorted(tuple(r["first"]) for r in narrow.groupBy("range").agg(first).collect())  # a row a bucket
+
+    @F.pandas_udf("struct<bucket:int,host:int>")
+    def placed(none, down, mark):
+        import pandas as pd
+
+        keys = list(zip(none.tolist(), down.tolist(), mark.tolist()))
+        bucket = [bisect_right(bounds, k) - 1 for k in keys]
+        host = [((b - 1) % len(bounds)) if bounds[b] == k else -1 for b, k in zip(bucket, keys)]
+        return pd.DataFrame({"bucket": pd.Series(bucket, dtype="int32"), "host": pd.Series(host, dtype="int32")})
+
+    rows = rows.withColumn("at", placed(*place))
+    own = F.struct(F.col("at.bucket").alias("bucket"), F.lit(False).alias("guest"))
+    guest = F.struct(F.col("at.host").alias("bucket"), F.lit(True).alias("guest"))
+    places = F.when(F.col("at.host") < 0, F.array(own)).otherwise(F.array(own, guest))
+    rows = rows.select("doc_id", "text", *place, F.explode(places).alias("p")).select("doc_id", "text", "p.bucket", "p.guest", *place)
     spread = rows.repartition(2 * shuffle_width(docs.sparkSession), "bucket")
-    return spread.sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    return spread.sortWithinPartitions("bucket", "guest", *place).select("doc_id", "text", "bucket", "guest")
 
 
 def edited_pairs(docs: DataFrame, words: int = WORDS, fraction: int = FRACTION) -> DataFrame:
     """A row for each row of `docs`; see op6. Further columns: contained_edited (the share
     of the document's shingles in its edited text) and contained_next.
 
-    Null text counts as empty: n_chars 0, the sketch "0:", alike to other empty texts only.
-    Rows with equal ids follow each other by text; null ids come last. A lone document is
+    Null text counts as empty: n_chars 0, the sketch ":", alike to texts without words only.
+    Rows with equal ids follow each other by a hash of the text; null ids come last. Columns
+    other than doc_id and text aren't looked at. A lone document is
     its own successor. No rows give no rows.
     """
 

@@ -244,8 +244,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "segment", "place", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     docs = stored.select("shard", "segment", "data").mapInArrow(run, "shard int, segment int, place long, doc_id long, at long, n_tokens long, ids_crc32 long")
-    before = F.sum("tokens").over(W.orderBy("shard", "segment").rowsBetween(W.unboundedPreceding, -1))  # a row a segment
-    bases = stored.select("shard", "segment", F.coalesce(before, F.lit(0)).alias("base"))
+    # Sums of shards first (as many as there were partitions), then inside each shard.
+    earlier = lambda by: F.coalesce(F.sum("tokens").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shards = stored.groupBy("shard").agg(F.sum("tokens").alias("tokens")).select("shard", earlier(W.orderBy("shard")).alias("shard_base"))
+    bases = stored.select("shard", "segment", earlier(W.partitionBy("shard").orderBy("segment")).alias("base"))
+    bases = bases.join(shards, "shard").select("shard", "segment", (F.col("base") + F.col("shard_base")).alias("base"))
     joined = docs.join(bases, ["shard", "segment"])
     return joined.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", "segment", "place")
 

@@ -2,15 +2,15 @@
 
 A payload's bytes are stored once, in the response record of its group, addressed by a
 strong digest (SHA-256 with the length; SHA-1 in base32 goes into the headers, as WARC
-names it, and is recomputed from the bytes whenever the archive is read). Every record's
-header block is kept exactly. Rows that share a payload become revisit records that hold
-headers only; `reconstruct` joins them with the stored payload and gives the original
-records back byte for byte.
+names it, and is recomputed from the bytes whenever the archive is read). The exact header
+block of every original record is kept in a table of its own. Rows that share a payload
+become revisit records that hold headers only; `reconstruct` joins the headers with the
+stored payloads on the strong digest and gives the original records back byte for byte.
 
 Archives are real WARC 1.1 files: Spark's text writer puts one record a line, with the
 record's last byte, a line feed, as the line separator. So any file system that Spark
 writes to holds them and a task that is lost is simply written again. Files are read with
-the binary reader and cut by Content-Length.
+the binary reader, inflated as they are read and cut by Content-Length.
 
 Who is the response is decided on a narrow table of digests, pre-aggregated, so that a
 payload that fills a third of the rows costs a row a task; the payloads then meet that
@@ -28,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbolt.llm.common import materialize, new_path, table, text_of
+from lexbolt.llm.common import BATCH_BYTES, materialize, new_path, table, text_of
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in a file; with long payloads the writer's partition ends it sooner.
-FILE_RECORDS = 5000
+#: Bytes of the records of a file at most, unless it has a single one. Files of short
+#: records and of longer ones are written apart, so that few long ones don't make small files.
+FILE_BYTES, SHORT_BYTES = 64 << 20, 16 << 10
+#: Rows that take one copy of a payload when records are put together again.
+SHARE_ROWS = 4096
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -58,54 +61,105 @@ def _lines(*fields: tuple[str, Column]) -> Column:
     return F.concat(F.lit("WARC/1.1\r\n"), *[F.coalesce(p, F.lit("")) for p in parts], F.lit("\r\n"))
 
 
-def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, header, payload (null in revisits): a record for each row of `pages`.
-
-    Of rows with equal payloads of at least `least_bytes` that with the largest page_id is
-    the response (null ids count as the smallest); rows that repeat its id are responses too.
-    """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), text_of("html").alias("payload"))
-    rows = rows.withColumn("octets", F.octet_length("payload").cast("long")).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
-    narrow = rows.where(F.col("octets") >= least_bytes).groupBy("sha256", "octets").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
-    shared = materialize(narrow.where("n > 1").drop("n"), "shared-payloads")
-    rows = rows.join(shared, ["sha256", "octets"], "left")
-    revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("revisit", revisit)
-    target = F.when(F.col("revisit"), F.col("response_id"))
-    header = _lines(
-        ("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
+def _header(kind: str, refers_to: Column | None, length: Column) -> Column:
+    return _lines(
+        ("WARC-Type", F.lit(kind)),
         ("WARC-Record-ID", _urn(F.col("page_id"))),
         ("WARC-Date", F.lit(DATE)),
         ("WARC-Target-URI", F.col("url")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), _base32(F.col("sha1")))),
-        ("WARC-Profile", F.when(F.col("revisit"), PROFILE)),
-        ("WARC-Refers-To", F.when(F.col("revisit"), _urn(target))),
+        *([] if refers_to is None else [("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", _urn(refers_to))]),
         ("Content-Type", F.lit("text/html; charset=utf-8")),
-        ("Content-Length", F.when(F.col("revisit"), 0).otherwise(F.col("octets"))),
+        ("Content-Length", length),
     )
-    return rows.select("page_id", header.alias("header"), F.when(~F.col("revisit"), F.col("payload")).alias("payload"))
-
-
-def write(recs: DataFrame, path: str) -> None:
-    """WARC files, gzipped, in the folder `path`."""
-    line = F.concat("header", F.coalesce("payload", F.lit("")), F.lit("\r\n\r"))
-    recs.select(line.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """(header block, content) of each record; ValueError if the file is damaged."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = data[at : end + 4]
-        size = int(field(head, "Content-Length") or -1)
-        at = end + 4 + size
-        if size < 0 or data[at : at + 4] != b"\r\n\r\n":
+
+
+def _digested(pages: DataFrame) -> DataFrame:
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), text_of("html").alias("payload"))
+    rows = rows.withColumn("octets", F.octet_length("payload").cast("long")).withColumn("sha256", F.unhex(F.sha2("payload", 256)))
+    return rows.withColumn("sha1", F.sha1("payload"))
+
+
+def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+    """The archive in the folder `path`: `headers`, a Parquet table with a row for each row of
+    `pages` (page_id, sha256, octets, the exact header block of its record, and the SHA-256
+    of the whole record), and `warc`, gzipped WARC files that hold each payload once.
+
+    Of rows with equal payloads of at least `least_bytes` that with the largest page_id is
+    the response (null ids count as the smallest); rows that repeat its id are responses too.
+    """
+    rows = _digested(pages).withColumn("header", _header("response", None, F.col("octets")))
+    record = F.sha2(F.concat("header", "payload", F.lit("\r\n\r\n")), 256)
+    kept = rows.select("page_id", "sha256", "octets", F.encode("header", "UTF-8").alias("header"), F.unhex(record).alias("record_sha256"))
+    kept.write.parquet(f"{path}/headers")
+    headers = pages.sparkSession.read.parquet(f"{path}/headers")
+    shared = headers.where(F.col("octets") >= least_bytes).groupBy("sha256", "octets").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
+    shared = materialize(shared.where("n > 1").drop("n"), "shared-payloads")
+    longest = headers.agg(F.max("octets")).first()[0] or 0
+
+    rows = rows.join(shared, ["sha256", "octets"], "left")
+    revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
+    rows = rows.withColumn("revisit", revisit)
+    line = F.when(F.col("revisit"), _header("revisit", F.col("response_id"), F.lit(0))).otherwise(F.concat("header", "payload"))
+    short = F.col("revisit") | (F.col("octets") <= SHORT_BYTES)
+    for name, use, most in (("short", short, SHORT_BYTES), ("long", ~short, longest)):
+        if name == "short" or longest > SHORT_BYTES:
+            out = rows.where(use).select(F.concat(line, F.lit("\r\n\r")).alias("value"))
+            out.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // most)).text(f"{path}/warc/size={name}")
+
+
+class _Inflated:
+    """The bytes of a gzip file (of any number of members) as they are asked for."""
+
+    def __init__(self, packed: bytes):
+        self.rest, self.member, self.held = packed, zlib.decompressobj(31), b""
+
+    def _more(self) -> bool:
+        if self.member.eof:
+            self.rest = self.member.unused_data
+            if not self.rest:
+                return False
+            self.member = zlib.decompressobj(31)
+        got = self.member.decompress(self.rest, 1 << 20)
+        self.rest = self.member.unconsumed_tail
+        self.held += got
+        return bool(got) or self.member.eof
+
+    def until(self, mark: bytes) -> bytes | None:
+        """Up to the mark and with it; None at the end of the file."""
+        while (end := self.held.find(mark)) < 0:
+            if not self._more():
+                if self.held:
+                    raise ValueError("the file ends inside a header")
+                return None
+        out, self.held = self.held[: end + len(mark)], self.held[end + len(mark) :]
+        return out
+
+    def take(self, n: int) -> bytes:
+        parts, have = [self.held], len(self.held)
+        while have < n:
+            self.held = b""
+            if not self._more():
+                raise ValueError("the file ends inside a record")
+            parts.append(self.held)
+            have += len(self.held)
+        whole = b"".join(parts)
+        self.held = whole[n:]
+        return whole[:n]
+
+
+def parse(packed: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(header block, content) of each record of a gzipped file, which is inflated as far as
+    it is read; ValueError if it is damaged."""
+    data = _Inflated(packed)
+    while (head := data.until(b"\r\n\r\n")) is not None:
+        length = field(head, "Content-Length") or ""
+        if not head.startswith(b"WARC/") or not length.isdigit():
+            raise ValueError("no WARC record where one should start")
+        body = data.take(int(length))
+        if data.take(4) != b"\r\n\r\n":
             raise ValueError("a record doesn't end where its Content-Length says")
-        yield head, data[end + 4 : at]
-        at += 4
+        yield head, body
 
 
 def field(header: bytes, name: str) -> str | None:
@@ -121,60 +175,80 @@ def _id(urn: str | None) -> int | None:
     return None if name in ("", "none") else int(name)
 
 
-_READ = "page_id long, record_type string, digest string, refers_to long, octets long, header binary, payload binary"
+_READ = "page_id long, record_type string, digest string, refers_to long, octets long, sha256 binary, payload binary"
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row for each record in the files. Payloads are verified against the digest in
-    their headers; without `payloads` the bytes aren't returned."""
+    their headers; sha256 is taken from the bytes found. Without `payloads` these aren't
+    returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
+        def batch(out: list) -> pa.RecordBatch:
+            columns = list(zip(*out)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], _READ.replace(",", "").split()[::2])
+
         for b in batches:
             for packed in b.column(0):
-                out = []
-                for head, body in parse(zlib.decompress(packed.as_py(), 47)):
+                out, size = [], 0
+                for head, body in parse(packed.as_py()):
                     digest, kind = (field(head, "WARC-Payload-Digest") or "").removeprefix("sha1:"), field(head, "WARC-Type")
-                    if kind == "response" and base32_sha1(body) != digest:
-                        raise ValueError(f"a payload differs from its digest {digest}")
                     full = kind == "response"
-                    out.append((_id(field(head, "WARC-Record-ID")), kind, digest, _id(field(head, "WARC-Refers-To")), len(body) if full else None, head, body if full and payloads else None))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                columns = list(zip(*out)) or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], _READ.replace(",", "").split()[::2])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+                    if full and base32_sha1(body) != digest:
+                        raise ValueError(f"a payload differs from its digest {digest}")
+                    sha256 = hashlib.sha256(body).digest() if full else None
+                    out.append((_id(field(head, "WARC-Record-ID")), kind, digest, _id(field(head, "WARC-Refers-To")), len(body) if full else None, sha256, body if full and payloads else None))
+                    size += len(body)
+                    if size > BATCH_BYTES or len(out) >= 4096:
+                        yield batch(out)
+                        out, size = [], 0
+                yield batch(out)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{path}/warc").select("content")
     return files.mapInArrow(run, _READ)
 
 
-def reconstruct(found: DataFrame) -> DataFrame:
-    """page_id, record (the original response record's bytes): each header with its payload,
-    revisits through a join on the digest."""
-    stored = found.where("record_type = 'response'").select(F.col("digest").alias("d"), F.col("payload").alias("bytes")).dropDuplicates(["d"])
-    full = found.join(stored, F.col("digest") == F.col("d"))
-    # Headers are text of our own making; a revisit's differ from the original's in four lines.
-    text = F.decode("header", "UTF-8")
-    text = F.regexp_replace(text, r"WARC-(Profile|Refers-To): [^\r]*\r\n", "")
-    text = F.regexp_replace(text, r"WARC-Type: revisit", "WARC-Type: response")
-    text = F.regexp_replace(text, r"Content-Length: \d+", F.concat(F.lit("Content-Length: "), F.length("bytes").cast("string")))
-    return full.select("page_id", F.concat(F.encode(text, "UTF-8"), "bytes", F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("record"))
+def reconstruct(spark: SparkSession, path: str, found: DataFrame | None = None) -> DataFrame:
+    """page_id, record_sha256 (as it was written) and record, the bytes of the original
+    record, for each row archived: its header with the payload that its digest names.
+
+    A payload shared by many rows is dealt to as many tasks as these rows fill.
+    """
+    found = read(spark, path) if found is None else found
+    headers = spark.read.parquet(f"{path}/headers")
+    shares = headers.groupBy("sha256", "octets").agg(F.ceil(F.count("*") / SHARE_ROWS).cast("int").alias("shares"))
+    rows = headers.join(shares.where("shares > 1"), ["sha256", "octets"], "left").fillna(1, ["shares"])
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("header"), "shares").cast("int")).drop("shares")
+    stored = found.where("record_type = 'response'").groupBy("sha256", "octets").agg(F.first("payload").alias("payload"))
+    stored = stored.join(shares, ["sha256", "octets"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    full = rows.join(stored, ["sha256", "octets", "share"])
+    return full.select("page_id", "record_sha256", F.concat("header", "payload", F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("record"))
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Writes `pages` as an archive and reads it back: a row for each row of `pages`.
 
     Null html is an empty payload, shared like any other; a null url leaves out its header.
-    Payload size and digest of a revisit come from the response it refers to, by a join.
-    No rows give no rows.
+    Repeated ids and rows are records of their own. Payload size and digest of a revisit
+    come from the response it refers to, by a join. restored says whether the records of
+    the page, put together again, have the digest that they were written with. Other columns
+    aren't looked at. No rows give no rows.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write(records(pages, least_bytes), path)
-    found = materialize(read(spark, path, payloads=False).drop("payload", "header"), "warc-index")
+    write(pages, path, least_bytes)
+    found = materialize(read(spark, path, payloads=False).drop("payload"), "warc-index")
     stored = found.where("record_type = 'response'").groupBy("page_id", "digest").agg(F.max("octets").alias("full"))
     stored = stored.withColumnsRenamed({"page_id": "of", "digest": "d"})
     revisits = found.where("record_type = 'revisit'").join(stored, (F.col("refers_to").eqNullSafe(F.col("of"))) & (F.col("digest") == F.col("d")))
     both = found.where("record_type = 'response'").withColumn("full", F.col("octets")).unionByName(revisits.drop("of", "d"))
-    return both.select("page_id", F.col("full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    again = reconstruct(spark, path).select(F.col("page_id").alias("of"), (F.unhex(F.sha2("record", 256)) == F.col("record_sha256")).alias("same"))
+    again = again.groupBy("of").agg(F.min("same").alias("restored"))
+    both = both.join(again, F.col("page_id").eqNullSafe(F.col("of")), "left")
+    restored = F.coalesce("restored", F.lit(False)).alias("restored")
+    return both.select("page_id", F.col("full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", restored)
 
 
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

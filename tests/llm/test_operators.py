@@ -97,7 +97,7 @@ def test_mixing_meets_targets_beside_very_long_documents(spark):
 
 
 def test_tree_splits_exactly(spark):
-    q = spark.createDataFrame([([0, 1, 2], [500.0, 70.0, 1.0])], "sids array<long>, quotas array<double>")
+    q = spark.createDataFrame([([(0, 500.0), (1, 70.0), (2, 1.0)],)], "quotas array<struct<sid:long,quota:double>>")
     got = mixing.split_quotas(q, 7).toPandas()
     assert got.groupby("sid").quota.sum().tolist() == [500, 70, 1] and (got.quota >= 0).all()
     each = got.groupby("shard").quota.sum()
@@ -130,45 +130,88 @@ def test_simhash(docs, rows, none):
     assert simhash.near_groups(none).count() == 0 and simhash.drop_near_copies(none).count() == 0
 
 
+def shard(fps, part, lanes=1, sizes=None):
+    everyone = np.ones(len(fps), bool)
+    return simhash.Shard.of(np.arange(len(fps)), fps.reshape(len(fps), lanes), np.ones(len(fps), np.int32) if sizes is None else sizes, everyone, everyone, part)
+
+
 def test_shard_finds_every_link():
     rng = np.random.default_rng(1)
     seeds = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([seeds ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(60)] + [rng.integers(0, 1 << 63, 3000, dtype=np.uint64)]))
-    rule = simhash.Rule()
-    u, v = [], []
-    for q in range(4):
-        cols = [fps.view(np.int64), fps.view(np.int64), np.zeros(len(fps), np.int64)]
-        a, b = simhash.link_shard(cols, cols, q, rule)
-        u += a.tolist()
-        v += b.tolist()
-    root = {x: x for x in fps.view(np.int64).tolist()}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in zip(u, v):
-        root[max(find(a), find(b))] = min(find(a), find(b))
+    sets = simhash.Sets(len(fps))
+    for part in range(4):
+        for a, b in zip(*simhash.link(shard(fps, part), simhash.Rule())):
+            sets.join(int(a), int(b))
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
-    s = fps.view(np.int64).tolist()
-    assert all(find(s[i]) == find(s[j]) for i, j in zip(*np.nonzero(near)))
-    assert len(u) == len(v)
+    root = sets.flat()
+    assert all(root[i] == root[j] for i, j in zip(*np.nonzero(near)))
+
+
+def test_candidates_are_met_in_one_part_alone():
+    rng, rule = np.random.default_rng(3), simhash.NEAR_RULE
+    base = rng.integers(0, 1 << 63, (50, 4), dtype=np.uint64)
+    flips = np.packbits(rng.random((6, 50, 256)) < 0.12, axis=2).view(">u8").astype(np.uint64)
+    fps = np.concatenate([base, *(base ^ f for f in flips)])
+    met = {}
+    for part in range(rule.parts):
+        for x, y, d in shard(fps, part, 4).near(rule):
+            for i, j, n in zip(x.tolist(), y.tolist(), d.tolist()):
+                met.setdefault((min(i, j), max(i, j)), set()).add(part)
+                assert n == np.bitwise_count(fps[i] ^ fps[j]).sum() <= rule.radius
+    assert all(len(parts) == 1 for parts in met.values())
+    reach = lambda i, j: min(np.bitwise_count(simhash.part_of(fps[i : i + 1], k) ^ simhash.part_of(fps[j : j + 1], k))[0] for k in range(16))
+    for i in range(0, len(fps), 7):
+        for j in range(i):
+            if np.bitwise_count(fps[i] ^ fps[j]).sum() <= rule.radius and reach(i, j) <= rule.reach:
+                assert (j, i) in met
 
 
 @pytest.mark.parametrize("leaves, reach", [(1, 1), (4, 1), (4, 2), (300, 2)])
 def test_near_values_meet_in_one_leaf(leaves, reach):
     rng = np.random.default_rng(leaves)
-    home, offsets, where, count = simhash.leaf_table(rng.integers(0, 1 << 16, 20_000).astype(np.uint16), leaves, reach)
-    assert set(home) == set(range(count)) and offsets[-1] == len(where)
-    lives = lambda v: {home[v], *where[offsets[v] : offsets[v + 1]]}
+    home, count = simhash.leaf_table(rng.integers(0, 1 << 16, 20_000).astype(np.uint16), leaves, reach)
+    assert set(home) == set(range(count))
+    values = rng.integers(0, 1 << 16, 200).astype(np.uint16)
     masks = [m for m in range(1 << 16) if m.bit_count() <= reach]
-    for v in rng.integers(0, 1 << 16, 200).tolist():
-        assert not set(where[offsets[v] : offsets[v + 1]]) - {home[v ^ m] for m in masks}  # no visit for nothing
-        for m in masks:  # at home of one of the two, and in one leaf only
+
+    def lives(v):
+        return {home[v], *simhash.visits(home, np.array([v], np.uint16), reach)[1]}
+
+    for v in values.tolist():
+        for m in masks[:40]:  # at home of one of the two, and in one leaf only
             assert len({home[v], home[v ^ m]} & lives(v) & lives(v ^ m)) == 1
 
 
+def test_shards_are_cut_into_chunks(spark, docs, rows, monkeypatch):
+    whole = sorted((str(r.doc_id), r.component_id) for r in simhash.near_groups(docs).collect())
+    near = sorted(str(r.doc_id) for r in simhash.drop_near_copies(docs).collect())
+    monkeypatch.setattr(simhash, "MAX_SHARD", 20)
+    assert sorted((str(r.doc_id), r.component_id) for r in simhash.near_groups(docs).collect()) == whole
+    assert sorted(str(r.doc_id) for r in simhash.drop_near_copies(docs).collect()) == near
+
+
+def test_near_copies_are_verified(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        w = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(30, 300))]
+        texts.append(" ".join(w))
+        for cut in (2, 8, 30, 90):  # one word in so many changed
+            texts.append(" ".join(x if i % cut else x + "x" for i, x in enumerate(w)))
+        texts.append(" ".join(w[: int(0.85 * len(w))]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.drop_near_copies(df).collect()}
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    alike = [(i, j) for j in range(len(texts)) for i in range(j) if simhash.jaccard(sets[i], sets[j]) >= 0.8]
+    label = simhash.Sets(len(texts))
+    for i, j in alike:
+        label.join(i, j)
+    firsts = {label.find(i) for i in range(len(texts))}
+    caught = [j for _, j in alike if j not in kept]
+    assert kept >= firsts and len(caught) >= 0.95 * len(alike) and len(alike) > 60
+
+
 def test_near_copies_go_and_others_stay(docs, rows):
     kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
     long = {r[0] for r in rows[:60] if len(r[1].split()) > 60}
@@ -189,6 +232,25 @@ def test_sketches(spark, docs, rows, none):
     assert lone[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
 
 
+def test_sketches_estimate_and_merge():
+    rng = random.Random(4)
+    off, far = [], 0
+    for _ in range(200):
+        w = [f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(40, 400))]
+        a, b = " ".join(w), " ".join(w[: len(w) // 2] + [x + "y" for x in w[len(w) // 2 :]])
+        x, y = ({" ".join(t.split()[i : i + 5]) for i in range(len(w) - 4)} for t in (a, b))
+        near, inside, _ = sketches.compare(sketches.sketch(a), sketches.sketch(b))
+        off.append(near - len(x & y) / len(x | y))
+        far = max(far, abs(inside - len(x & y) / len(x)))
+    assert abs(sum(off) / len(off)) < 0.01 and max(map(abs, off)) < 0.25 and far < 0.35
+    w = [str(rng.random()) for _ in range(500)]
+    parts = [sketches.sketch(" ".join(w[max(0, i - 4) : i + 100])) for i in range(0, 500, 100)]
+    assert sketches.merge(parts) == sketches.sketch(" ".join(w)) and sketches.merge([":", parts[0]]) == parts[0]
+    assert sketches.shingle_count(sketches.sketch(" ".join(w))) == pytest.approx(496, rel=0.2)
+    exact = sketches.compare(sketches.sketch("a b c d e f", fraction=1), sketches.sketch("b c d e f g", fraction=1))
+    assert exact[0] == 1 / 3 and sketches.compare(":", sketches.sketch("a"))[0] == 0.0 and sketches.compare(":", ":")[0] == 1.0
+
+
 def test_sketch_containment_of_unequal_texts():
     rng = random.Random(3)
     words = [str(rng.random()) for _ in range(20000)]
@@ -221,7 +283,7 @@ def test_elias_fano_round_trip():
 
 
 def test_warc(spark):
-    pages = [(1, "http://a", "x<p>é\r\n\r\n"), (2, "u", "x<p>é\r\n\r\n"), (3, None, None), (4, "u", ""), (5, "z", "WARC/1.1\r\n\r\n\n"), (7, "q", "x<p>é\r\n\r\n"), (None, "n", "lone")]
+    pages = [(1, "http://a", "x<p>é\r\n\r\n"), (2, "u", "x<p>é\r\n\r\n"), (3, None, None), (4, "u", ""), (5, "z", "WARC/1.1\r\n\r\n\n"), (7, "Content-Length: 7 WARC-Type: revisit", "x<p>é\r\n\r\n"), (None, "n", "lone")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r for r in warc.archive(df).collect()}
     assert len(got) == 7 and {i for i, r in got.items() if r.record_type == "revisit"} == {1, 2, 3}
@@ -229,12 +291,33 @@ def test_warc(spark):
     for i, _, html in pages:
         raw = (html or "").encode()
         assert got[i].payload_bytes == len(raw) and got[i].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    assert all(r.restored for r in got.values())
     path = new_path(spark, "w")
-    warc.write(warc.records(df), path)
-    back = {r.page_id: bytes(r.record) for r in warc.reconstruct(warc.read(spark, path)).collect()}
-    for i, _, html in pages:
-        assert back[i].endswith((html or "").encode() + b"\r\n\r\n") and b"WARC-Type: response" in back[i]
+    warc.write(df, path)
+    back = {r.page_id: bytes(r.record) for r in warc.reconstruct(spark, path).collect()}
+    for i, url, html in pages:
+        raw = (html or "").encode()
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        uri = f"WARC-Target-URI: {url}\r\n" if url is not None else ""
+        name = "none" if i is None else i
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{name}>\r\nWARC-Date: {warc.DATE}\r\n{uri}WARC-Payload-Digest: sha1:{digest}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(raw)}\r\n\r\n"
+        assert back[i] == head.encode() + raw + b"\r\n\r\n"
     assert warc.archive(df.limit(0)).count() == 0
+    twice = warc.archive(df.unionByName(df)).collect()  # repeated ids are responses of their own
+    assert len(twice) == 14 and sum(r.record_type == "response" for r in twice) == 8 and all(r.restored for r in twice)
+
+
+def test_warc_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SHORT_BYTES", 100)
+    monkeypatch.setattr(warc, "FILE_BYTES", 1000)
+    monkeypatch.setattr(warc, "SHARE_ROWS", 2)
+    df = spark.createDataFrame([(i, "u", "x" * (50 + 7 * i)) for i in range(40)] + [(100 + i, f"u{i}", "same") for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "w")
+    warc.write(df, path)
+    files = spark.read.format("binaryFile").load(f"{path}/warc").select("content").collect()
+    sizes = [[len(body) for _, body in warc.parse(bytes(f.content))] for f in files]
+    assert max(sum(x) for x in sizes) <= 1000 and sum(map(len, sizes)) == 49 and len(files) > 5
+    assert warc.reconstruct(spark, path).where("unhex(sha2(record, 256)) = record_sha256").count() == 49
 
 
 def test_quality(spark, docs, none):
@@ -244,29 +327,90 @@ def test_quality(spark, docs, none):
     bad = [(5000, "%% $$$ ### &&& *** " * 30, "en"), (5001, ("same " * 200), "en"), (5002, None, "en"), (5003, "", None)]
     table = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(g[0], 1, 0) for g in good[:250]] + [(None, 1, 0), (1000, None, None), (9, 1, 1)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.kept for r in quality.classify(table, table, labels).collect()}
+    got = {r.doc_id: r.kept for r in quality.classify(table, labels).collect()}
     assert sum(got[g[0]] for g in good) >= 290 and not any(got[b[0]] for b in bad)
-    model = quality.train(quality.trusted_text(table, labels))
-    by_join = {r.doc_id: (r.chars, r.words, r.log_p) for r in quality.score_by_joins(table.where("length(text) > 0"), model).collect()}
-    for r in quality.score(table, model).where("chars > 0").collect():
-        assert by_join[r.doc_id][:2] == (r.chars, r.words) and by_join[r.doc_id][2] == pytest.approx(r.log_p, rel=1e-4)
-    nothing = quality.classify(docs, docs, labels.limit(0))
-    assert nothing.where("perplexity is not null").count() == 0
-    assert quality.classify(none, none, labels).count() == 0
-
-
-def test_quality_takes_all_trusted_text_and_characters(spark):
-    many = spark.range(20_500).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang")
-    assert quality.trusted_text(many, many.selectExpr("doc_id", "1 AS quality")).count() == 20_500
+    assert {r.doc_id for r in quality.keep(table, labels).collect()} == {i for i, k in got.items() if k}
+    nothing = quality.classify(docs, labels.limit(0))
+    assert nothing.where("perplexity is not null").count() == 0 and nothing.count() == nothing.where("kept = (coalesce(text, '') rlike '[^ \t\n]')").count()
+    assert quality.classify(none, labels).count() == 0 and quality.keep(none, labels).count() == 0
+
+
+def kneser_ney(texts):
+    """p(c | a, b) as a function of three code points, by counting with dictionaries."""
+    from collections import Counter
+
+    c3 = Counter()
+    for t in texts:
+        s = [quality.START, quality.START, *quality.codes(t).tolist()]
+        c3.update(zip(s, s[1:], s[2:]))
+    c2 = Counter(k[1:] for k in c3)
+    c1 = Counter(k[1:] for k in c2)
+
+    def order(counts):
+        n = [sum(c == i for c in counts.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+        d = []
+        for i in (1, 2, 3):
+            off = None if y is None or not n[i] else i - (i + 1) * y * n[i + 1] / n[i]
+            d.append(0.5 * i if off is None else max(0.05, off))
+        total, left = Counter(), Counter()
+        for k, c in counts.items():
+            total[k[:-1]] += c
+            left[k[:-1]] += min(d[min(c, 3) - 1], 0.95 * c)
+        return lambda k: max(0, counts[k] - min(d[min(counts[k], 3) - 1], 0.95 * counts[k])) / total[k[:-1]] if counts[k] else 0.0, lambda h: left[h] / total[h] if total[h] else 1.0
+
+    (own3, g3), (own2, g2), (own1, g1) = order(c3), order(c2), order(c1)
+    low = lambda c: own1((c,)) + g1(()) / (len(c1) + 1)
+    mid = lambda b, c: own2((b, c)) + g2((b,)) * low(c)
+    return lambda a, b, c: own3((a, b, c)) + g3((a, b)) * mid(b, c)
+
+
+def test_quality_against_brute_force(spark):
     rng = random.Random(8)
-    vocab = [chr(0x4E00 + i) for i in range(400)] + ["\U00020000"]
-    rows = [(i, "".join(rng.choices(vocab, k=200)), "zh") for i in range(100)] + [(100 + i, "".join(rng.choices("abcde ", k=200)), "en") for i in range(100)]
-    df = spark.createDataFrame([*rows, (900, "\u4e00\u9fa5 q\U00020001a", "zh"), (901, "abz", "en"), (902, "ab\u4e00", None)], "doc_id long, text string, lang string")
-    model = quality.train(quality.trusted_text(df, df.where("doc_id < 900").selectExpr("doc_id", "1 AS quality")))
-    assert {r.k for r in model["p1"].where("lang = 'zh'").collect()} == set(map(ord, vocab))
-    want = {r.doc_id: (r.chars, r.log_p) for r in quality.score_by_joins(df, model).collect()}
-    for r in quality.score(df, model).collect():
-        assert want[r.doc_id] == (r.chars, pytest.approx(r.log_p, rel=1e-4))
+    zh = [chr(0x4E00 + i) for i in range(300)] + ["\U00020000"]
+    rows = [(i, "".join(rng.choices(zh, k=150)), "zh") for i in range(40)] + [(100 + i, "".join(rng.choices("abcde ", k=150)), "en") for i in range(60)]
+    rows += [(200 + i, "same same " * 20 + "zq"[i % 2] * 600, None) for i in range(10)]
+    asked = [(900, "\u4e00\u9fa5 q\U00020001a", "zh"), (901, "abz abz", "en"), (902, "ab\u4e00", None), (903, "abc", "xx"), (904, "", "en")]
+    df = spark.createDataFrame(rows + asked, "doc_id long, text string, lang string").repartition(3)
+    blocks = quality.coded(df)
+    members = quality.trusted_members(blocks, df.where("doc_id < 900").selectExpr("doc_id", "1 AS quality"))
+    members = materialize(members, "members")
+    held = {r.doc_id for r in members.where("held").collect()}
+    model = quality.train(quality.counted(blocks, members))
+    trusted = [r for r in rows if r[0] not in held]
+    every, own = kneser_ney([t for _, t, _ in trusted]), {x: kneser_ney([t for _, t, lang in trusted if lang == x]) for x in ("zh", "en")}
+    n = {x: sum(len(quality.codes(t)) for _, t, lang in trusted if lang == x) for x in own}
+    got = {r.doc_id: r for r in quality.score(blocks, model).collect()}
+    assert len(got) == len(rows) + len(asked)
+    for i, t, lang in asked + rows[::9]:
+        s, log_p = [quality.START, quality.START, *quality.codes(t).tolist()], 0.0
+        for k in zip(s, s[1:], s[2:]):
+            share = n[lang] / (n[lang] + quality.OWN_SYMBOLS) if lang in own else 0.0
+            log_p += np.log(share * (own[lang](*k) if share else 0) + (1 - share) * every(*k))
+        assert got[i].chars == len(s) - 2 and got[i].words == len(t.split())
+        assert got[i].log_p == pytest.approx(log_p, abs=1e-4 * (1 + len(s)))
+    for h in ((97, 98), (32, 97)):  # a distribution: all characters seen, and one for the unseen
+        seen = {int(c) for _, t, _ in trusted for c in quality.codes(t)}
+        assert sum(every(*h, c) for c in seen) + every(*h, 0x10FFFF) == pytest.approx(1)
+
+
+def test_quality_blocks_round_trip():
+    rng = np.random.default_rng(5)
+    places = [np.unique(rng.integers(0, 100_000, k)) for k in (0, 5, 300, 0, 1)]
+    counts = [rng.integers(1, 2000, len(p)) for p in places]
+    place, n, owner = quality.unpack(*quality.pack(places, counts))
+    for i, (p, c) in enumerate(zip(places, counts)):
+        assert np.bincount(place[owner == i], n[owner == i], 100_000)[p].tolist() == c.tolist()
+        assert n[owner == i].sum() == c.sum()
+
+
+def test_quality_limits_of_languages(spark):
+    rng = random.Random(15)
+    alphabet = {"a": "aeioutnsr", "b": "bcdfghjkl"}
+    rows = [(i, " ".join("".join(rng.choices(alphabet[x], k=5)) for _ in range(40)), x) for i, x in enumerate("ab" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = quality.verdicts(df, df.selectExpr("doc_id", "1 AS quality")).select("lang", "threshold", "word_threshold").distinct().collect()
+    assert len(out) == 2 and len({r.threshold for r in out}) == 2 and all(r.threshold > 1 for r in out)
 
 
 def test_toxicity(spark, none):
@@ -283,29 +427,63 @@ def test_toxicity(spark, none):
 
 
 def test_ordinal_thresholds_are_ordered():
-    x = [{0: i % 5} for i in range(500)]
-    w, thetas = toxicity.fit_ordinal(x, np.array([min(3, i % 5) for i in range(500)]), 1)
+    column, y = np.zeros(500, np.int64), np.array([min(3, i % 5) for i in range(500)])
+    w, thetas = toxicity.fit_ordinal(np.arange(500), column, np.array([i % 5 for i in range(500)], float), y, 1)
     assert w[0] > 0 and (np.diff(thetas) > 0).all()
     assert (np.diff(toxicity.expected_grade(w[0] * np.arange(5), thetas)) > 0).all()
 
 
+def test_ordinal_gradient_by_differences():
+    rng = np.random.default_rng(6)
+    owner, column, value = np.repeat(np.arange(30), 4), rng.integers(0, 7, 120), rng.normal(size=120)
+    y, param = rng.integers(0, 4, 30), rng.normal(size=10) * 0.5
+    loss = lambda p: toxicity.loss_and_gradient(p, owner, column, value, y, 7, 0.3)[0]
+    _, grad = toxicity.loss_and_gradient(param, owner, column, value, y, 7, 0.3)
+    for k in range(10):
+        step = np.eye(10)[k] * 1e-6
+        assert grad[k] == pytest.approx((loss(param + step) - loss(param - step)) / 2e-6, abs=1e-6)
+
+
+def test_grades_grow_with_density():
+    rng = np.random.default_rng(7)
+    x = [np.concatenate([rng.integers(100, 900, 50), np.full(k, 5)]) for k in [0] * 60 + [1, 5, 20] * 20]
+    owner, column = np.repeat(np.arange(120), [len(r) for r in x]), np.concatenate(x)
+    grade = toxicity.grades_of(owner, column, np.arange(120) >= 60, rng.random(120) < 0.5)
+    assert not grade[:60].any() and (grade[60::3] <= grade[61::3]).all() and (grade[61::3] <= grade[62::3]).all() and set(grade[60:]) >= {1, 3}
+
+
 def test_licenses(spark, none):
     texts = [(1, "Intro. Released under the MIT License.\nMore text."), (2, None), (3, ""), (4, "released, under THE mit license"), (5, "licensed"), (6, "License of the lion"), (None, "Licensed under CC BY-NC 4.0.")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    want = set()
+    full = {k: t for k, (_, t) in enumerate(licenses.TEMPLATES)}
+    wrapped = "\n".join(f" * {x}" for x in __import__("textwrap").wrap(full[23], 60))
+    texts += [(7, "some code();\n/*\n" + wrapped + "\n */ more code"), (8, "(c) 2021 A. Person, Licensed under CC BY-NC 4.0, see there"), (8, "nothing of the kind " * 50 + full[7])]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.license, round(r.dice, 9), r.first_word, r.n_words) for r in licenses.scan(df).collect())
+    want = []
     for i, t in texts:
-        import re
-
-        units = [t or "", *re.sub(r"([.!?])[ \t]+", "\\1\n", t or "").split("\n")]
-        for n, u in enumerate(units):
-            for name, template in licenses.TEMPLATES:
-                a, b = licenses.bigrams_of(u), licenses.bigrams_of(template)
-                if a and 2 * len(a & b) / (len(a) + len(b)) >= licenses.LEAST_DICE:
-                    want.add((i, n, name))
-    assert {(r.doc_id, r.unit, r.license) for r in licenses.scan(df).collect()} == want and (1, 2, "MIT") in want
+        w, best = licenses.words_of(t or ""), {}
+        for name, template in licenses.TEMPLATES:
+            m, length = licenses.bigrams_of(template), len(licenses.words_of(template))
+            for size in licenses.window_sizes(length):
+                for at in range(0, max(0, len(w) - 1), licenses.step_of(length)):
+                    n = licenses.bigrams_of(" ".join(w[at : at + size]))
+                    dice = 2 * (n & m).total() / (n.total() + m.total())
+                    if dice >= licenses.LEAST_DICE:
+                        best.setdefault(name, []).append((-dice, at, len(w[at : at + size])))
+        want += [(str(i), name, round(-min(x)[0], 9), *min(x)[1:]) for name, x in best.items()]
+    assert got == sorted(want) and {("7", "MIT"), ("8", "CC-BY-NC-4.0"), ("8", "BSD-3-Clause"), ("1", "MIT"), ("4", "MIT")} <= {g[:2] for g in got}
     assert licenses.scan(none).count() == 0
 
 
+def test_license_anchors_miss_nothing():
+    words = licenses.anchors(licenses.TEMPLATES)
+    for _, t in licenses.TEMPLATES:
+        m = licenses.bigrams_of(t)
+        left = sum(n for b, n in m.items() if not set(b.split()) & set(words))
+        assert left < licenses.LEAST_DICE * m.total() / (2 - licenses.LEAST_DICE)
+
+
 def test_packing(docs, rows, none):
     got = packing.pack_documents(docs).collect()
     spans = {}
@@ -327,3 +505,105 @@ def test_best_fit_beats_one_size():
     places, sizes = packing.best_fit(lengths)
     assert sum(map(packing.cost, sizes)) < 1.05 * sum(lengths)
     assert len(places) == 2000
+
+
+def slow_best_fit(lengths, sizes):
+    bins = []  # room, pieces
+    todo = sorted(lengths, reverse=True)
+    while todo:
+        n = todo.pop(0)
+        fits = [b for b in bins if b[0] >= n]
+        if fits:
+            b = min(fits, key=lambda b: b[0])
+        else:
+            prices = []
+            for size in sizes:
+                if size >= n:
+                    room = size - n
+                    for x in todo:
+                        if x <= room:
+                            room -= x
+                    held = size - room
+                    prices.append((packing.cost(min(s for s in sizes if s >= held)) / held, size))
+            b = [min(prices)[1], []]
+            bins.append(b)
+        b[0] -= n
+        b[1].append(n)
+    return sum(packing.cost(min(s for s in sizes if s >= sum(b[1]))) for b in bins)
+
+
+def least_cost(lengths, sizes):
+    """By trying every way to share the pieces out."""
+    best = [sum(packing.cost(sizes[-1]) for _ in lengths)]
+
+    def place(i, bins):
+        price = sum(packing.cost(min(s for s in sizes if s >= b)) for b in bins)
+        if price >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = price
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= sizes[-1]:
+                place(i + 1, bins[:k] + [bins[k] + lengths[i]] + bins[k + 1 :])
+        place(i + 1, [*bins, lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_best_fit_against_slow_and_exhaustive():
+    rng, sizes, over = random.Random(21), (64, 128, 256), []
+    for _ in range(60):
+        lengths = [rng.randint(1, 256) for _ in range(rng.randint(1, 7))]
+        places, shrunk = packing.best_fit(lengths, sizes)
+        price = sum(map(packing.cost, shrunk))
+        assert price == slow_best_fit(lengths, sizes)
+        over.append(price / least_cost(lengths, sizes))
+    assert min(over) >= 1 and sum(over) / len(over) < 1.05
+
+
+def test_mixing_targets_and_repeated_rows(spark):
+    rng = random.Random(22)
+    rows = [(i, "w " * rng.randint(0, 30), f"h{i % 5 if i % 3 else 0}", i) for i in range(900)] + [(5000, "a b c", "h1", 1), (5000, "a b c", "h2", 2), (5000, "a b c", "h2", 3), (None, None, None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __shard long").repartition(4)
+    got = mixing.mix_plan(df).toPandas()
+    sizes = {}
+    for _, t, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, capped, left = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}, {}, 1.5 * sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in capped]
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 2 * sizes[s]]
+        if not over:
+            break
+        capped |= {s: 2.0 * sizes[s] for s in over}
+        left = 1.5 * sum(sizes.values()) - sum(capped.values())
+    want = capped | share
+    of = {i: s for i, _, s, _ in rows}
+    got["source"] = [of.get(None if i != i else int(i)) for i in got.doc_id]
+    for s in ("h0", "h3", "h4"):
+        mine = got[got.source == s]
+        assert mine.target.iloc[0] == pytest.approx(want[s]) and abs(mine.taken.sum() - want[s]) <= mine["size"].mean()
+    drawn = {}
+    for r in mixing.mix(df).collect():
+        drawn[(r.doc_id, r.source, r["__shard"])] = drawn.get((r.doc_id, r.source, r["__shard"]), 0) + 1
+    assert max(drawn.values()) <= 2 and sum(drawn.values()) == sum(len(x) for x in got.shards)
+    again = [(r.doc_id, r.source, r["__shard"]) for r in mixing.mix(df.repartition(2)).collect()]
+    assert sorted(again, key=str) == sorted((k for k, n in drawn.items() for _ in range(n)), key=str)
+
+
+def test_tokens_in_many_segments(spark, docs):
+    path = new_path(spark, "t")
+    tokens.write(docs, path, tokens.vocabulary(), segment_tokens=500)
+    many = sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in tokens.read(spark, path).collect())
+    assert many == sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in tokens.token_index(docs).collect())
+    stored = spark.read.parquet(path)
+    assert stored.count() > 8
+    for row in stored.limit(5).collect():
+        segment = tokens.Segment(bytes(row.data))
+        ends = segment.ends.all()
+        for i in range(segment.n):
+            assert segment.document(i).tolist() == segment.ids[(ends[i - 1] if i else 0) : ends[i]].tolist()
