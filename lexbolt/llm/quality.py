@@ -52,7 +52,7 @@ LOG_UNIT = 1 << 16
 #: Ranks of a quantile are off by at most this part of the rows.
 RANKS = 1_000_000
 #: Characters and documents at which a block of one language ends, and of all open blocks.
-BLOCK_CHARS, BLOCK_DOCS, OPEN_CHARS = 8 << 20, 4096, 16 << 20
+BLOCK_CHARS, BLOCK_DOCS, OPEN_CHARS = 3 << 20, 4096, 5 << 20
 #: The model of all languages; no language's name.
 ALL = "\0"
 
@@ -133,7 +133,7 @@ def coded(docs: DataFrame) -> DataFrame:
             for doc_id, mark, lang, text in zip(*(c.to_pylist() for c in b.columns)):
                 own = open_.setdefault(lang, [[], [], [], [], [], 0])
                 k, n = np.unique(trigrams(text), return_counts=True)
-                for into, x in zip(own, (doc_id, mark, len(text.split()), k, n)):
+                for into, x in zip(own, (doc_id, mark, len(text.split()), k, n.astype(np.int32))):
                     into.append(x)
                 own[5] += len(text)
                 held += len(text)
@@ -175,7 +175,7 @@ def counted(blocks: DataFrame, members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "k", "c"])
 
     chosen = members.where(~F.col("held")).groupBy("block").agg(F.collect_list("at").alias("ats"))  # BLOCK_DOCS at most
-    rows = blocks.join(chosen, "block").select("lang", "keys", "ends", "data", "ats")
+    rows = blocks.join(materialize(chosen, "trusted-blocks"), "block").select("lang", "keys", "ends", "data", "ats")
     return rows.mapInArrow(run, "lang string, k long, c long").groupBy("lang", "k").agg(F.sum("c").alias("c"))
 
 
