@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +36,34 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/lexbolt/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lexbolt/{name}-{uuid.uuid4().hex}"
+    if _made.get() is not None:
+        _made.get().append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is stored inside, once it is left without an error: for callers that
+    have written their results by then. Without it tables stay until the caller of an
+    operator, whose results are read lazily, empties the folder."""
+    token = _made.set([])
+    try:
+        yield
+        for path in _made.get():
+            delete(spark, path)
+    finally:
+        _made.reset(token)
 
 
 #: Bytes of a batch on its way to Python: a batch is held several times over, in the JVM's
@@ -79,10 +105,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table from `materialize` that nothing reads any more."""
-    spark = df.sparkSession
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
 
 
 #: The row as it is, and a key of it; no other column is beside them, so that columns of any

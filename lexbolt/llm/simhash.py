@@ -410,7 +410,7 @@ def verified_links(reps: DataFrame, docs: DataFrame, words: int, rule: Rule) ->
     dealt = deal(reps, rule)
     chosen = materialize(in_shards(dealt, name, rule, "shard int, node long").distinct(), "active")
     first = reps.join(chosen.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"))
-    first = first.select("node", *id_key(), "mark")
+    first = materialize(first.select("node", *id_key(), "mark"), "active-documents")
     texts = docs.select(*id_key(), F.xxhash64(text_of()).alias("mark"), text_of().cast("binary").alias("text"))
     texts = texts.join(first, ["__none", "__id", "mark"]).select("node", "text")
 
