@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexbolt.llm import exact_dedup, mixing, packing, quality, simhash
-from lexbolt.llm.common import new_path, table
+from lexbolt.llm.common import new_path, scratch, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more by their
-    fingerprints) the document with the smallest id stays."""
+    """Of documents joined by verified links (Jaccard index of five-word shingles 0.8 or
+    more; candidates by their fingerprints) that with the smallest id stays."""
     return simhash.drop_near_copies(docs)
 
 
@@ -54,6 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # its own intermediate tables go once it is stored
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
