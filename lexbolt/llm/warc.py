@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lexbolt.llm.common import BATCH_BYTES, materialize, new_path, table, text_of
 
@@ -219,11 +220,14 @@ def reconstruct(spark: SparkSession, path: str, found: DataFrame | None = None)
     found = read(spark, path) if found is None else found
     headers = spark.read.parquet(f"{path}/headers")
     shares = headers.groupBy("sha256", "octets").agg(F.ceil(F.count("*") / SHARE_ROWS).cast("int").alias("shares"))
-    rows = headers.join(shares.where("shares > 1"), ["sha256", "octets"], "left").fillna(1, ["shares"])
-    rows = rows.withColumn("share", F.pmod(F.xxhash64("header"), "shares").cast("int")).drop("shares")
-    stored = found.where("record_type = 'response'").groupBy("sha256", "octets").agg(F.first("payload").alias("payload"))
-    stored = stored.join(shares, ["sha256", "octets"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
-    full = rows.join(stored, ["sha256", "octets", "share"])
+    shares = materialize(shares.where("shares > 1"), "hot-payloads")  # of SHARE_ROWS rows, one at most
+    key = ["sha256", "octets", "share"]
+    dealt = lambda df, share: df.join(shares, key[:2], "left").fillna(1, ["shares"]).withColumn("share", share).drop("shares")
+    rows = dealt(headers, F.pmod(F.xxhash64("header"), "shares").cast("int"))
+    stored = found.where("record_type = 'response'").select("sha256", "octets", "payload", F.xxhash64("page_id").alias("of"))
+    stored = dealt(stored, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    stored = stored.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("of"))).where("n = 1").drop("n", "of")  # repeated ids
+    full = rows.join(stored, key)
     return full.select("page_id", "record_sha256", F.concat("header", "payload", F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("record"))
 
 
