@@ -21,13 +21,13 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def normalised(text: Column) -> Column:
     """NFC (no built-in function has it), plain quotes, blanks, hyphens and ligatures, runs
     of blanks as one; lines and em dashes stay. Null is empty."""
-    out = F.translate(_nfc(text), "".join(PLAIN) + DROPPED, "".join(PLAIN.values()))
+    out = F.translate(F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_nfc(text)), "".join(PLAIN) + DROPPED, "".join(PLAIN.values()))
     for old, new in LIGATURES.items():
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.coalesce(F.regexp_replace(out, r"[ \t]+", " "), F.lit(""))
@@ -60,7 +60,7 @@ def numbered_paragraphs(body: Column, entity: Column) -> Column:
         number = F.regexp_extract(p, marker, 1)
         text = bracketed_markers(stripped(F.regexp_replace(p, marker, "")))
         return F.struct(
-            F.format_string("%03d.%03d", entity.cast("int"), number.cast("int")).alias("id"),
+            F.when(entity.try_cast("int").isNotNull(), F.format_string("%03d.%03d", entity.try_cast("int"), number.try_cast("int"))).alias("id"),
             number.alias("number"),
             F.concat(number, F.lit(".   "), text).alias("text"),
         )
@@ -194,3 +194,15 @@ def index_links(text: Column, folders: tuple[str, ...] = (r"articles/chapter-\d+
 
 def valid_celex(value: Column) -> Column:
     return F.coalesce(value.rlike(r"^3\d{4}[RLDC]\d{4}$"), F.lit(False))
+
+
+def valid_registry_url(url: Column, lang: Column) -> Column:
+    """A document of the registry, by a well-formed id and in the language."""
+    shape = r"^https://eur-lex\.europa\.eu/legal-content/([A-Z]{2})/TXT/\?uri=CELEX:3\d{4}[RLDC]\d{4}$"
+    return F.coalesce(F.regexp_extract(url, shape, 1) == F.upper(lang), F.lit(False))
+
+
+def valid_site_url(url: Column, lang: Column, site: str) -> Column:
+    """The site's home page or one of its articles, in the language."""
+    rest = F.when(url.startswith(f"{site}/"), F.substring(url, len(site) + 2, 1_000_000))
+    return F.coalesce((F.regexp_extract(rest, r"^([a-z]{2})/(?:article/\d+[a-z]?/)?$", 1) == lang), F.lit(False))

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: How instruments are numbered: kind, rule, and the groups of year and number.
+INSTRUMENT_RULES = [
+    ("R", r"Regulation\s*\(EU\)\s*No\.?\s*(\d+)\s*/\s*(\d{4})", 2, 1),
+    ("R", r"Regulation\s*\(EU\)\s*(\d{4})\s*/\s*(\d+)", 1, 2),
+    ("R", r"Regulation\s*\(EC\)\s*(?:No\.?\s*)?(\d+)\s*/\s*(\d{4})", 2, 1),
+    ("L", r"Directive\s*\(EU\)\s*(\d{4})\s*/\s*(\d+)", 1, 2),
+    ("L", r"Directive\s+(\d{4})\s*/\s*(\d+)\s*/\s*(?:EU|EC)", 1, 2),
+    ("D", r"Decision\s*\(EU\)\s*(\d{4})\s*/\s*(\d+)", 1, 2),
+]
 MONTHS = {
     "en": ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"],
     "nl": ["januari", "februari", "maart", "april", "mei", "juni", "juli", "augustus", "september", "oktober", "november", "december"],
@@ -14,7 +23,7 @@ MONTHS = {
 def clean(text: Column) -> Column:
     """NBSP to space, runs of blanks to one, white space stripped at both ends; lines stay."""
     spaced = F.regexp_replace(F.translate(text, " ", " "), r"[ \t]{2,}", " ")
-    return F.regexp_replace(spaced, r"^\s+|\s+$", "")
+    return F.regexp_replace(spaced, r"(?U)^\s+|\s+$", "")
 
 
 def slugify(text: Column, most: int = 80) -> Column:
@@ -76,21 +85,102 @@ def url_path(url: Column) -> Column:
     return F.when(path == "", F.lit("/")).otherwise(path)
 
 
+def page_key(url: Column) -> Column:
+    """One key for all that lead to a page: its path without index file, .html and last slash."""
+    return F.regexp_replace(url_path(url), r"(?:/index)?(?:\.html)?/*$", "")
+
+
+def resolved_path(href: Column, page: Column) -> Column:
+    """The path that a link leads to from a page: without query and fragment, relative ones
+    from the page's folder, with . and .. taken out. Other schemes give null; what is only a
+    query or a fragment leads to the page itself."""
+    bare = F.regexp_replace(href, r"[#?].*$", "")
+    here = url_path(page)
+    folder = F.regexp_replace(here, r"[^/]*$", "")
+    whole = F.when(bare == "", here).when(bare.startswith("/"), bare).otherwise(F.concat(folder, bare))
+    step = lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(p.isin("", "."), done).otherwise(F.concat(done, F.array(p)))
+    parts = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step)
+    path = F.concat(F.lit("/"), F.array_join(parts, "/"), F.when(whole.rlike(r"/\.{0,2}$") & (F.size(parts) > 0), "/").otherwise(""))
+    return F.when(~bare.rlike(r"^(?:[a-z][a-z0-9+.-]*:|//)"), path)
+
+
+def article_path(chapter: Column, number: Column) -> Column:
+    """chapter-NN/article-NN; number with its suffix, digits padded to two places."""
+    padded = lambda c: F.concat(F.lpad(F.regexp_extract(c, r"^(\d*)", 1), 2, "0"), F.regexp_extract(c, r"^\d*(.*)$", 1))
+    long = lambda c: F.when(F.length(F.regexp_extract(c, r"^(\d*)", 1)) > 2, c).otherwise(padded(c))
+    return F.concat(F.lit("chapter-"), long(chapter.cast("string")), F.lit("/article-"), long(number.cast("string")))
+
+
+def internal_href(lang: Column, chapter: Column, number: Column, annex: Column) -> Column:
+    """Where an article or an annex is read; # where the article's chapter isn't known."""
+    article = F.concat(F.lit("/"), lang, F.lit("/articles/chapter-"), chapter.cast("string"), F.lit("/article-"), number, F.lit("/"))
+    own = F.concat(F.lit("/"), lang, F.lit("/annexes/annex-"), F.lower(annex), F.lit("/"))
+    return F.coalesce(F.when(annex.isNotNull(), own), article, F.lit("#"))
+
+
+def external_href(celex: Column, lang: Column, article: Column, sites: dict[str, str] | None = None) -> Column:
+    """Where an instrument is read, by its registry id: at the site that `sites` names for
+    it (its article, if one is meant), else at the registry."""
+    out = F.concat(F.lit("https://eur-lex.europa.eu/legal-content/"), F.upper(lang), F.lit("/TXT/?uri=CELEX:"), celex)
+    for name, site in (sites or {}).items():
+        own = F.concat(F.lit(f"{site}/"), lang, F.lit("/"), F.coalesce(F.concat(F.lit("article/"), article, F.lit("/")), F.lit("")))
+        out = F.when(celex == name, own).otherwise(out)
+    return out
+
+
+def in_language(texts: Column, wanted: Column, languages: Column, rest: Column) -> Column:
+    """struct(value, lang) from a map of language to text: the wanted language, else the
+    document's languages in their order, else the rest (as English). Empty texts don't count."""
+    has = lambda lang: F.coalesce(F.try_element_at(texts, lang), F.lit("")) != ""
+    found = F.try_element_at(F.filter(F.concat(F.array(wanted), F.coalesce(languages, F.array().cast("array<string>"))), has), F.lit(1))
+    return F.when(found.isNotNull(), F.struct(F.try_element_at(texts, found).alias("value"), found.alias("lang"))).otherwise(F.struct(F.coalesce(F.try_element_at(texts, F.lit("en")), rest).alias("value"), F.lit("en").alias("lang")))
+
+
+def lines_of(text: Column, first: int, count: int, most: int = 200) -> Column:
+    """Some lines, joined by spaces, in at most so many characters."""
+    return F.substring(F.array_join(F.slice(F.split(text, "\n"), first, count), " "), 1, most)
+
+
+def block_count(markdown: Column) -> Column:
+    """Paragraphs of a document: blocks between blank lines but headings, comments and rules."""
+    return F.size(F.filter(F.split(markdown, r"\n\s*\n"), lambda b: (F.trim(b) != "") & ~F.regexp_replace(b, r"^\s+", "").rlike(r"^(?:#|<!--|---)")))
+
+
+def char_count(lang: Column, left: Column, right: Column) -> Column:
+    """Characters of an amendment: in English of the right column alone, else of both."""
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    return F.when(lang == "en", size(right)).otherwise(size(left) + size(right))
+
+
+def yaml_text(value: Column) -> Column:
+    """A text as YAML reads it back: quoted, with quotes and backslashes escaped; null is null."""
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
+
+
+def front_matter(texts: dict[str, Column], plain: dict[str, Column] | None = None) -> Column:
+    """Texts, then numbers and truth values, as a block of YAML between rules."""
+    lines = [F.concat(F.lit(f"{name}: "), yaml_text(value)) for name, value in texts.items()]
+    lines += [F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("null"))) for name, value in (plain or {}).items()]
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"))
+
+
+def styled_block(style: Column, text: Column) -> Column:
+    """A paragraph by its style: points become list items, deeper ones indented, numbered
+    paragraphs get their number in bold, section titles become headings."""
+    indent = F.when(style.rlike("Point2|Point1letter|ManualPointlet"), "  ").when(style.rlike("Point3"), "    ").otherwise("")
+    point = style.isin(*(f"li {s}" for s in ("Point0", "Point1", "Point1letter", "Point2", "Point3", "ManualPointlet")))
+    numbered = style.isin(*(f"li {s}" for s in ("NumPar1", "ManualNumPar1", "NumPar2", "ManualNumPar2")))
+    out = F.when(point, F.concat(indent, F.lit("- "), text)).when(numbered, bold_lead(text)).when(style.contains("SectionTitle"), F.concat(F.lit("### "), text))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(F.coalesce(out, text))
+
+
 def instrument_id(text: Column) -> Column:
     """Registry id of the first cited instrument: 3, year, kind (R, L or D), four-digit number."""
-    rules = [
-        ("R", r"Regulation \(E[CU]\) (?:No )?(\d+)/(\d{4})", 2, 1),
-        ("R", r"Regulation \(EU\) (\d{4})/(\d+)", 1, 2),
-        ("L", r"Directive \(EU\) (\d{4})/(\d+)", 1, 2),
-        ("L", r"Directive (\d{4})/(\d+)/E[CU]", 1, 2),
-        ("D", r"Decision \(EU\) (\d{4})/(\d+)", 1, 2),
-    ]
     found = []
-    for kind, rule, year, number in rules:
+    for kind, rule, year, number in INSTRUMENT_RULES:
         y, n = (F.nullif(F.regexp_extract(text, rule, g), F.lit("")) for g in (year, number))
-        # Regulations before 2015 name the number first; a year is four digits from 19 or 20.
-        valid = y.rlike(r"^(19|20)\d\d$")
-        found.append(F.when(valid, F.format_string("3%s" + kind + "%04d", y, n.cast("int"))))
+        found.append(F.when(y.isNotNull(), F.format_string("3%s" + kind + "%04d", y, n.try_cast("int"))))
     return F.coalesce(*found)
 
 
@@ -98,16 +188,17 @@ def instrument_id(text: Column) -> Column:
 _LATIN = "bis|ter|quater|quinquies|sexies|septies|octies|nonies|decies"
 _TARGETS = {
     "en": {
-        "article": r"Article\s*[—–-]?\s*(\d+)\s*([a-z])?",
-        "paragraph": r"(?:paragraph|point|subparagraph)\s+([\d.]+)\s*([a-z])?",
-        "recital": r"Recital\s+(\d+)\s*([a-z])?",
-        "annex": r"Annex\s+([IVX]+)()",
+        "article": r"\bArticle\s*[—–-]?\s*(\d+)\s*([a-z])?\b",
+        "paragraph": r"\b(?:paragraph|point|subparagraph)\s+([\d.]+)\s*([a-z])?\b",
+        "recital": r"\bRecital\s+(\d+)\s*([a-z])?\b",
+        "annex": r"\bAnnex\s+([IVX]+)\b",
     },
     "nl": {
-        "article": r"Artikel\s*[—–-]?\s*(\d+)\s*([a-z])?",
-        "paragraph": rf"(?:lid|alinea|punt)\s+([\d.]+)(?:\s+({_LATIN}|[a-z]))?",
-        "recital": rf"Overweging\s+(\d+)(?:\s+({_LATIN}|[a-z]))?",
-        "annex": r"Bijlage\s+([IVX]+)()",
+        "article": r"\bArtikel\s*[—–-]?\s*(\d+)\s*([a-z])?\b",
+        "ordinal": rf"\bArtikel\s+\d+\s+({_LATIN})\b",
+        "paragraph": rf"\b(?:lid|alinea|punt)\s+([\d.]+)(?:\s+({_LATIN}|[a-z]))?\b",
+        "recital": rf"\bOverweging\s+(\d+)(?:\s+({_LATIN}|[a-z]))?\b",
+        "annex": r"\bBijlage\s+([IVX]+)\b",
     },
 }
 
@@ -119,7 +210,7 @@ def amendment_target(text: Column, lang: Column) -> Column:
     in a language without rules give null."""
 
     def parsed(rules: dict[str, str], latin: str | None) -> Column:
-        part = lambda kind, group: F.nullif(F.regexp_extract(text, rf"(?i)\b{rules[kind]}\b", group), F.lit(""))
+        part = lambda kind, group: F.nullif(F.regexp_extract(text, "(?i)" + rules[kind], group), F.lit(""))
         ordinal = F.nullif(F.regexp_extract(text, latin, 1), F.lit("")) if latin else F.lit(None).cast("string")
         none = F.lit(None).cast("string")
 
@@ -133,4 +224,4 @@ def amendment_target(text: Column, lang: Column) -> Column:
             .otherwise(row("structural"))
         )
 
-    return F.when(lang == "en", parsed(_TARGETS["en"], None)).when(lang == "nl", parsed(_TARGETS["nl"], rf"(?i)\bArtikel\s+\d+\s+({_LATIN})\b"))
+    return F.when(lang == "en", parsed(_TARGETS["en"], None)).when(lang == "nl", parsed(_TARGETS["nl"], "(?i)" + _TARGETS["nl"]["ordinal"]))

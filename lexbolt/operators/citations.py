@@ -1,144 +1,248 @@
-"""Citations in running text: one scan a chunk, any number of rows out.
+"""References in running text: one scan a chunk, any number of rows out.
 
-A citation is a head (Article, Articles), a list of numbers with pin-cites and ranges, and
-an optional qualifier that says which instrument is meant. The grammar is recursive over
-separators, so it runs as an Arrow UDF that returns an array of structs.
+A reference to articles is a head, a list of numbers with pin-cites and ranges, and a
+qualifier that says which instrument is meant. The grammar is recursive over separators, so
+it runs as an Arrow UDF that returns an array of structs; texts without a word that can
+begin a reference are left out before, in generated code.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_HEAD = re.compile(r"\bArticles?\s+(?=\d)")
-_ITEM = re.compile(r"(\d+[a-z]?)(?:\((\d+[a-z]?)\)(?:\(([a-z])\)(?:\(([ivx]+)\))?)?)?")
-_SEPARATOR = re.compile(r"\s*(,|and\b|to\b|–|—)\s*")
-_QUALIFIER = re.compile(r"\s+(?:of|under|in)\s+(this Regulation|(?:Regulation|Directive|Decision) (?:\(E[CU]\) )?(?:No )?\d+/\d+(?:/E[CU])?)")
-_ANNEX_HEAD = re.compile(r"\bAnnex(?:es)?\s+(?=[IVXLCDM])")
-_ANNEX = re.compile(r"([IVXLCDM]+)\b(?:\((\d+[a-z]?)\)(?:\(([a-z])\)(?:\(([ivx]+)\))?)?)?")
-#: Numbered instruments: kind in the registry id, rule with groups y (year) and n (number).
-_NUMBERED = [
-    ("R", re.compile(r"Regulation \(E[CU]\) (?:No )?(?P<n>\d+)/(?P<y>(?:19|20)\d\d)\b")),
-    ("R", re.compile(r"Regulation \(EU\) (?P<y>(?:19|20)\d\d)/(?P<n>\d+)")),
-    ("L", re.compile(r"Directive (?:\(EU\) )?(?P<y>(?:19|20)\d\d)/(?P<n>\d+)(?:/E[CU])?")),
-    ("D", re.compile(r"Decision \(EU\) (?P<y>(?:19|20)\d\d)/(?P<n>\d+)")),
+#: How references look, and what names stand for.
+ARTICLES = re.compile(r"\bArticles?\b[ \t\n\r]*(?=\d)")
+ANNEXES = re.compile(r"\bAnnex(?:es)?\b[ \t\n\r]*(?=[IVXLCDM])")
+PIN = r"(?:\s*\((\d+[a-z]?)\)(?:\s*\(([a-z])\)(?:\s*\(([ivxlcdm]+)\))?)?)?"
+ARTICLE = re.compile(rf"(\d+[a-z]?){PIN}")
+ANNEX = re.compile(rf"([IVXLCDM]+)\b{PIN}")
+SEPARATOR = re.compile(r"\s*(,|\band\b|\bto\b|–|—)\s*", re.IGNORECASE)
+THIS_REGULATION = re.compile(r"\s*(?:of|under|in)\s+this\s+Regulation\b", re.IGNORECASE)
+OF = re.compile(r"\s*(?:of|under|in)\s+(?:the\s+)?", re.IGNORECASE)
+INSTRUMENTS = [
+    ("R", "Regulation (EU) No {n}/{y}", re.compile(r"Regulation\s*\(EU\)\s*No\.?\s*(?P<n>\d+)\s*/\s*(?P<y>\d{4})")),
+    ("R", "Regulation (EU) {y}/{n}", re.compile(r"Regulation\s*\(EU\)\s*(?P<y>\d{4})\s*/\s*(?P<n>\d+)")),
+    ("R", "Regulation (EC) No {n}/{y}", re.compile(r"Regulation\s*\(EC\)\s*(?:No\.?\s*)?(?P<n>\d+)\s*/\s*(?P<y>\d{4})")),
+    ("L", "Directive (EU) {y}/{n}", re.compile(r"Directive\s*\(EU\)\s*(?P<y>\d{4})\s*/\s*(?P<n>\d+)")),
+    ("L", "Directive {y}/{n}/{s}", re.compile(r"Directive\s+(?P<y>\d{4})\s*/\s*(?P<n>\d+)\s*/\s*(?P<s>EU|EC)")),
+    ("D", "Decision (EU) {y}/{n}", re.compile(r"Decision\s*\(EU\)\s*(?P<y>\d{4})\s*/\s*(?P<n>\d+)")),
 ]
-#: Names that stand for an instrument, and their registry ids.
 ALIASES = {
-    "GDPR": "32016R0679",
-    "General Data Protection Regulation": "32016R0679",
-    "LED": "32016L0680",
-    "Law Enforcement Directive": "32016L0680",
-    "ePrivacy Directive": "32002L0058",
-    "ePrivacy": "32002L0058",
-    "NIS2 Directive": "32022L2555",
-    "NIS2": "32022L2555",
-    "DSA": "32022R2065",
-    "Digital Services Act": "32022R2065",
-    "DMA": "32022R1925",
-    "Digital Markets Act": "32022R1925",
-    "DORA": "32022R2554",
-    "Open Data Directive": "32019L1024",
+    "GDPR": ("32016R0679", "GDPR"),
+    "General Data Protection Regulation": ("32016R0679", "GDPR"),
+    "LED": ("32016L0680", "LED"),
+    "Law Enforcement Directive": ("32016L0680", "LED"),
+    "ePrivacy Directive": ("32002L0058", "ePrivacy Directive"),
+    "ePrivacy": ("32002L0058", "ePrivacy Directive"),
+    "NIS2 Directive": ("32022L2555", "NIS2 Directive"),
+    "NIS2": ("32022L2555", "NIS2 Directive"),
+    "DSA": ("32022R2065", "DSA"),
+    "Digital Services Act": ("32022R2065", "DSA"),
+    "DMA": ("32022R1925", "DMA"),
+    "Digital Markets Act": ("32022R1925", "DMA"),
+    "DORA": ("32022R2554", "DORA"),
+    "Open Data Directive": ("32019L1024", "Open Data Directive"),
 }
-OWN_ID = "32024R1689"
-_NAMES = [(re.compile(rf"\b(?:the\s+)?{re.escape(n)}\b", re.IGNORECASE), i) for n, i in sorted(ALIASES.items(), key=lambda a: -len(a[0]))]
-#: The widest range that is expanded.
-WIDEST = 50
-
-SCHEMA = "array<struct<raw:string,kind:string,article:string,paragraph:string,letter:string,subparagraph:string>>"
-
-
-def citations_in(text: str) -> list[tuple]:
-    """(raw, kind, article, paragraph, letter, subparagraph) of each cited article. All of a
-    list share one raw, which reaches through the qualifier. One separator is taken between
-    items, so a list ends at a doubled one; a range's end loses its pin-cite; a range wider
-    than WIDEST ends the list at its start, a backward one counts as a plain item."""
-    out = []
-    for head in _HEAD.finditer(text or ""):
-        entries, at = [], head.end()
-        item = _ITEM.match(text, at)
-        entries.append(item.groups())
-        at = item.end()
-        while separator := _SEPARATOR.match(text, at):
-            item = _ITEM.match(text, separator.end())
-            if not item:
-                break
-            if separator[1] in ("to", "–", "—"):
-                low, high = (int(re.match(r"\d+", x)[0]) for x in (entries[-1][0], item[1]))
-                if high - low > WIDEST:
-                    break
-                entries += [(str(n), None, None, None) for n in range(low + 1, high + 1)] if high > low else [(item[1], None, None, None)]
-            else:
-                entries.append(item.groups())
-            at = item.end()
-        qualifier = _QUALIFIER.match(text, at)
-        kind = "external" if qualifier and qualifier[1] != "this Regulation" else "internal"
-        raw = text[head.start() : qualifier.end() if qualifier else at]
-        out += [(raw, kind, *e) for e in entries]
-    return out
+OWN_ID, GDPR_ID = "32024R1689", "32016R0679"
+#: The widest range that is expanded, and how far behind a list its qualifier may reach.
+WIDEST, WINDOW = 50, 220
 
+_LONGEST_FIRST = sorted(ALIASES, key=len, reverse=True)
+_AFTER_OF = re.compile("|".join(rf"{re.escape(n)}\b" for n in _LONGEST_FIRST), re.IGNORECASE)
+_BARE = re.compile(r"\s+(" + "|".join(rf"\b{re.escape(n)}\b" for n in _LONGEST_FIRST) + ")")
+_NAMED = [(n, re.compile(rf"\b(?:the\s+)?{re.escape(n)}\b", re.IGNORECASE)) for n in _LONGEST_FIRST]
+_FOLDED = {n.lower(): n for n in ALIASES}
+_MAY_REFER = r"\bArticle|\bAnnex|Regulation\s*\(|Directive[\s(]|Decision\s*\(|(?i:" + "|".join(map(re.escape, _LONGEST_FIRST)) + ")"
 
-def annexes_in(text: str) -> list[tuple]:
-    """(raw, annex, paragraph, letter, subparagraph) of each cited annex; ranges aren't expanded."""
-    out = []
-    for head in _ANNEX_HEAD.finditer(text or ""):
-        entries, at, item = [], head.end(), _ANNEX.match(text, head.end())
-        while item:
-            entries.append(item.groups())
-            at = item.end()
-            separator = _SEPARATOR.match(text, at)
-            item = separator and _ANNEX.match(text, separator.end())
-        out += [(text[head.start() : at], *e) for e in entries]
-    return out
+FIELDS = ["raw", "kind", "target_kind", "target", "paragraph", "letter", "subparagraph", "celex", "short_name", "official_name"]
+_PLACES = ("target", "paragraph", "letter", "subparagraph")
 
+Span = tuple[int, int]
 
-def instruments_in(text: str) -> list[tuple]:
-    """(raw, id) of each instrument that is named, in order: numbered ones first, then names
-    that don't begin or end inside what was found. The own instrument isn't listed."""
-    found: dict[tuple[int, int], tuple] = {}
-    for kind, rule in _NUMBERED:
-        for m in rule.finditer(text or ""):
-            found.setdefault(m.span(), (m[0], f"3{m['y']}{kind}{int(m['n']):04d}"))
-    for rule, name_id in _NAMES:
-        for m in rule.finditer(text or ""):
-            if not any(s <= m.start() < e or s < m.end() <= e for s, e in found):
-                found[m.span()] = (m[0], name_id)
-    return [f for _, f in sorted(found.items()) if f[1] != OWN_ID]
 
+def _numbered(m: re.Match, letter: str, name: str) -> dict:
+    """What an instrument with a number is."""
+    parts = {k: v for k, v in m.groupdict().items() if v is not None}
+    return {"celex": f"3{m['y']}{letter}{int(m['n']):04d}", "official_name": name.format(**parts)}
 
-def _extract(chunks: DataFrame, find, fields: list[str]) -> DataFrame:
-    @F.pandas_udf(f"array<struct<{','.join(f'{f}:string' for f in fields)}>>")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [dict(zip(fields, c)) for c in find(t)])
-
-    return chunks.select("source", F.posexplode(run("text")).alias("place", "c")).select("source", "place", "c.*")
 
+def _by_name(name: str) -> dict:
+    celex, short = ALIASES[_FOLDED[name.lower()]]
+    return {"celex": celex, "short_name": short, "official_name": short}
 
-def extract_annexes(chunks: DataFrame) -> DataFrame:
-    return _extract(chunks, annexes_in, ["raw", "annex", "paragraph", "letter", "subparagraph"])
 
+def _kind(celex: str | None) -> str:
+    return "internal" if celex in (None, OWN_ID) else "external_gdpr" if celex == GDPR_ID else "external_other"
 
-def extract_instruments(chunks: DataFrame) -> DataFrame:
-    return _extract(chunks, instruments_in, ["raw", "id"])
 
+def listed(text: str, at: int, item: re.Pattern, ranges: bool) -> tuple[list[tuple[dict, Span]], int]:
+    """The items of a list that begins at `at`, each with its place, and where the list ends.
 
-def extract_citations(chunks: DataFrame) -> DataFrame:
-    """source, place (in the chunk), raw, kind, article, paragraph, letter, subparagraph;
-    references of a source to itself go."""
-
-    @F.pandas_udf(SCHEMA)
-    def citations(text):
-        return text.map(lambda t: [dict(zip(("raw", "kind", "article", "paragraph", "letter", "subparagraph"), c)) for c in citations_in(t)])
+    One separator is taken between items, so a list ends at a doubled one. With `ranges`, a
+    range fills in the numbers up to its end, which loses its pin-cite; one wider than
+    WIDEST ends the list before its end, and a backward one counts as a plain item.
+    """
+    m = item.match(text, at)
+    if not m:
+        return [], at
+    found = [(dict(zip(_PLACES, m.groups())), m.span())]
+    while (between := SEPARATOR.match(text, m.end())) and (following := item.match(text, between.end())):
+        if ranges and between[1].lower() in ("to", "–", "—"):
+            low, high = (int(re.match(r"\d+", x)[0]) for x in (found[-1][0]["target"], following[1]))
+            if high - low > WIDEST:
+                break
+            if high > low:
+                found += [({"target": str(n)}, following.span()) for n in range(low + 1, high + 1)]
+                m = following
+                continue
+        found.append((dict(zip(_PLACES, following.groups())), following.span()))
+        m = following
+    return found, m.end()
+
+
+def qualified(text: str, at: int) -> tuple[dict, Span | None]:
+    """What a list that ends at `at` refers to, and where that is said: this regulation, an
+    instrument by number, or one by a name. After "of", "under" or "in" a name may be in any
+    case; right behind the list only as it is spelled."""
+    window = text[at : at + WINDOW]
+    if own := THIS_REGULATION.match(window):
+        return {}, (at, at + own.end())
+    of = OF.match(window)
+    start = of.end() if of else 0
+    for letter, name, rule in INSTRUMENTS:
+        if m := rule.match(window, start):
+            return _numbered(m, letter, name), (at + start, at + m.end())
+    by_of = _AFTER_OF.match(window, start) if of else None
+    bare = _BARE.match(window)
+    if by_of and (not bare or len(by_of[0]) >= len(bare[1])):
+        return _by_name(by_of[0]), (at + start, at + by_of.end())
+    return (_by_name(bare[1]), (at, at + bare.end())) if bare else ({}, None)
+
+
+def named(text: str) -> list[tuple[dict, Span]]:
+    """Every instrument that is named, the own one too: by number, then by names that don't
+    begin or end inside what was found."""
+    found: dict[Span, dict] = {}
+    for letter, name, rule in INSTRUMENTS:
+        for m in rule.finditer(text):
+            found.setdefault(m.span(), _numbered(m, letter, name))
+    for name, rule in _NAMED:
+        for m in rule.finditer(text):
+            if not _touches(m.span(), found):
+                found[m.span()] = _by_name(name)
+    return [(about, span) for span, about in found.items()]
+
+
+def _touches(span: Span, others) -> bool:
+    """Whether the span begins or ends inside another; one that encloses others doesn't."""
+    return any(s <= span[0] < e or s < span[1] <= e for s, e in others)
+
+
+def references_in(text: str | None) -> list[dict]:
+    """All references of a text, with FIELDS: articles, annexes, then instruments that are
+    named apart from these. All of a list share one raw, which reaches through the
+    qualifier. What is unqualified is internal."""
+    text, out, handled = text or "", [], []
+    for head in ARTICLES.finditer(text):
+        items, end = listed(text, head.end(), ARTICLE, ranges=True)
+        about, said = qualified(text, end)
+        kind = _kind(about.get("celex"))
+        shared = {"raw": text[head.start() : said[1] if said else end].strip(), "kind": kind, "target_kind": "article", **(about if kind != "internal" else {})}
+        out += [shared | item for item, _ in items]
+        handled += [span for _, span in items] + ([said] if said else [])
+    for head in ANNEXES.finditer(text):
+        items, end = listed(text, head.end(), ANNEX, ranges=False)
+        shared = {"raw": text[head.start() : end].strip(), "kind": "internal", "target_kind": "annex"}
+        out += [shared | item for item, _ in items]
+        handled += [span for _, span in items]
+    for about, span in named(text):
+        if about["celex"] != OWN_ID and not _touches(span, handled):
+            out.append({"raw": text[slice(*span)], "kind": _kind(about["celex"]), "target_kind": "instrument", **about})
+    return out
 
-    found = chunks.select("source", F.posexplode(citations("text")).alias("place", "c")).select("source", "place", "c.*")
-    return found.where(~((F.col("kind") == "internal") & (F.col("article") == F.col("source"))))
 
+def found_in(chunks: DataFrame, find: Callable[[str], list[dict]], fields: list[str], gate: str) -> DataFrame:
+    """The columns of `chunks` but text, place (in the chunk), and `fields` of all that
+    `find` finds. Texts that don't match `gate` aren't sent to Python. A text at which
+    `find` fails gives one row with the error in place of all else."""
+    shape = ",".join(f"{f}:string" for f in [*fields, "error"])
 
-def reverse_index(citations: DataFrame) -> DataFrame:
-    """For each internal target its sources in order, as one text."""
-    inner = citations.where("kind = 'internal'").select("article", "source").distinct()
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("source").cast("int").alias("n"), "source")))
-    return inner.groupBy("article").agg(F.array_join(F.transform(ordered, lambda s: s["source"]), ",").alias("sources"))
+    @F.pandas_udf(f"array<struct<{shape}>>")
+    def run(text: pd.Series) -> pd.Series:
+        def one(t: str) -> list[dict]:
+            try:
+                return [{f: r.get(f) for f in fields} | {"error": None} for r in find(t)]
+            except Exception as e:  # a text must not end the job
+                return [dict.fromkeys(fields) | {"error": repr(e)}]
+
+        return text.map(one)
+
+    kept = [c for c in chunks.columns if c != "text"]
+    rows = chunks.where(F.col("text").rlike(gate)).select(*kept, F.posexplode(run("text")).alias("place", "found"))
+    return rows.select(*kept, "place", "found.*")
+
+
+def references(chunks: DataFrame) -> DataFrame:
+    """Rows of references_in for chunks (source, text and any other columns); references of
+    a source to itself go."""
+    rows = found_in(chunks, references_in, FIELDS, _MAY_REFER)
+    own = (F.col("kind") == "internal") & (F.col("target_kind") == "article") & (F.col("target") == F.col("source").cast("string"))
+    return rows.where(~F.coalesce(own, F.lit(False)))
+
+
+def _leading(value: Column) -> Column:
+    return F.coalesce(F.regexp_extract(value, r"^(\d+)", 1).try_cast("int"), F.lit(0))
+
+
+def forward_index(refs: DataFrame, external: bool = False) -> DataFrame:
+    """source, refs: the internal (or the external) references of each source as an array of
+    (target, raw, ...) by place in the source, target and raw. `refs` may have the columns
+    at_paragraph and at_letter that say where its chunk stands."""
+    place = [F.col(c) if c in refs.columns else F.lit(None).cast("string") for c in ("at_paragraph", "at_letter")]
+    side = refs.where(F.col("error").isNull() & (F.col("kind").startswith("external") if external else F.col("kind") == "internal"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    key = F.struct(_leading(place[0]).alias("p"), text(place[1]).alias("l"), _leading(F.col("target")).alias("n"), text(F.col("target")).alias("t"), text(F.col("raw")).alias("r"), F.col("place").alias("at"), F.struct(*FIELDS).alias("ref"))
+    return side.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(key)), lambda s: s["ref"]).alias("refs"))
+
+
+def reverse_index(refs: DataFrame) -> DataFrame:
+    """target, refs: for each article that is referred to, who does so, as an array of (raw,
+    source, paragraph, letter) by the source's number, raw and place. A source without a
+    leading number comes first."""
+    inner = refs.where("kind = 'internal' AND target_kind = 'article'")
+    source = F.col("source").cast("string")
+    key = F.struct(_leading(source).alias("n"), F.col("raw"), source.alias("s"), F.col("place"), F.struct("raw", source.alias("source"), "paragraph", "letter").alias("ref"))
+    return inner.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(key)), lambda s: s["ref"]).alias("refs"))
+
+
+def counters(refs: DataFrame) -> DataFrame:
+    """counter, value, n: references by kind, by target kind (internal ones), by instrument
+    (external ones), by source and by name, in one pass of grouping sets."""
+    rows = refs.where("error IS NULL").select(
+        "kind", F.when(F.col("kind") == "internal", F.col("target_kind")).alias("target_kind"), F.when(F.col("kind") != "internal", F.coalesce("celex", F.lit("(none)"))).alias("celex"),
+        F.col("source").cast("string").alias("source"), "short_name",
+    )
+    names = ["kind", "target_kind", "celex", "source", "short_name"]
+    ids = {n: sum(1 << (len(names) - 1 - i) for i, m in enumerate(names) if m != n) for n in names}
+    sets = rows.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    counter, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n in names:
+        counter, value = F.when(F.col("g") == ids[n], n).otherwise(counter), F.when(F.col("g") == ids[n], F.col(n)).otherwise(value)
+    return sets.select(counter.alias("counter"), value.alias("value"), "n").where("value IS NOT NULL")
+
+
+def coverage(refs: DataFrame) -> DataFrame:
+    """measure, n: how many references there are of either side, and how many sources have
+    some, how many articles are referred to, and how many chunks failed."""
+    internal, external = F.col("kind") == "internal", F.col("kind") != "internal"
+    one = refs.agg(
+        F.count_if(internal).alias("internal"), F.count_if(external).alias("external"),
+        F.countDistinct(F.when(internal, F.col("source"))).alias("sources_internal"), F.countDistinct(F.when(external, F.col("source"))).alias("sources_external"),
+        F.countDistinct(F.when(internal & (F.col("target_kind") == "article"), F.col("target"))).alias("articles_cited"), F.count("error").alias("failed"),
+    )
+    return one.unpivot([], one.columns, "measure", "n")

@@ -23,9 +23,10 @@ def presence_gaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
 
 
 def asof_backward(events: DataFrame, is_marker, is_probe, by: str, at: list[str], value: str) -> DataFrame:
-    """For each probe the last marker's value at or before it, in one window without a join."""
+    """For each probe the last marker's value at or before it, in one window without a join.
+    Rows that are neither don't reach the shuffle."""
     order = W.partitionBy(by).orderBy(*at).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return events.withColumn("last_marker", F.last(F.when(is_marker, F.col(value)), ignorenulls=True).over(order)).where(is_probe)
+    return events.where(is_marker | is_probe).withColumn("last_marker", F.last(F.when(is_marker, F.col(value)), ignorenulls=True).over(order)).where(is_probe)
 
 
 def neighbours(rows: DataFrame, by: list[str], order: list, key: str) -> DataFrame:
@@ -33,17 +34,56 @@ def neighbours(rows: DataFrame, by: list[str], order: list, key: str) -> DataFra
     return rows.withColumn("prev_key", F.lag(key).over(w)).withColumn("next_key", F.lead(key).over(w))
 
 
+def least_of_each(rows: DataFrame, by: list[str], key: str) -> DataFrame:
+    """by and the smallest key of each group: combined map-side, so a hot group is no task."""
+    return rows.groupBy(*by).agg(F.min(key).alias(key))
+
+
 def first_of_each(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """Whole rows, where the order isn't that of one column."""
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """The place of each row in a total order, from 1. For few rows: one task numbers them."""
+    return rows.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))
+
+
+def carried(rows: DataFrame, by: list[str], order: list, **marks) -> DataFrame:
+    """Adds for each mark (condition, value) the value at the last row that met it."""
+    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    for name, (condition, value) in marks.items():
+        rows = rows.withColumn(name, F.last(F.when(condition, value), ignorenulls=True).over(w))
+    return rows
+
+
+def nested_context(rows: DataFrame, by: list[str], order: list, is_chapter, is_section, value) -> DataFrame:
+    """Adds chapter and section: the last heading of either kind; a section ends with its
+    chapter (a row that begins a chapter may begin a section of it)."""
+    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("__part", F.count(F.when(is_chapter, 1)).over(w))
+    rows = carried(rows, by, order, chapter=(is_chapter, value), __last=(is_section, F.struct(value.alias("v"), F.col("__part").alias("part"))))
+    return rows.withColumn("section", F.when(F.col("__last.part") == F.col("__part"), F.col("__last.v"))).drop("__part", "__last")
+
+
+def polymorphic(rows: DataFrame, kind: str, key: str, targets: dict) -> DataFrame:
+    """Adds title: of the table that the row's kind names, by its key. `targets` has tables of
+    distinct key and title by the kinds that use them; all meet the rows in one join."""
+    both = None
+    for kinds, side in targets.items():
+        tagged = side.select(F.explode(F.array(*map(F.lit, kinds))).alias(kind), F.col("key").alias(key), "title")
+        both = tagged if both is None else both.unionByName(tagged)
+    return rows.join(both, [kind, key], "left")
+
+
 def dangling(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.join(known, key, "left_anti")
 
 
-def check(name: str, failures: DataFrame) -> DataFrame:
-    """A row of a quality suite: name, status, failures."""
-    return failures.agg(F.count("*").alias("failures")).select(F.lit(name).alias("name"), F.when(F.col("failures") == 0, "PASS").otherwise("FAIL").alias("status"), "failures")
+def check(name: str, failures: DataFrame, soft: bool = False) -> DataFrame:
+    """A row of a quality suite: name, status, failures. A soft check warns in place of failing."""
+    status = F.when(F.col("failures") == 0, "PASS").otherwise("SOFT" if soft else "FAIL")
+    return failures.agg(F.count("*").alias("failures")).select(F.lit(name).alias("name"), status.alias("status"), "failures")
 
 
 def verdict(suite: DataFrame) -> DataFrame:

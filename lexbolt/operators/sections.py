@@ -20,6 +20,9 @@ HIGHEST_NOTE = 300
 STEP = r"^(?:Step|Stap)\s+(\d+)\.\s+(.+?)\s*$"
 SUBSECTION = r"^(\d+\.\d+)\.\s+(.+?)\s*$"
 FORWARD = r"(?i) (?:on page|op pagina) "
+SENTENCE_BEGINS, LONG_LINE = r"^[A-Z][a-z]{3,}", 120
+REST_OF_HEADING, LIST_BEGINS, LONG_HEADING = r"^[A-Za-z(\"'].*[?.]$", r"^(?:[•*-] |\d+[.)]\s)", 80
+ANOTHER_HEADING, LONGEST_ID = r"\b\d+\.\d+\.\s+", 100
 
 
 def without_headers(lines: DataFrame) -> DataFrame:
@@ -33,7 +36,7 @@ def split_notes(lines: DataFrame) -> DataFrame:
     note = F.coalesce(F.regexp_extract("line", NOTE_LINE, 1).try_cast("int") <= HIGHEST_NOTE, F.lit(False))
     up = W.partitionBy("doc", "page").orderBy(F.desc("line_no"))
     below = F.coalesce(F.max("__note").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
-    ends = ~F.col("__note") & (~below | (F.length("line") >= 120) | F.col("line").rlike(r"^[A-Z][a-z]{3,}"))
+    ends = ~F.col("__note") & (~below | (F.length("line") >= LONG_LINE) | F.col("line").rlike(SENTENCE_BEGINS))
     marked = without_headers(lines).withColumn("__note", note).withColumn("__ends", ends)
     marked = marked.withColumn("__over", F.max("__ends").over(up.rowsBetween(W.unboundedPreceding, W.currentRow)))
     start = F.min(F.when(F.col("__note") & ~F.col("__over"), F.col("line_no"))).over(W.partitionBy("doc", "page"))
@@ -53,8 +56,8 @@ def footnotes(lines: DataFrame) -> DataFrame:
 
 def _continues(line: Column) -> Column:
     """A short line that may be the rest of a wrapped heading."""
-    begins = line.rlike(r"^[A-Za-z(\"'].*[?.]$") & ~line.rlike(r"^(?:[•*-] |\d+[.)]\s)")
-    return F.coalesce((F.length(line) <= 80) & begins, F.lit(False))
+    begins = line.rlike(REST_OF_HEADING) & ~line.rlike(LIST_BEGINS)
+    return F.coalesce((F.length(line) <= LONG_HEADING) & begins, F.lit(False))
 
 
 def sections(lines: DataFrame, label: str = "Step") -> DataFrame:
@@ -63,7 +66,7 @@ def sections(lines: DataFrame, label: str = "Step") -> DataFrame:
     takes the next line of its page if that continues it."""
     step, sub = (F.regexp_extract("line", STEP, 2), F.regexp_extract("line", SUBSECTION, 2))
     is_step = F.col("line").rlike(STEP) & ~step.rlike(FORWARD)
-    is_sub = F.col("line").rlike(SUBSECTION) & ~sub.rlike(FORWARD) & ~sub.rlike(r"\b\d+\.\d+\.\s+")
+    is_sub = F.col("line").rlike(SUBSECTION) & ~sub.rlike(FORWARD) & ~sub.rlike(ANOTHER_HEADING)
     body = split_notes(lines).where("not is_note")
     level = F.when(is_step, 1).when(is_sub, 2)
     page, doc = W.partitionBy("doc", "page").orderBy("line_no"), W.partitionBy("doc").orderBy("page", "line_no")
@@ -82,7 +85,7 @@ def sections(lines: DataFrame, label: str = "Step") -> DataFrame:
     shown = F.concat(F.when(F.col("level") == 1, F.lit(f"{label} ")).otherwise(""), "number", F.lit(". "), "title")
     return found.select(
         "doc", "ordinal",
-        F.coalesce(F.substring(F.concat(head, F.lit("-"), slugify(F.col("title"))), 1, 100), F.lit("frontmatter")).alias("id"),
+        F.coalesce(F.substring(F.concat(head, F.lit("-"), slugify(F.col("title"))), 1, LONGEST_ID), F.lit("frontmatter")).alias("id"),
         F.coalesce("level", F.lit(1)).alias("level"), "number", F.coalesce(shown, F.lit("Frontmatter")).alias("title"), "page", "body",
     )
 
@@ -92,3 +95,12 @@ def sections_markdown(found: DataFrame) -> DataFrame:
     part = F.concat(F.repeat(F.lit("#"), F.col("level") + 1), F.lit(" "), "title", F.lit("\n\n"), F.array_join("body", "\n"))
     ordered = F.array_sort(F.collect_list(F.struct("ordinal", part.alias("t"))))
     return found.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda s: s["t"]), "\n\n").alias("markdown"))
+
+
+def guide_markdown(found: DataFrame, notes: DataFrame) -> DataFrame:
+    """doc, markdown: the sections of each document in order, then its footnotes by number."""
+    line = F.struct("number", F.concat(F.col("number").cast("string"), F.lit(". "), "text").alias("t"))
+    listed = notes.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda s: s["t"]), "\n").alias("notes"))
+    both = sections_markdown(found).join(listed, "doc", "left")
+    tail = F.when(F.col("notes").isNotNull(), F.concat(F.lit("\n\n## Notes\n\n"), "notes")).otherwise("")
+    return both.select("doc", F.concat("markdown", tail).alias("markdown"))

@@ -1,411 +1,8 @@
-"""The queries over the driver's tables, each with its SQL."""
+"""All queries over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from lexbolt.plans import checks, citing, relational, texts  # noqa: F401  (they register their queries)
+from lexbolt.plans.base import QUERIES, SQL
 
-from lexbolt.functions import structure as T
-from lexbolt.functions import text as X
-from lexbolt.operators import citations as C
-from lexbolt.operators import linker as L
-from lexbolt.operators import relations as R
-from lexbolt.operators import sections as S
-from lexbolt.sources.readers import table
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def same(name: str, sql: str):
-    """A query whose SQL both engines read alike; tables are registered by name."""
-
-    def run(spark, sf_dir):
-        for t in sorted({t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations") if t in sql}):
-            table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(sql)
-
-    QUERIES[name], SQL[name] = run, sql
-
-
-def rows_of(spark, rows, schema):
-    return spark.createDataFrame(rows, schema)
-
-
-def values(rows) -> str:
-    one = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return "VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
-
-
-# ---- links and paths
-
-
-@query("""SELECT target, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM
- (SELECT page_id, regexp_replace(unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)), '[#?].*$', '') AS target FROM pages) GROUP BY target""")
-def link_inverted_index(spark, sf_dir):
-    return R.link_inverted_index(table(spark, sf_dir, "pages"))
-
-
-@query("""SELECT target, n_links FROM (SELECT target, count(*) AS n_links FROM
- (SELECT regexp_replace(unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)), '[#?].*$', '') AS target FROM pages) GROUP BY target) ORDER BY n_links DESC, target LIMIT 20""")
-def topk_links(spark, sf_dir):
-    return R.link_inverted_index(table(spark, sf_dir, "pages")).select("target", "n_links").orderBy(F.desc("n_links"), "target").limit(20)
-
-
-@query(r"""SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS path, regexp_extract(p, '^/(en|fr|de|es)(/|$)', 1) AS lang_prefix FROM
- (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[#?].*$', ''), '^[a-z]+://[^/]*', ''), '/index\.html$', '/') AS p FROM pages)""")
-def canonical_paths(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", X.url_path(F.col("url")).alias("path"))
-    return p.withColumn("lang_prefix", F.regexp_extract("path", r"^/(en|fr|de|es)(/|$)", 1))
-
-
-@query(r"""SELECT page_id, len(regexp_extract_all(html, '<p>')) AS n_paragraphs, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages""")
-def html_blocks(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit("<p>")).alias("n_paragraphs"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
-
-
-# ---- joins and set operations
-
-
-@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def dangling_refs(spark, sf_dir):
-    return R.dangling(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
-
-
-_DAYS = "SELECT DISTINCT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE event_type = "
-
-
-@query(f"SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.day, b.day) AS day, CASE WHEN a.day IS NULL THEN 'left' ELSE 'right' END AS missing_in FROM ({_DAYS}'click') a FULL OUTER JOIN ({_DAYS}'view') b ON a.user_id = b.user_id AND a.day = b.day WHERE a.day IS NULL OR b.day IS NULL")
-def presence_gaps(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
-    return R.presence_gaps(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id", "day"])
-
-
-same("reverse_edge_symmetry", "SELECT DISTINCT a.l_partkey AS s, a.l_suppkey AS t FROM lineitem a LEFT JOIN lineitem b ON a.l_partkey = b.l_suppkey AND a.l_suppkey = b.l_partkey WHERE b.l_partkey IS NULL")
-same("id_set_parity", "SELECT 'documents' AS side, count(*) AS n FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'labels', count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents) UNION ALL SELECT 'both', count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)")
-same("union_distinct_routes", "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
-same("route_cross_product", "SELECT l.lang, n.n_nationkey, '/' || l.lang || '/' || lower(n.n_name) AS path FROM (VALUES ('en'), ('nl')) AS l(lang) CROSS JOIN nation n")
-same("field_parity", "SELECT a.n_nationkey, a.n_name, b.r_name FROM nation a JOIN region b ON a.n_nationkey = b.r_regionkey WHERE a.n_name <> b.r_name")
-same("stage_order_join", "SELECT o_orderkey, coalesce(s.n, 99) AS stage_order FROM orders LEFT JOIN (VALUES ('O', 1), ('F', 2)) AS s(k, n) ON o_orderstatus = s.k")
-same("polymorphic_fk", "SELECT e.event_id, coalesce(c.c_name, p.p_name, s.s_name) AS target FROM events e LEFT JOIN customer c ON e.event_type IN ('signup', 'click') AND c.c_custkey = e.user_id LEFT JOIN part p ON e.event_type = 'view' AND p.p_partkey = e.user_id LEFT JOIN supplier s ON e.event_type IN ('purchase', 'error') AND s.s_suppkey = e.user_id")
-same("sibling_self_join", "SELECT a.doc_id, count(*) AS siblings FROM labels a JOIN labels b ON a.doc_id = b.doc_id GROUP BY a.doc_id")
-same("adjacency_join", "SELECT m.k, n.n_name FROM (VALUES ('a', 1), ('a', 3), ('b', 2), ('c', 99)) AS m(k, id) JOIN nation n ON n.n_nationkey = m.id")
-
-
-@query("""SELECT p.event_id, max(s.event_id) AS last_marker FROM events p LEFT JOIN events s ON s.user_id = p.user_id AND s.event_type = 'signup'
- AND (s.ts, s.event_id) = (SELECT (max((x.ts, x.event_id))) FROM events x WHERE x.user_id = p.user_id AND x.event_type = 'signup' AND (x.ts, x.event_id) <= (p.ts, p.event_id))
- WHERE p.event_type = 'purchase' GROUP BY p.event_id""")
-def asof_section(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    return R.asof_backward(e, F.col("event_type") == "signup", F.col("event_type") == "purchase", "user_id", ["ts", "event_id"], "event_id").select("event_id", "last_marker")
-
-
-# ---- aggregations and windows
-
-
-@query("SELECT n_regionkey, count(*) AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, arg_min(n_name, n_nationkey) AS first_name, arg_max(n_name, n_nationkey) AS last_name FROM nation GROUP BY n_regionkey")
-def chapter_rollup(spark, sf_dir):
-    ordered = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
-    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(
-        F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda s: s["n_name"]), ",").alias("names"),
-        F.min_by("n_name", "n_nationkey").alias("first_name"), F.max_by("n_name", "n_nationkey").alias("last_name"),
-    )
-
-
-same("conditional_counts", "SELECT d.lang, count(*) AS n, count(l.doc_id) AS labelled, sum(CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END) AS toxic, sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS good FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang")
-same("multi_counter_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
-same("duplicate_ids", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
-same("coverage", "SELECT count(DISTINCT l.doc_id) AS covered, (SELECT count(*) FROM documents) AS total FROM labels l")
-same("prev_next", "SELECT p_partkey, lag(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS prev_key, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next_key FROM part")
-same("heading_context", "SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM conversations")
-same("topk_sources", "SELECT d.source, sum(l.toxic) AS toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source ORDER BY toxic DESC, d.source LIMIT 5")
-same("multi_key_sort_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS rank FROM orders")
-same("facet_filter", "SELECT lang, source, count(*) AS n FROM documents WHERE lang IN ('en', 'de') AND source <> 'src0' GROUP BY lang, source")
-
-
-@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1")
-def stage_type_pivot(spark, sf_dir):
-    kinds = ["click", "view", "purchase"]
-    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day")).pivot("event_type", kinds).count().fillna(0, kinds)
-
-
-@query(r"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(lower(regexp_replace(text, '\s+', ' ', 'g'))) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
-def dedupe_first(spark, sf_dir):
-    keyed = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower(F.regexp_replace("text", r"\s+", " "))).alias("k"))
-    return R.first_of_each(keyed, ["k"], ["doc_id"]).select("doc_id")
-
-
-# ---- text functions
-
-
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS sha FROM documents""")
-def text_clean(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.clean(F.col("text")), 256).alias("sha"))
-
-
-@query("SELECT doc_id, sha256(text) AS sha256, length(text) AS char_count FROM documents")
-def content_sha256(spark, sf_dir):
-    from lexbolt.sources.writers import manifest
-
-    return manifest(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
-@query(r"SELECT doc_id, substring(lower(regexp_replace(regexp_replace(substring(text, 1, 60), '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), 1, 80) AS slug FROM documents")
-def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.slugify(F.substring("text", 1, 60)).alias("slug"))
-
-
-@query("SELECT doc_id, CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '…' ELSE text END AS preview FROM documents")
-def truncate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.truncate(F.col("text"), 300).alias("preview"))
-
-
-@query(r"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS n_sentences FROM documents")
-def sentence_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).alias("n_sentences"))
-
-
-same("doc_block_counts", r"SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM documents")
-
-_INSTRUMENTS = [(1, "Regulation (EU) 2016/679 applies"), (2, "see Directive (EU) 2019/790"), (3, "Regulation (EC) No 765/2008"), (4, "Decision (EU) 2021/12345"), (5, "no instrument"), (6, None), (7, "Directive 2001/29/EC")]
-
-
-@query("SELECT n, id FROM (" + values([(1, "32016R0679"), (2, "32019L0790"), (3, "32008R0765"), (4, "32021D12345"), (5, None), (6, None), (7, "32001L0029")]) + ") AS t(n, id)")
-def instrument_ids(spark, sf_dir):
-    return rows_of(spark, _INSTRUMENTS, "n int, text string").select("n", X.instrument_id(F.col("text")).alias("id"))
-
-
-_TARGETS = [
-    (1, "en", "Article 5 - paragraph 1 a"), (2, "en", "Recital 12 a (new)"), (3, "en", "annex iii - point 1"), (4, "en", "Title VIIIA"), (5, "en", "Article 4a - recital 3"), (6, "en", None),
-    (7, "nl", "Artikel 4 bis (nieuw)"), (8, "nl", "Artikel 6 – lid 2 ter"), (9, "nl", "Overweging 9 Quater"), (10, "nl", "Bijlage IV"), (11, "en", "Article — 7 – point 1.2"), (12, "nl", "Visum 3"), (13, "de", "Artikel 1"),
-]
-_AIMED = [
-    (1, "article", "5", None, "1", "a"), (2, "recital", "12", "a", None, None), (3, "annex", "III", None, None, None), (4, "structural", None, None, None, None), (5, "article", "4", "a", None, None), (6, "structural", None, None, None, None),
-    (7, "article", "4", "bis", None, None), (8, "article", "6", None, "2", "ter"), (9, "recital", "9", "quater", None, None), (10, "annex", "IV", None, None, None), (11, "article", "7", None, "1.2", None), (12, "structural", None, None, None, None), (13, None, None, None, None, None),
-]
-
-
-@query("SELECT * FROM (" + values(_AIMED) + ") AS t(n, kind, number, suffix, paragraph, paragraph_suffix)")
-def amend_target_classify(spark, sf_dir):
-    rows = rows_of(spark, _TARGETS, "n int, lang string, text string")
-    return rows.select("n", X.amendment_target(F.col("text"), F.col("lang")).alias("t")).select("n", "t.*")
-
-
-_KEYS = [("4a", "IV"), ("12", "xi"), ("x", "Q"), (None, None)]
-
-
-@query("SELECT number, num_key, roman_key FROM (" + values([("4a", 4, 4), ("12", 12, 11), ("x", 0, 999), (None, 0, 999)]) + ") AS t(number, num_key, roman_key)")
-def number_keys(spark, sf_dir):
-    return rows_of(spark, _KEYS, "number string, r string").select("number", X.number_key(F.col("number")).alias("num_key"), X.roman_key(F.col("r")).alias("roman_key"))
-
-
-_TITLES = [(1, "", "Titel", "en"), (2, "Title", None, "en"), (3, None, "", "en")]
-
-
-@query("SELECT n, title FROM (" + values([(1, "Titel"), (2, "Title"), (3, "3")]) + ") AS t(n, title)")
-def lang_fallback(spark, sf_dir):
-    return rows_of(spark, _TITLES, "n int, en string, nl string, lang string").select("n", X.first_text(F.col("en"), F.col("nl"), F.col("n").cast("string")).alias("title"))
-
-
-_DATES = [(1, "2024-08-01", "en"), (2, "2024-03-13", "nl"), (3, "soon", "en")]
-
-
-@query("SELECT n, spelled FROM (" + values([(1, "1 August 2024"), (2, "13 maart 2024"), (3, "soon")]) + ") AS t(n, spelled)")
-def long_dates(spark, sf_dir):
-    return rows_of(spark, _DATES, "n int, day string, lang string").select("n", X.long_date(F.col("day"), F.col("lang")).alias("spelled"))
-
-
-# ---- citations
-
-_CHUNKS = [
-    ("1", "As laid down in Articles 5(1)(a), 7 and 9 of this Regulation."),
-    ("2", "Articles 3 to 6 apply; Article 2 does not."),
-    ("3", "Article 6(a) and Article 4a(2)."),
-    ("4", "Article 22 of Regulation (EU) 2016/679 and Articles 5, 7, and 9."),
-    ("5", "Articles 1 to 80; Articles 9 to 8."),
-]
-_CITED = [
-    ("1", "internal", "5", "1", "a"), ("1", "internal", "7", None, None), ("1", "internal", "9", None, None),
-    ("2", "internal", "3", None, None), ("2", "internal", "4", None, None), ("2", "internal", "5", None, None), ("2", "internal", "6", None, None),
-    ("3", "internal", "6", None, None), ("3", "internal", "4a", "2", None),
-    ("4", "external", "22", None, None), ("4", "internal", "5", None, None), ("4", "internal", "7", None, None),
-    ("5", "internal", "1", None, None), ("5", "internal", "9", None, None), ("5", "internal", "8", None, None),
-]
-
-
-@query("SELECT * FROM (" + values(_CITED) + ") AS t(source, kind, article, paragraph, letter)")
-def citations_extract(spark, sf_dir):
-    return C.extract_citations(rows_of(spark, _CHUNKS, "source string, text string")).select("source", "kind", "article", "paragraph", "letter")
-
-
-@query("SELECT article, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM (" + values(_CITED) + ") AS t(source, kind, article, paragraph, letter) WHERE kind = 'internal' GROUP BY article")
-def citations_reverse(spark, sf_dir):
-    return C.reverse_index(C.extract_citations(rows_of(spark, _CHUNKS, "source string, text string")))
-
-
-_NAMED = [("1", "Annexes I and III(2)(a) apply; see Annex V to VII."), ("2", "Under the GDPR, Directive (EU) 2016/680 (the LED) and Decision (EU) 2021/914."), ("3", "Regulation (EU) 2024/1689 and NIS2 Directive."), ("4", None)]
-
-
-@query("SELECT * FROM (" + values([("1", "I", None, None), ("1", "III", "2", "a"), ("1", "V", None, None), ("1", "VII", None, None)]) + ") AS t(source, annex, paragraph, letter)")
-def annexes_extract(spark, sf_dir):
-    return C.extract_annexes(rows_of(spark, _NAMED, "source string, text string")).select("source", "annex", "paragraph", "letter")
-
-
-@query("SELECT * FROM (" + values([("2", "the GDPR", "32016R0679"), ("2", "Directive (EU) 2016/680", "32016L0680"), ("2", "the LED", "32016L0680"), ("2", "Decision (EU) 2021/914", "32021D0914"), ("3", "NIS2 Directive", "32022L2555")]) + ") AS t(source, raw, id)")
-def instruments_extract(spark, sf_dir):
-    return C.extract_instruments(rows_of(spark, _NAMED, "source string, text string")).select("source", "raw", "id")
-
-
-_LINKED = [("See Articles 5 and 6 & the GDPR.", [("Articles 5 and 6", "5", "/a/5", False), ("Articles 5 and 6", "6", "/a/6", False), ("the GDPR", None, "/x?a&b", True), ("the GDPR", "g", "/in", False)]), ("None", []), (None, None)]
-
-
-@query("SELECT * FROM (" + values([('See Articles <a href="/a/5">5</a> and <a href="/a/6">6</a> & <a href="/x?a&amp;b">the GDPR</a>.',), ("None",), (None,)]) + ") AS t(html)")
-def reference_links(spark, sf_dir):
-    return rows_of(spark, _LINKED, f"text string, refs {L.REFS}").select(L.link_references(F.col("text"), F.col("refs")).alias("html"))
-
-
-# ---- structure
-
-
-@query("SELECT doc_id, sha256(regexp_replace(replace(replace(replace(replace(replace(translate(nfc_normalize(text), chr(160) || chr(8201) || chr(8239) || '–‘’“”' || chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(65279), '   -' || chr(39) || chr(39) || '\"\"'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '[ \\t]+', ' ', 'g')) AS sha FROM documents")
-def text_normalised(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalised(F.col("text")), 256).alias("sha"))
-
-
-def _markdown_sql() -> str:
-    out = "html"
-    for pattern, new in T.MARKDOWN_RULES:
-        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
-    for name, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-        out = f"replace({out}, '{name}', '{plain}')"
-    return f"SELECT page_id, {out} AS markdown FROM pages"
-
-
-@query(_markdown_sql())
-def page_markdown(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.html_markdown(F.col("html")).alias("markdown"))
-
-
-@query(r"SELECT doc_id, greatest(len(regexp_extract_all(text, '\n\d+\.\s')), 1) AS n FROM documents")
-def paragraph_estimates(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.paragraph_estimate(F.col("text")).alias("n"))
-
-
-@query(r"""SELECT page_id, '/nl' || regexp_replace(p, '^/(en|nl)(/|$)', '\2') AS other, CASE WHEN p LIKE '/recitals%' THEN 'recitals' WHEN p LIKE '/annexes%' THEN 'annexes' WHEN p LIKE '/history%' THEN 'history' WHEN p LIKE '/guidance%' THEN 'guidance' WHEN p LIKE '/about%' THEN 'about' ELSE 'articles' END AS section
- FROM (SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS p FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[#?].*$', ''), '^[a-z]+://[^/]*', ''), '/index\.html$', '/') AS p FROM pages))""")
-def page_routes(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", X.url_path(F.col("url")).alias("p"))
-    return p.select("page_id", T.swap_language(F.col("p"), "nl").alias("other"), T.nav_section(F.col("p")).alias("section"))
-
-
-_BODIES = [("5", "lost\n\n**1.** First.\n\n- a) one\n- b) two\n\n**12.**  Second.\n"), ("3", " No numbers. "), ("7", None)]
-
-
-@query("SELECT article, id, number, text FROM (" + values([("5", "005.001", "1", "1.   First.\n\n(a)\none\n(b)\ntwo"), ("5", "005.012", "12", "12.   Second."), ("3", None, None, "No numbers."), ("7", None, None, None)]) + ") AS t(article, id, number, text)")
-def body_paragraphs(spark, sf_dir):
-    rows = rows_of(spark, _BODIES, "article string, body string")
-    return rows.select("article", F.inline(T.numbered_paragraphs(F.col("body"), F.col("article"))))
-
-
-_POINTS = [("1", "Intro:\n(a)\none\n(b) two\nmore\n(c)\n(aa) no part"), ("2", "Whole."), ("3", None)]
-
-
-@query("SELECT n, marker, text FROM (" + values([("1", None, "Intro:"), ("1", "(a)", "one"), ("1", "(b)", "two\nmore"), ("1", "(c)", "(aa) no part"), ("2", None, "Whole.")]) + ") AS t(n, marker, text)")
-def sub_point_parts(spark, sf_dir):
-    return rows_of(spark, _POINTS, "n string, text string").select("n", F.inline(T.sub_points(F.col("text"))))
-
-
-@query("SELECT n, marker FROM (" + values([("1", "(a)"), ("1", "(b)"), ("1", "(c)"), ("2", None), ("3", None)]) + ") AS t(n, marker)")
-def text_chunk_rows(spark, sf_dir):
-    return rows_of(spark, _POINTS, "n string, text string").select("n", F.inline(T.text_chunks(F.col("text")))).drop("text")
-
-
-_TABLES = [
-    (1, "<table><tr><th>Text proposed by the Commission</th><th>Amendment</th></tr><tr><td>Old &amp; <b>tried</b></td><td>New</td></tr><tr><td></td><td>Added</td></tr><tr><td> </td><td></td></tr><tr><td colspan=2>Both</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>"),
-    (2, "<table><tr><td>(a)</td><td>first</td></tr><tr><td></td><td>(b)</td><td>second</td></tr><tr><td></td><td>bare</td></tr><tr><td>x</td></tr></table>"),
-    (3, "no table"),
-]
-
-
-@query("SELECT * FROM (" + values([(1, "Old & tried\n\n\n\nBoth", "New\n\nAdded\n\nBoth"), (2, "(a)\n\n\n\nx", "first\n\nbare\n\nx"), (3, "", "")]) + ") AS t(n, old_text, new_text)")
-def amendment_columns(spark, sf_dir):
-    both = rows_of(spark, _TABLES, "n int, html string").select("n", T.two_columns(T.table_cells(F.col("html"))).alias("s"))
-    return both.select("n", F.col("s.left").alias("old_text"), F.col("s.right").alias("new_text"))
-
-
-@query("SELECT * FROM (" + values([(2, "- (a) first\n- (b) second\nbare"), (3, "")]) + ") AS t(n, lines)")
-def marker_table_lines(spark, sf_dir):
-    return rows_of(spark, _TABLES[1:], "n int, html string").select("n", T.marker_lines(T.table_cells(F.col("html"))).alias("lines"))
-
-
-_FORMS = [(1, "the EU's AI rules and gpai", "2", "a", "1.3", 4, 7, "nl", "32016R0679", "[x](../recitals/) [y](../a-b.md)"), (2, "", None, "b", None, 4, None, "en", "3201R0679", "(articles/chapter-01/)"), (3, None, None, None, "", None, 2, "en", None, None)]
-
-
-@query("SELECT * FROM (" + values([(1, "The EU'S AI Rules And GPAI", "(2)(a)", "§1.3, p. 4, vn. 7", "yes", "[x](../recitals/index.md) [y](a-b.md)"), (2, "", "(b)", "p. 4", "no", "(articles/chapter-01/index.md)"), (3, None, "", "fn. 2", "no", None)]) + ") AS t(n, title, pin, place, celex, links)")
-def display_forms(spark, sf_dir):
-    c = F.col
-    rows = rows_of(spark, _FORMS, "n int, title string, p string, l string, s string, page int, note int, lang string, celex string, md string")
-    return rows.select(
-        "n", T.title_case(c("title")).alias("title"), T.pin_cite(c("p"), c("l")).alias("pin"), T.location(c("s"), c("page"), c("note"), c("lang")).alias("place"),
-        F.when(T.valid_celex(c("celex")), "yes").otherwise("no").alias("celex"), T.index_links(c("md")).alias("links"),
-    )
-
-
-_LINES = [
-    (1, ["Guide | Step 1  1", "A title", "Step 1. Is it in", "scope?", "Text one.", "1.1. Systems on page 3", "1 A note", "that goes on", "4 Ending"]),
-    (2, ["1.2. Real heading", "Body of it that is a sentence", "Apples a day is body text", "2 Next note", "3 Last"]),
-    (3, ["9 no note, as the last line has no number", "tail"]),
-]
-_PAGED = [("d", page, n, line) for page, lines in _LINES for n, line in enumerate(lines)]
-
-
-@query("SELECT * FROM (" + values([(0, "frontmatter", 1, None, "Frontmatter", 1, "A title"), (1, "step-1-is-it-in-scope", 1, "1", "Step 1. Is it in scope?", 1, "Text one.|1.1. Systems on page 3"), (2, "sec-1-2-real-heading", 2, "1.2", "1.2. Real heading", 2, "Body of it that is a sentence|Apples a day is body text|9 no note, as the last line has no number|tail")]) + ") AS t(ordinal, id, level, number, title, page, body)")
-def guide_sections(spark, sf_dir):
-    found = S.sections(rows_of(spark, _PAGED, "doc string, page int, line_no int, line string"))
-    return found.select("ordinal", "id", "level", "number", "title", "page", F.array_join("body", "|").alias("body"))
-
-
-@query("SELECT * FROM (" + values([(1, 1, "A note that goes on"), (4, 1, "Ending"), (2, 2, "Next note"), (3, 2, "Last")]) + ") AS t(number, page, text)")
-def guide_footnotes(spark, sf_dir):
-    return S.footnotes(rows_of(spark, _PAGED, "doc string, page int, line_no int, line string")).drop("doc")
-
-
-# ---- quality suite
-
-
-@query("""SELECT 'labels resolve' AS name, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, n AS failures FROM (SELECT count(*) AS n FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id))
- UNION ALL SELECT 'unique document ids', CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END, n FROM (SELECT count(*) AS n FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1))
- UNION ALL SELECT 'languages known', CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END, n FROM (SELECT count(*) AS n FROM documents WHERE lang NOT IN ('en', 'fr', 'de'))
- UNION ALL SELECT 'orders have customers', CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END, n FROM (SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))""")
-def quality_suite(spark, sf_dir):
-    d, l = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels")
-    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    suite = [
-        R.check("labels resolve", R.dangling(l, d, "doc_id")),
-        R.check("unique document ids", d.groupBy("doc_id").count().where("count > 1")),
-        R.check("languages known", d.where(~F.col("lang").isin("en", "fr", "de"))),
-        R.check("orders have customers", o.join(c, o.o_custkey == c.c_custkey, "left_anti")),
-    ]
-    out = suite[0]
-    for more in suite[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-@query(f"SELECT count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, 0 AS soft, 0 AS skipped, CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM ({SQL['quality_suite']})")
-def suite_verdict(spark, sf_dir):
-    return R.verdict(quality_suite(spark, sf_dir))
-
-
-@query(f"SELECT '# Checks' || chr(10) || chr(10) || '| check | status | failures |' || chr(10) || '|-|-|-|' || chr(10) || string_agg('| ' || name || ' | ' || status || ' | ' || failures || ' |', chr(10) ORDER BY name) AS markdown FROM ({SQL['quality_suite']})")
-def suite_report(spark, sf_dir):
-    return R.report(quality_suite(spark, sf_dir), "Checks")
+__all__ = ["QUERIES", "SQL"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +18,21 @@ def json_entities(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract(F.col("_metadata.file_name"), r"(\d+[a-z]?)\.[a-z]+$", 1).alias("number"), F.col("value").alias("text"))
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract(F.col("_metadata.file_name"), r"(\d+[a-z]?)\.[a-z]+$", 1).alias("number"), F.col("value").alias("text"))
 
 
 def site_map(spark: SparkSession, path: str, row: str = "url") -> DataFrame:
     return spark.read.format("xml").option("rowTag", row).schema("loc string").load(path)
 
 
+def site_maps(spark: SparkSession, index: str, place: Callable[[str], str] = str) -> DataFrame:
+    """loc: the pages of all site maps that an index lists (at most 50,000 by the protocol,
+    so their names come to the driver); `place` says where a map's file is."""
+    files = [place(r["loc"]) for r in site_map(spark, index, "sitemap").collect()]
+    return spark.read.format("xml").option("rowTag", "url").schema("loc string").load(",".join(files)) if files else spark.createDataFrame([], "loc string")
+
+
 def map_entries(rows: DataFrame, column: str, key: str, value: str) -> DataFrame:
     """Nested map blobs as rows; empty maps drop out."""
     return rows.select(*[c for c in rows.columns if c != column], F.explode(column).alias(key, value))
