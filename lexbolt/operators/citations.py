@@ -2,18 +2,19 @@
 
 A reference to articles is a head, a list of numbers with pin-cites and ranges, and a
 qualifier that says which instrument is meant. The grammar is recursive over separators, so
-it runs as an Arrow UDF that returns an array of structs; texts without a word that can
+it runs over Arrow batches; texts without a word that can
 begin a reference are left out before, in generated code.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: How references look, and what names stand for.
 ARTICLES = re.compile(r"\bArticles?\b[ \t\n\r]*(?=\d)")
@@ -129,10 +130,11 @@ def named(text: str) -> list[tuple[dict, Span]]:
     begin or end inside what was found."""
     found: dict[Span, dict] = {}
     for letter, name, rule in INSTRUMENTS:
-        for m in rule.finditer(text):
+        for m in rule.finditer(text) if name.split()[0] in text else ():
             found.setdefault(m.span(), _numbered(m, letter, name))
+    folded = text.lower()
     for name, rule in _NAMED:
-        for m in rule.finditer(text):
+        for m in rule.finditer(text) if name.lower() in folded else ():
             if not _touches(m.span(), found):
                 found[m.span()] = _by_name(name)
     return [(about, span) for span, about in found.items()]
@@ -170,21 +172,27 @@ def found_in(chunks: DataFrame, find: Callable[[str], list[dict]], fields: list[
     """The columns of `chunks` but text, place (in the chunk), and `fields` of all that
     `find` finds. Texts that don't match `gate` aren't sent to Python. A text at which
     `find` fails gives one row with the error in place of all else."""
-    shape = ",".join(f"{f}:string" for f in [*fields, "error"])
-
-    @F.pandas_udf(f"array<struct<{shape}>>")
-    def run(text: pd.Series) -> pd.Series:
-        def one(t: str) -> list[dict]:
-            try:
-                return [{f: r.get(f) for f in fields} | {"error": None} for r in find(t)]
-            except Exception as e:  # a text must not end the job
-                return [dict.fromkeys(fields) | {"error": repr(e)}]
-
-        return text.map(one)
-
     kept = [c for c in chunks.columns if c != "text"]
-    rows = chunks.where(F.col("text").rlike(gate)).select(*kept, F.posexplode(run("text")).alias("place", "found"))
-    return rows.select(*kept, "place", "found.*")
+    rows = chunks.where(F.col("text").rlike(gate)).select(*kept, "text")
+    out = rows.select(*kept, F.lit(0).alias("place"), *[F.lit("").cast("string").alias(f) for f in [*fields, "error"]]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, place, columns = [], [], {f: [] for f in [*fields, "error"]}
+            for i, text in enumerate(b.column(len(kept)).to_pylist()):
+                try:
+                    found, error = find(text), None
+                except Exception as e:  # a text must not end the job
+                    found, error = [{}], repr(e)
+                owner += [i] * len(found)
+                place += range(len(found))
+                for f in fields:
+                    columns[f] += [r.get(f) for r in found]
+                columns["error"] += [error] * len(found)
+            own = [c.take(pa.array(owner, pa.int64())) for c in b.columns[: len(kept)]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(place, pa.int32()), *[pa.array(c, pa.string()) for c in columns.values()]], [*kept, "place", *columns])
+
+    return rows.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in out.fields]))
 
 
 def references(chunks: DataFrame) -> DataFrame:
