@@ -89,17 +89,17 @@ class Encoder:
         """The ids' bytes, in self.dtype."""
         if not self.by_word or "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        known, out = self.known, []
+        known, words = self.known, text.lower().split()
         if len(known) > _CACHE_WORDS:
             known.clear()
-        for w in text.lower().split():
-            ids = known.get(w)
-            if ids is None:
-                ids = self._word(w)
-                if len(w) <= 64:
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        found = list(map(known.get, words))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    found[i] = self._word(words[i])
+                    if len(words[i]) <= 64:
+                        known[words[i]] = found[i]
+        return b"".join(found)
 
 
 def encoder(path: str) -> Encoder:
