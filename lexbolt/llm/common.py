@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -134,6 +135,31 @@ def only(docs: DataFrame, mark: Column, stay: DataFrame) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(f"{OWN}.*")
 
 
+#: Bits of the map that tells what can't be in a table: 8 MB, however large the table.
+MAP_BITS = 1 << 26
+
+
+def may_be_in(rows: DataFrame, column: str) -> Callable[[Column], Column]:
+    """Of a long: whether it may be among those of the stored table `rows`. A bit a value,
+    so it is never wrong about what is in; of what isn't, the more passes the fuller the map
+    gets. Put before an exact join it keeps rows that can't match out of the shuffle."""
+    place = F.expr(f"`{column}` & {MAP_BITS - 1}")
+    words = rows.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 AS int))").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # MAP_BITS / 64 rows at most
+    bits = np.zeros(MAP_BITS // 64, np.int64)
+    bits[found["w"].to_numpy()] = found["b"].to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def known(values):
+        import pandas as pd
+
+        v = values.to_numpy(np.int64)
+        return pd.Series((sent.value[(v & (MAP_BITS - 1)) >> 6] >> (v & 63)) & 1 == 1)
+
+    return known
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexbolt.llm.common import id_key, materialize, only, table, text_of
+from lexbolt.llm.common import id_key, materialize, may_be_in, only, table, text_of
 from lexbolt.llm.components import components
 
 PART, WORD_BITS = 16, 64
@@ -399,20 +399,20 @@ def links(reps: DataFrame, rule: Rule) -> DataFrame:
 def verified_links(reps: DataFrame, docs: DataFrame, words: int, rule: Rule) -> DataFrame:
     """The same where a likeness is asked for; `reps` has the first document of each node.
 
-    A first round names the nodes that have a candidate, shard by shard. The texts of these
-    alone are read again for their sets of shingles, which a second round compares.
+    A first round keeps, shard by shard, the nodes that have a candidate. The texts of these
+    alone are sent on for their sets of shingles, which a second round compares.
     """
 
-    def name(shard: Shard, t: pa.Table) -> pa.Table:
-        found = active(shard, rule)
-        return pa.table({"shard": pa.array(np.full(len(found), t["shard"][0].as_py(), np.int32)), "node": pa.array(found, pa.int64())})
+    def some(shard: Shard, t: pa.Table) -> pa.Table:
+        rows = np.isin(t["node"].to_numpy(), active(shard, rule))
+        return t.select(["shard", "part", "node", "fp", "n", "home"]).filter(pa.array(rows))
 
-    dealt = deal(reps, rule)
-    chosen = materialize(in_shards(dealt, name, rule, "shard int, node long").distinct(), "active")
-    first = reps.join(chosen.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"))
+    dealt = in_shards(deal(reps, rule), some, rule, "shard int, part int, node long, fp binary, n int, home boolean")
+    dealt = materialize(dealt.distinct(), "active")
+    first = reps.join(dealt.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"))
     first = materialize(first.select("node", *id_key(), "mark"), "active-documents")
     texts = docs.select(*id_key(), F.xxhash64(text_of()).alias("mark"), text_of().cast("binary").alias("text"))
-    texts = texts.join(first, ["__none", "__id", "mark"]).select("node", "text")
+    texts = texts.where(may_be_in(first, "mark")(F.col("mark"))).join(first, ["__none", "__id", "mark"]).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -421,7 +421,7 @@ def verified_links(reps: DataFrame, docs: DataFrame, words: int, rule: Rule) ->
 
     sets = materialize(texts.mapInArrow(run, "node long, hashes binary"), "shingle-sets")
     sets = sets.groupBy("node").agg(F.first("hashes").alias("hashes"))  # rows may repeat
-    rows = dealt.join(chosen, ["shard", "node"]).join(sets, "node")
+    rows = dealt.join(sets, "node")
 
     def compare(shard: Shard, t: pa.Table) -> pa.Table:
         hashes = [np.frombuffer(t["hashes"][int(k)].as_py(), np.uint64) for k in shard.first]

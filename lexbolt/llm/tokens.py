@@ -20,7 +20,9 @@ ids before a segment are summed without opening it. `export` writes them as plai
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,7 @@ SEGMENT_TOKENS = 1 << 21
 MAGIC = b"LXTOK1\0\0"
 SAMPLE_EVERY = 256
 _NO_ID = -(1 << 63)
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 # ---- the tokenizer
@@ -58,6 +61,7 @@ class Encoder:
         self.full = Tokenizer.from_file(path)
         self.model, self.known = self.full.model, {}  # of words and of their pieces, which have the same ids as words
         self.dtype = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet of byte-level BPE
         hidden = [b for b in range(256) if b not in set(visible)]
@@ -77,13 +81,20 @@ class Encoder:
         found = self.known.get(piece)
         if found is None:
             coded = piece if piece.isascii() else piece.encode().decode("latin-1")
-            found = np.array([t.id for t in self.model.tokenize(coded.translate(self.alphabet))], self.dtype).tobytes()
+            ids = [t.id for t in self.model.tokenize(coded.translate(self.alphabet))]
+            found = array(self.code, ids).tobytes() if LITTLE else np.array(ids, self.dtype).tobytes()
             if len(piece) <= 64:
                 self.known[piece] = found
         return found
 
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self._piece, self.pieces(word)))
+        if word.isalpha():  # one piece
+            return self._piece(word)
+        known, parts = self.known, self.pieces(word)
+        found = b"".join([known.get(p) or self._piece(p) for p in parts])
+        if len(word) <= 64:
+            known[word] = found
+        return found
 
     def encode(self, text: str) -> bytes:
         """The ids' bytes, in self.dtype."""
@@ -97,8 +108,6 @@ class Encoder:
             for i, ids in enumerate(found):
                 if ids is None:
                     found[i] = self._word(words[i])
-                    if len(words[i]) <= 64:
-                        known[words[i]] = found[i]
         return b"".join(found)
 
 
