@@ -197,24 +197,29 @@ def draws(rows: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, repea
         F.max(F.when(F.col("cut"), F.col("cut_left"))).alias("cut_left"),
     )
 
-    # Documents: longest first each that still fits, equal ones by hash, then the shortest left out if that comes closer.
+    # Documents of the blocks drawn in part: longest first each that still fits, then one of the shortest left out if that comes
+    # closer. Of one size as many as fit, the first by hash; so a source is one row with an entry a size, however large its blocks.
     docs = placed.join(drawn, ["sid", "block"], "left")
-    one = F.struct((-F.col("size")).alias("order"), block_order.alias("hash"), "block", "key", "row", "size")
-    cut = docs.where(F.col("cut_left").isNotNull()).groupBy("sid").agg(F.array_sort(F.collect_list(one)).alias("all"), F.max("cut_left").alias("cut_left"))
-    start = F.struct(F.col("cut_left").cast("double").alias("left"), F.array().cast("array<bigint>").alias("rows"), F.lit(None).cast("struct<size:bigint,key:bigint,row:bigint>").alias("next"))
+    cut = materialize(docs.where(F.col("cut_left").isNotNull()).select("sid", "block", "key", "row", "size", "cut_left"), "cut")
+    sizes = cut.groupBy("sid", "size").agg(F.count("*").alias("n"), F.max("cut_left").alias("cut_left"))
+    sizes = sizes.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"), F.max("cut_left").alias("cut_left"))
+    start = F.struct(F.col("cut_left").cast("double").alias("left"), F.array().cast("array<struct<size:bigint,take:bigint>>").alias("taken"), F.lit(None).cast("long").alias("next"))
 
     def step(s: Column, x: Column) -> Column:
-        fits = x["size"] <= s["left"]
-        return F.struct(
-            F.when(fits, s["left"] - x["size"]).otherwise(s["left"]).alias("left"),
-            F.when(fits, F.concat(s["rows"], F.array(x["row"]))).otherwise(s["rows"]).alias("rows"),
-            F.when(fits, s["next"]).otherwise(F.least(s["next"], F.struct(x["size"].alias("size"), x["key"].alias("key"), x["row"].alias("row")))).alias("next"),
-        )
+        fit = F.when(x["size"] > 0, F.greatest(F.lit(0), F.least(x["n"], F.floor(s["left"] / x["size"])))).otherwise(x["n"])
+        return _let(fit, lambda take: F.struct(
+            (s["left"] - take * x["size"]).alias("left"),
+            F.concat(s["taken"], F.array(F.struct(x["size"].alias("size"), take.alias("take")))).alias("taken"),
+            F.when(take < x["n"], x["size"]).otherwise(s["next"]).alias("next"),
+        ))
 
     def close(s: Column) -> Column:
-        return F.when(s["next"]["size"] - s["left"] < s["left"], F.concat(s["rows"], F.array(s["next"]["row"]))).otherwise(s["rows"])
+        more = F.coalesce(s["next"] - s["left"] < s["left"], F.lit(False))
+        return F.transform(s["taken"], lambda x: F.struct(x["size"].alias("size"), (x["take"] + F.when(more & (x["size"] == s["next"]), 1).otherwise(0)).alias("take")))
 
-    cut = cut.select(F.explode(F.aggregate("all", start, step, close)).alias("row"), F.lit(True).alias("in_cut"))
+    taken = sizes.select("sid", F.explode(F.aggregate("sizes", start, step, close)).alias("x")).select("sid", "x.size", "x.take").where("take > 0")
+    nth = F.row_number().over(W.partitionBy("sid", "size").orderBy(block_order, "block", "key", "row"))
+    cut = cut.withColumn("nth", nth).join(taken, ["sid", "size"]).where("nth <= take").select("row", F.lit(True).alias("in_cut"))
     docs = docs.join(cut, "row", "left")
     mine = F.filter("all_draws", lambda d: ~d["cut"] | F.coalesce(F.col("in_cut"), F.lit(False)))
     mine = F.transform(F.coalesce(mine, F.array().cast("array<struct<epoch:int,shard:int,cut:boolean>>")), lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard")))
