@@ -42,6 +42,8 @@ from lexbolt.llm.components import components
 PART, WORD_BITS = 16, 64
 WORDS, HASH_SEED = 4, 42
 SHARD_POINTS, MAX_SHARD, SAMPLE = 4096, 65_536, 20_000
+#: Shingles of a chunk of a shard (of 8 bytes each), and pairs that wait for comparison.
+MAX_SHINGLES, MAX_PAIRS = 1 << 23, 1 << 20
 CANDIDATES = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 15
@@ -329,15 +331,28 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def verified(shard: Shard, hashes: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what is linked: candidates, the nearest first, whose sets of shingles
-    are as alike as the rule says. What is joined already needn't be compared again."""
-    sets, found = Sets(len(shard.nodes)), [*shard.near(rule)]
-    if found:
-        x, y, d = (np.concatenate(c) for c in zip(*found))
+    """Edges that join what is linked: candidates whose sets of shingles are as alike as the
+    rule says, the nearest of each MAX_PAIRS first. What is joined already needn't be held or
+    compared, so a large group of copies of one another is never listed by its pairs."""
+    sets, held, size = Sets(len(shard.nodes)), [], 0
+
+    def compare(held: list) -> None:
+        x, y, d = (np.concatenate(c) for c in zip(*held))
         for k in np.argsort(d, kind="stable").tolist():
             i, j = int(x[k]), int(y[k])
             if sets.find(i) != sets.find(j) and jaccard(hashes[i], hashes[j]) >= rule.likeness:
                 sets.join(i, j)
+
+    for x, y, d in shard.near(rule):
+        parent = sets.flat()
+        new = parent[x] != parent[y]
+        held.append((x[new], y[new], d[new]))
+        size += len(held[-1][0])
+        if size >= MAX_PAIRS:
+            compare(held)
+            held, size = [], 0
+    if held:
+        compare(held)
     return sets.edges(shard.nodes)
 
 
@@ -366,9 +381,12 @@ def deal(reps: DataFrame, rule: Rule) -> DataFrame:
 
 
 def in_shards(dealt: DataFrame, work: Callable[[Shard, pa.Table], pa.Table], rule: Rule, returns: str) -> DataFrame:
-    """`work` on every shard, or on every pair of chunks of a shard over MAX_SHARD rows."""
-    sizes = dealt.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > MAX_SHARD)
-    sizes = sizes.select("shard", F.ceil(F.col("rows") / MAX_SHARD).cast("int").alias("chunks"))
+    """`work` on every shard, or on every pair of chunks of a shard over MAX_SHARD rows or, if
+    rows carry their shingles, over MAX_SHINGLES of them."""
+    most = F.count("*") / MAX_SHARD
+    if "hashes" in dealt.columns:
+        most = F.greatest(most, F.sum("n") / MAX_SHINGLES)
+    sizes = dealt.groupBy("shard").agg(F.ceil(most).cast("int").alias("chunks")).where("chunks > 1")
     rows = dealt.join(F.broadcast(sizes), "shard", "left").fillna(1, ["chunks"])  # at most 16 * 65,536 leaves
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     mates = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least("chunk", k).alias("i"), F.greatest("chunk", k).alias("j")))
