@@ -81,7 +81,7 @@ def test_mixing(docs, rows, none):
     assert mixing.mix_plan(none).count() == 0 and mixing.mix(none).count() == 0
 
 
-def test_mixing_meets_targets_beside_very_long_documents(spark):
+def test_mixing_meets_targets_beside_very_long_documents(spark, monkeypatch):
     rng = random.Random(9)
     rows = []
     for s in range(12):  # of one block, and of several
@@ -89,6 +89,10 @@ def test_mixing_meets_targets_beside_very_long_documents(spark):
         rows += [(1000 * s + i, "w " * n, f"s{s:02}") for i, n in enumerate(sizes)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     got = mixing.mix_plan(df, weights=(3, 4, 5, 6), total=1.2).toPandas()
+    for _, of in got.groupby(got.doc_id // 1000):
+        assert abs(of.taken.sum() - of.target.iloc[0]) <= of["size"].mean() + 1e-6
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 2)  # blocks that grow with their source
+    got = mixing.mix_plan(df, weights=(3, 4, 5, 6), total=1.2).toPandas()
     for _, of in got.groupby(got.doc_id // 1000):
         assert abs(of.taken.sum() - of.target.iloc[0]) <= of["size"].mean() + 1e-6
     for total in (0.8, 0.9):  # only with the long one, which has to come before the short ones
@@ -189,6 +193,31 @@ def test_shards_are_cut_into_chunks(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(simhash, "MAX_SHARD", 20)
     assert sorted((str(r.doc_id), r.component_id) for r in simhash.near_groups(docs).collect()) == whole
     assert sorted(str(r.doc_id) for r in simhash.drop_near_copies(docs).collect()) == near
+    monkeypatch.setattr(simhash, "MAX_SHARD", 65_536)
+    monkeypatch.setattr(simhash, "MAX_SHINGLES", 400)
+    monkeypatch.setattr(simhash, "MAX_PAIRS", 5)
+    assert sorted(str(r.doc_id) for r in simhash.drop_near_copies(docs).collect()) == near
+
+
+def test_a_large_group_of_near_copies_is_not_listed_by_its_pairs(monkeypatch):
+    rng = random.Random(13)
+    w = [f"w{rng.randint(0, 5000)}" for _ in range(400)]
+    texts = [" ".join(x if i != k else f"{x}x" for i, x in enumerate(w)) for k in range(400)]
+    texts += [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(400)) for _ in range(50)]
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    fps = np.stack([np.frombuffer(simhash.set_fingerprint(h, 4), ">u8").astype(np.uint64) for h in sets])
+    every = np.arange(len(texts))
+    shard = simhash.Shard(every, fps, np.array([len(h) for h in sets]), every, every, 0, every)
+    monkeypatch.setattr(simhash, "MAX_PAIRS", 2000)
+    asked, plain = [], simhash.jaccard
+    monkeypatch.setattr(simhash, "jaccard", lambda a, b: asked.append(1) or plain(a, b))
+    u, v = simhash.verified(shard, sets, simhash.NEAR_RULE)
+    label = simhash.Sets(len(texts))
+    for i, j in zip(u.tolist(), v.tolist()):
+        label.join(i, j)
+    met = sum(len(x) for x, _, _ in shard.near(simhash.NEAR_RULE))
+    assert len({label.find(i) for i in range(400)}) <= 400 - len(u) and max(u, default=0) < 400
+    assert met > 50_000 and len(asked) < 3000  # far fewer are compared than meet
 
 
 def test_near_copies_are_verified(spark):
