@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexbolt.llm import exact_dedup, licenses, mixing, packing, quality, simhash, sketches, tokens, toxicity, warc
+from lexbolt.llm import bpe, divergence, exact_dedup, licenses, mixing, packing, periods, quality, simhash, sketches, tokens, toxicity, warc
 
 QUERIES = {
     "op3_license_scan": licenses.op3_license_scan,
@@ -15,9 +15,14 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_byte_bpe": bpe.op11_byte_bpe,
+    "op12_periodic_runs": periods.op12_periodic_runs,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 SQL = {
     "op3_license_scan": licenses.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op12_periodic_runs": periods.OP12_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
