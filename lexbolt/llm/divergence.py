@@ -6,15 +6,16 @@ term's documents, its total and its groups (a group is a language's source) are
 its counts are. With p of every cell (group, term) the divergence of all pairs of groups
 is a sum over all kept terms, split by in how many groups a term occurs:
 
+- A term that is absent has one and the same p in a group (p0), so all terms are first
+  counted as absent in both groups.
 - Heavy terms, those in over HEAVY_SHARE of the language's groups or in over LIGHT_GROUPS,
   fill dense tiles: TILE_TERMS terms by two blocks of BLOCK groups, cells of no occurrence
-  included, summed over the terms in numpy for all pairs of the two blocks.
-- Light terms are absent nearly everywhere, and absent they have one and the same p in a
-  group (p0). All of them are first counted as absent in both groups, then what each
-  group's own ones change is added, as if absent in the other; these depend on the group's p
-  alone, so a histogram of p by group does. At last, term by term, each pair of postings
-  (LIGHT_GROUPS at most) is corrected for being in both groups; the corrections are summed
-  by pair of groups in the tasks.
+  included, summed over the terms in numpy for all pairs of the two blocks in place of
+  what the terms counted for as absent.
+- Light terms are absent nearly everywhere. What each group's own ones change is added as
+  if absent in the other; that depends on the group's p alone, so a histogram of p by
+  group does. Then, term by term, each pair of postings (LIGHT_GROUPS at most) is corrected
+  for being in both groups; the corrections are summed by pair of groups in the tasks.
 
 All is done in 64-bit integers; the partial sums are added as decimals. No table is
 broadcast by command: the groups' table is stored, so Spark knows its size.
@@ -119,8 +120,9 @@ def _floor_gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _tile(key: tuple, cells: pa.Table, groups: pa.Table) -> pa.Table:
     """lang, g, h, value: what the cells of one tile add to the pairs of its two blocks."""
     lang, a, b, bucket = (x.as_py() for x in key)
+    own_block = dict(zip(groups["gid"].to_pylist(), groups["block"].to_pylist()))
     gid, p0 = groups["gid"].to_numpy(), groups["p0"].to_numpy()
-    light = (groups["all_terms"].to_numpy() - groups["heavy"].to_numpy()).tolist()[0] if bucket == 0 else 0
+    terms = groups["all_terms"][0].as_py() if bucket == 0 else 0
     order = np.argsort(gid)
     gid, p0 = gid[order], p0[order]
     of = np.searchsorted(gid, cells["gid"].to_numpy())
@@ -130,15 +132,16 @@ def _tile(key: tuple, cells: pa.Table, groups: pa.Table) -> pa.Table:
     names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
     grid = np.repeat(p0[:, None], len(names.dictionary), 1) if len(names) else np.zeros((len(gid), 0), np.int64)
     grid[of[dense], names.indices.to_numpy() if len(names) else []] = p[dense]
+    absent = terms - grid.shape[1]  # all terms count as absent once, those of the grid no longer
     alone = [(p[~dense & (of == i)], weight[~dense & (of == i)]) for i in range(len(gid))] if (~dense).any() else None
-    block = gid // BLOCK
+    block = np.array([own_block[g] for g in gid.tolist()])
     out = []
     for one, other in {(a, b), (b, a)}:
         hs = np.flatnonzero(block == other)
         for g in np.flatnonzero(block == one).tolist():
             value = _floor_gap(grid[g], grid[hs]).sum(1)
             both_absent = _floor_gap(p0[g], p0[hs])
-            value += light * both_absent
+            value += absent * both_absent
             if alone:
                 own, n = alone[g]
                 value += ((_floor_gap(own, p0[hs][:, None]) - both_absent[:, None]) * n).sum(1)
@@ -149,22 +152,22 @@ def _tile(key: tuple, cells: pa.Table, groups: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.repeat(lang, len(g)), "g": g.astype(np.int64), "h": h.astype(np.int64), "value": value.astype(np.int64)})
 
 
-def _tiled(rows: DataFrame, buckets: Column) -> DataFrame:
+def _tiled(rows: DataFrame, buckets: Column, block: int) -> DataFrame:
     """Rows of groups, once for each tile that their block is part of."""
-    last, own = F.floor((F.col("all_groups") - 1) / BLOCK).cast("int"), F.floor(F.col("gid") / BLOCK).cast("int")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    last, own = F.floor((F.col("all_groups") - 1) / block).cast("int"), F.floor(F.col("gid") / block).cast("int")
+    rows = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     return rows.select("*", F.least("other", own).alias("a"), F.greatest("other", own).alias("b"), F.explode(buckets).alias("bucket"))
 
 
-def _tiles(cells: DataFrame, groups: DataFrame) -> DataFrame:
+def _tiles(cells: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     heavy = cells.where("is_heavy").select("lang", "gid", "all_groups", "heavy", "term", "p", F.lit(1).cast("long").alias("weight"))
     light = cells.where("NOT is_heavy").groupBy("lang", "gid", "all_groups", "heavy", F.lit(None).cast("string").alias("term"), "p").agg(F.count("*").alias("weight"))
     n = F.greatest(F.lit(1), F.ceil(F.col("heavy") / TILE_TERMS)).cast("int")
     one = F.array(F.when(F.col("term").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("term"), n).cast("int")))
     key = ["lang", "a", "b", "bucket"]
-    left = _tiled(heavy.unionByName(light), one).select(*key, "gid", "term", "p", "weight").groupBy(*key)
-    right = _tiled(groups.select("lang", "gid", "all_groups", "heavy", "all_terms", F.coalesce("p0", F.lit(1)).alias("p0")), F.sequence(F.lit(0), n - 1))
-    right = right.select(*key, "gid", "p0", "all_terms", "heavy").groupBy(*key)
+    left = _tiled(heavy.unionByName(light), one, block).select(*key, "gid", "term", "p", "weight").groupBy(*key)
+    right = _tiled(groups.select("lang", "gid", "all_groups", "heavy", "all_terms", F.coalesce("p0", F.lit(1)).alias("p0")), F.sequence(F.lit(0), n - 1), block)
+    right = right.select(*key, "gid", "block", "p0", "all_terms").groupBy(*key)
     return left.cogroup(right).applyInArrow(_tile, "lang string, g long, h long, value long")
 
 
@@ -206,7 +209,7 @@ def _in_both(cells: DataFrame) -> DataFrame:
 # ---- both parts
 
 
-def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS, block: int = BLOCK) -> DataFrame:
     """lang, source, part, item, value, rank. Part `pair`: how far the source is from each
     other source of its language, over all terms in at least `least_docs` documents of the
     language. Part `term`: the `top` kept terms by which a source stands out of its language.
@@ -227,7 +230,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -
     terms = cells.where("p > q").select("lang", "source", F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
     terms = terms.withColumn("rank", F.row_number().over(order("item"))).where(F.col("rank") <= top)
 
-    pairs = _tiles(cells, known).unionByName(_in_both(cells)).groupBy("lang", "g", "h").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("long").alias("value"))
+    pairs = _tiles(cells, known, block).unionByName(_in_both(cells)).groupBy("lang", "g", "h").agg(F.sum(F.col("value").cast("decimal(38,0)")).cast("long").alias("value"))
     names = known.select("lang", F.col("gid").alias("g"), "source")
     pairs = pairs.join(names, ["lang", "g"]).join(names.select("lang", F.col("g").alias("h"), F.col("source").alias("item")), ["lang", "h"])
     pairs = pairs.select("lang", "source", "item", "value", F.row_number().over(order("item")).alias("rank"))
