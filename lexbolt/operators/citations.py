@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from lexbolt.operators.postings import BOUND, chunked
+from lexbolt.sources.readers import spread
+
 #: How references look, and what names stand for.
 ARTICLES = re.compile(r"\bArticles?\b[ \t\n\r]*(?=\d)")
 ANNEXES = re.compile(r"\bAnnex(?:es)?\b[ \t\n\r]*(?=[IVXLCDM])")
@@ -23,6 +26,7 @@ PIN = r"(?:\s*\((\d+[a-z]?)\)(?:\s*\(([a-z])\)(?:\s*\(([ivxlcdm]+)\))?)?)?"
 ARTICLE = re.compile(rf"(\d+[a-z]?){PIN}")
 ANNEX = re.compile(rf"([IVXLCDM]+)\b{PIN}")
 SEPARATOR = re.compile(r"\s*(,|\band\b|\bto\b|–|—)\s*", re.IGNORECASE)
+RANGE_WORDS = ("to", "–", "—")
 THIS_REGULATION = re.compile(r"\s*(?:of|under|in)\s+this\s+Regulation\b", re.IGNORECASE)
 OF = re.compile(r"\s*(?:of|under|in)\s+(?:the\s+)?", re.IGNORECASE)
 INSTRUMENTS = [
@@ -88,22 +92,24 @@ def listed(text: str, at: int, item: re.Pattern, ranges: bool) -> tuple[list[tup
     range fills in the numbers up to its end, which loses its pin-cite; one wider than
     WIDEST ends the list before its end, and a backward one counts as a plain item.
     """
+    items, joins = [], []  # joins: whether a range leads from the item before
     m = item.match(text, at)
-    if not m:
-        return [], at
-    found = [(dict(zip(_PLACES, m.groups())), m.span())]
-    while (between := SEPARATOR.match(text, m.end())) and (following := item.match(text, between.end())):
-        if ranges and between[1].lower() in ("to", "–", "—"):
-            low, high = (int(re.match(r"\d+", x)[0]) for x in (found[-1][0]["target"], following[1]))
-            if high - low > WIDEST:
-                break
-            if high > low:
-                found += [({"target": str(n)}, following.span()) for n in range(low + 1, high + 1)]
-                m = following
-                continue
-        found.append((dict(zip(_PLACES, following.groups())), following.span()))
-        m = following
-    return found, m.end()
+    while m:
+        items.append(m)
+        between = SEPARATOR.match(text, m.end())
+        joins.append(bool(between) and ranges and between[1].lower() in RANGE_WORDS)
+        m = item.match(text, between.end()) if between else None
+    steps = [_number(b) - _number(a) if join else 0 for a, b, join in zip(items, items[1:], joins)]
+    kept = next((i + 1 for i, step in enumerate(steps) if step > WIDEST), len(items))
+    found = [[(dict(zip(_PLACES, m.groups())), m.span())] for m in items[:kept]]
+    for i, step in enumerate(steps[: max(0, kept - 1)]):
+        if step > 0:
+            found[i + 1] = [({"target": str(_number(items[i]) + k)}, items[i + 1].span()) for k in range(1, step + 1)]
+    return [x for own in found for x in own], items[kept - 1].end() if items else at
+
+
+def _number(m: re.Match) -> int:
+    return int(re.match(r"\d+", m[1])[0])
 
 
 def qualified(text: str, at: int) -> tuple[dict, Span | None]:
@@ -192,7 +198,7 @@ def found_in(chunks: DataFrame, find: Callable[[str], list[dict]], fields: list[
             own = [c.take(pa.array(owner, pa.int64())) for c in b.columns[: len(kept)]]
             yield pa.RecordBatch.from_arrays([*own, pa.array(place, pa.int32()), *[pa.array(c, pa.string()) for c in columns.values()]], [*kept, "place", *columns])
 
-    return rows.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in out.fields]))
+    return spread(rows).mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in out.fields]))
 
 
 def references(chunks: DataFrame) -> DataFrame:
@@ -207,25 +213,24 @@ def _leading(value: Column) -> Column:
     return F.coalesce(F.regexp_extract(value, r"^(\d+)", 1).try_cast("int"), F.lit(0))
 
 
-def forward_index(refs: DataFrame, external: bool = False) -> DataFrame:
-    """source, refs: the internal (or the external) references of each source as an array of
-    (target, raw, ...) by place in the source, target and raw. `refs` may have the columns
-    at_paragraph and at_letter that say where its chunk stands."""
+def forward_index(refs: DataFrame, external: bool = False, bound: int = BOUND) -> DataFrame:
+    """source, chunk, first, refs: the internal (or the external) references of each source by
+    place in the source, target and raw, in numbered chunks of at most `bound`. `refs` may have
+    the columns at_paragraph and at_letter that say where its chunk stands."""
     place = [F.col(c) if c in refs.columns else F.lit(None).cast("string") for c in ("at_paragraph", "at_letter")]
     side = refs.where(F.col("error").isNull() & (F.col("kind").startswith("external") if external else F.col("kind") == "internal"))
     text = lambda c: F.coalesce(c, F.lit(""))
-    key = F.struct(_leading(place[0]).alias("p"), text(place[1]).alias("l"), _leading(F.col("target")).alias("n"), text(F.col("target")).alias("t"), text(F.col("raw")).alias("r"), F.col("place").alias("at"), F.struct(*FIELDS).alias("ref"))
-    return side.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(key)), lambda s: s["ref"]).alias("refs"))
-
-
-def reverse_index(refs: DataFrame) -> DataFrame:
-    """target, refs: for each article that is referred to, who does so, as an array of (raw,
-    source, paragraph, letter) by the source's number, raw and place. A source without a
-    leading number comes first."""
-    inner = refs.where("kind = 'internal' AND target_kind = 'article'")
-    source = F.col("source").cast("string")
-    key = F.struct(_leading(source).alias("n"), F.col("raw"), source.alias("s"), F.col("place"), F.struct("raw", source.alias("source"), "paragraph", "letter").alias("ref"))
-    return inner.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(key)), lambda s: s["ref"]).alias("refs"))
+    order = [_leading(place[0]), text(place[1]), _leading(F.col("target")), text(F.col("target")), text(F.col("raw")), F.col("place")]
+    return chunked(side, ["source"], order, FIELDS, "refs", bound)
+
+
+def reverse_index(refs: DataFrame, bound: int = BOUND) -> DataFrame:
+    """target, chunk, first, refs: for each article that is referred to, who does so, as (raw,
+    source, paragraph, letter) by the source's number, raw and place, in numbered chunks of at
+    most `bound`. A source without a leading number comes first."""
+    inner = refs.where("kind = 'internal' AND target_kind = 'article'").withColumn("source", F.col("source").cast("string"))
+    order = [_leading(F.col("source")), F.col("raw"), F.col("source"), F.col("place")]
+    return chunked(inner, ["target"], order, ["raw", "source", "paragraph", "letter"], "refs", bound)
 
 
 def counters(refs: DataFrame) -> DataFrame:

@@ -6,12 +6,16 @@ leads is compared by one key a page, so that no list of candidate files is tried
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexbolt.functions.text import page_key, resolved_path
+from lexbolt.operators.postings import chunked
 from lexbolt.operators.relations import check
 
 #: Where links stand in a page, and schemes that leave the site.
@@ -81,11 +85,47 @@ def both_ways(left: DataFrame, right: DataFrame, keys: list[str], names: tuple[s
     return a.subtract(b).withColumn("side", F.lit(names[0])).unionByName(b.subtract(a).withColumn("side", F.lit(names[1])))
 
 
+#: Markers of a page that are looked for together.
+MARKERS = 1024
+
+
 def without_marker(index: DataFrame, pages: DataFrame, key: str, marker: str, body: str) -> DataFrame:
-    """Rows of the index whose page is missing or doesn't contain their marker: an equi-join
-    on the page, then one search in its text."""
-    found = index.join(pages.select(key, F.col(body).alias("__body")), key, "left")
-    return found.where(~F.coalesce(F.contains("__body", F.col(marker)), F.lit(False))).drop("__body")
+    """Rows of the index whose page is missing or doesn't contain their marker.
+
+    A page's markers are gathered first, in lists of at most MARKERS, and meet its body once a
+    list; an automaton of all of a list finds them in one scan of the body. Pages with one key
+    count together: a marker is there if one of them has it. A null marker is nowhere.
+    """
+    kinds = [index.schema[c] for c in (key, marker)]
+    wanted = index.select(key, marker).where(F.col(marker).isNotNull()).distinct()
+    lists = chunked(wanted, [key], [F.col(marker)], [marker], "__markers", MARKERS).select(key, F.col(f"__markers.{marker}").alias("__markers"))
+    bodies = lists.join(pages.select(key, F.col(body).alias("__body")), key).select(key, "__markers", "__body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, there = [], []
+            for i, (markers, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
+                found = contained(markers, text.as_py() or "")
+                owner += [i] * len(found)
+                there += found
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array(there, pa.string())], [key, marker])
+
+    found = bodies.mapInArrow(run, StructType(kinds)).distinct().withColumn("__there", F.lit(True))
+    return index.join(found, [key, marker], "left").where("__there IS NULL").select(*index.columns)
+
+
+def contained(markers: list[str], text: str) -> list[str]:
+    """Which of the markers are in the text."""
+    if len(markers) < 8:
+        return [m for m in markers if m in text]
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for m in filter(None, markers):
+        machine.add_word(m, m)
+    machine.make_automaton()
+    there = {m for _, m in machine.iter(text)} if len(machine) else set()
+    return [m for m in markers if m in there or not m]
 
 
 def counted(name: str, rows: DataFrame, expected: int) -> DataFrame:

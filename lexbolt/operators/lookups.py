@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexbolt.functions.text import number_key, roman_key
+from lexbolt.operators.postings import BOUND, chunked
 
 
 def lookup(rows: DataFrame, key: str, value: str, order: list, fold: bool = False) -> DataFrame:
@@ -36,8 +37,9 @@ def listed(rows: DataFrame, by: list[str], order: list[Column], fields: list[str
 
 
 def with_default(rows: DataFrame, index: DataFrame, key: list[str], column: str) -> DataFrame:
-    """Every row with the index's array for its key, empty where it has none."""
-    found = rows.join(index.select(*key, column), key, "left")
+    """Every row with the index's array for its key, empty where it has none. An index in
+    chunks gives a row a chunk."""
+    found = rows.join(index.select(*key, *[c for c in ("chunk", "first") if c in index.columns], column), key, "left")
     return found.withColumn(column, F.coalesce(column, F.array().cast(index.schema[column].dataType)))
 
 
@@ -61,15 +63,18 @@ def related(adjacency: DataFrame, key: str, ids: str, entities: DataFrame, numbe
     return edges.join(entities, F.col("__id") == F.col(number)).drop("__id")
 
 
-def inverted(adjacency: DataFrame, key: str, ids: str, name: str = "keys") -> DataFrame:
-    """id, and the keys that list it, sorted by leading number, then as text, without repeats."""
+def inverted(adjacency: DataFrame, key: str, ids: str, name: str = "keys", bound: int = BOUND) -> DataFrame:
+    """id, chunk, first, and the keys that list it, sorted by leading number, then as text,
+    without repeats, in chunks of at most `bound`."""
     edges = exploded(adjacency.select(key, ids), ids, "id").withColumn("id", F.col("id").cast("string")).distinct()
-    return listed(edges, ["id"], [number_key(F.col(key).cast("string")), F.col(key).cast("string")], [key], name).select("id", F.col(f"{name}.{key}").alias(name))
+    chunks = chunked(edges, ["id"], [number_key(F.col(key).cast("string")), F.col(key).cast("string")], [key], name, bound)
+    return chunks.select("id", "chunk", "first", F.col(f"{name}.{key}").alias(name))
 
 
-def joined_lists(rows: DataFrame, docs: DataFrame, key: str, by: list[str], order: list[Column], fields: list[str], name: str) -> DataFrame:
-    """Rows whose key a document has, as one ordered array a group; dangling ones drop."""
-    return listed(rows.join(docs.select(key).distinct(), key, "left_semi"), by, order, fields, name)
+def joined_lists(rows: DataFrame, docs: DataFrame, key: str, by: list[str], order: list[Column], fields: list[str], name: str, bound: int = BOUND) -> DataFrame:
+    """Rows whose key a document has, ordered lists by group in chunks of at most `bound`;
+    dangling ones drop."""
+    return chunked(rows.join(docs.select(key).distinct(), key, "left_semi"), by, order, fields, name, bound)
 
 
 def sorted_sets(rows: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -111,11 +116,22 @@ def other_versions(rows: DataFrame, key: list[str], version: str) -> DataFrame:
     return have.select(*key, F.explode("__all").alias(version), "__all").withColumn("others", F.array_remove("__all", F.col(version))).drop("__all")
 
 
-def siblings(rows: DataFrame, key: str) -> DataFrame:
-    """key, n: how many rows have it, for keys of more than one. A count, not a self-join."""
+def shared_keys(rows: DataFrame, key: str) -> DataFrame:
+    """key, n: how many rows have it, for keys of more than one."""
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def siblings(rows: DataFrame, key: str, own: str, order: list[Column], bound: int = BOUND) -> DataFrame:
+    """key, own, chunk, siblings: each row with the other rows that have its key, by `own`
+    (which tells rows of a key apart), in the given order and in chunks of at most `bound`.
+    Rows alone with their key, and null keys, have no rows here."""
+    kept = rows.where(F.col(key).isNotNull()).select(key, own, *[o.alias(f"__by{i}") for i, o in enumerate(order)])
+    chunks = chunked(kept, [key], [F.col(f"__by{i}") for i in range(len(order))], [own], "siblings", bound)
+    others = kept.select(key, own).join(chunks.select(key, "chunk", F.col(f"siblings.{own}").alias("siblings")), key)
+    others = others.withColumn("siblings", F.filter("siblings", lambda x: x != F.col(own)))
+    return others.where(F.size("siblings") > 0)
+
+
 def without_reverse(edges: DataFrame, s: str, t: str) -> DataFrame:
     """s, t of distinct edges whose reverse isn't one."""
     pairs = edges.select(F.col(s).alias("s"), F.col(t).alias("t")).distinct()
@@ -157,8 +173,12 @@ def sampled(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def heads(rows: DataFrame, by: list[str], order: list[Column], fields: list[str], n: int, name: str = "head") -> DataFrame:
-    """The first n rows of each group as an array."""
-    return listed(rows, by, order, fields, name).withColumn(name, F.slice(name, 1, n))
+    """The first n rows of each group as an array. A limit by group stands before the shuffle,
+    so a group never meets in a task but for n rows of each task. Ties beyond the order are
+    broken by the fields."""
+    w = W.partitionBy(*by).orderBy(*order, F.struct(*fields))
+    first = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)
+    return listed(first, by, [F.col("__n")], fields, name)
 
 
 def line_spans(docs: DataFrame, key: str, text: str, marker: str) -> DataFrame:

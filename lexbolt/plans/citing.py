@@ -51,16 +51,16 @@ def citations_extract(spark, sf_dir):
     return _refs(spark, sf_dir).drop("place", "subparagraph", "error")
 
 
-@query(f"SELECT target AS article, count(*) AS n, string_agg(source, ',' ORDER BY source::INTEGER) AS sources FROM ({_REFS}) WHERE kind = 'internal' AND target_kind = 'article' GROUP BY target")
+@query(f"SELECT target AS article, row_number() OVER (PARTITION BY target ORDER BY source::INTEGER) - 1 AS place, source FROM ({_REFS}) WHERE kind = 'internal' AND target_kind = 'article'")
 def citations_reverse(spark, sf_dir):
     index = C.reverse_index(_refs(spark, sf_dir))
-    return index.select(c("target").alias("article"), F.size("refs").cast("long").alias("n"), F.array_join("refs.source", ",").alias("sources"))
+    return index.select(c("target").alias("article"), "first", F.posexplode("refs").alias("i", "ref")).select("article", (c("first") + c("i")).alias("place"), c("ref.source").alias("source"))
 
 
-@query(f"SELECT source, string_agg(coalesce(target, '-'), ',' ORDER BY coalesce(try_cast(regexp_extract(target, '^\\d+') AS INTEGER), 0), coalesce(target, ''), raw) AS targets FROM ({_REFS}) WHERE kind <> 'internal' GROUP BY source")
+@query(f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY coalesce(try_cast(regexp_extract(target, '^\\d+') AS INTEGER), 0), coalesce(target, ''), raw) - 1 AS place, coalesce(target, '-') AS target FROM ({_REFS}) WHERE kind <> 'internal'")
 def citations_forward(spark, sf_dir):
     index = C.forward_index(_refs(spark, sf_dir), external=True)
-    return index.select("source", F.array_join("refs.target", ",", "-").alias("targets"))
+    return index.select("source", "first", F.posexplode("refs").alias("i", "ref")).select("source", (c("first") + c("i")).alias("place"), F.coalesce("ref.target", F.lit("-")).alias("target"))
 
 
 _COUNTERS = " UNION ALL ".join(f"SELECT '{name}' AS counter, {value} AS value, count(*) AS n FROM r WHERE {value} IS NOT NULL GROUP BY 2" for name, value in (("kind", "kind"), ("target_kind", "CASE WHEN kind = 'internal' THEN target_kind END"), ("celex", "CASE WHEN kind <> 'internal' THEN coalesce(celex, '(none)') END"), ("source", "source"), ("short_name", "short_name")))
@@ -156,10 +156,10 @@ def guidance_citations(spark, sf_dir):
     return G.guidance_citations(pages, notes, sections).drop("lang", "raw", "context")
 
 
-@query(f"SELECT article, count(*) AS n, min(doc::INTEGER) AS first_doc FROM ({SQL['guidance_citations']}) GROUP BY article")
+@query(f"SELECT article, row_number() OVER (PARTITION BY article ORDER BY doc) - 1 AS place, doc FROM ({SQL['guidance_citations']})")
 def guidance_by_article(spark, sf_dir):
     rows = G.by_article(guidance_citations(spark, sf_dir).withColumn("lang", F.lit("nl")).withColumn("raw", F.lit("r")))
-    return rows.select("article", F.size("citations").cast("long").alias("n"), F.array_min(F.transform("citations", lambda r: r["doc"].cast("int"))).alias("first_doc"))
+    return rows.select("article", "first", F.posexplode("citations").alias("i", "r")).select("article", (c("first") + c("i")).alias("place"), c("r.doc").alias("doc"))
 
 
 # ---- inline links

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexbolt.functions import text as X
 from lexbolt.operators import integrity as I
 from lexbolt.operators import lookups as U
+from lexbolt.operators import postings as P
 from lexbolt.operators import relations as R
+from lexbolt.operators import search as E
 from lexbolt.plans.base import made, query
 from lexbolt.sources.readers import table
+from lexbolt.sources.stores import shared_folder
 
 c = F.col
 
@@ -28,12 +33,15 @@ def topk_links(spark, sf_dir):
     return R.link_inverted_index(table(spark, sf_dir, "pages")).select("target", "n_links").orderBy(F.desc("n_links"), "target").limit(20)
 
 
-@query("SELECT target, string_agg(page_id, ',' ORDER BY page_id) AS pages FROM (SELECT DISTINCT page_id, regexp_replace(unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)), '[#?].*$', '') AS target FROM pages) GROUP BY target HAVING count(*) < 50")
+_TARGETS = "SELECT DISTINCT page_id, regexp_replace(unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)), '[#?].*$', '') AS target FROM pages"
+
+
+@query(f"SELECT target, page_id // 32768 + 1 AS bucket, count(*) AS n, string_agg(page_id, ',' ORDER BY page_id) AS pages FROM ({_TARGETS}) GROUP BY 1, 2")
 def link_page_sets(spark, sf_dir):
     links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), 1)).alias("href"))
     links = links.select("page_id", F.regexp_replace("href", r"[#?].*$", "").alias("target"))
-    few = links.distinct().groupBy("target").count().where("count < 50").select("target")  # a list of pages is for targets of few
-    return U.sorted_sets(links.join(few, "target", "left_semi"), ["target"], "page_id").select("target", F.array_join("page_id", ",").alias("pages"))
+    sets = P.members(P.bitmaps(links, ["target"], "page_id"), ["target"], "pages")
+    return sets.select("target", "bucket", F.size("pages").cast("long").alias("n"), F.array_join("pages", ",").alias("pages"))
 
 
 @query(r"""SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS path, regexp_extract(p, '^/(en|fr|de|es)(/|$)', 1) AS lang_prefix FROM
@@ -75,11 +83,17 @@ def foreign_key_filter(spark, sf_dir):
     return U.of(table(spark, sf_dir, "orders"), o_custkey=99, o_orderstatus="P").select("o_orderkey", "o_orderstatus")
 
 
-@query("SELECT c_custkey, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey), '') AS orders, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_custkey")
+def _places(chunks, by, name, *fields):
+    """A row an entry of chunks, with its place in the whole list; an empty chunk gives one of nulls."""
+    rows = chunks.select(*by, "first", F.posexplode_outer(name).alias("i", "entry"))
+    return rows.select(*by, (c("first") + c("i")).alias("place"), *[c(f"entry.{f}").alias(f) for f in fields])
+
+
+@query("SELECT c_custkey, CASE WHEN o_orderkey IS NOT NULL THEN row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 END AS place, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
 def index_defaults(spark, sf_dir):
-    index = U.listed(U.of(table(spark, sf_dir, "orders"), o_orderstatus="P"), ["o_custkey"], [c("o_orderkey")], ["o_orderkey"], "orders").withColumnRenamed("o_custkey", "c_custkey")
+    index = P.chunked(U.of(table(spark, sf_dir, "orders"), o_orderstatus="P").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"], [c("o_orderkey")], ["o_orderkey"], "orders")
     rows = U.with_default(table(spark, sf_dir, "customer").select("c_custkey"), index, ["c_custkey"], "orders")
-    return rows.select("c_custkey", F.array_join("orders.o_orderkey", ",").alias("orders"), F.size("orders").cast("long").alias("n"))
+    return _places(rows, ["c_custkey"], "orders", "o_orderkey")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS number, p_name AS title, TRY_CAST(regexp_extract(p_brand, '(\\d*)$', 1) AS INTEGER) AS chapter, CASE WHEN p_size > 25 THEN NULL ELSE p_size END AS size FROM part")
@@ -154,9 +168,10 @@ def adjacency_join(spark, sf_dir):
     return U.related(_parts_of_orders(spark, sf_dir), "l_orderkey", "ids", entities, "number").drop("number")
 
 
-@query("SELECT CAST(l_partkey AS VARCHAR) AS id, string_agg(l_orderkey, ',' ORDER BY l_orderkey) AS orders FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) GROUP BY l_partkey")
+@query("SELECT CAST(l_partkey AS VARCHAR) AS id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) - 1 AS place, l_orderkey AS entry FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)")
 def adjacency_inverse(spark, sf_dir):
-    return U.inverted(_parts_of_orders(spark, sf_dir), "l_orderkey", "ids", "orders").select("id", F.array_join("orders", ",").alias("orders"))
+    chunks = U.inverted(_parts_of_orders(spark, sf_dir), "l_orderkey", "ids", "orders")
+    return chunks.select("id", "first", F.posexplode("orders").alias("i", "entry")).select("id", (c("first") + c("i")).alias("place"), "entry")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(p_name, '') AS p_name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 30) ON p_partkey = l_partkey")
@@ -165,11 +180,11 @@ def lookup_with_title(spark, sf_dir):
     return U.with_title(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), titles, "l_partkey", "p_name")
 
 
-@query("SELECT lang, source, count(*) AS n, arg_min(d.doc_id, d.doc_id) AS first_doc, arg_max(d.doc_id, d.doc_id) AS last_doc FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality = 1 GROUP BY lang, source")
+@query("SELECT lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY d.doc_id) - 1 AS place, d.doc_id FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality = 1")
 def joined_groups(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     lists = U.joined_lists(docs, table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", ["lang", "source"], [c("doc_id")], ["doc_id"], "docs")
-    return lists.select("lang", "source", F.size("docs").cast("long").alias("n"), F.try_element_at("docs.doc_id", F.lit(1)).alias("first_doc"), F.try_element_at("docs.doc_id", F.lit(-1)).alias("last_doc"))
+    return _places(lists, ["lang", "source"], "docs", "doc_id")
 
 
 @query("SELECT DISTINCT l_partkey AS s, l_suppkey AS t FROM lineitem EXCEPT SELECT l_suppkey, l_partkey FROM lineitem")
@@ -203,6 +218,18 @@ def forward_markers(spark, sf_dir):
     return I.without_marker(index, pages, "page_id", "needle", "html")
 
 
+_MARKS = "SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) AS href FROM pages"
+
+
+@query(f"SELECT page_id, needle FROM (SELECT page_id + 1 AS page_id, 'href=\"' || href || '\"' AS needle FROM ({_MARKS})) x WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id = x.page_id AND contains(p.html, x.needle))")
+def neighbour_markers(spark, sf_dir):
+    """The links of a page that the page after it lacks; those of the last have no page."""
+    pages = table(spark, sf_dir, "pages")
+    hrefs = F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r'href="([^"]+)"'), 1)))
+    index = pages.select((c("page_id") + 1).alias("page_id"), hrefs.alias("href")).select("page_id", F.concat(F.lit('href="'), "href", F.lit('"')).alias("needle"))
+    return I.without_marker(index, pages, "page_id", "needle", "html")
+
+
 @query("SELECT n_name AS name FROM nation UNION SELECT r_name FROM region")
 def union_distinct_routes(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(c("n_name").alias("name")).union(table(spark, sf_dir, "region").select("r_name")).distinct()
@@ -239,8 +266,14 @@ def polymorphic_fk(spark, sf_dir):
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def shared_keys(spark, sf_dir):
+    return U.shared_keys(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@query("SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS sibling FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey")
 def sibling_self_join(spark, sf_dir):
-    return U.siblings(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    rows = U.siblings(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", [c("o_orderdate"), c("o_orderkey")])
+    return rows.select("o_custkey", "o_orderkey", F.explode("siblings").alias("sibling"))
 
 
 @query("SELECT a.o_custkey, a.o_orderstatus, coalesce(string_agg(DISTINCT b.o_orderstatus, ',' ORDER BY b.o_orderstatus), '') AS others FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderstatus <> b.o_orderstatus GROUP BY a.o_custkey, a.o_orderstatus")
@@ -398,3 +431,19 @@ def search_terms(spark, sf_dir):
 @query(r"SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[\s\-]+')) AS token FROM documents) WHERE token IN ('the', 'and') GROUP BY doc_id HAVING count(DISTINCT token) = 2")
 def search_all_words(spark, sf_dir):
     return U.search(table(spark, sf_dir, "documents"), "doc_id", "text", ["The", "and"])
+
+
+_ASKED = {"common": ["the", "AND"], "mixed": ["der", "que", "la", "worthless"], "rare": ["worthless"], "none": ["qqqq"], "law": ["software", "license", "free"]}
+_ASKED_ROWS = ", ".join(f"('{q}', '{w.lower()}')" for q, words in _ASKED.items() for w in words)
+
+
+@query(rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\s\-]+'), lambda x: x <> '') AS w FROM documents),
+ n AS (SELECT count(*) AS docs, sum(len(w)) / count(*) AS mean FROM d), t AS (SELECT r, doc_id, len(w) AS length, unnest(w) AS term FROM d),
+ tf AS (SELECT r, doc_id, length, term, count(*) AS c FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS docs FROM tf GROUP BY term), q(query, term) AS (VALUES {_ASKED_ROWS}),
+ s AS (SELECT query, r, doc_id, round(sum(ln(1 + (n.docs - df.docs + 0.5) / (df.docs + 0.5)) * (c * 2.2) / (c + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), n GROUP BY query, r, doc_id)
+ SELECT query, CAST(rank AS INTEGER) AS rank, doc_id AS key, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20""")
+def search_ranked(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+    E.write_index(table(spark, sf_dir, "documents"), "doc_id", "text", folder)
+    return E.ranked(spark, folder, _ASKED)

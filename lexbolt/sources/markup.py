@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexbolt.functions.text import roman
+from lexbolt.sources.readers import spread
 
 #: Words that head the parts of a document, and its marks of style.
 HEADINGS = {
@@ -357,7 +358,7 @@ def parsed(files: DataFrame, parse: Callable[[str], list[dict]], schema: str = E
             found = [r | {"file": file} for file, html in files for r in parse(html or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in found], t) for n, t in zip(names, types)], names)
 
-    return files.select(F.col("file").cast("string"), "html").mapInArrow(run, schema)
+    return spread(files.select(F.col("file").cast("string"), "html")).mapInArrow(run, schema)
 
 
 def journal_entities(files: DataFrame, lang: str = "nl") -> DataFrame:

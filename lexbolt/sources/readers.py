@@ -12,9 +12,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, if their source is so small that its splits are fewer; a
+    large source has enough of them and isn't shuffled."""
+    spark = rows.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * split else rows
+
+
+#: The column for text that isn't JSON of the stated schema.
+CORRUPT = "_corrupt"
+
+
 def json_entities(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file an entity; the file name comes along, order is up to the query."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    """A file an entity; the file name comes along, order is up to the query. Files that
+    aren't JSON, or not of the schema, give no row here: see json_rejects."""
+    return _entities(spark, path, schema).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def json_rejects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, text: the files that json_entities leaves out, with what stands in them."""
+    return _entities(spark, path, schema).where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("text"))
+
+
+def _entities(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    read = spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return read.json(path).withColumn("file", F.col("_metadata.file_path"))
 
 
 def whole_texts(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
