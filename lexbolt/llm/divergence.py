@@ -37,7 +37,7 @@ from lexbolt.llm.common import materialize, table
 LEAST_DOCS, TOP_TERMS = 3, 200
 SCALE = 1_000_000_000
 HEAVY_SHARE, LIGHT_GROUPS = 0.25, 64
-BLOCK, TILE_TERMS = 128, 4096
+BLOCK, TILE_TERMS = 128, 512
 #: Terms that a counting task holds before it passes their counts on; pairs that are corrected at a time.
 HELD_TERMS, PAIRS = 300_000, 1 << 20
 
