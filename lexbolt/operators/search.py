@@ -43,9 +43,9 @@ def write_index(docs: DataFrame, key: str, text: str, folder: str, block_docs: i
     entry = F.struct("row", "key", "count", "length")
     blocks = counts.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("count").alias("most"), F.min("length").alias("shortest"), F.array_sort(F.collect_list(entry)).alias("entries"))
     blocks = blocks.withColumn("shard", _shard(F.col("term"), shards))
-    blocks.repartition("shard", "term").sortWithinPartitions("term", "block").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/postings")
+    blocks.repartitionByRange("shard", "term", "block").sortWithinPartitions("shard", "term", "block").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/postings")
     found = spark.read.parquet(f"{folder}/postings").groupBy("shard", "term").agg(F.sum("n").alias("docs"))
-    found.repartition("shard").sortWithinPartitions("term").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/terms")
+    found.repartitionByRange("shard", "term").sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/terms")
 
 
 def _bm25(idf: Column, count: Column, length: Column, mean: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexbolt.plans import checks, citing, relational, texts  # noqa: F401  (they register their queries)
+from lexbolt.plans import checks, citing, files, relational, texts  # noqa: F401  (they register their queries)
 from lexbolt.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -32,8 +32,12 @@ def json_entities(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def json_rejects(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """file, text: the files that json_entities leaves out, with what stands in them."""
-    return _entities(spark, path, schema).where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("text"))
+    """file, text, found: the files that json_entities leaves out, with what stands in them and
+    what could be read of it as JSON."""
+    rows = _entities(spark, path, schema)
+    found = F.to_json(F.struct(*[c for c in rows.columns if c not in (CORRUPT, "file")]))
+    # Spark parses no file for the corrupt column alone, so the condition names the others too.
+    return rows.where(F.col(CORRUPT).isNotNull() & (F.coalesce(F.length(found), F.lit(0)) >= 0)).select("file", F.col(CORRUPT).alias("text"), found.alias("found"))
 
 
 def _entities(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -102,7 +102,7 @@ def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
 
 def _digests(rows: DataFrame) -> dict[str, str]:
     """A digest of each bucket's rows, whatever their order; a bucket a row at the driver."""
-    row = F.struct(*[c for c in rows.columns if c != "__bucket"])
+    row = F.to_json(F.struct(*[c for c in rows.columns if c != "__bucket"]), {"ignoreNullFields": "false"})
     sums = [F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
     digest = F.sha2(F.concat_ws(",", F.count("*").cast("string"), *sums), 256)
     return {str(r[0]): r[1] for r in rows.groupBy("__bucket").agg(digest.alias("d")).collect()}
@@ -127,7 +127,7 @@ def publish_changed(rows: DataFrame, folder: str, key: str, buckets: int = 32) -
     kept = _bucketed(stored(rows, "to-publish"), key, buckets)
     digests = _digests(kept)
     kind = rows.schema.jsonValue()
-    same = now is not None and now["buckets"] == buckets and now["schema"] == kind
+    same = now is not None and now["buckets"] == buckets and StructType.fromJson(now["schema"]).simpleString() == rows.schema.simpleString()
     before, parts = (now["digests"], now["parts"]) if same else ({}, {})
     changed = sorted(int(b) for b in digests.keys() | before.keys() if digests.get(b) != before.get(b))
     if changed or not same:
