@@ -1,6 +1,6 @@
 """Operator 2, token ids as binary segments with Elias-Fano document boundaries.
 
-Documents are dealt by ranges of doc_id, so partition k holds the k-th run of the corpus in
+Documents are dealt by ranges of doc_id (then of a hash of the text), so partition k holds the k-th run of the corpus in
 ascending order; each task encodes its sorted documents and cuts segments of about
 SEGMENT_TOKENS ids. A segment is one self-contained byte string:
 
@@ -206,8 +206,8 @@ class Segment:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segment_tokens: int = SEGMENT_TOKENS) -> None:
-    """Encodes and stores; see the module. Rows with equal ids are ordered by text, null ids
-    come first. A document longer than a segment has a segment of its own."""
+    """Encodes and stores; see the module. Rows with equal ids are ordered by a hash of their
+    texts, null ids come first. A document longer than a segment has a segment of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -231,9 +231,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
         if own:
             yield flush()
 
+    # Rows of one id (or of none) are dealt by their texts, and equal rows by their places, so no id is one task.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ordered = rows.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "shard int, segment int, documents long, tokens long, data binary").write.option("compression", "zstd").parquet(path)
+    rows = rows.select("*", F.xxhash64("text").alias("h64"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id", "h64", "place").sortWithinPartitions("doc_id", "h64", "place")
+    ordered.select("doc_id", "text").mapInArrow(run, "shard int, segment int, documents long, tokens long, data binary").write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
