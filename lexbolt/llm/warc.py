@@ -33,9 +33,11 @@ from lexbolt.llm.common import BATCH_BYTES, materialize, new_path, table, text_o
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of the records of a file at most, unless it has a single one. Files of short
-#: records and of longer ones are written apart, so that few long ones don't make small files.
-FILE_BYTES, SHORT_BYTES = 64 << 20, 16 << 10
+#: Bytes of the records of a file at most, unless it has a single one. Records are written by
+#: classes of length, each up to CLASS_STEP times the one before: those of up to SHORT_BYTES
+#: first, those of over FILE_BYTES last, so that long records don't make small files of the
+#: others. These are 8 classes, of which those that occur are written.
+FILE_BYTES, SHORT_BYTES, CLASS_STEP = 64 << 20, 16 << 10, 4
 #: Rows that take one copy of a payload when records are put together again.
 SHARE_ROWS = 4096
 
@@ -96,17 +98,20 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     headers = pages.sparkSession.read.parquet(f"{path}/headers")
     shared = headers.where(F.col("octets") >= least_bytes).groupBy("sha256", "octets").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n"))
     shared = materialize(shared.where("n > 1").drop("n"), "shared-payloads")
-    longest = headers.agg(F.max("octets")).first()[0] or 0
+    octets, bounds = F.col("octets"), [SHORT_BYTES]
+    while bounds[-1] < FILE_BYTES:
+        bounds.append(bounds[-1] * CLASS_STEP)
+    kind = sum(((octets > b).cast("int") for b in bounds), F.lit(0))
+    present = sorted({r[0] for r in headers.select(kind).distinct().collect()} | {0})  # one a class; revisits are short
 
     rows = rows.join(shared, ["sha256", "octets"], "left")
     revisit = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     rows = rows.withColumn("revisit", revisit)
     line = F.when(F.col("revisit"), _header("revisit", F.col("response_id"), F.lit(0))).otherwise(F.concat("header", "payload"))
-    short = F.col("revisit") | (F.col("octets") <= SHORT_BYTES)
-    for name, use, most in (("short", short, SHORT_BYTES), ("long", ~short, longest)):
-        if name == "short" or longest > SHORT_BYTES:
-            out = rows.where(use).select(F.concat(line, F.lit("\r\n\r")).alias("value"))
-            out.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // most)).text(f"{path}/warc/size={name}")
+    for n in present:
+        most = bounds[n] if n < len(bounds) else FILE_BYTES
+        out = rows.where(F.when(F.col("revisit"), 0).otherwise(kind) == n).select(F.concat(line, F.lit("\r\n\r")).alias("value"))
+        out.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // most)).text(f"{path}/warc/class={n}")
 
 
 class _Inflated:
