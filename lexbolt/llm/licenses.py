@@ -1,11 +1,19 @@
 """Operator 3, licence scans: word bigrams of normalised text against licence templates.
 
 A text is normalised to lower-case words without punctuation, so line ends and the marks of
-comments don't matter. A notice may stand anywhere in it: a template of L words is held
-against the windows of L words, and of 0.8 L for notices cut short, that start at every
-step of L / 8 words (windows at the end are clipped to the text). With n and m bigrams,
-repeats included, of which s are shared, Dice's coefficient is 2 s / (n + m); a window and
-a template match from LEAST_DICE on.
+comments don't matter. A notice may stand anywhere in it and may be cut or added to, so a
+template is held against every stretch of words (window). With n and m bigrams, repeats
+included, of which s are shared, Dice's coefficient is 2 s / (n + m); a window and a template
+match from LEAST_DICE on. The best window begins and ends with a shared bigram (to leave out
+what isn't shared at its ends only raises the coefficient), and it can't have more than (2 -
+LEAST_DICE) / LEAST_DICE m bigrams; so from each shared bigram one pass over those that follow
+within that reach finds the best window that begins there. None is missed.
+
+Of a template's windows that overlap, the one of the largest coefficient is kept. Licences
+share most of their words, so these words may match several: of windows of different
+templates that overlap, the one that shares most bigrams is kept (then the one of the larger
+coefficient, then of the longer template), so that a notice of one licence isn't reported as
+its neighbours', nor a whole text as another licence's first sentence.
 
 Size bounds prune the templates. As s is at most n, a match needs s >= low m with low =
 LEAST_DICE / (2 - LEAST_DICE); so a text of fewer bigrams than low m, or that shares fewer
@@ -14,9 +22,9 @@ words such that each template keeps fewer bigrams than that without them: a text
 anchor can't match, and most texts end there.
 
 The rest is an inverted index: a text's bigrams meet the templates' in a join with a fixed
-table, and the shared ones are counted in pre-aggregated shuffles, for whole texts first,
-then for the windows of those that are left. Everything runs in built-in functions; no pair
-of text and template is formed that shares no bigram.
+table, and the shared ones are gathered by text and template in pre-aggregated shuffles.
+Everything runs in built-in functions; no pair of text and template is formed that shares no
+bigram.
 """
 
 from __future__ import annotations
@@ -94,15 +102,6 @@ def bigrams_of(text: str) -> Counter:
     return Counter(f"{a} {b}" for a, b in zip(w, w[1:]))
 
 
-def window_sizes(length: int) -> list[int]:
-    """Words of the windows for a template of `length` words."""
-    return sorted({length, max(2, round(0.8 * length))})
-
-
-def step_of(length: int) -> int:
-    return max(1, length // 8)
-
-
 def anchors(templates: list[tuple[str, str]], least: float = LEAST_DICE) -> list[str]:
     """Words without which every template has too few bigrams left to be matched; chosen
     greedily, those first that are in most templates still open."""
@@ -123,13 +122,48 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
+def _windows(least: float) -> Column:
+    """Of `hits`, by place (p, and the place `prev` of the one that it is a repeat too many
+    of, once that is in the window): from each the best window that begins with it, as
+    (shared, dice, first_word, n_words)."""
+    reach = (2 - least) / least
+
+    def best(hit: Column, i: Column) -> Column:
+        ahead = F.slice("hits", i + 1, F.ceil(reach * (F.col("length") - 1)).cast("int"))
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("shared"), F.lit(0.0).cast("double").alias("dice"), F.lit(0).alias("bigrams"))
+
+        def step(s: Column, h: Column) -> Column:
+            n, bigrams = s["n"] + F.when(h["prev"] < hit["p"], 1).otherwise(0), h["p"] - hit["p"] + 1
+            dice = 2.0 * n / (bigrams + F.col("length") - 1)
+            better = dice > s["dice"]
+            keep = lambda new, old: F.when(better, new).otherwise(s[old]).alias(old)
+            return F.struct(n.alias("n"), keep(n, "shared"), keep(dice, "dice"), keep(bigrams, "bigrams"))
+
+        found = F.aggregate(ahead, start, step)
+        return F.struct(hit["p"].alias("first_word"), found.alias("w"))
+
+    found = F.filter(F.transform("hits", best), lambda x: x["w"]["dice"] >= least)
+    return F.transform(found, lambda x: F.struct(x["w"]["shared"].alias("shared"), x["w"]["dice"].alias("dice"), x["first_word"].alias("first_word"), (x["w"]["bigrams"] + 1).alias("n_words")))
+
+
+def _apart(windows: Column) -> Column:
+    """Of windows in their order of preference each that overlaps none kept before it."""
+    def step(kept: Column, w: Column) -> Column:
+        touched = F.exists(kept, lambda k: (k["first_word"] < w["first_word"] + w["n_words"]) & (w["first_word"] < k["first_word"] + k["n_words"]))
+        return F.when(touched, kept).otherwise(F.concat(kept, F.array(w)))
+
+    return F.aggregate(windows, F.slice(windows, 1, 0), step)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = LEAST_DICE) -> DataFrame:
     """doc_id, license, dice, first_word, n_words: a row for each licence found, for each row
-    of `docs`: the best window of its templates (of equal ones the first, then the shortest),
-    by the place of its first word (from 0) and its length.
+    of `docs`: of its windows that are kept the one of the largest coefficient (of equal ones
+    the first), by the place of its first word (from 0) and its length.
 
-    Null and empty texts, and those of one word, match nothing. Repeated rows repeat their
-    matches, null ids stay null. Columns other than doc_id and text aren't looked at.
+    Null and empty texts, and those of one word, match nothing, and no rows give no rows.
+    Repeated rows repeat their matches, null ids stay null. Columns other than doc_id and text
+    aren't looked at. A text may be of any length; what it shares with one template is held
+    together, and so are its windows that match.
     """
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
@@ -143,28 +177,20 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     at = rows.select("row", "doc_id", F.size("words").alias("total"), F.posexplode(pairs).alias("p", "bigram")).where("bigram IS NOT NULL")
     met = at.join(F.broadcast(known), "bigram").where(F.col("total") - 1 >= low * (F.col("length") - 1) - 1e-9)
 
-    # Whole texts: what is shared with a template at all.
-    text = ["row", "doc_id", "total", "license", "template", "length"]
-    met = met.groupBy(*text, "bigram", "times").agg(F.collect_list("p").alias("ps"))
-    met = met.groupBy(*text).agg(F.sum(F.least(F.size("ps"), "times")).alias("most"), F.collect_list(F.struct("bigram", "times", "ps")).alias("hits"))
+    # Whole texts: what is shared with a template at all; then the hits in order.
+    text = ["row", "doc_id", "license", "template", "length"]
+    met = met.groupBy(*text, "bigram", "times").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    hits = F.transform("ps", lambda p, i: F.struct(p.alias("p"), F.coalesce(F.get("ps", i - F.col("times")), F.lit(-1)).alias("prev")))
+    met = met.groupBy(*text).agg(F.sum(F.least(F.size("ps"), "times")).alias("most"), F.array_sort(F.flatten(F.collect_list(hits))).alias("hits"))
     met = met.where(F.col("most") >= low * (F.col("length") - 1) - 1e-9)
 
-    # Windows: those that hold a shared bigram, which is words p and p + 1.
-    step, full = F.greatest(F.lit(1), F.expr("length div 8")), F.col("length")
-    sizes = {k: window_sizes(k) for k in {len(words_of(t)) for _, t in templates}}
-    size = F.element_at(F.create_map(*[x for k, v in sorted(sizes.items()) for x in (F.lit(k), F.array(*map(F.lit, v)))]), full)
-    met = met.withColumn("size", F.explode(size)).withColumn("step", step).withColumn("hit", F.explode("hits"))
-    met = met.select(*text, "size", "step", "hit.bigram", "hit.times", F.explode("hit.ps").alias("p"))
-    first = F.greatest(F.lit(0), F.ceil((F.col("p") + 2 - F.col("size")) / F.col("step"))).cast("int")
-    last = F.floor(F.col("p") / F.col("step")).cast("int")
-    met = met.where(first <= last).withColumn("window", F.explode(F.sequence(first, last)))
-    window = [*text, "size", "step", "window"]
-    met = met.groupBy(*window, "bigram", "times").agg(F.count("*").alias("n")).groupBy(*window).agg(F.sum(F.least("n", "times")).alias("shared"))
-    start = F.col("window") * F.col("step")
-    met = met.withColumn("first_word", start).withColumn("n_words", F.least("size", F.col("total") - start))
-    met = met.withColumn("dice", 2.0 * F.col("shared") / (F.col("n_words") + F.col("length") - 2)).where(F.col("dice") >= least)
-    best = F.min(F.struct((-F.col("dice")).alias("worse"), "first_word", "n_words")).alias("best")
-    best = met.groupBy("row", "doc_id", "license").agg(best)
+    best = F.transform(_windows(least), lambda w: F.struct((-w["dice"]).alias("worse"), w["first_word"].alias("first_word"), w["n_words"].alias("n_words"), w["shared"].alias("shared")))
+    met = met.select("row", "doc_id", "license", "length", F.array_sort(best).alias("windows"))
+    met = met.select("row", "doc_id", "license", "length", F.inline(_apart(F.col("windows"))))
+    preferred = F.struct((-F.col("shared")).alias("less"), "worse", (-F.col("length")).alias("shorter"), "license", "first_word", "n_words")
+    of_text = met.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(preferred)).alias("windows"))
+    kept = of_text.select("row", "doc_id", F.inline(_apart(F.col("windows"))))
+    best = kept.groupBy("row", "doc_id", "license").agg(F.min(F.struct("worse", "first_word", "n_words")).alias("best"))
     return best.select("doc_id", "license", (-F.col("best.worse")).alias("dice"), "best.first_word", "best.n_words")
 
 
@@ -175,17 +201,25 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = ", ".join(f"('{name}', {k}, '" + t.replace("'", "''") + "')" for k, (name, t) in enumerate(TEMPLATES))
 
 OP3_SQL = rf"""
-WITH templates(license, template, t) AS (VALUES {_VALUES}),
+WITH RECURSIVE templates(license, template, t) AS (VALUES {_VALUES}),
 tw AS (SELECT license, template, list_filter(string_split(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM templates),
 tb AS (SELECT license, template, len(w) AS length, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM tw),
 known AS (SELECT license, template, length, bigram, count(*) AS times FROM tb GROUP BY ALL),
-sizes AS (SELECT DISTINCT template, length, unnest([length, greatest(2, CAST(round_even(0.8 * length, 0) AS BIGINT))]) AS size, greatest(1, length // 8) AS step FROM known),
 doc AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents),
 pos AS (SELECT r, doc_id, len(w) AS total, unnest(range(0, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM doc),
-met AS (SELECT * FROM pos JOIN known USING (bigram)),
-win AS (SELECT met.*, s.size, s.step, unnest(range(greatest(0, CAST(ceil((p + 2 - s.size) / s.step) AS BIGINT)), p // s.step + 1)) AS k FROM met JOIN sizes s USING (template, length)),
-cnt AS (SELECT r, doc_id, total, license, template, length, size, step, k, bigram, least(count(*), times) AS n FROM win GROUP BY r, doc_id, total, license, template, length, size, step, k, bigram, times),
-dice AS (SELECT r, doc_id, license, k * step AS first_word, least(size, total - k * step) AS n_words, 2.0 * sum(n) / (least(size, total - k * step) + length - 2) AS dice FROM cnt GROUP BY r, doc_id, total, license, template, length, size, step, k),
-best AS (SELECT *, row_number() OVER (PARTITION BY r, license ORDER BY dice DESC, first_word, n_words) AS place FROM dice WHERE dice >= {LEAST_DICE})
-SELECT doc_id, license, CAST(dice AS DOUBLE) AS dice, CAST(first_word AS INTEGER) AS first_word, CAST(n_words AS INTEGER) AS n_words FROM best WHERE place = 1
+met AS (SELECT pos.*, license, template, length, lag(p, CAST(times AS INTEGER), -1) OVER (PARTITION BY r, template, pos.bigram ORDER BY p) AS prev FROM pos JOIN known USING (bigram)),
+win AS (SELECT a.r, a.doc_id, a.license, a.template, a.length, a.p AS first, b.p AS last, sum(CASE WHEN b.prev < a.p THEN 1 ELSE 0 END) OVER (PARTITION BY a.r, a.template, a.p ORDER BY b.p) AS shared
+  FROM met a JOIN met b ON a.r = b.r AND a.template = b.template AND b.p >= a.p AND b.p <= a.p + ceil({(2 - LEAST_DICE) / LEAST_DICE} * (a.length - 1))),
+dice AS (SELECT *, 2.0 * shared / (last - first + 1 + length - 1) AS dice FROM win),
+start AS (SELECT * FROM dice WHERE dice >= {LEAST_DICE} QUALIFY row_number() OVER (PARTITION BY r, template, first ORDER BY dice DESC, last) = 1),
+own AS (SELECT *, last - first + 2 AS n_words, row_number() OVER (PARTITION BY r, template ORDER BY dice DESC, first, last) AS k FROM start),
+own_picked AS (SELECT r, template, k, [{{'f': first, 'n': n_words}}] AS kept, true AS ok FROM own WHERE k = 1
+  UNION ALL SELECT x.r, x.template, x.k, CASE WHEN x.ok THEN list_append(x.kept, {{'f': x.first, 'n': x.n_words}}) ELSE x.kept END, x.ok FROM
+  (SELECT c.r, c.template, c.k, c.first, c.n_words, p.kept, len(list_filter(p.kept, lambda w: w.f < c.first + c.n_words AND c.first < w.f + w.n)) = 0 AS ok FROM own_picked p JOIN own c ON c.r = p.r AND c.template = p.template AND c.k = p.k + 1) x),
+ranked AS (SELECT own.r, doc_id, license, first, n_words, dice, row_number() OVER (PARTITION BY own.r ORDER BY shared DESC, dice DESC, length DESC, license, first, last) AS k FROM own JOIN own_picked o ON o.r = own.r AND o.template = own.template AND o.k = own.k AND ok),
+picked AS (SELECT r, k, [{{'f': first, 'n': n_words}}] AS kept, true AS ok FROM ranked WHERE k = 1
+  UNION ALL SELECT x.r, x.k, CASE WHEN x.ok THEN list_append(x.kept, {{'f': x.first, 'n': x.n_words}}) ELSE x.kept END, x.ok FROM
+  (SELECT c.r, c.k, c.first, c.n_words, p.kept, len(list_filter(p.kept, lambda w: w.f < c.first + c.n_words AND c.first < w.f + w.n)) = 0 AS ok FROM picked p JOIN ranked c ON c.r = p.r AND c.k = p.k + 1) x),
+best AS (SELECT ranked.*, row_number() OVER (PARTITION BY ranked.r, license ORDER BY dice DESC, ranked.first, ranked.n_words) AS place FROM ranked JOIN picked ON picked.r = ranked.r AND picked.k = ranked.k AND ok)
+SELECT doc_id, license, CAST(dice AS DOUBLE) AS dice, CAST(first AS INTEGER) AS first_word, CAST(n_words AS INTEGER) AS n_words FROM best WHERE place = 1
 """
