@@ -17,6 +17,7 @@ computed again, as buckets are a function of doc_id.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -28,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexbolt.llm.common import materialize, shuffle_width, table, text_of
+from lexbolt.llm.tokens import EliasFano
 
 WORDS, FRACTION, SEED = 5, 2, 6
-#: Hashes have 48 bits, twelve hex digits.
-HASH_BITS = 48
+#: Bits of a hash. Of two texts that keep n and m hashes some n m / 2^31 agree by chance.
+HASH_BITS = 32
 _WORD_CACHE: dict[str, int] = {}
 _CACHE_WORDS = 400_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +62,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Distinct 48-bit hashes of the text's shingles, ascending."""
+    """Distinct hashes of the text's shingles, ascending."""
     h = _word_hashes(text.lower().split())
     if not len(h):
         return h
@@ -71,31 +73,47 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(total) >> np.uint64(64 - HASH_BITS))
 
 
+def kept_of(h: np.ndarray, fraction: int = FRACTION) -> np.ndarray:
+    """Those of ascending hashes that a sketch keeps."""
+    return h[: np.searchsorted(h, np.uint64((1 << HASH_BITS) // fraction))]
+
+
 def sketch(text: str, words: int = WORDS, fraction: int = FRACTION) -> str:
-    """The smallest hash, a colon, then every hash under 1/fraction, in hex; ":" without words."""
+    """The smallest hash in hex, a colon, then every hash under 1/fraction, Elias-Fano coded
+    (2 + log2(range / hashes) bits a hash) in base64; ":" without words."""
     h = shingles(text, words)
-    return _written(h[:1], h[: np.searchsorted(h, np.uint64((1 << HASH_BITS) // fraction))])
+    return _written(h[:1], kept_of(h, fraction))
 
 
 def _written(least: np.ndarray, kept: np.ndarray) -> str:
-    raw = kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BITS // 8 :].tobytes().hex()
-    return (f"{int(least[0]):012x}:" if len(least) else ":") + raw
+    head = f"{int(least[0]):08x}:" if len(least) else ":"
+    if not len(kept):
+        return head
+    ef = EliasFano.of(kept)
+    return head + base64.b64encode(len(kept).to_bytes(4, "little") + bytes([ef.low_bits]) + ef.low.tobytes() + ef.high.tobytes()).decode()
 
 
-def _read(part: str) -> np.ndarray:
-    raw = np.frombuffer(bytes.fromhex(part), np.uint8).reshape(-1, HASH_BITS // 8)
-    return np.concatenate([np.zeros((len(raw), 8 - HASH_BITS // 8), np.uint8), raw], 1).copy().view(">u8").ravel().astype(np.uint64)
+def _least(fingerprint: str) -> np.ndarray:
+    part = fingerprint.split(":")[0]
+    return np.array([int(part, 16)] if part else [], np.uint64)
 
 
 def kept_hashes(fingerprint: str) -> np.ndarray:
-    return _read(fingerprint.split(":")[1])
+    raw = base64.b64decode(fingerprint.split(":")[1])
+    if not raw:
+        return np.zeros(0, np.uint64)
+    n, low_bits = int.from_bytes(raw[:4], "little"), raw[4]
+    low = -(-n * low_bits // 8)
+    bits = np.frombuffer(raw, np.uint8, offset=5)
+    return EliasFano(n, low_bits, bits[:low], bits[low:], bits[:0]).all().astype(np.uint64)
 
 
 def merge(fingerprints: list[str]) -> str:
     """The sketch of the union of the shingles: of whole documents, or of parts of one that
     overlap by a shingle less a word."""
-    least, kept = zip(*[map(_read, f.split(":")) for f in fingerprints]) if fingerprints else ([np.zeros(0, np.uint64)],) * 2
-    return _written(np.unique(np.concatenate(least))[:1], np.unique(np.concatenate(kept)))
+    none = [np.zeros(0, np.uint64)]
+    least, kept = (np.unique(np.concatenate(none + [of(f) for f in fingerprints])) for of in (_least, kept_hashes))
+    return _written(least[:1], kept)
 
 
 def shingle_count(fingerprint: str, fraction: int = FRACTION) -> int:
@@ -109,11 +127,12 @@ def compare(a: str, b: str) -> tuple[float, float, float]:
     Of two sketches that keep nothing (few shingles) only the smallest hashes are left to
     tell: they agree with the probability of the resemblance. Texts without words are alike.
     """
-    if a == b:
-        return 1.0, 1.0, 1.0
-    x, y = kept_hashes(a), kept_hashes(b)
+    return _compared(_least(a), kept_hashes(a), _least(b), kept_hashes(b))
+
+
+def _compared(least: np.ndarray, x: np.ndarray, least_other: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     if not len(x) and not len(y):
-        same = float(a.split(":")[0] == b.split(":")[0])
+        same = float(least.tolist() == least_other.tolist())
         return same, same, same
     common = len(np.intersect1d(x, y, assume_unique=True))
     return common / (len(x) + len(y) - common), common / max(1, len(x)), common / max(1, len(y))
@@ -168,7 +187,7 @@ def edited_pairs(docs: DataFrame, words: int = WORDS, fraction: int = FRACTION)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # id, text, sketch, bucket; done after it: guests of the same bucket are over
+        held = None  # id, text, hashes, bucket; done after it: guests of the same bucket are over
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "contained_next"]
         kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
         for b in batches:
@@ -178,13 +197,14 @@ def edited_pairs(docs: DataFrame, words: int = WORDS, fraction: int = FRACTION)
                     raise RuntimeError("a bucket ended without the document after it")
                 if guest and not held:
                     continue  # ids that repeat the guest's
-                mark = sketch(text, words, fraction)
+                mark = shingles(text, words)
                 if held:
                     twin = edited(held[1], text)
-                    other = sketch(twin, words, fraction)
-                    near, inside, _ = compare(held[2], other)
-                    near_next, inside_next, _ = compare(held[2], mark)
-                    out.append((held[0], len(held[1]), hashlib.sha256(twin.encode()).hexdigest(), held[2], other, near, near_next, inside, inside_next))
+                    own, other = held[2], shingles(twin, words)
+                    kept, kept_other = kept_of(own, fraction), kept_of(other, fraction)
+                    near, inside, _ = _compared(own[:1], kept, other[:1], kept_other)
+                    near_next, inside_next, _ = _compared(own[:1], kept, mark[:1], kept_of(mark, fraction))
+                    out.append((held[0], len(held[1]), hashlib.sha256(twin.encode()).hexdigest(), _written(own[:1], kept), _written(other[:1], kept_other), near, near_next, inside, inside_next))
                 held = None if guest else (doc_id, text, mark, bucket)
             columns = zip(*out) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)

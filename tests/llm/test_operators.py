@@ -312,6 +312,15 @@ def test_sketches_estimate_and_merge():
     assert exact[0] == 1 / 3 and sketches.compare(":", sketches.sketch("a"))[0] == 0.0 and sketches.compare(":", ":")[0] == 1.0
 
 
+def test_sketches_are_far_shorter_than_their_texts():
+    rng = random.Random(12)
+    for n in (60, 600, 6000):
+        text = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n))
+        found = sketches.sketch(text)
+        assert len(found) < 0.5 * len(text)
+        assert sketches.kept_hashes(found).tolist() == sketches.kept_of(sketches.shingles(text)).tolist()
+
+
 def test_sketch_containment_of_unequal_texts():
     rng = random.Random(3)
     words = [str(rng.random()) for _ in range(20000)]
