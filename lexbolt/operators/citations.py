@@ -209,6 +209,12 @@ def references(chunks: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce(own, F.lit(False)))
 
 
+def mistagged(refs: DataFrame) -> DataFrame:
+    """References whose kind and instrument (celex) disagree: of the GDPR's kind without its id,
+    or with its id and of another kind."""
+    return refs.where((F.col("kind") == "external_gdpr") != F.coalesce(F.col("celex") == GDPR_ID, F.lit(False)))
+
+
 def _leading(value: Column) -> Column:
     return F.coalesce(F.regexp_extract(value, r"^(\d+)", 1).try_cast("int"), F.lit(0))
 

@@ -128,10 +128,12 @@ def contained(markers: list[str], text: str) -> list[str]:
     return [m for m in markers if m in there or not m]
 
 
-def counted(name: str, rows: DataFrame, expected: int) -> DataFrame:
-    """A check that there are just so many rows."""
-    n = F.count("*")
-    return rows.agg(F.abs(n - expected).alias("failures")).select(F.lit(name).alias("name"), F.when(F.col("failures") == 0, "PASS").otherwise("FAIL").alias("status"), "failures")
+def counted(name: str, rows: DataFrame, expected: int | DataFrame) -> DataFrame:
+    """A check that there are just so many rows: a number, or as many as another table has."""
+    n = rows.agg(F.count("*").alias("n"))
+    wanted = expected.agg((-F.count("*")).alias("n")) if isinstance(expected, DataFrame) else rows.sparkSession.range(1).select(F.lit(-expected).cast("long").alias("n"))
+    off = n.unionByName(wanted).agg(F.abs(F.sum("n")).alias("failures"))
+    return off.select(F.lit(name).alias("name"), F.when(F.col("failures") == 0, "PASS").otherwise("FAIL").alias("status"), "failures")
 
 
 def skipped(spark, name: str) -> DataFrame:
@@ -176,7 +178,7 @@ def asserted(rows: DataFrame, condition: Column, message: str) -> DataFrame:
     return rows.where(ok)
 
 
-def link_suite(pages: DataFrame, origin: str, langs: list[str], sitemap: DataFrame, broken: list[tuple[str, str]] = (), routes: list[tuple[str, str, int]] = (), home: str = "/") -> DataFrame:
+def link_suite(pages: DataFrame, origin: str, langs: list[str], sitemap: DataFrame, broken: list[tuple[str, str]] = (), routes: list[tuple[str, str, int | DataFrame]] = (), home: str = "/") -> DataFrame:
     """The checks of a rendered site: dangling links (classes of `broken` are only SOFT),
     alternates, canonical links, redirects, language of the page, empty pages, the site map
     both ways, numbers of pages by route, and the home page."""

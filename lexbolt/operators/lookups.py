@@ -7,7 +7,7 @@ and of duplicate keys the first in the given order counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -56,6 +56,17 @@ def exploded(rows: DataFrame, column: str, name: str) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != column], F.explode(column).alias(name))
 
 
+def literal_adjacency(spark: SparkSession, mapping: dict, key: str, ids: str, kind: str = "int") -> DataFrame:
+    """key and ids of a fixed mapping (a literal of the program, so it is small); empty and null
+    lists keep their key."""
+    return spark.createDataFrame([(k, None if v is None else list(v)) for k, v in mapping.items()], f"{key} {kind}, {ids} array<{kind}>")
+
+
+def edges_of(adjacency: DataFrame, key: str, ids: str, name: str) -> DataFrame:
+    """A row for each id that a key lists; a key that lists none has one with null."""
+    return adjacency.select(key, F.explode_outer(ids).alias(name))
+
+
 def related(adjacency: DataFrame, key: str, ids: str, entities: DataFrame, number: str) -> DataFrame:
     """key and the columns of `entities` for each of the array `ids` whose number (as text)
     an entity has; others drop out. An id that is listed twice comes twice."""

@@ -92,6 +92,63 @@ def coverage_report(spark, sf_dir):
     return K.coverage_report(C.coverage(refs), C.counters(refs), "Coverage", 113)
 
 
+#: Forms of references, one an order by its key: the text, and what is in it as (raw, kind,
+#: target kind, target, paragraph, letter, subparagraph, instrument). {a} is a number of the order.
+_GDPR, _LED, _DSA, _DMA = "32016R0679", "32016L0680", "32022R2065", "32022R1925"
+_FORMS = [
+    ("Article {a}", [("Article {a}", "internal", "article", "{a}")]),
+    ("see Article {a}(2).", [("Article {a}(2)", "internal", "article", "{a}", "2")]),
+    ("Article {a} (2)(b)(iv)", [("Article {a} (2)(b)(iv)", "internal", "article", "{a}", "2", "b", "iv")]),
+    ("Article {a}(b)", [("Article {a}", "internal", "article", "{a}")]),
+    ("Articles {a}, 98 and 99(3)", [("Articles {a}, 98 and 99(3)", "internal", "article", t, p) for t, p in (("{a}", None), ("98", None), ("99", "3"))]),
+    ("Articles 3 TO 5", [("Articles 3 TO 5", "internal", "article", t) for t in "345"]),
+    ("Articles 3(1) to 5(2)", [("Articles 3(1) to 5(2)", "internal", "article", t, p) for t, p in (("3", "1"), ("4", None), ("5", None))]),
+    ("Articles 1 to 80", [("Articles 1", "internal", "article", "1")]),
+    ("Articles 9–8, but not {a}", [("Articles 9–8", "internal", "article", t) for t in "98"]),
+    ("Articles {a},, 9", [("Articles {a}", "internal", "article", "{a}")]),
+    ("Article {a}a and no other", [("Article {a}a", "internal", "article", "{a}a")]),
+    ("Article {a} OF THIS REGULATION", [("Article {a} OF THIS REGULATION", "internal", "article", "{a}")]),
+    ("Article {a} of Regulation (EU) 2016/679", [("Article {a} of Regulation (EU) 2016/679", "external_gdpr", "article", "{a}", None, None, None, _GDPR)]),
+    ("Article {a} of Directive (EU) 2019/790", [("Article {a} of Directive (EU) 2019/790", "external_other", "article", "{a}", None, None, None, "32019L0790")]),
+    ("Article {a} under Regulation (EU) No. 1025 / 2012", [("Article {a} under Regulation (EU) No. 1025 / 2012", "external_other", "article", "{a}", None, None, None, "32012R1025")]),
+    ("Article {a}(1) GDPR", [("Article {a}(1) GDPR", "external_gdpr", "article", "{a}", "1", None, None, _GDPR)]),
+    ("Article {a} gdpr", [("Article {a}", "internal", "article", "{a}"), ("gdpr", "external_gdpr", "instrument", None, None, None, None, _GDPR)]),
+    ("Annex III", [("Annex III", "internal", "annex", "III")]),
+    ("Annexes I to III and V(2)(a)", [("Annexes I to III and V(2)(a)", "internal", "annex", t, p, x) for t, p, x in (("I", None, None), ("III", None, None), ("V", "2", "a"))]),
+    ("under the NIS2 Directive of {a}", [("the NIS2 Directive", "external_other", "instrument", None, None, None, None, "32022L2555")]),
+    ("Decision (EU) 2021/914", [("Decision (EU) 2021/914", "external_other", "instrument", None, None, None, None, "32021D0914")]),
+    ("no article {a} of law", []),
+    ("Article 5, Article {a} and Annex IV", [("Article 5", "internal", "article", "5"), ("Article {a}", "internal", "article", "{a}"), ("Annex IV", "internal", "annex", "IV")]),
+    ("Articles 10, 11 to 13 and 20 of the Digital Services Act", [("Articles 10, 11 to 13 and 20 of the Digital Services Act", "external_other", "article", t, None, None, None, _DSA) for t in ("10", "11", "12", "13", "20")]),
+    ("Article {a} of the Law Enforcement Directive; Article 4 DMA", [("Article {a} of the Law Enforcement Directive", "external_other", "article", "{a}", None, None, None, _LED), ("Article 4 DMA", "external_other", "article", "4", None, None, None, _DMA)]),
+    ("Regulation (EU) 2024/1689 and Directive 2014/{a}/EU", [("Directive 2014/{a}/EU", "external_other", "instrument", None, None, None, None, "2014")]),
+]
+_ITEM = ["raw", "kind", "target_kind", "target", "paragraph", "letter", "subparagraph", "celex"]
+
+
+def _text_sql(text):
+    """SQL of a text in which {a} is a number of the order."""
+    return "NULL" if text is None else "'" + text.replace("'", "''").replace("{a}", f"' || {_A} || '") + "'"
+
+
+def _form(forms, place="o_orderkey"):
+    return "CASE " + " ".join(f"WHEN {place} % {len(forms)} = {i} THEN {_text_sql(text)}" for i, (text, _) in enumerate(forms)) + " END"
+
+
+def _forms_sql(forms, names):
+    """SQL of all that the forms of all orders hold."""
+    rows = [(i, [*row, *[None] * (len(names) - len(row))]) for i, (_, found) in enumerate(forms) for row in found]
+    last = lambda x: f"'32014L' || lpad(({_A})::VARCHAR, 4, '0')" if x == "2014" else _text_sql(x)
+    one = lambda row: ", ".join(f"{last(x) if n == 'celex' else _text_sql(x)} AS {n}" for n, x in zip(names, row))
+    return " UNION ALL ".join(f"SELECT o_orderkey, {one(row)} FROM orders WHERE o_orderkey % {len(forms)} = {i}" for i, row in rows)
+
+
+@query(_forms_sql(_FORMS, _ITEM))
+def citation_forms(spark, sf_dir):
+    rows = made(spark, sf_dir, "orders", source="'0'", o_orderkey="o_orderkey", text=_form(_FORMS))
+    return C.references(rows).select("o_orderkey", *_ITEM)
+
+
 _STAND_ALONE = "'Under the GDPR, Directive (EU) 2016/' || (o_custkey % 900 + 1) || ' (the LED), Regulation(EC) 300/2008 and Regulation (EU) 2024/1689'"
 
 
@@ -156,6 +213,35 @@ def guidance_citations(spark, sf_dir):
     return G.guidance_citations(pages, notes, sections).drop("lang", "raw", "context")
 
 
+#: Forms of guidance citations: the text, and what is in it as (article, paragraph, letter, raw).
+_GUIDE_FORMS = [
+    ("Article {a}(a)", [("{a}", None, "a", "Article {a}(a)")]),
+    ("Article {a}(1), point (b)", [("{a}", "1", "b", "Article {a}(1), point (b)")]),
+    ("Articles 26, {a} and 28", [(t, None, None, "Articles 26, {a} and 28") for t in ("26", "{a}", "28")]),
+    ("Article {a}(5), (6) and (7)", [("{a}", "5", None, "Article {a}(5)"), ("{a}", "6", None, "Article {a}(6)"), ("{a}", "7", None, "Article {a}(7)")]),
+    ("artikel {a}, lid 1, onder c", [("{a}", None, None, "artikel {a}"), ("{a}", "1", "c", "artikel {a}, lid 1, onder c")]),
+    ("Artikelen 101 en 104; artikel 102", [("101", None, None, "Artikelen 101 en 104"), ("104", None, None, "Artikelen 101 en 104"), ("102", None, None, "artikel 102")]),
+    ("artikel {a}, lid 3 en artikel {a}", [("{a}", None, None, "artikel {a}"), ("{a}", "3", None, "artikel {a}, lid 3"), ("{a}", None, None, "artikel {a}")]),
+    ("no citation of {a}", []),
+    ("Articles 5 to {a}", [("5", None, None, "Articles 5")]),
+    ("Article {a}. " + "x" * 130 + " (4)", [("{a}", None, None, "Article {a}")]),
+]
+
+
+@query(_forms_sql(_GUIDE_FORMS, ["article", "paragraph", "letter", "raw"]))
+def guidance_forms(spark, sf_dir):
+    rows = made(spark, sf_dir, "orders", o_orderkey="o_orderkey", lang="'nl'", text=_form(_GUIDE_FORMS))
+    return G.cited(rows, ["o_orderkey"]).select("o_orderkey", c("article").cast("string").alias("article"), "paragraph", "letter", "raw")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'external_gdpr' ELSE 'external_other' END AS kind, CASE o_orderkey % 5 WHEN 0 THEN '32016L0680' ELSE '32016R0679' END AS celex FROM orders WHERE o_orderkey % 5 IN (0, 1)
+ UNION ALL SELECT o_orderkey, 'external_gdpr', NULL FROM orders WHERE o_orderkey % 5 = 4""")
+def mistagged_references(spark, sf_dir):
+    kind = "CASE WHEN o_orderkey % 5 IN (0, 2, 4) THEN 'external_gdpr' WHEN o_orderkey % 5 = 1 THEN 'external_other' ELSE 'internal' END"
+    celex = "CASE o_orderkey % 5 WHEN 0 THEN '32016L0680' WHEN 1 THEN '32016R0679' WHEN 2 THEN '32016R0679' END"
+    return C.mistagged(made(spark, sf_dir, "orders", o_orderkey="o_orderkey", kind=kind, celex=celex))
+
+
 @query(f"SELECT article, row_number() OVER (PARTITION BY article ORDER BY doc) - 1 AS place, doc FROM ({SQL['guidance_citations']})")
 def guidance_by_article(spark, sf_dir):
     rows = G.by_article(guidance_citations(spark, sf_dir).withColumn("lang", F.lit("nl")).withColumn("raw", F.lit("r")))

@@ -158,6 +158,19 @@ def presence_gaps(spark, sf_dir):
     return R.presence_gaps(e.where("event_type = 'click'"), e.where("event_type = 'view'"), ["user_id", "day"])
 
 
+#: Which regions a stage looks at, as a program's literal; one of them looks at none.
+_STAGES = {0: [0, 3], 1: [1], 2: [], 3: [2, 4, 9], 4: None}
+_STAGE_ROWS = ", ".join(f"({k}, {r})" for k, v in _STAGES.items() for r in v or ["NULL"])
+
+
+@query(f"SELECT c_custkey, region, n_name FROM customer JOIN (VALUES {_STAGE_ROWS}) AS s(stage, region) ON c_custkey % 5 = stage LEFT JOIN nation ON n_regionkey = region AND n_nationkey = c_nationkey")
+def adjacency_literal(spark, sf_dir):
+    edges = U.edges_of(U.literal_adjacency(spark, _STAGES, "stage", "regions"), "stage", "regions", "region")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (c("c_custkey") % 5).cast("int").alias("stage"))
+    nations = table(spark, sf_dir, "nation").select(c("n_nationkey").alias("c_nationkey"), c("n_regionkey").alias("region"), "n_name")
+    return customers.join(F.broadcast(edges), "stage").join(nations, ["region", "c_nationkey"], "left").select("c_custkey", "region", "n_name")
+
+
 def _parts_of_orders(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("ids"))
 
