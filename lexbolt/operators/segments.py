@@ -23,14 +23,15 @@ def is_hot(rows: DataFrame, by: list[str], bound: int = BOUND) -> bool:
     return not rows.groupBy(*by).count().where(F.col("count") > bound).isEmpty()
 
 
-def last_markers(rows: DataFrame, by: list[str], order: list, marks: dict[str, tuple[Column, Column]], bound: int = BOUND, segment: int = SEGMENT) -> DataFrame:
+def last_markers(rows: DataFrame, by: list[str], order: list, marks: dict[str, tuple[Column, Column]], bound: int | None = BOUND, segment: int = SEGMENT) -> DataFrame:
     """Adds for each mark (condition, value) the value at the last row at or before that met it.
 
     Rows that tie in the order are in any order among them. A null key is a key. A value that
-    is null where the condition holds isn't taken.
+    is null where the condition holds isn't taken. `bound` None says that keys are known to be
+    bounded (by what one task has already held), and nothing is counted.
     """
     values = {name: F.when(condition, value) for name, (condition, value) in marks.items()}
-    if not is_hot(rows, by, bound):
+    if bound is None or not is_hot(rows, by, bound):
         w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return rows.select("*", *[F.last(v, ignorenulls=True).over(w).alias(name) for name, v in values.items()])
     names, own = list(marks), rows.columns

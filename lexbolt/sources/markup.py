@@ -1,22 +1,27 @@
-"""HTML documents as rows: three templates, one walk each.
+"""HTML documents as rows: elements in document order, and three templates over them.
 
-Catalyst has no document tree, so a document goes to Python once (Arrow batches), is read
-into a light tree and walked in document order; headings carry on as state, so that each
-entity knows its chapter and section without a search backwards. Files are the unit of work.
+Catalyst has no document tree, so Python reads a document once (Arrow batches) and gives a
+row an element: its place, where it ends, its parent, tags above it, classes, text, and of a
+table its cells and its lines as a list. All else is DataFrames over these rows: headings
+are carried on as running state, an element belongs to the last entity that hasn't ended,
+and bodies are its blocks in order. Windows are by file: a file's elements came out of one task.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexbolt.functions.text import roman
+from lexbolt.operators.segments import last_markers
 from lexbolt.sources.readers import spread
+from lexbolt.sources.stores import stored
 
 #: Words that head the parts of a document, and its marks of style.
 HEADINGS = {
@@ -30,8 +35,7 @@ HIDDEN = {"oj-ti-art", "oj-sti-art", "oj-ti-section-1", "oj-ti-section-2", "oj-d
 VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr"}
 ROMAN = {roman(n): n for n in range(1, 100)}
 
-ENTITY = "file string, kind string, number string, title string, chapter string, chapter_title string, section string, section_title string, body_md string, body_text string, char_count long, anchor string"
-AMENDMENT = "file string, number int, target string, old_text string, new_text string, body_md string, char_count long"
+ELEMENT = "file string, pos int, last int, parent int, tag string, classes array<string>, id string, text string, path string, cells array<array<string>>, lines string"
 
 
 _NONE: set[str] = set()
@@ -113,10 +117,6 @@ def tidy(text: str) -> str:
     return re.sub(r"[ \t]{2,}", " ", text.replace("\u00a0", " ")).strip()
 
 
-def bold_number(text: str) -> str:
-    return re.sub(r"^(\d+)\.\s+", r"**\1.** ", text)
-
-
 def rows_of(table: Node) -> list[list[Node]]:
     """Cells by row, of the table itself and not of those inside its cells."""
     out, stack = [], list(reversed(table.children))
@@ -162,212 +162,245 @@ def list_lines(table: Node) -> list[str]:
     return out
 
 
-def blocks(node: Node, skip: tuple = (), heads: bool = False) -> list[str]:
-    """Paragraphs, headings and lists below a node. With `heads` its headings are kept."""
-    out = []
-    for child in node.children:
-        if not isinstance(child, Node) or child in skip:
-            continue
-        if child.tag == "p":
-            text = child.text()
-            if text and "oj-ti-grseq-1" in child.classes:
-                out.append(f"### {text}")
-            elif text and heads and child.classes & {"oj-doc-ti", "oj-ti-section-1", "oj-ti-section-2"}:
-                out.append(("## " if "oj-doc-ti" in child.classes else "### ") + text)
-            elif text and not child.classes & HIDDEN:
-                out.append(bold_number(text))
-        elif child.tag == "table":
-            out += list_lines(child)
-        elif child.tag == "div":
-            out += blocks(child, skip, heads)
-    return out
+# ---- elements as rows
 
 
-def journal(html: str, lang: str = "nl") -> list[dict]:
-    """Articles, recitals and annexes of a document in the journal's template, each kind by
-    number. The section ends with its chapter."""
-    words, out = HEADINGS[lang], []
-    place = {"chapter": "", "chapter_title": "", "section": None, "section_title": None}
-    waiting, annex = None, None
-    for node in tree(html).walk():
-        if "oj-ti-section-1" in node.classes:
-            kind, _, number = node.text().partition(" ")
-            if kind == words["chapter"]:
-                place = {"chapter": number if number in ROMAN else "", "chapter_title": "", "section": None, "section_title": None}
-                waiting = "chapter_title"
-            elif kind == words["section"]:
-                place = place | {"section": number if number.isdigit() else None, "section_title": None}
-                waiting = "section_title" if number.isdigit() else None
-        elif "oj-ti-section-2" in node.classes and waiting:
-            place, waiting = place | {waiting: node.text()}, None
-        elif node.tag == "div" and "eli-subdivision" in node.classes and (m := re.fullmatch(r"(art|rct)_(\d+)", node.attrs.get("id") or "")):
-            row = {"kind": "article" if m[1] == "art" else "recital", "number": m[2], "anchor": m[0]}
-            if m[1] == "art":
-                title = next((n for n in node.walk() if "oj-sti-art" in n.classes), None)
-                skip = tuple(c for c in node.children if isinstance(c, Node) and ((c.tag == "p" and "oj-ti-art" in c.classes) or (c.tag == "div" and "eli-title" in c.classes)))
-                text = node.text()
-                row |= place | {"title": title.text() if title else "", "body_md": "\n\n".join(blocks(node, skip)).strip() + "\n", "body_text": text}
-            else:
-                table = next(iter(node.all("table")), None)
-                cells = (rows_of(table) if table else []) or [[]]
-                text = (cells[0][1].text() if len(cells[0]) > 1 else "") or node.text()
-                row |= {"body_md": text + "\n", "body_text": text}
-            out.append(row | {"char_count": len(row["body_text"])})
-        elif node.tag == "p" and "oj-doc-ti" in node.classes and (m := re.fullmatch(rf"{words['annex']}\s+([IVX]+)", node.text())) and m[1] in ROMAN:
-            out.append(_annex(node, m[1], words["annex"]))
-    rank = {"article": 0, "recital": 1, "annex": 2}
-    return sorted(out, key=lambda r: (rank[r["kind"]], ROMAN.get(r["number"]) or int(r["number"])))
-
-
-def _annex(head: Node, number: str, word: str) -> dict:
-    """What stands between the heading of an annex and the next, or the end of the document."""
-    after = head.parent.children[head.parent.children.index(head) + 1 :]
-    region = Node("div", {})
-    for node in (n for n in after if isinstance(n, Node)):
-        if node.classes & ENDS or ("oj-doc-ti" in node.classes and node.text().startswith(word)):
-            break
-        region.children.append(node)
-    title = next((n.text() for n in region.walk() if n.tag == "p" and "oj-doc-ti" in n.classes), "")
-    text = "\n\n".join(n.text() for n in region.children).strip()
-    anchor = head.attrs.get("id") or f"{word.lower()}_{number}"
-    return {"kind": "annex", "number": number, "title": title, "anchor": anchor, "body_md": "\n\n".join(blocks(region, heads=True)).strip() + "\n", "body_text": text, "char_count": len(text)}
-
-
-def styled(node: Node) -> str:
-    """A paragraph of the word processor's template, by its style."""
-    text, style = node.text(), node.style
-    if not text:
-        return ""
-    if style in POINTS:
-        return f"{POINTS[style]}- {text}"
-    if style in NUMBERED:
-        return bold_number(text)
-    return f"### {text}" if "SectionTitle" in style else text
-
-
-def proposal(html: str, lang: str = "nl") -> list[dict]:
-    """Articles, recitals and annexes of a document in the word processor's template, which
-    is flat: an entity ends where the next one begins. title and chapter of an article are
-    the last headings before it; a chapter ends with its title."""
-    words, out, open_ = HEADINGS[lang], [], None
-    place = {"chapter": "", "chapter_title": "", "section": None, "section_title": None}
-    waiting = None
-
-    def close() -> None:
-        if open_:
-            md, text = open_.pop("md"), open_.pop("plain")
-            body = "\n\n".join(text).strip()
-            out.append(open_ | {"body_md": "\n\n".join(md).strip() + "\n", "body_text": body, "char_count": len(body)})
-
-    for node in tree(html).walk():
-        text = node.text() if node.tag in ("p", "div", "table") else ""
-        if "Titrearticle" in node.classes or "Annexetitre" in node.classes:
-            close()
-            open_ = None
-            rule = rf"{words['article']}\s+(\d+)(?:\s+(.+))?" if "Titrearticle" in node.classes else rf"{words['annex']}\s+([IVX]+)\s*(.*)"
-            if m := re.fullmatch(rule, text, re.DOTALL):
-                kind = "article" if "Titrearticle" in node.classes else "annex"
-                open_ = {"kind": kind, "number": m[1], "title": (m[2] or "").strip(), "md": [], "plain": []} | (place if kind == "article" else {})
-        elif "ManualConsidrant" in node.classes and (m := re.fullmatch(r"\((\d+)\)\s*(.*)", text, re.DOTALL)):
-            body = m[2].strip()
-            out.append({"kind": "recital", "number": m[1], "body_md": body + "\n", "body_text": body, "char_count": len(body)})
-        elif "SectionTitle" in node.classes:
-            kind, _, number = text.partition(" ")
-            if kind.upper() == words["title"] and number.upper() in ROMAN:
-                place = {"chapter": number.upper(), "chapter_title": "", "section": None, "section_title": None}
-                waiting = "chapter_title"
-            elif kind.upper() == words["chapter"] and number.isdigit():
-                place, waiting = place | {"section": number, "section_title": None}, "section_title"
-            elif waiting:
-                place, waiting = place | {waiting: text}, None
-            if open_ and open_["kind"] == "annex":
-                open_["md"].append(styled(node))
-                open_["plain"].append(text)
-        elif open_ and text and node.tag == "p" and not _inside(node, "table"):
-            open_["md"].append(styled(node))
-            open_["plain"].append(text)
-        elif open_ and node.tag == "table" and open_["kind"] == "annex" and not _inside(node, "table"):
-            lines = [" | ".join(c.text() for c in cells if c.text()) for cells in rows_of(node)]
-            flat = "\n".join(x for x in lines if x)
-            if flat:
-                open_["md"].append(flat)
-                open_["plain"].append(flat)
-    close()
-    rank = {"article": 0, "recital": 1, "annex": 2}
-    return sorted(out, key=lambda r: (rank[r["kind"]], ROMAN.get(r["number"]) or int(r["number"])))
-
-
-def _inside(node: Node, tag: str) -> bool:
-    node = node.parent
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
-def comparison(table: Node, header: str) -> tuple[str, str]:
-    """The two columns of an amendment's table: see lexbolt.functions.structure.two_columns."""
-    left, right = [], []
-    for cells in (rows_of(t) for t in [table, *table.all("table")]):
-        for row in cells:
-            texts = [c.text() for c in row]
-            joined = " | ".join(texts).lower().strip()
-            if header in joined or joined in ("amendment", "| amendment", "amendment |", "amendement", "| amendement", "amendement |"):
-                continue
-            if any(texts) and len(texts) <= 2:
-                left.append(texts[0])
-                right.append(texts[-1])
-    return "\n\n".join(left), "\n\n".join(right)
-
-
-def amendments(html: str, lang: str = "nl") -> list[dict]:
-    """The amendments of a comparison by number: target (up to four headings after the
-    amendment's own, joined) and the two columns of the first table before the next one.
-    char_count is of the right column alone in English, else of both."""
-    words, out, open_ = HEADINGS[lang], [], None
-    for node in tree(html).walk():
-        if "oj-ti-grseq-1" in node.classes:
-            text = node.text()
-            if m := re.fullmatch(rf"{words['amendment']}\s+(\d+)", text):
-                open_ = {"number": int(m[1]), "heads": [], "table": None}
-                out.append(open_)
-            elif open_ and len(open_["heads"]) < 4:
-                open_["heads"].append(text)
-        elif node.tag == "table" and open_ and open_["table"] is None:
-            open_["table"] = node
-    rows = []
-    for a in out:
-        old, new = comparison(a["table"], words["header"]) if a["table"] else ("", "")
-        target = " — ".join(h for h in a["heads"] if h)
-        empty = "*(—)*"
-        md = "\n\n".join([*([f"**{target}**"] if target else []), f"## 1\n\n{old or empty}", f"## 2\n\n{new or empty}"]) + "\n"
-        rows.append({"number": a["number"], "target": target, "old_text": old, "new_text": new, "body_md": md, "char_count": len(new) if lang == "en" else len(old) + len(new)})
-    return sorted(rows, key=lambda r: r["number"])
-
-
-def parsed(files: DataFrame, parse: Callable[[str], list[dict]], schema: str = ENTITY) -> DataFrame:
-    """Rows of all entities of `files` (file, html): `parse` reads one document."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-    types = [kinds[c.split()[1]] for c in schema.split(", ")]
+def elements(html: str) -> list[tuple]:
+    """Elements in document order as (pos, last, parent, tag, classes, id, text, path, cells,
+    lines): last is the place of the last element inside, path the tags above it, each behind a
+    slash. Elements without class or id inside a paragraph or a cell have no row."""
+    root, out = tree(html), []
+    stack: list[tuple[Node, int, str, bool]] = [(c, -1, "", False) for c in reversed(root.children) if isinstance(c, Node)]
+    pos = 0
+    while stack:
+        node, parent, path, inner = stack.pop()
+        if node.tag in ("p", "div", "table") or node.attrs.get("class") or node.attrs.get("id") or not inner:
+            is_table = node.tag == "table"
+            cells = [[c.text() for c in row] for row in rows_of(node)] if is_table else None
+            out.append([pos, pos, parent, node.tag, node.style.split(), node.attrs.get("id"), node.text(), path, cells, "\n\n".join(list_lines(node)) if is_table else None])
+        own, inside = pos, inner or node.tag in ("p", "td", "th")
+        pos += 1
+        stack += [(c, own, f"{path}/{node.tag}", inside) for c in reversed(node.children) if isinstance(c, Node)]
+    last: dict[int, int] = {}
+    for row in reversed(out):  # children come after their parents
+        row[1] = max(row[0], last.get(row[0], row[0]))
+        last[row[2]] = max(last.get(row[2], -1), row[1])
+    return [tuple(r) for r in out]
+
+
+def element_rows(files: DataFrame) -> DataFrame:
+    """ELEMENT rows of `files` (file, html), stored, since templates look at them more than
+    once. Null html has no elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string())), pa.string()]
+        names = [c.split()[0] for c in ELEMENT.split(", ")]
         for b in batches:
-            files = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-            found = [r | {"file": file} for file, html in files for r in parse(html or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in found], t) for n, t in zip(names, types)], names)
+            owner, found = [], []
+            for i, html in enumerate(b.column(1)):
+                rows = elements(html.as_py() or "")
+                owner += [i] * len(rows)
+                found += rows
+            columns = list(zip(*found)) or [[]] * len(kinds)
+            own = b.column(0).take(pa.array(owner, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own, *[pa.array(c, k) for c, k in zip(columns, kinds)]], names)
+
+    return stored(spread(files.select(F.col("file").cast("string"), "html")).mapInArrow(run, ELEMENT), "elements")
+
+
+def _has(name: str) -> Column:
+    return F.array_contains("classes", name)
+
+
+def _any(names: set[str]) -> Column:
+    return F.arrays_overlap("classes", F.array(*map(F.lit, sorted(names))))
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
 
-    return spread(files.select(F.col("file").cast("string"), "html")).mapInArrow(run, schema)
+def _bold(text: Column) -> Column:
+    return F.regexp_replace(text, r"^(\d+)\.\s+", r"**$1.** ")
+
+
+def _is_roman(number: Column) -> Column:
+    return F.coalesce(number.isin(list(ROMAN)), F.lit(False))
+
+
+def _joined(value: Column, between: str = "\n\n") -> Column:
+    """Of a group, the values that aren't null or empty, by place."""
+    found = F.filter(F.collect_list(F.struct("pos", value.alias("x"))), lambda r: r["x"] != "")
+    return F.array_join(F.transform(F.array_sort(found), lambda r: r["x"]), between)
+
+
+def _first(value: str, test: Column) -> Column:
+    return F.min_by(value, F.when(test, F.col("pos")))
+
+
+def _place(heads: DataFrame, entities: DataFrame) -> DataFrame:
+    """`entities` (file, pos, ...) with chapter, chapter_title, section, section_title. `heads`:
+    file, pos, head (chapter, section or title), number, text. The first title after a head is
+    its title; a section without a number takes none; a section ends with its chapter."""
+    before = F.lag(F.struct("head", "number")).over(W.partitionBy("file").orderBy("pos"))
+    heads = heads.withColumn("before", before)
+    titled = (F.col("head") == "title") & ((F.col("before.head") == "chapter") | ((F.col("before.head") == "section") & F.col("before.number").isNotNull()))
+    both = entities.unionByName(heads, allowMissingColumns=True)
+    at = lambda value: F.struct("pos", F.col(value).alias("v"))
+    marks = {k: (F.coalesce(F.col("head") == k, F.lit(False)), at("number")) for k in ("chapter", "section")}
+    marks |= {f"{k}_title": (F.coalesce(titled & (F.col("before.head") == k), F.lit(False)), at("text")) for k in ("chapter", "section")}
+    rows = last_markers(both, ["file"], ["pos"], marks, None).where("head IS NULL")
+    here = F.col("section.pos") > F.coalesce(F.col("chapter.pos"), F.lit(-1))
+    title = lambda k: F.when(F.col(f"{k}_title.pos") > F.col(f"{k}.pos"), F.col(f"{k}_title.v"))
+    return rows.select(
+        *entities.columns, F.coalesce("chapter.v", F.lit("")).alias("chapter"), F.coalesce(title("chapter"), F.lit("")).alias("chapter_title"),
+        F.when(here, F.col("section.v")).alias("section"), F.when(here, title("section")).alias("section_title"),
+    )
+
+
+def _inside(rows: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """The rows with `name`: the last of `spans` (file, pos, last and others) that begins at or
+    before them and hasn't ended; rows in none go."""
+    kind = F.struct(*spans.columns)
+    both = rows.withColumn(name, F.lit(None).cast(spans.select(kind.alias("k")).schema["k"].dataType)).withColumn("__of", F.lit(1))
+    marks = spans.select("file", "pos", kind.alias(name), F.lit(0).alias("__of"))
+    found = last_markers(both.unionByName(marks, allowMissingColumns=True).withColumnRenamed(name, "__mark"), ["file"], ["pos", "__of"], {name: (F.col("__of") == 0, F.col("__mark"))}, None)
+    return found.where((F.col("__of") == 1) & (F.col("pos") <= F.col(f"{name}.last"))).drop("__of", "__mark")
+
+
+def _below(span: str) -> Column:
+    """Whether only divs are between the span's element and this one."""
+    return F.regexp_like(F.expr(f"substring(path, length({span}.path) + 1)"), F.lit("^(/div)*$"))
+
+
+def _block(heads: bool = False) -> Column:
+    """A paragraph, heading or list of the journal's template in Markdown; null if it is none."""
+    text = F.when(_has("oj-ti-grseq-1"), F.concat(F.lit("### "), "text"))
+    if heads:
+        text = text.when(_has("oj-doc-ti"), F.concat(F.lit("## "), "text")).when(_any({"oj-ti-section-1", "oj-ti-section-2"}), F.concat(F.lit("### "), "text"))
+    text = text.when(~_any(HIDDEN), _bold(F.col("text")))
+    return F.when((F.col("tag") == "p") & (F.col("text") != ""), text).when(F.col("tag") == "table", F.col("lines"))
+
+
+def _entity(rows: DataFrame) -> DataFrame:
+    """The columns of an entity, those that a kind doesn't have being null."""
+    names = ["title", "chapter", "chapter_title", "section", "section_title"]
+    missing = {n: F.lit(None).cast("string") for n in names if n not in rows.columns}
+    rows = rows.withColumns(missing | {"char_count": F.length("body_text").cast("long")})
+    return rows.select("file", "kind", "number", *names, "body_md", "body_text", "char_count", "anchor")
 
 
 def journal_entities(files: DataFrame, lang: str = "nl") -> DataFrame:
-    return parsed(files, lambda h: journal(h, lang))
+    """Articles, recitals and annexes of documents in the journal's template."""
+    words, rows = HEADINGS[lang], element_rows(files)
+    kind, number = F.split_part("text", F.lit(" "), F.lit(1)), F.regexp_extract("text", "(?s)^[^ ]* (.*)$", 1)
+    heading = F.when(_has("oj-ti-section-1"), F.when(kind == words["chapter"], "chapter").when(kind == words["section"], "section")).when(_has("oj-ti-section-2"), "title")
+    value = F.when(heading == "chapter", F.when(_is_roman(number), number).otherwise("")).when(heading == "section", F.when(number.rlike(r"^\d+$"), number))
+    heads = rows.where(heading.isNotNull()).select("file", "pos", heading.alias("head"), value.alias("number"), "text")
+
+    is_entity = (F.col("tag") == "div") & _has("eli-subdivision") & F.coalesce(F.col("id").rlike(r"^(art|rct)_\d+$"), F.lit(False))
+    spans = rows.where(is_entity).select("file", "pos", "last", "path", F.col("id").alias("anchor"), F.col("text").alias("body_text"))
+    content = _inside(rows, spans, "own").where(F.col("pos") > F.col("own.pos"))
+    titles = content.where((F.col("tag") == "div") & _has("eli-title") & (F.col("parent") == F.col("own.pos"))).select("file", "pos", "last")
+    hidden = _inside(content, titles, "head").select("file", "pos").withColumn("hidden", F.lit(True))
+    content = content.join(hidden, ["file", "pos"], "left")
+    body = F.when(_below("own") & F.col("hidden").isNull(), _block())
+    found = content.groupBy("file", F.col("own.pos").alias("pos")).agg(_joined(body).alias("body"), _first("text", _has("oj-sti-art")).alias("title"), _first("cells", F.col("tag") == "table").alias("cells"))
+    found = spans.join(found, ["file", "pos"], "left")
+    found = found.withColumn("number", F.regexp_extract("anchor", r"_(\d+)$", 1))
+    articles = _place(heads, found.where(F.col("anchor").startswith("art")).drop("cells", "last", "path"))
+    articles = articles.select("*", F.lit("article").alias("kind"), F.concat(_strip(F.coalesce("body", F.lit(""))), F.lit("\n")).alias("body_md")).withColumn("title", F.coalesce("title", F.lit("")))
+    whole = F.coalesce(F.nullif(F.get(F.get("cells", F.lit(0)), F.lit(1)), F.lit("")), F.col("body_text"))
+    recitals = found.where(F.col("anchor").startswith("rct")).withColumn("body_text", whole).select("file", F.lit("recital").alias("kind"), "number", "body_text", F.concat("body_text", F.lit("\n")).alias("body_md"), "anchor")
+    return _entity(articles).unionByName(_entity(recitals)).unionByName(_annexes(rows, words["annex"]))
+
+
+def _annexes(rows: DataFrame, word: str) -> DataFrame:
+    """What stands between the heading of an annex and the next, or the end of the document:
+    elements beside the heading, with all that is in them."""
+    number = F.regexp_extract("text", rf"^{word}\s+([IVX]+)$", 1)
+    is_head = (F.col("tag") == "p") & _has("oj-doc-ti") & _is_roman(number)
+    stops = _any(ENDS) | (_has("oj-doc-ti") & F.col("text").startswith(word)) | is_head
+    head = F.struct("pos", number.alias("number"), F.coalesce("id", F.concat(F.lit(f"{word.lower()}_"), number)).alias("anchor"))
+    beside = last_markers(rows, ["file", "parent"], ["pos"], {"head": (is_head, head), "stop": (stops, F.col("pos"))}, None)
+    heads = beside.where(F.col("head.pos") == F.col("pos")).select("file", F.col("pos").alias("head_pos"), "head.number", "head.anchor")
+    children = beside.where((F.col("head.pos") < F.col("pos")) & (F.col("stop") == F.col("head.pos")))
+    children = children.select("file", "pos", "last", "path", F.col("head.pos").alias("head_pos"))
+    content = _inside(rows, children, "child")
+    own = F.when(F.col("child.pos") == F.col("pos"), F.col("text"))
+    found = content.groupBy("file", F.col("child.head_pos").alias("head_pos")).agg(
+        _joined(F.when(_below("child"), _block(heads=True))).alias("body"), _joined(own).alias("body_text"), _first("text", (F.col("tag") == "p") & _has("oj-doc-ti")).alias("title")
+    )
+    found = heads.join(found, ["file", "head_pos"], "left").fillna("", ["body", "body_text", "title"])
+    return _entity(found.select("file", F.lit("annex").alias("kind"), "number", "title", "anchor", F.concat(_strip(F.col("body")), F.lit("\n")).alias("body_md"), _strip(F.col("body_text")).alias("body_text")))
+
+
+def _styled() -> Column:
+    """A paragraph of the word processor's template, by its style."""
+    style = F.array_join("classes", " ")
+    out = F.when(F.col("text") == "", F.lit(None).cast("string"))
+    for name, indent in POINTS.items():
+        out = out.when(style == name, F.concat(F.lit(f"{indent}- "), "text"))
+    return out.when(style.isin(sorted(NUMBERED)), _bold(F.col("text"))).when(style.contains("SectionTitle"), F.concat(F.lit("### "), "text")).otherwise(F.col("text"))
 
 
 def proposal_entities(files: DataFrame, lang: str = "nl") -> DataFrame:
-    return parsed(files, lambda h: proposal(h, lang))
+    """Articles, recitals and annexes of documents in the word processor's template, which is
+    flat: an entity ends where the next heading of one begins."""
+    words, rows = HEADINGS[lang], element_rows(files)
+    is_article, is_annex = _has("Titrearticle"), ~_has("Titrearticle") & _has("Annexetitre")
+    rule = F.when(is_article, F.regexp_extract("text", rf"^{words['article']}\s+(\d+)(?:\s+(?s:.+))?$", 1)).when(is_annex, F.regexp_extract("text", rf"^{words['annex']}\s+([IVX]+)(?s:\s*.*)$", 1))
+    title = F.when(is_article, F.regexp_extract("text", rf"^{words['article']}\s+\d+(?:\s+((?s:.+)))?$", 1)).when(is_annex, F.regexp_extract("text", rf"^{words['annex']}\s+[IVX]+\s*((?s:.*))$", 1))
+    recital = F.regexp_extract("text", r"^\((\d+)\)\s*(?s:.*)$", 1)
+    is_recital = ~is_article & ~is_annex & _has("ManualConsidrant") & (recital != "") & F.col("tag").isin("p", "div", "table")
+    is_section = ~is_article & ~is_annex & ~is_recital & _has("SectionTitle")
+    role = F.when(is_article, "article").when(is_annex, "annex").when(is_recital, "recital").when(is_section, "section")
+    rows = rows.withColumn("role", role).withColumn("text", F.when(F.col("tag").isin("p", "div", "table"), F.col("text")).otherwise(""))
+
+    kind, number = F.upper(F.split_part("text", F.lit(" "), F.lit(1))), F.regexp_extract("text", "(?s)^[^ ]* (.*)$", 1)
+    heading = F.when((kind == words["title"]) & _is_roman(F.upper(number)), "chapter").when((kind == words["chapter"]) & number.rlike(r"^\d+$"), "section").otherwise("title")
+    heads = rows.where("role = 'section'").select("file", "pos", heading.alias("head"), F.when(heading == "chapter", F.upper(number)).otherwise(number).alias("number"), "text")
+
+    spans = rows.where(F.col("role").isin("article", "annex")).select("file", "pos", F.col("role").alias("kind"), rule.alias("number"), F.trim(F.coalesce(title, F.lit(""))).alias("title"))
+    spans = spans.withColumn("last", F.coalesce(F.lead("pos").over(W.partitionBy("file").orderBy("pos")) - 1, F.lit(2**31 - 1)))
+    content = _inside(rows, spans, "own").where((F.col("own.number") != "") & ~F.coalesce(F.col("role").isin("article", "annex", "recital"), F.lit(False)) & ~F.contains("path", F.lit("/table")))
+    in_annex = F.col("own.kind") == "annex"
+    lines = F.transform("cells", lambda row: F.array_join(F.filter(row, lambda x: x != ""), " | "))
+    flat = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    md = F.when(F.col("role") == "section", F.when(in_annex, _styled())).when(F.col("tag") == "p", _styled()).when((F.col("tag") == "table") & in_annex, flat)
+    plain = F.when(F.col("role") == "section", F.when(in_annex, F.col("text"))).when(F.col("tag") == "p", F.col("text")).when((F.col("tag") == "table") & in_annex, flat)
+    found = content.groupBy("file", F.col("own.pos").alias("pos")).agg(_joined(md).alias("body"), _joined(plain).alias("body_text"))
+    found = spans.where("number <> ''").drop("last").join(found, ["file", "pos"], "left").fillna("", ["body", "body_text"])
+    found = found.withColumn("body_md", F.concat(_strip(F.col("body")), F.lit("\n"))).withColumn("body_text", _strip(F.col("body_text"))).drop("body").withColumn("anchor", F.lit(None).cast("string"))
+    articles = _place(heads, found.where("kind = 'article'"))
+    recitals = rows.where("role = 'recital'").select("file", F.lit("recital").alias("kind"), recital.alias("number"), _strip(F.regexp_extract("text", r"^\(\d+\)\s*((?s:.*))$", 1)).alias("body_text"), F.lit(None).cast("string").alias("anchor"))
+    recitals = recitals.withColumn("body_md", F.concat("body_text", F.lit("\n")))
+    return _entity(articles).unionByName(_entity(found.where("kind = 'annex'"))).unionByName(_entity(recitals))
 
 
 def amendment_rows(files: DataFrame, lang: str = "nl") -> DataFrame:
-    return parsed(files, lambda h: amendments(h, lang), AMENDMENT)
+    """file, number, target, old_text, new_text, body_md, char_count of the amendments of
+    comparisons: target is up to four headings after the amendment's own, joined; the columns
+    are those of the first table before the next one, with the tables inside it. char_count is
+    of the right column alone in English, else of both."""
+    words, rows = HEADINGS[lang], element_rows(files)
+    number = F.regexp_extract("text", rf"^{words['amendment']}\s+(\d+)$", 1)
+    is_head = _has("oj-ti-grseq-1")
+    spans = rows.where(is_head & (number != "")).select("file", "pos", number.cast("int").alias("number"))
+    spans = spans.withColumn("last", F.coalesce(F.lead("pos").over(W.partitionBy("file").orderBy("pos")) - 1, F.lit(2**31 - 1)))
+    content = _inside(rows, spans, "own").where((is_head | (F.col("tag") == "table")) & (F.col("pos") > F.col("own.pos"))).withColumn("of", F.col("own.pos"))
+    in_order = W.partitionBy("file", "of").orderBy("pos")
+    heads = content.where(is_head).withColumn("nth", F.row_number().over(in_order)).where("nth <= 4")
+    heads = heads.groupBy("file", "of").agg(_joined(F.col("text"), " — ").alias("target"))
+    tables = content.where((F.col("tag") == "table") & ~is_head).withColumn("end", F.first("last").over(in_order)).where(F.col("pos") <= F.col("end"))
+    cells = tables.select("file", "of", "pos", F.posexplode("cells").alias("row", "texts"))
+    joined = F.trim(F.lower(F.array_join("texts", " | ")))
+    header = joined.contains(words["header"]) | joined.isin([x.format(w) for w in ("amendment", "amendement") for x in ("{}", "| {}", "{} |")])
+    kept = cells.where(~header & F.exists("texts", lambda t: t != "") & (F.size("texts") <= 2))
+    sides = F.array_sort(F.collect_list(F.struct("pos", "row", F.get("texts", F.lit(0)).alias("left"), F.element_at("texts", -1).alias("right"))))
+    sides = kept.groupBy("file", "of").agg(sides.alias("s")).select("file", "of", F.array_join("s.left", "\n\n").alias("old_text"), F.array_join("s.right", "\n\n").alias("new_text"))
+    found = spans.select("file", F.col("pos").alias("of"), "number").join(heads, ["file", "of"], "left").join(sides, ["file", "of"], "left").fillna("", ["target", "old_text", "new_text"])
+    column = lambda c: F.when(F.col(c) == "", "*(—)*").otherwise(F.col(c))
+    md = F.concat(F.when(F.col("target") != "", F.concat(F.lit("**"), "target", F.lit("**\n\n"))).otherwise(""), F.lit("## 1\n\n"), column("old_text"), F.lit("\n\n## 2\n\n"), column("new_text"), F.lit("\n"))
+    n = F.length("new_text") if lang == "en" else F.length("old_text") + F.length("new_text")
+    return found.select("file", "number", "target", "old_text", "new_text", md.alias("body_md"), n.cast("long").alias("char_count"))

@@ -107,7 +107,7 @@ def test_guidance_grammar(spark):
     cases = {
         "Article 5(a)": [(5, None, "a")], "Article 6(1), point (b)": [(6, "1", "b")], "Articles 26, 27 and 28": [(26, None, None), (27, None, None), (28, None, None)],
         "Article 3(5), (6) and (7)": [(3, "5", None), (3, "6", None), (3, "7", None)], "artikel 5, lid 1, onder c": [(5, None, None), (5, "1", "c")], "artikel 5 en artikel 5": [(5, None, None), (5, None, None)],
-        "Artikelen 4 en 9, lid 2; artikel 9": [(4, None, None), (9, None, None), (9, None, None)], "artikel 7, lid 3 en artikel 7": [(7, None, None), (7, "3", None), (7, None, None)],
+        "Artikelen 4 en 9, lid 2; artikel 9": [(4, None, None), (9, None, None), (9, None, None)], "artikel 7, lid 3 en artikel 7": [(7, None, None), (7, None, None), (7, "3", None)],
     }
     texts = spark.createDataFrame([(i, "nl", t) for i, t in enumerate(cases)], "i int, lang string, text string")
     found = {}
@@ -146,14 +146,40 @@ def test_sections_render(spark):
 # ---- templates
 
 
-def test_journal_template():
+def test_journal_template(spark):
     html = """<p class="oj-ti-section-1">HOOFDSTUK I</p><p class="oj-ti-section-2">Alg</p><p class="oj-ti-section-1">AFDELING 2</p><p class="oj-ti-section-2">Deel</p>
-    <div class="eli-subdivision" id="art_2"><p class="oj-ti-art">Artikel 2</p><p class="oj-sti-art">Titel</p><p>1.  Een&nbsp;&nbsp;twee</p><div><p>in</p></div></div>
+    <div class="eli-subdivision" id="art_2"><p class="oj-ti-art">Artikel 2</p><p class="oj-sti-art">Titel</p><p>1.  Een&nbsp;&nbsp;twee</p><div><p>in</p></div><span><p>not</p></span></div>
     <p class="oj-ti-section-1">HOOFDSTUK II</p><div class="eli-subdivision" id="art_1"><p>x<br>y</p><p></div><div id="art_9">no</div>"""
-    rows = M.journal(html)
-    assert [(r["number"], r["chapter"], r["section"]) for r in rows] == [("1", "II", None), ("2", "I", "2")]
-    assert rows[1]["body_md"] == "**1.** Een twee\n\nin\n" and rows[1]["section_title"] == "Deel" and rows[1]["title"] == "Titel"
-    assert M.journal("") == [] and M.proposal("<p>") == [] and M.amendments("no markup") == []
+    annexes = """<div><p class="oj-doc-ti">BIJLAGE I</p><p class="oj-doc-ti">Naam</p><div><p>1. a</p><table><tr><td>(a)</td><td>b</td></tr></table></div><p class="oj-doc-ti" id="two">BIJLAGE II</p><p>c</p><p class="oj-final">d</p><p>e</p></div>
+    <div class="eli-subdivision" id="rct_3"><table><tr><td>(3)</td><td>Overwegende</td></tr></table></div><div class="eli-subdivision" id="rct_4">plain</div>"""
+    files = spark.createDataFrame([("a", html), ("b", annexes), ("c", None), ("d", "")], "file string, html string")
+    rows = {(r.file, r.kind, r.number): r for r in M.journal_entities(files).collect()}
+    assert sorted(rows) == [("a", "article", "1"), ("a", "article", "2"), ("b", "annex", "I"), ("b", "annex", "II"), ("b", "recital", "3"), ("b", "recital", "4")]
+    one, two = rows["a", "article", "1"], rows["a", "article", "2"]
+    assert (one.chapter, one.chapter_title, one.section, one.title, one.body_md) == ("II", "", None, "", "x y\n")
+    assert two.body_md == "**1.** Een twee\n\nin\n" and (two.chapter, two.chapter_title, two.section, two.section_title, two.title) == ("I", "Alg", "2", "Deel", "Titel")
+    first, second = rows["b", "annex", "I"], rows["b", "annex", "II"]
+    assert (first.title, first.body_md, first.anchor) == ("Naam", "## Naam\n\n**1.** a\n\n- (a) b\n", "bijlage_I") and (second.body_md, second.body_text, second.anchor) == ("c\n", "c", "two")
+    assert rows["b", "recital", "3"].body_md == "Overwegende\n" and rows["b", "recital", "4"].body_text == "plain"
+
+
+def test_proposal_template(spark):
+    html = """<p class="SectionTitle">TITEL I</p><p class="SectionTitle">Over</p><p class="SectionTitle">Hoofdstuk 2</p><p class="li ManualConsidrant">(3) Ja</p><p class="Titrearticle">Artikel 1 Naam</p><p>een</p><p class="SectionTitle">Regels</p>
+    <p class="Titrearticle">Artikel 2</p><p class="li NumPar1">1. x</p><table><tr><td><p>no</p></td></tr></table><p class="Titrearticle">Anders</p><p>lost</p><p class="Annexetitre">BIJLAGE II Van</p><p class="SectionTitle">Kop</p><table><tr><td>a</td><td></td><td>b</td></tr></table>"""
+    rows = {(r.kind, r.number): r for r in M.proposal_entities(spark.createDataFrame([("a", html), ("b", "<p>")], "file string, html string")).collect()}
+    assert sorted(rows) == [("annex", "II"), ("article", "1"), ("article", "2"), ("recital", "3")]
+    one, two, annex = rows["article", "1"], rows["article", "2"], rows["annex", "II"]
+    assert (one.title, one.chapter, one.chapter_title, one.section, one.section_title, one.body_md) == ("Naam", "I", "Over", "2", None, "een\n")
+    assert (two.title, two.section_title, two.body_md, two.body_text) == ("", "Regels", "**1.** x\n", "1. x")
+    assert (annex.title, annex.chapter, annex.body_md) == ("Van", None, "### Kop\n\na | b\n") and rows["recital", "3"].body_md == "Ja\n"
+
+
+def test_amendment_template(spark):
+    html = """<p class="oj-ti-grseq-1">Amendment 2</p><p class="oj-ti-grseq-1">A</p><p class="oj-ti-grseq-1"></p><p class="oj-ti-grseq-1">B</p><table><tr><td>Text proposed by the Commission</td><td>Amendment</td></tr><tr><td>old</td><td>new</td></tr><tr><td>1</td><td>2</td><td>3</td></tr><tr><td>both</td></tr></table><table><tr><td>late</td></tr></table>
+    <p class="oj-ti-grseq-1">Amendment 1</p>"""
+    rows = M.amendment_rows(spark.createDataFrame([("a", html), ("b", "no markup")], "file string, html string"), "en").collect()
+    assert sorted((r.number, r.target, r.old_text, r.new_text, r.char_count) for r in rows) == [(1, "", "", "", 0), (2, "A — B", "old\n\nboth", "new\n\nboth", 9)]
+    assert {r.number: r.body_md for r in rows}[1] == "## 1\n\n*(—)*\n\n## 2\n\n*(—)*\n"
 
 
 def test_tables_become_lists():
