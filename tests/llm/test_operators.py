@@ -519,6 +519,20 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, None).count() == 0
 
 
+def test_toxicity_of_repeated_rows_and_long_texts(spark):
+    rng = random.Random(16)
+    vocab = ["".join(rng.choices("aeioutnsr", k=5)) for _ in range(200)]
+    text = lambda n, bad=0: " ".join(rng.choices(vocab, k=n) + ["vileword"] * bad)
+    rows = [(i, text(60, 2 if i % 4 == 0 else 0)) for i in range(400)] + [(2000, text(200_000)), (2001, "vileword " * 50_000), (None, "vileword " * 9)]
+    rows += [rows[0]] * 3 + [rows[1]] * 3
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, severity_of string, features int").repartition(3)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)] + [(0, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(df, toxicity.train(df, labels)).collect()
+    assert len(got) == len(rows) and len({r.severity for r in got if r.doc_id == 0}) == 1
+    by = {r.doc_id: r.toxic for r in got}
+    assert by[0] and not by[1] and not by[2000] and by[2001] and by[None]
+
+
 def test_ordinal_thresholds_are_ordered():
     column, y = np.zeros(500, np.int64), np.array([min(3, i % 5) for i in range(500)])
     w, thetas = toxicity.fit_ordinal(np.arange(500), column, np.array([i % 5 for i in range(500)], float), y, 1)
