@@ -258,13 +258,13 @@ def _place(heads: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def _inside(rows: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+def _inside(rows: DataFrame, spans: DataFrame, name: str, **more: tuple[Column, Column]) -> DataFrame:
     """The rows with `name`: the last of `spans` (file, pos, last and others) that begins at or
-    before them and hasn't ended; rows in none go."""
+    before them and hasn't ended; rows in none go. `more` carries other marks along."""
     kind = F.struct(*spans.columns)
     both = rows.withColumn(name, F.lit(None).cast(spans.select(kind.alias("k")).schema["k"].dataType)).withColumn("__of", F.lit(1))
     marks = spans.select("file", "pos", kind.alias(name), F.lit(0).alias("__of"))
-    found = last_markers(both.unionByName(marks, allowMissingColumns=True).withColumnRenamed(name, "__mark"), ["file"], ["pos", "__of"], {name: (F.col("__of") == 0, F.col("__mark"))}, None)
+    found = last_markers(both.unionByName(marks, allowMissingColumns=True).withColumnRenamed(name, "__mark"), ["file"], ["pos", "__of"], {name: (F.col("__of") == 0, F.col("__mark"))} | more, None)
     return found.where((F.col("__of") == 1) & (F.col("pos") <= F.col(f"{name}.last"))).drop("__of", "__mark")
 
 
@@ -300,11 +300,10 @@ def journal_entities(files: DataFrame, lang: str = "nl") -> DataFrame:
 
     is_entity = (F.col("tag") == "div") & _has("eli-subdivision") & F.coalesce(F.col("id").rlike(r"^(art|rct)_\d+$"), F.lit(False))
     spans = rows.where(is_entity).select("file", "pos", "last", "path", F.col("id").alias("anchor"), F.col("text").alias("body_text"))
-    content = _inside(rows, spans, "own").where(F.col("pos") > F.col("own.pos"))
-    titles = content.where((F.col("tag") == "div") & _has("eli-title") & (F.col("parent") == F.col("own.pos"))).select("file", "pos", "last")
-    hidden = _inside(content, titles, "head").select("file", "pos").withColumn("hidden", F.lit(True))
-    content = content.join(hidden, ["file", "pos"], "left")
-    body = F.when(_below("own") & F.col("hidden").isNull(), _block())
+    is_title = F.coalesce((F.col("tag") == "div") & _has("eli-title"), F.lit(False))
+    content = _inside(rows, spans, "own", head=(is_title, F.struct("pos", "last", "parent"))).where(F.col("pos") > F.col("own.pos"))
+    hidden = F.coalesce((F.col("head.parent") == F.col("own.pos")) & (F.col("pos") <= F.col("head.last")), F.lit(False))
+    body = F.when(_below("own") & ~hidden, _block())
     found = content.groupBy("file", F.col("own.pos").alias("pos")).agg(_joined(body).alias("body"), _first("text", _has("oj-sti-art")).alias("title"), _first("cells", F.col("tag") == "table").alias("cells"))
     found = spans.join(found, ["file", "pos"], "left")
     found = found.withColumn("number", F.regexp_extract("anchor", r"_(\d+)$", 1))
