@@ -163,7 +163,8 @@ def _tiles(cells: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     heavy = cells.where("is_heavy").select("lang", "gid", "all_groups", "heavy", "term", "p", F.lit(1).cast("long").alias("weight"))
     light = cells.where("NOT is_heavy").groupBy("lang", "gid", "all_groups", "heavy", F.lit(None).cast("string").alias("term"), "p").agg(F.count("*").alias("weight"))
     n = F.greatest(F.lit(1), F.ceil(F.col("heavy") / TILE_TERMS)).cast("int")
-    one = F.array(F.when(F.col("term").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("term"), n).cast("int")))
+    # What histograms add is a sum over their rows, so these are spread over the tiles like terms.
+    one = F.array(F.pmod(F.when(F.col("term").isNull(), F.xxhash64("gid", "p")).otherwise(F.xxhash64("term")), n).cast("int"))
     key = ["lang", "a", "b", "bucket"]
     left = _tiled(heavy.unionByName(light), one, block).select(*key, "gid", "term", "p", "weight").groupBy(*key)
     right = _tiled(groups.select("lang", "gid", "all_groups", "heavy", "all_terms", F.coalesce("p0", F.lit(1)).alias("p0")), F.sequence(F.lit(0), n - 1), block)
