@@ -29,11 +29,11 @@ def in_view(text: Column) -> Column:
     return F.coalesce(text.rlike(IN_VIEW), F.lit(False))
 
 
-def candidates(text: str) -> list[dict]:
-    """All that could be a citation, each form by itself, with its FIELDS: of lists (two to
+def candidates(text: str) -> list[tuple]:
+    """All that could be a citation, each form by itself, as FIELDS: of lists (two to
     four numbers) a row a number, of single ones also a row for each paragraph in brackets
     that follows within REACH characters, and the Dutch form with lid and onder."""
-    row = lambda form, m, *said: dict(zip(FIELDS, (form, str(m.start()), str(m.end()), *said)))
+    row = lambda form, m, *said: (form, str(m.start()), str(m.end()), *said)
     several = ((m, [n for n in m.groups() if n]) for m in SEVERAL.finditer(text))
     out = [row("list", m, n, None, None, m[0]) for m, numbers in several if len(numbers) > 1 for n in numbers]
     for m in SINGLE.finditer(text):

@@ -92,6 +92,15 @@ def test_qualifiers():
     assert C._touches((0, 10), [(2, 5)]) is False and C._touches((2, 5), [(0, 10)]) and C._touches((4, 12), [(0, 5)])
 
 
+def test_parts_of_texts_that_recur_are_read_once():
+    C._remembered.cache_clear()
+    said = [C.found_references(f"In case {i}: Article 5 of the GDPR, Annex II and Articles 1 to 3 DSA") for i in range(50)]
+    assert all(r == said[0] for r in said) and len(said[0]) == 5
+    assert C._remembered.cache_info().misses == 53
+    # In parts as in one piece: heads inside words, names and ranks over several parts.
+    assert [r[0] for r in C.found_references("DSA, Article 5 and xArticle 6; the  GDPR, Annex I of DORA. Directive 2014/5/EU")] == ["Article 5", "Annex I", "Directive 2014/5/EU", "the  GDPR", "DORA", "DSA"]
+
+
 def test_reference_rows(spark):
     chunks = spark.createDataFrame([("5", "Article 5 and Article 6 of this Regulation"), ("4a", "Article 5"), ("III", None), ("7", "no law")], "source string, text string")
     refs = C.references(chunks).collect()
