@@ -21,6 +21,7 @@ from pyspark.sql.types import StructField, StructType
 
 from lexbolt.operators.postings import BOUND, chunked
 from lexbolt.sources.readers import spread
+from lexbolt.sources.stores import stored
 
 #: How references look, and what names stand for. Heads and instruments begin
 #: with literal letters (what stands before these is looked back at), which a scan can skip to.
@@ -298,10 +299,10 @@ def forward_index(refs: DataFrame, external: bool = False, bound: int = BOUND) -
     """source, chunk, first, refs: the internal (or the external) references of each source by
     place in the source, target and raw, in numbered chunks of at most `bound`. `refs` may have
     the columns at_paragraph and at_letter that say where its chunk stands."""
-    place = [F.col(c) if c in refs.columns else F.lit(None).cast("string") for c in ("at_paragraph", "at_letter")]
     side = refs.where(F.col("error").isNull() & (F.col("kind").startswith("external") if external else F.col("kind") == "internal"))
     text = lambda c: F.coalesce(c, F.lit(""))
-    order = [_leading(place[0]), text(place[1]), _leading(F.col("target")), text(F.col("target")), text(F.col("raw")), F.col("place")]
+    place = [f(F.col(c)) for c, f in (("at_paragraph", _leading), ("at_letter", text)) if c in refs.columns]
+    order = [*place, _leading(F.col("target")), text(F.col("target")), text(F.col("raw")), F.col("place")]
     return chunked(side, ["source"], order, FIELDS, "refs", bound)
 
 
@@ -314,16 +315,30 @@ def reverse_index(refs: DataFrame, bound: int = BOUND) -> DataFrame:
     return chunked(inner, ["target"], order, ["raw", "source", "paragraph", "letter"], "refs", bound)
 
 
+_TALLIED = ["kind", "target_kind", "celex", "short_name", "source", "target"]
+
+
+def tallied(refs: DataFrame) -> DataFrame:
+    """How many references there are of each kind, instrument, source and target, and how many
+    chunks failed: what counters and coverage need, counted in the tasks and stored."""
+    return stored(refs.groupBy(*_TALLIED, F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n")), "tallies")
+
+
 def counters(refs: DataFrame) -> DataFrame:
     """counter, value, n: references by kind, by target kind (internal ones), by instrument
-    (external ones), by source and by name, in one pass of grouping sets."""
-    rows = refs.where("error IS NULL").select(
+    (external ones), by source and by name."""
+    return counters_of(tallied(refs))
+
+
+def counters_of(tallies: DataFrame) -> DataFrame:
+    """The counters of stored tallies, in one pass of grouping sets."""
+    rows = tallies.where("not failed").select(
         "kind", F.when(F.col("kind") == "internal", F.col("target_kind")).alias("target_kind"), F.when(F.col("kind") != "internal", F.coalesce("celex", F.lit("(none)"))).alias("celex"),
-        F.col("source").cast("string").alias("source"), "short_name",
+        F.col("source").cast("string").alias("source"), "short_name", F.col("n").alias("of"),
     )
     names = ["kind", "target_kind", "celex", "source", "short_name"]
     ids = {n: sum(1 << (len(names) - 1 - i) for i, m in enumerate(names) if m != n) for n in names}
-    sets = rows.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    sets = rows.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(F.sum("of").alias("n"), F.grouping_id().alias("g"))
     counter, value = F.lit(None).cast("string"), F.lit(None).cast("string")
     for n in names:
         counter, value = F.when(F.col("g") == ids[n], n).otherwise(counter), F.when(F.col("g") == ids[n], F.col(n)).otherwise(value)
@@ -333,10 +348,16 @@ def counters(refs: DataFrame) -> DataFrame:
 def coverage(refs: DataFrame) -> DataFrame:
     """measure, n: how many references there are of either side, and how many sources have
     some, how many articles are referred to, and how many chunks failed."""
+    return coverage_of(tallied(refs))
+
+
+def coverage_of(tallies: DataFrame) -> DataFrame:
+    """The measures of stored tallies."""
     internal, external = F.col("kind") == "internal", F.col("kind") != "internal"
-    one = refs.agg(
-        F.count_if(internal).alias("internal"), F.count_if(external).alias("external"),
+    total = lambda of: F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0))
+    one = tallies.agg(
+        total(internal).alias("internal"), total(external).alias("external"),
         F.countDistinct(F.when(internal, F.col("source"))).alias("sources_internal"), F.countDistinct(F.when(external, F.col("source"))).alias("sources_external"),
-        F.countDistinct(F.when(internal & (F.col("target_kind") == "article"), F.col("target"))).alias("articles_cited"), F.count("error").alias("failed"),
+        F.countDistinct(F.when(internal & (F.col("target_kind") == "article"), F.col("target"))).alias("articles_cited"), total(F.col("failed")).alias("failed"),
     )
     return one.unpivot([], one.columns, "measure", "n")

@@ -88,8 +88,8 @@ def citation_coverage(spark, sf_dir):
  SELECT '# Coverage' || chr(10) || chr(10) || (SELECT string_agg('- ' || replace(measure, '_', ' ') || ': **' || n || '**' || CASE WHEN measure LIKE 'sources%' OR measure LIKE 'articles%' THEN ' / 113' ELSE '' END, chr(10) ORDER BY measure) FROM m) || chr(10) || chr(10)
  || (SELECT string_agg('## ' || counter || chr(10) || chr(10) || '| value | n |' || chr(10) || '|-|-|' || chr(10) || t, chr(10) || chr(10) ORDER BY counter) FROM t) || chr(10) AS markdown""")
 def coverage_report(spark, sf_dir):
-    refs = _refs(spark, sf_dir)
-    return K.coverage_report(C.coverage(refs), C.counters(refs), "Coverage", 113)
+    tallies = C.tallied(_refs(spark, sf_dir))
+    return K.coverage_report(C.coverage_of(tallies), C.counters_of(tallies), "Coverage", 113)
 
 
 #: Forms of references, one an order by its key: the text, and what is in it as (raw, kind,

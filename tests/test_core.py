@@ -112,6 +112,15 @@ def test_reference_rows(spark):
     assert C.references(chunks.limit(0)).count() == 0 and C.counters(C.references(chunks.limit(0))).count() == 0
 
 
+def test_texts_are_read_once_for_all_counts(spark):
+    chunks = spark.createDataFrame([("5", "Article 5 and Article 6 of this Regulation; the GDPR"), ("4a", "Article 5 DSA"), ("7", None)], "source string, text string")
+    tallies = C.tallied(C.references(chunks))
+    counted, covered = C.counters_of(tallies), C.coverage_of(tallies)
+    assert not any("MapInArrow" in x._jdf.queryExecution().toString() for x in (counted, covered, C.counters(C.references(chunks)), C.coverage(C.references(chunks))))
+    assert {r.measure: r.n for r in covered.collect()} == {"internal": 1, "external": 2, "sources_internal": 1, "sources_external": 2, "articles_cited": 1, "failed": 0}
+    assert {(r.counter, r.value): r.n for r in counted.collect()}["source", "5"] == 2
+
+
 def test_guidance_grammar(spark):
     cases = {
         "Article 5(a)": [(5, None, "a")], "Article 6(1), point (b)": [(6, "1", "b")], "Articles 26, 27 and 28": [(26, None, None), (27, None, None), (28, None, None)],
