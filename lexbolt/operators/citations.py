@@ -303,7 +303,7 @@ def forward_index(refs: DataFrame, external: bool = False, bound: int = BOUND) -
     text = lambda c: F.coalesce(c, F.lit(""))
     place = [f(F.col(c)) for c, f in (("at_paragraph", _leading), ("at_letter", text)) if c in refs.columns]
     order = [*place, _leading(F.col("target")), text(F.col("target")), text(F.col("raw")), F.col("place")]
-    return chunked(side, ["source"], order, FIELDS, "refs", bound)
+    return chunked(side, ["source"], order, FIELDS, "refs", bound, keep=True)
 
 
 def reverse_index(refs: DataFrame, bound: int = BOUND) -> DataFrame:
@@ -312,7 +312,7 @@ def reverse_index(refs: DataFrame, bound: int = BOUND) -> DataFrame:
     most `bound`. A source without a leading number comes first."""
     inner = refs.where("kind = 'internal' AND target_kind = 'article'").withColumn("source", F.col("source").cast("string"))
     order = [_leading(F.col("source")), F.col("raw"), F.col("source"), F.col("place")]
-    return chunked(inner, ["target"], order, ["raw", "source", "paragraph", "letter"], "refs", bound)
+    return chunked(inner, ["target"], order, ["raw", "source", "paragraph", "letter"], "refs", bound, keep=True)
 
 
 _TALLIED = ["kind", "target_kind", "celex", "short_name", "source", "target"]

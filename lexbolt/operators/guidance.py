@@ -94,4 +94,4 @@ def by_article(citations: DataFrame, bound: int = BOUND) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     number = lambda c: F.coalesce(F.col(c), F.lit(0))
     order = [text("doc"), text("lang"), text("section"), number("page"), number("note"), text("raw")]
-    return chunked(citations, ["article"], order, ["doc", "lang", "section", "page", "note", "paragraph", "letter", "raw"], "citations", bound)
+    return chunked(citations, ["article"], order, ["doc", "lang", "section", "page", "note", "paragraph", "letter", "raw"], "citations", bound, keep=True)

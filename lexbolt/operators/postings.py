@@ -1,35 +1,63 @@
 """Lists of unbounded length as numbered chunks of bounded length, sets as bitmaps.
 
 A key may hold a third of all rows, so no key is gathered: rows are sorted by ranges of key
-and order, each sorted partition is cut into blocks of `bound` rows, and a chunk is what a
-block has of a key. A key's chunks are then numbered with a running count, from a row a
+and order, and each sorted partition is cut into chunks of one key and at most `bound` rows
+as its Arrow batches pass, without another shuffle. A key's chunks are then numbered with a running count, from a row a
 chunk, so the place of any entry is known without the others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, StructField, StructType
+
+from lexbolt.sources.stores import stored
 
 BOUND = 1024
 
 
-def chunked(rows: DataFrame, by: list[str], order: list[Column], fields: list[str], name: str = "entries", bound: int = BOUND) -> DataFrame:
+def chunked(rows: DataFrame, by: list[str], order: list[Column], fields: list[str], name: str = "entries", bound: int = BOUND, keep: bool = False) -> DataFrame:
     """by, chunk (from 0), first (how many entries come before it), and `name`: an array of at
     most `bound` structs of `fields`, in the given order. Ties are ordered by the fields. A
-    null key is a key; no rows give no chunks."""
+    null key is a key; no rows give no chunks. `keep` stores the rows first: ranges are found
+    by a pass of its own, which would do again what made them."""
     at = [f"__o{i}" for i in range(len(order))]
     keyed = rows.select(*by, *[o.alias(a) for o, a in zip(order, at)], F.struct(*fields).alias("__row"))
+    keyed = stored(keyed, "to-chunk") if keep else keyed
     ranged = keyed.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, *at, "__row").sortWithinPartitions(*by, *at, "__row")
-    cut = ranged.withColumn("__block", F.floor(F.monotonically_increasing_id() / bound))
-    entries = F.transform(F.array_sort(F.collect_list(F.struct(*at, "__row"))), lambda s: s["__row"])
-    chunks = cut.groupBy(*by, "__block").agg(entries.alias(name))
+    cut = ranged.select(*by, F.monotonically_increasing_id().alias("__block"), F.col("__row").alias(name))
+    kinds = [StructField(f.name, f.dataType, True) for f in cut.schema.fields[:-1]] + [StructField(name, ArrayType(cut.schema[name].dataType))]
+    chunks = cut.mapInArrow(lambda batches: _cut(batches, bound), StructType(kinds))
     earlier = W.partitionBy(*by).orderBy("__block")
     first = F.coalesce(F.sum(F.size(name)).over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
     return chunks.select(*by, (F.row_number().over(earlier) - 1).alias("chunk"), first.alias("first"), name)
 
 
+def _cut(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows (key columns, running number, entry) those that follow each other with one
+    key as lists of at most `bound`; a batch ends a list. A slice a list, no row by itself."""
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        begins = np.zeros(n, bool)
+        begins[0] = True
+        for key in b.columns[:-2]:
+            code = key.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            begins[1:] |= code[1:] != code[:-1]
+        starts = np.flatnonzero(begins)
+        of = np.repeat(starts, np.diff(starts, append=n))
+        at = np.flatnonzero((np.arange(n) - of) % bound == 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, n), pa.int32()), b.columns[-1])
+        yield pa.RecordBatch.from_arrays([c.take(pa.array(at)) for c in b.columns[:-1]] + [lists], b.schema.names)
+
+
 def extent(chunks: DataFrame, by: list[str], name: str = "entries") -> DataFrame:
     """by, chunks, n: how many chunks and entries a key has."""
     return chunks.groupBy(*by).agg(F.count("*").alias("chunks"), F.sum(F.size(name)).cast("long").alias("n"))

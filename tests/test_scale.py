@@ -37,6 +37,14 @@ def test_chunks_hold_all_in_order(spark, hot):
     assert postings.chunked(frame.limit(0), ["k"], [F.col("n")], ["n"]).collect() == []
 
 
+def test_chunks_are_cut_where_rows_are_sorted(hot):
+    _, frame = hot
+    plan = lambda rows, keep: postings.chunked(rows, ["k"], [F.col("n")], ["n"], bound=8, keep=keep)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan(frame, False)  # rows aren't grouped, so not shuffled again
+    made = frame.withColumn("made", F.sha2("v", 256)).drop("v")
+    assert "sha2" in plan(made, False) and "sha2" not in plan(made, True)  # what made the rows isn't done again for ranges
+
+
 def test_bitmaps_are_sets(spark, hot):
     rows, frame = hot
     big = frame.withColumn("n", F.col("n").cast("long") * 1000 - 5)
