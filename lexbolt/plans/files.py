@@ -30,7 +30,7 @@ def _entity_files(spark, sf_dir):
     """A JSON file a supplier; every ninth isn't JSON, and in every tenth a number is an object."""
     text = f"CASE WHEN s_suppkey % 9 = 0 THEN '{{\"number\": ' WHEN s_suppkey % 10 = 0 THEN '{{\"number\": \"' || s_suppkey || '\", \"tags\": {{\"a\": 1}}}}' ELSE {_ENTITY} END"
     folder = _folder(spark, "entities")
-    made(spark, sf_dir, "supplier", value=text).write.option("maxRecordsPerFile", 1).text(folder)
+    writers.many_files(made(spark, sf_dir, "supplier", value=text), folder)
     return f"{folder}/*.txt"
 
 
@@ -53,7 +53,7 @@ def text_files(spark, sf_dir):
     """A Markdown file a supplier in a folder of its number: files are enumerated, each is read whole."""
     folder = _folder(spark, "texts")
     rows = made(spark, sf_dir, "supplier", number=_SUPPLIER, value="'line 1' || chr(10) || s_name")
-    rows.write.option("lineSep", "\u0003").partitionBy("number").text(folder)
+    writers.many_files(rows, folder, "number")
     found = readers.whole_texts(spark, folder, "*.txt")
     return found.select(F.regexp_extract("file", r"number=([^/]*)/", 1).alias("number"), F.rtrim(F.replace("text", F.lit("\u0003"), F.lit(""))).alias("text"))
 

@@ -41,13 +41,24 @@ def json_rejects(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _entities(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    # A pattern for names is a filter over one listing; as a glob it would be a path a file.
+    folder, _, pattern = path.rpartition("/")
     read = spark.read.schema(f"{schema}, {CORRUPT} string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    if "*" in pattern and not any(x in folder for x in "*?[{"):
+        read, path = read.option("pathGlobFilter", pattern), folder
     return read.json(path).withColumn("file", F.col("_metadata.file_path"))
 
 
 def whole_texts(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract(F.col("_metadata.file_name"), r"(\d+[a-z]?)\.[a-z]+$", 1).alias("number"), F.col("value").alias("text"))
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))  # else a task a folder
+    try:
+        found = read.text(path, wholetext=True)  # lists the files at once
+    finally:
+        spark.conf.set(name, before)
+    return found.select(F.col("_metadata.file_path").alias("file"), F.regexp_extract(F.col("_metadata.file_name"), r"(\d+[a-z]?)\.[a-z]+$", 1).alias("number"), F.col("value").alias("text"))
 
 
 def site_map(spark: SparkSession, path: str, row: str = "url") -> DataFrame:

@@ -18,6 +18,19 @@ def ordered_json(rows: DataFrame, path: str, order: list[str], one_file: bool =
     (ordered.coalesce(1) if one_file else ordered).write.mode("overwrite").json(path)
 
 
+def many_files(rows: DataFrame, path: str, by: str | None = None) -> None:
+    """Small text files of the one column besides `by`: a file a row, with `by` in a folder of
+    its value. Rows are dealt over all cores, since a file costs far more than its text. Files
+    without folders are moved into place by the tasks, each its own as it ends (a task that
+    fails between may leave some; its repetition writes the same names); folders by the driver
+    at the end, since a move is all they cost there and tasks would make each a second time."""
+    write = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).write
+    if by:
+        write.option("lineSep", "\u0003").partitionBy(by).text(path)
+    else:
+        write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("maxRecordsPerFile", 1).text(path)
+
+
 def pretty_json(rows: DataFrame, path: str, order: list[str], most: int = 100_000) -> None:
     """One indented array in a local file, for reports of at most `most` rows."""
     found = rows.orderBy(*order).limit(most + 1).collect()

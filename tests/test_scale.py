@@ -1,6 +1,7 @@
 """Operators that bound what a task holds: held against plain forms of the same, with bounds so
 small that they act."""
 
+import glob
 import math
 import random
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexbolt.operators import crawl, integrity, lookups, postings, relations, search, segments, tags
-from lexbolt.sources import readers, stores
+from lexbolt.sources import readers, stores, writers
 
 
 @pytest.fixture(scope="module")
@@ -231,3 +232,18 @@ def test_bad_files_are_rejects(spark, tmp_path):
 
 def test_small_sources_are_spread(spark):
     assert readers.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_small_files_are_written_by_all_cores(spark, tmp_path):
+    rows = spark.range(40).coalesce(1).selectExpr("string(id) AS number", "'t' || id AS value")
+    writers.many_files(rows.select("value"), str(tmp_path / "flat"))
+    writers.many_files(rows, str(tmp_path / "folders"), "number")
+    for at in ("flat/part-*", "folders/number=*/part-*"):
+        files = glob.glob(str(tmp_path / at))
+        assert len(files) == 40 and len({f.split("part-")[1][:5] for f in files}) == 4
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    read = readers.whole_texts(spark, str(tmp_path / "folders"), "*.txt").collect()
+    assert sorted(r.text.rstrip("\u0003") for r in read) == sorted(f"t{i}" for i in range(40)) and spark.conf.get(name) == before
+    entities = readers.json_entities(spark, f"{tmp_path}/flat/*.txt", "a int")
+    assert entities.collect() == [] and len(entities._jdf.inputFiles()) == 40
