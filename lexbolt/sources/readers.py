@@ -21,6 +21,20 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if size < cores * split else rows
 
 
+#: Rows of a partition where a task sorts or gathers them.
+TASK_ROWS = 1_000_000
+
+
+def by_keys(rows: DataFrame, *keys: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The rows dealt by a hash of keys over as many partitions as hold `task_rows` each on
+    average (the session's number at least): rows are counted first, since compressed sizes,
+    by which Spark would merge partitions, say little of what a task must hold. Windows and
+    groups over these keys and more share this shuffle."""
+    spark = rows.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // task_rows)), *keys)
+
+
 #: The column for text that isn't JSON of the stated schema.
 CORRUPT = "_corrupt"
 

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lexbolt.operators import crawl, integrity, lookups, postings, relations, search, segments, tags
+from lexbolt.operators import crawl, integrity, lookups, postings, relations, search, sections, segments, tags
 from lexbolt.sources import readers, stores, writers
 
 
@@ -247,3 +247,16 @@ def test_small_files_are_written_by_all_cores(spark, tmp_path):
     assert sorted(r.text.rstrip("\u0003") for r in read) == sorted(f"t{i}" for i in range(40)) and spark.conf.get(name) == before
     entities = readers.json_entities(spark, f"{tmp_path}/flat/*.txt", "a int")
     assert entities.collect() == [] and len(entities._jdf.inputFiles()) == 40
+
+
+def test_partitions_grow_in_number(spark):
+    dealt = readers.by_keys(spark.range(5000).selectExpr("id % 700 AS doc", "id"), "doc", task_rows=500)
+    assert dealt.rdd.getNumPartitions() == 10 and max(dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 1500
+    assert dealt.groupBy("doc").count().count() == 700
+
+
+def test_lines_of_guides_are_dealt_once_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(sections, "by_keys", lambda rows, *keys: readers.by_keys(rows, *keys, task_rows=50))
+    lines = spark.range(1200).selectExpr("string(id % 60) AS doc", "1 AS page", "id AS line_no", "'Text ' || id AS line")
+    found = sections.sections(lines)
+    assert found.rdd.getNumPartitions() == 24 and found.count() == 60
