@@ -20,6 +20,8 @@ SEPARATOR, BLOCK_DOCS, SHARDS = r"[\s\-]+", 256, 64
 K1, B = 1.2, 0.75
 #: Blocks of a query that are scored to find its first limit; digits of a score that count.
 FIRST_BLOCKS, DIGITS = 4, 6
+#: Words that a task counts and sorts when the index is written.
+TASK_WORDS = 1_000_000
 
 
 def terms_of(text: Column, separator: str = SEPARATOR) -> Column:
@@ -39,11 +41,15 @@ def write_index(docs: DataFrame, key: str, text: str, folder: str, block_docs: i
     numbered = stored(numbered, "documents")
     spark = docs.sparkSession
     numbered.agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.lit(shards).alias("shards")).write.mode("overwrite").parquet(f"{folder}/corpus")
-    counts = numbered.select("key", "block", "row", "length", F.explode("terms").alias("term")).groupBy("term", "block", "row", "key", "length").agg(F.count("*").alias("count"))
+    # As many partitions as the words need, not as the session has: a task holds TASK_WORDS or so.
+    words = spark.read.parquet(f"{folder}/corpus").first()["length"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // TASK_WORDS))
+    dealt = numbered.select("key", "block", "row", "length", F.explode("terms").alias("term")).repartition(tasks, "term", "block")
+    counts = dealt.groupBy("term", "block", "row", "key", "length").agg(F.count("*").alias("count"))
     entry = F.struct("row", "key", "count", "length")
     blocks = counts.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("count").alias("most"), F.min("length").alias("shortest"), F.array_sort(F.collect_list(entry)).alias("entries"))
     blocks = blocks.withColumn("shard", _shard(F.col("term"), shards))
-    blocks.repartitionByRange("shard", "term", "block").sortWithinPartitions("shard", "term", "block").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/postings")
+    blocks.repartitionByRange(tasks, "shard", "term", "block").sortWithinPartitions("shard", "term", "block").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/postings")
     found = spark.read.parquet(f"{folder}/postings").groupBy("shard", "term").agg(F.sum("n").alias("docs"))
     found.repartitionByRange("shard", "term").sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/terms")
 

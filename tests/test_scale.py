@@ -125,6 +125,15 @@ def test_ranked_search_is_that_of_all_documents(spark, tmp_path, block, first):
         assert [s for _, s in mine] == pytest.approx(sorted(scores, reverse=True)[:10], abs=2e-6)
 
 
+def test_index_tasks_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "TASK_WORDS", 100)
+    docs = spark.range(300).selectExpr("id", "concat('a b t', id) AS text")
+    search.write_index(docs, "id", "text", str(tmp_path / "i"), shards=2)
+    files = glob.glob(str(tmp_path / "i/postings/*/part-*"))
+    assert len({f.split("part-")[1][:5] for f in files}) > 4  # more tasks than the session has partitions
+    assert [r.key for r in search.ranked(spark, str(tmp_path / "i"), {"q": ["t7"]}).collect()] == [7]
+
+
 def test_search_reads_its_terms_alone(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"common t{i}") for i in range(300)], "id int, text string")
     search.write_index(docs, "id", "text", str(tmp_path / "i"), shards=16)
