@@ -12,6 +12,7 @@ from lexbolt.functions.text import cut_at_word, sentences
 from lexbolt.operators.citations import found_in
 from lexbolt.operators.postings import BOUND, chunked
 from lexbolt.operators.relations import asof_backward
+from lexbolt.sources.readers import by_keys
 from lexbolt.sources.stores import stored
 
 #: How guidance cites, and what puts the act in view.
@@ -51,6 +52,7 @@ def cited(chunks: DataFrame, key: list[str]) -> DataFrame:
     article that no other form, and no Dutch one before it, has in the chunk.
     """
     found = found_in(chunks, candidates, FIELDS, r"(?i)\barti(?:cle|kel)").where((F.col("form") != "dutch") | (F.col("lang") == "nl"))
+    found = by_keys(stored(found, "candidates"), *key)  # both windows share this shuffle
     is_list, start, end = F.col("form") == "list", F.col("start").cast("int"), F.col("end").cast("int")
     by_place = W.partitionBy(*key).orderBy(F.when(is_list, start).otherwise(end), is_list).rowsBetween(W.unboundedPreceding, W.currentRow)
     found = found.withColumn("article", F.col("article").cast("int")).withColumn("reach", F.max(F.when(is_list, end)).over(by_place))

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lexbolt.operators import crawl, integrity, lookups, postings, relations, search, sections, segments, tags
+from lexbolt.operators import crawl, guidance, integrity, lookups, postings, relations, search, sections, segments, tags
 from lexbolt.sources import readers, stores, writers
 
 
@@ -269,3 +269,11 @@ def test_lines_of_guides_are_dealt_once_by_their_number(spark, monkeypatch):
     lines = spark.range(1200).selectExpr("string(id % 60) AS doc", "1 AS page", "id AS line_no", "'Text ' || id AS line")
     found = sections.sections(lines)
     assert found.rdd.getNumPartitions() == 24 and found.count() == 60
+
+
+def test_candidates_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(guidance, "by_keys", lambda rows, *keys: readers.by_keys(rows, *keys, task_rows=20))
+    chunks = spark.range(100).selectExpr("id", "'nl' AS lang", "'Articles 5, 6 and 7' AS text")
+    found = guidance.cited(chunks, ["id"])
+    assert found.rdd.getNumPartitions() > 4 and found.count() == 300
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
