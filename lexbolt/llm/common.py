@@ -139,10 +139,12 @@ def only(docs: DataFrame, mark: Column, stay: DataFrame) -> DataFrame:
 MAP_BITS = 1 << 26
 
 
-def may_be_in(rows: DataFrame, column: str) -> Callable[[Column], Column]:
-    """Of a long: whether it may be among those of the stored table `rows`. A bit a value,
+def may_be_in(rows: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Of longs: whether they may be among those of the stored table `rows`. A bit a value,
     so it is never wrong about what is in; of what isn't, the more passes the fuller the map
-    gets. Put before an exact join it keeps rows that can't match out of the shuffle."""
+    gets. Put before an exact join it keeps rows that can't match out of the shuffle. It is for
+    use inside a Python step that is there anyway: a step of its own is a second worker a
+    task, and workers stay with an executor for as long as it runs Python."""
     place = F.expr(f"`{column}` & {MAP_BITS - 1}")
     words = rows.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 AS int))").alias("b"))
     found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # MAP_BITS / 64 rows at most
@@ -150,12 +152,8 @@ def may_be_in(rows: DataFrame, column: str) -> Callable[[Column], Column]:
     bits[found["w"].to_numpy()] = found["b"].to_numpy()
     sent = rows.sparkSession.sparkContext.broadcast(bits)
 
-    @F.pandas_udf("boolean")
-    def known(values):
-        import pandas as pd
-
-        v = values.to_numpy(np.int64)
-        return pd.Series((sent.value[(v & (MAP_BITS - 1)) >> 6] >> (v & 63)) & 1 == 1)
+    def known(v: np.ndarray) -> np.ndarray:
+        return (sent.value[(v & (MAP_BITS - 1)) >> 6] >> (v & 63)) & 1 == 1
 
     return known
 

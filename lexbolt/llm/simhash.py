@@ -418,7 +418,7 @@ def verified_links(reps: DataFrame, docs: DataFrame, words: int, rule: Rule) ->
     """The same where a likeness is asked for; `reps` has the first document of each node.
 
     A first round keeps, shard by shard, the nodes that have a candidate. The texts of these
-    alone are sent on for their sets of shingles, which a second round compares.
+    alone are read for their sets of shingles, which a second round compares.
     """
 
     def some(shard: Shard, t: pa.Table) -> pa.Table:
@@ -430,14 +430,16 @@ def verified_links(reps: DataFrame, docs: DataFrame, words: int, rule: Rule) ->
     first = reps.join(dealt.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"))
     first = materialize(first.select("node", *id_key(), "mark"), "active-documents")
     texts = docs.select(*id_key(), F.xxhash64(text_of()).alias("mark"), text_of().cast("binary").alias("text"))
-    texts = texts.where(may_be_in(first, "mark")(F.col("mark"))).join(first, ["__none", "__id", "mark"]).select("node", "text")
+    candidate = may_be_in(first, "mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = pa.array([shingle_set(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["node", "hashes"])
+            b = b.filter(pa.array(candidate(b.column(2).to_numpy())))
+            sets = pa.array([shingle_set(t.as_py(), words).tobytes() for t in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], sets], ["__none", "__id", "mark", "hashes"])
 
-    sets = materialize(texts.mapInArrow(run, "node long, hashes binary"), "shingle-sets")
+    sets = texts.mapInArrow(run, "__none boolean, __id long, mark long, hashes binary").join(first, ["__none", "__id", "mark"])
+    sets = materialize(sets.select("node", "hashes"), "shingle-sets")
     sets = sets.groupBy("node").agg(F.first("hashes").alias("hashes"))  # rows may repeat
     rows = dealt.join(sets, "node")
 

@@ -75,3 +75,18 @@ def test_pipeline_of_nothing(spark, tables, tmp_path):
     docs, labels = tables
     assert run(spark, tmp_path / "a", docs.limit(0), labels).count() == 0
     assert run(spark, tmp_path / "b", docs, labels.limit(0)).count() > 0
+
+
+def test_near_dedup_asks_for_one_python_worker_a_task(spark, tables, monkeypatch):
+    """Workers stay with an executor, each with what it remembers, so a second Python step in
+    a task costs memory in every later stage."""
+    plans, store = {}, simhash.materialize
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().toString()
+        return store(df, name)
+
+    monkeypatch.setattr(simhash, "materialize", recorded)
+    out = simhash.drop_near_copies(tables[0])
+    assert "MapInArrow" in plans["shingle-sets"] and not [n for n, p in plans.items() if "EvalPython" in p]
+    assert "EvalPython" not in out._jdf.queryExecution().toString()
