@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lexbolt.functions.text import roman
 from lexbolt.operators.segments import last_markers
-from lexbolt.sources.readers import spread
+from lexbolt.sources.readers import by_keys, spread
 from lexbolt.sources.stores import stored
 
 #: Words that head the parts of a document, and its marks of style.
@@ -42,12 +42,15 @@ _NONE: set[str] = set()
 
 
 class Node:
-    """An element: tag, attributes, classes, children (elements and texts)."""
+    """An element: tag, attributes, classes, children (elements and texts). `said` has the
+    document's texts in order, those in scripts left out; the element's are from start to end."""
 
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "said", "start", "end")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None = None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.said: list[str] = [] if parent is None else parent.said
+        self.start = self.end = len(self.said)
 
     @property
     def classes(self) -> set[str]:
@@ -69,14 +72,7 @@ class Node:
         return [n for n in self.walk() if n is not self and n.tag in tags]
 
     def text(self) -> str:
-        parts, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                parts.append(node.strip())
-            elif node.tag not in ("script", "style"):
-                stack += reversed(node.children)
-        return tidy(" ".join(p for p in parts if p))
+        return tidy(" ".join(self.said[self.start : self.end]))
 
 
 class _Tree(HTMLParser):
@@ -84,9 +80,15 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {})
 
+    def leave(self, until: Node | None) -> None:
+        """Ends the open elements below `until`."""
+        while self.at is not until:
+            self.at.end = len(self.root.said)
+            self.at = self.at.parent
+
     def handle_starttag(self, tag, attrs):
         if tag in ("p", "tr", "td", "li") and self.at.tag == tag:  # left open
-            self.at = self.at.parent
+            self.leave(self.at.parent)
         node = Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
         if tag not in VOID:
@@ -100,10 +102,16 @@ class _Tree(HTMLParser):
         while node.parent is not None and node.tag != tag:
             node = node.parent
         if node.parent is not None:  # an end without a start is left out
-            self.at = node.parent
+            self.leave(node.parent)
 
     def handle_data(self, data):
         self.at.children.append(data)
+        if self.at.tag not in ("script", "style") and (text := data.strip()):
+            self.root.said.append(text)
+
+    def close(self):
+        super().close()
+        self.leave(None)
 
 
 def tree(html: str) -> Node:
@@ -114,7 +122,8 @@ def tree(html: str) -> Node:
 
 
 def tidy(text: str) -> str:
-    return re.sub(r"[ \t]{2,}", " ", text.replace("\u00a0", " ")).strip()
+    text = text.replace("\u00a0", " ")
+    return (re.sub(r"[ \t]{2,}", " ", text) if "  " in text or "\t" in text else text).strip()
 
 
 def rows_of(table: Node) -> list[list[Node]]:
@@ -177,7 +186,7 @@ def elements(html: str) -> list[tuple]:
         if node.tag in ("p", "div", "table") or node.attrs.get("class") or node.attrs.get("id") or not inner:
             is_table = node.tag == "table"
             cells = [[c.text() for c in row] for row in rows_of(node)] if is_table else None
-            out.append([pos, pos, parent, node.tag, node.style.split(), node.attrs.get("id"), node.text(), path, cells, "\n\n".join(list_lines(node)) if is_table else None])
+            out.append([pos, pos, parent, node.tag, (node.attrs.get("class") or "").split(), node.attrs.get("id"), node.text(), path, cells, "\n\n".join(list_lines(node)) if is_table else None])
         own, inside = pos, inner or node.tag in ("p", "td", "th")
         pos += 1
         stack += [(c, own, f"{path}/{node.tag}", inside) for c in reversed(node.children) if isinstance(c, Node)]
@@ -258,14 +267,11 @@ def _place(heads: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
-def _inside(rows: DataFrame, spans: DataFrame, name: str, **more: tuple[Column, Column]) -> DataFrame:
-    """The rows with `name`: the last of `spans` (file, pos, last and others) that begins at or
-    before them and hasn't ended; rows in none go. `more` carries other marks along."""
-    kind = F.struct(*spans.columns)
-    both = rows.withColumn(name, F.lit(None).cast(spans.select(kind.alias("k")).schema["k"].dataType)).withColumn("__of", F.lit(1))
-    marks = spans.select("file", "pos", kind.alias(name), F.lit(0).alias("__of"))
-    found = last_markers(both.unionByName(marks, allowMissingColumns=True).withColumnRenamed(name, "__mark"), ["file"], ["pos", "__of"], {name: (F.col("__of") == 0, F.col("__mark"))} | more, None)
-    return found.where((F.col("__of") == 1) & (F.col("pos") <= F.col(f"{name}.last"))).drop("__of", "__mark")
+def _inside(rows: DataFrame, name: str, begins: Column, span: Column, **more: tuple[Column, Column]) -> DataFrame:
+    """The rows with `name`: the `span` (a struct with pos and last) of the last row at or before
+    them where one `begins`, if it hasn't ended; rows in none go. `more` carries other marks along.
+    Spans are rows themselves, so nothing is joined to them."""
+    return last_markers(rows, ["file"], ["pos"], {name: (begins, span)} | more, None).where(F.col("pos") <= F.col(f"{name}.last"))
 
 
 def _below(span: str) -> Column:
@@ -299,15 +305,17 @@ def journal_entities(files: DataFrame, lang: str = "nl") -> DataFrame:
     heads = rows.where(heading.isNotNull()).select("file", "pos", heading.alias("head"), value.alias("number"), "text")
 
     is_entity = (F.col("tag") == "div") & _has("eli-subdivision") & F.coalesce(F.col("id").rlike(r"^(art|rct)_\d+$"), F.lit(False))
-    spans = rows.where(is_entity).select("file", "pos", "last", "path", F.col("id").alias("anchor"), F.col("text").alias("body_text"))
     is_title = F.coalesce((F.col("tag") == "div") & _has("eli-title"), F.lit(False))
-    content = _inside(rows, spans, "own", head=(is_title, F.struct("pos", "last", "parent"))).where(F.col("pos") > F.col("own.pos"))
+    content = _inside(by_keys(rows, "file"), "own", is_entity, F.struct("pos", "last", "path"), head=(is_title, F.struct("pos", "last", "parent")))
+    itself, below = F.col("pos") == F.col("own.pos"), F.col("pos") > F.col("own.pos")
     hidden = F.coalesce((F.col("head.parent") == F.col("own.pos")) & (F.col("pos") <= F.col("head.last")), F.lit(False))
-    body = F.when(_below("own") & ~hidden, _block())
-    found = content.groupBy("file", F.col("own.pos").alias("pos")).agg(_joined(body).alias("body"), _first("text", _has("oj-sti-art")).alias("title"), _first("cells", F.col("tag") == "table").alias("cells"))
-    found = spans.join(found, ["file", "pos"], "left")
+    body = F.when(below & _below("own") & ~hidden, _block())
+    found = content.groupBy("file", F.col("own.pos").alias("pos")).agg(
+        _first("id", itself).alias("anchor"), _first("text", itself).alias("body_text"), _joined(body).alias("body"),
+        _first("text", below & _has("oj-sti-art")).alias("title"), _first("cells", below & (F.col("tag") == "table")).alias("cells"),
+    )
     found = found.withColumn("number", F.regexp_extract("anchor", r"_(\d+)$", 1))
-    articles = _place(heads, found.where(F.col("anchor").startswith("art")).drop("cells", "last", "path"))
+    articles = _place(heads, found.where(F.col("anchor").startswith("art")).drop("cells"))
     articles = articles.select("*", F.lit("article").alias("kind"), F.concat(_strip(F.coalesce("body", F.lit(""))), F.lit("\n")).alias("body_md")).withColumn("title", F.coalesce("title", F.lit("")))
     whole = F.coalesce(F.nullif(F.get(F.get("cells", F.lit(0)), F.lit(1)), F.lit("")), F.col("body_text"))
     recitals = found.where(F.col("anchor").startswith("rct")).withColumn("body_text", whole).select("file", F.lit("recital").alias("kind"), "number", "body_text", F.concat("body_text", F.lit("\n")).alias("body_md"), "anchor")
@@ -321,16 +329,18 @@ def _annexes(rows: DataFrame, word: str) -> DataFrame:
     is_head = (F.col("tag") == "p") & _has("oj-doc-ti") & _is_roman(number)
     stops = _any(ENDS) | (_has("oj-doc-ti") & F.col("text").startswith(word)) | is_head
     head = F.struct("pos", number.alias("number"), F.coalesce("id", F.concat(F.lit(f"{word.lower()}_"), number)).alias("anchor"))
-    beside = last_markers(rows, ["file", "parent"], ["pos"], {"head": (is_head, head), "stop": (stops, F.col("pos"))}, None)
-    heads = beside.where(F.col("head.pos") == F.col("pos")).select("file", F.col("pos").alias("head_pos"), "head.number", "head.anchor")
-    children = beside.where((F.col("head.pos") < F.col("pos")) & (F.col("stop") == F.col("head.pos")))
-    children = children.select("file", "pos", "last", "path", F.col("head.pos").alias("head_pos"))
-    content = _inside(rows, children, "child")
-    own = F.when(F.col("child.pos") == F.col("pos"), F.col("text"))
-    found = content.groupBy("file", F.col("child.head_pos").alias("head_pos")).agg(
-        _joined(F.when(_below("child"), _block(heads=True))).alias("body"), _joined(own).alias("body_text"), _first("text", (F.col("tag") == "p") & _has("oj-doc-ti")).alias("title")
-    )
-    found = heads.join(found, ["file", "head_pos"], "left").fillna("", ["body", "body_text", "title"])
+    rows = last_markers(by_keys(rows, "file"), ["file", "parent"], ["pos"], {"head": (is_head, head), "stop": (stops, F.col("pos"))}, None)
+    is_child = F.coalesce((F.col("head.pos") < F.col("pos")) & (F.col("stop") == F.col("head.pos")), F.lit(False))
+    rows = last_markers(rows, ["file"], ["pos"], {"child": (is_child, F.struct("pos", "last", "path", F.col("head.pos").alias("head_pos")))}, None)
+    # A row may be a heading and in another's annex too: then it counts for both.
+    own = F.when(F.col("head.pos") == F.col("pos"), F.struct(F.col("pos").alias("of"), F.lit(True).alias("heads")))
+    inner = F.when(F.col("pos") <= F.col("child.last"), F.struct(F.col("child.head_pos").alias("of"), F.lit(False).alias("heads")))
+    content, heads = rows.withColumn("in", F.explode(F.array_compact(F.array(own, inner)))), F.col("in.heads")
+    found = content.groupBy("file", F.col("in.of").alias("head_pos")).agg(
+        _first("head.number", heads).alias("number"), _first("head.anchor", heads).alias("anchor"),
+        _joined(F.when(~heads & _below("child"), _block(heads=True))).alias("body"), _joined(F.when(~heads & (F.col("child.pos") == F.col("pos")), F.col("text"))).alias("body_text"),
+        _first("text", ~heads & (F.col("tag") == "p") & _has("oj-doc-ti")).alias("title"),
+    ).fillna("", ["title"])
     return _entity(found.select("file", F.lit("annex").alias("kind"), "number", "title", "anchor", F.concat(_strip(F.col("body")), F.lit("\n")).alias("body_md"), _strip(F.col("body_text")).alias("body_text")))
 
 
@@ -361,15 +371,15 @@ def proposal_entities(files: DataFrame, lang: str = "nl") -> DataFrame:
     heads = rows.where("role = 'section'").select("file", "pos", heading.alias("head"), F.when(heading == "chapter", F.upper(number)).otherwise(number).alias("number"), "text")
 
     spans = rows.where(F.col("role").isin("article", "annex")).select("file", "pos", F.col("role").alias("kind"), rule.alias("number"), F.trim(F.coalesce(title, F.lit(""))).alias("title"))
-    spans = spans.withColumn("last", F.coalesce(F.lead("pos").over(W.partitionBy("file").orderBy("pos")) - 1, F.lit(2**31 - 1)))
-    content = _inside(rows, spans, "own").where((F.col("own.number") != "") & ~F.coalesce(F.col("role").isin("article", "annex", "recital"), F.lit(False)) & ~F.contains("path", F.lit("/table")))
+    own = F.struct("pos", F.col("role").alias("kind"), rule.alias("number"), F.lit(2**31 - 1).alias("last"))
+    content = _inside(rows, "own", F.col("role").isin("article", "annex"), own).where((F.col("own.number") != "") & ~F.coalesce(F.col("role").isin("article", "annex", "recital"), F.lit(False)) & ~F.contains("path", F.lit("/table")))
     in_annex = F.col("own.kind") == "annex"
     lines = F.transform("cells", lambda row: F.array_join(F.filter(row, lambda x: x != ""), " | "))
     flat = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
     md = F.when(F.col("role") == "section", F.when(in_annex, _styled())).when(F.col("tag") == "p", _styled()).when((F.col("tag") == "table") & in_annex, flat)
     plain = F.when(F.col("role") == "section", F.when(in_annex, F.col("text"))).when(F.col("tag") == "p", F.col("text")).when((F.col("tag") == "table") & in_annex, flat)
     found = content.groupBy("file", F.col("own.pos").alias("pos")).agg(_joined(md).alias("body"), _joined(plain).alias("body_text"))
-    found = spans.where("number <> ''").drop("last").join(found, ["file", "pos"], "left").fillna("", ["body", "body_text"])
+    found = spans.where("number <> ''").join(found, ["file", "pos"], "left").fillna("", ["body", "body_text"])
     found = found.withColumn("body_md", F.concat(_strip(F.col("body")), F.lit("\n"))).withColumn("body_text", _strip(F.col("body_text"))).drop("body").withColumn("anchor", F.lit(None).cast("string"))
     articles = _place(heads, found.where("kind = 'article'"))
     recitals = rows.where("role = 'recital'").select("file", F.lit("recital").alias("kind"), recital.alias("number"), _strip(F.regexp_extract("text", r"^\(\d+\)\s*((?s:.*))$", 1)).alias("body_text"), F.lit(None).cast("string").alias("anchor"))
@@ -386,8 +396,8 @@ def amendment_rows(files: DataFrame, lang: str = "nl") -> DataFrame:
     number = F.regexp_extract("text", rf"^{words['amendment']}\s+(\d+)$", 1)
     is_head = _has("oj-ti-grseq-1")
     spans = rows.where(is_head & (number != "")).select("file", "pos", number.cast("int").alias("number"))
-    spans = spans.withColumn("last", F.coalesce(F.lead("pos").over(W.partitionBy("file").orderBy("pos")) - 1, F.lit(2**31 - 1)))
-    content = _inside(rows, spans, "own").where((is_head | (F.col("tag") == "table")) & (F.col("pos") > F.col("own.pos"))).withColumn("of", F.col("own.pos"))
+    content = _inside(rows, "own", is_head & (number != ""), F.struct("pos", F.lit(2**31 - 1).alias("last")))
+    content = content.where((is_head | (F.col("tag") == "table")) & (F.col("pos") > F.col("own.pos"))).withColumn("of", F.col("own.pos"))
     in_order = W.partitionBy("file", "of").orderBy("pos")
     heads = content.where(is_head).withColumn("nth", F.row_number().over(in_order)).where("nth <= 4")
     heads = heads.groupBy("file", "of").agg(_joined(F.col("text"), " — ").alias("target"))

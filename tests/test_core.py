@@ -181,6 +181,13 @@ def test_journal_template(spark):
     assert rows["b", "recital", "3"].body_md == "Overwegende\n" and rows["b", "recital", "4"].body_text == "plain"
 
 
+def test_journal_spans_are_marks_on_rows(spark):
+    files = spark.createDataFrame([("a", "<div><p class=oj-doc-ti>ANNEX I</p><div><p class=oj-doc-ti>ANNEX V</p><p>x</p></div><p>y</p></div>")], "file string, html string")
+    found = M.journal_entities(files, "en")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # nothing is joined back to the elements
+    assert sorted((r.number, r.body_md) for r in found.collect()) == [("I", "## ANNEX V\n\ny\n"), ("V", "x\n")]  # the inner annex alone has the inner blocks, its heading is in both
+
+
 def test_proposal_template(spark):
     html = """<p class="SectionTitle">TITEL I</p><p class="SectionTitle">Over</p><p class="SectionTitle">Hoofdstuk 2</p><p class="li ManualConsidrant">(3) Ja</p><p class="Titrearticle">Artikel 1 Naam</p><p>een</p><p class="SectionTitle">Regels</p>
     <p class="Titrearticle">Artikel 2</p><p class="li NumPar1">1. x</p><table><tr><td><p>no</p></td></tr></table><p class="Titrearticle">Anders</p><p>lost</p><p class="Annexetitre">BIJLAGE II Van</p><p class="SectionTitle">Kop</p><table><tr><td>a</td><td></td><td>b</td></tr></table>"""
