@@ -273,5 +273,4 @@ def guide_footnotes(spark, sf_dir):
 
 @query(f"SELECT doc, string_agg(repeat('#', level + 1) || ' ' || title || chr(10) || chr(10) || replace(body, '|', chr(10)), chr(10) || chr(10) ORDER BY ordinal) || chr(10) || chr(10) || '## Notes' || chr(10) || chr(10) || '1. A note that goes on' || chr(10) || '2. Next note' || chr(10) || '3. Last' || chr(10) || '4. Ending' AS markdown FROM ({SQL['guide_sections']}) GROUP BY doc")
 def guide_markdown(spark, sf_dir):
-    lines = _guide(spark, sf_dir)
-    return S.guide_markdown(S.sections(lines), S.footnotes(lines))
+    return S.guides(_guide(spark, sf_dir))

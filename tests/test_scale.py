@@ -271,6 +271,19 @@ def test_lines_of_guides_are_dealt_once_by_their_number(spark, monkeypatch):
     assert found.rdd.getNumPartitions() == 24 and found.count() == 60
 
 
+def test_guides_are_dealt_and_sorted_once(spark):
+    texts = ["Step 1. Is it in", "scope?", "A text.", "1.1. Systems on page 3", "1 A note", " goes on ", "1.2. Real heading", "Body", "Apples a day is text", "2 Next", "1 First again", "301 none", "Guide | Step 1  1", ""]
+    rng = random.Random(5)
+    rows = [(f"d{d}", page, at, rng.choice(texts)) for d in range(150) for page in (1, 2) for at in range(rng.randint(0, 9))]
+    lines = spark.createDataFrame(rows, "doc string, page int, line_no int, line string")
+    both = sections.guide_markdown(sections.sections(lines), sections.footnotes(lines))
+    once = sections.guides(lines)
+    assert Counter(map(tuple, once.collect())) == Counter(map(tuple, both.collect())) and once.count() > 100
+    plan = once._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") == 1 and "Join" not in plan
+    assert "try_cast" not in plan  # a failed cast is an exception a line
+
+
 def test_candidates_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(guidance, "by_keys", lambda rows, *keys: readers.by_keys(rows, *keys, task_rows=20))
     chunks = spark.range(100).selectExpr("id", "'nl' AS lang", "'Articles 5, 6 and 7' AS text")
