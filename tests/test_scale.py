@@ -3,6 +3,7 @@ small that they act."""
 
 import glob
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -134,6 +135,17 @@ def test_index_tasks_grow_in_number(spark, tmp_path, monkeypatch):
     assert [r.key for r in search.ranked(spark, str(tmp_path / "i"), {"q": ["t7"]}).collect()] == [7]
 
 
+def test_words_are_not_shuffled(spark, tmp_path):
+    docs = spark.range(2000).selectExpr("'k' || id AS id", "repeat('some words that come again and again ', 40) || id AS text").coalesce(2)
+    search.write_index(docs, "id", "text", str(tmp_path / "i"), shards=2)
+    lists = spark.read.parquet(str(tmp_path / "i/postings")).where(F.col("shard") == search.LISTS)
+    assert lists.selectExpr("sum(n)", "sum(size(keys))", "max(n)").first() == (2000, 2000, 256)
+    postings = spark.read.parquet(str(tmp_path / "i/postings")).where("term = 'again'")
+    assert postings.count() == lists.count() and postings.selectExpr("sum(n)", "max(most)").first() == (2000, 80)
+    sizes = sum(os.path.getsize(f) for f in glob.glob(str(tmp_path / "i/postings/*/*.parquet")))
+    assert sizes < docs.selectExpr("sum(length(text))").first()[0] / 4
+
+
 def test_search_reads_its_terms_alone(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"common t{i}") for i in range(300)], "id int, text string")
     search.write_index(docs, "id", "text", str(tmp_path / "i"), shards=16)
